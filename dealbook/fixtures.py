@@ -97,7 +97,7 @@ FIXTURE_DEPS: dict[str, tuple[str, ...]] = {
 }
 
 
-def duckdb_cte(names: list[str] | tuple[str, ...]) -> str:
+def duckdb_cte(names: list[str] | tuple[str, ...], recursive: bool = False) -> str:
     """``WITH a AS (...), b AS (...)`` for the oracle, dependencies first."""
     order: list[str] = []
 
@@ -112,7 +112,7 @@ def duckdb_cte(names: list[str] | tuple[str, ...]) -> str:
         visit(name)
     plain = {t: t for t in BASE_TABLES + tuple(FIXTURE_SQL)}
     parts = [f"{name} AS ({FIXTURE_SQL[name].format(**plain).strip()})" for name in order]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 class Tables:

@@ -171,3 +171,232 @@ SELECT vin, registration_date FROM (
          ROW_NUMBER() OVER (PARTITION BY vin ORDER BY registration_date DESC) AS rn
   FROM vehicle_stock) WHERE rn = 1
 """
+
+
+# --- P&L statement -------------------------------------------------------------
+
+PNL_COMPANY, PNL_YEAR, PNL_MONTH = "EUROPE", 1997, 5
+DRILL_CATEGORY = "A7"
+MONTH_NAMES_SQL = "['Enero','Febrero','Marzo','Abril','Mayo','Junio','Julio','Agosto','Septiembre','Octubre','Noviembre','Diciembre']"
+
+BUDGET_SQL = f"""budget AS (
+  SELECT category, company_code, year, month, base_total,
+         REPLACE(month_text0, 'MESACUMULADO', 'Total') AS month_text,
+         TRY_CAST(CONCAT(CAST(TRY_CAST(TRIM(year) AS INT) AS VARCHAR), '-',
+                         LPAD(CAST(TRY_CAST(TRIM(month) AS INT) AS VARCHAR), 2, '0'), '-01') AS DATE) AS report_date
+  FROM (SELECT category, company_code, year, base_total,
+               REPLACE(CAST(month AS VARCHAR), 'MESACUMULADO', '00') AS month,
+               CASE WHEN UPPER(TRIM(month)) IN ('ACUMULADO', 'TOTAL') THEN 'Total'
+                    WHEN TRY_CAST(UPPER(TRIM(month)) AS INT) BETWEEN 1 AND 12
+                      THEN list_extract({MONTH_NAMES_SQL}, TRY_CAST(UPPER(TRIM(month)) AS INT))
+                    ELSE month END AS month_text0
+        FROM budget_raw)
+  WHERE NOT COALESCE(UPPER(TRIM(month)) = 'ACUMULADO', FALSE)
+    AND NOT COALESCE(category LIKE '%T%', FALSE)
+    AND NOT COALESCE(LOWER(TRIM(REPLACE(month_text0, 'MESACUMULADO', 'Total'))) = 'total', FALSE)
+)"""
+
+CLOSURE_SQL = """walk(anc, node, ref_n) AS (
+  SELECT category, category, n FROM statement_template WHERE category LIKE 'T%'
+  UNION ALL
+  SELECT w.anc, c.category, CASE WHEN c.category LIKE 'T%' AND c.n < w.ref_n THEN c.n END
+  FROM walk w JOIN statement_template c ON c.parent = w.node
+  WHERE w.ref_n IS NOT NULL
+),
+closure AS (SELECT anc AS category, node AS leaf FROM walk WHERE ref_n IS NULL),
+tcodes AS (SELECT DISTINCT category FROM statement_template WHERE category LIKE 'T%'),
+tmpl_rows AS (SELECT n, category, concept, ratio, COALESCE(category LIKE 'T%', FALSE) AS is_total FROM statement_template),
+ratio_code AS (
+  SELECT ratio, UNNEST(regexp_extract_all(CASE WHEN strpos(ratio, '/') > 0 THEN substr(ratio, strpos(ratio, '/') + 1) END,
+                                          '\\b([A-Z][A-Z0-9]*\\d+)\\b', 1)) AS code
+  FROM (SELECT DISTINCT ratio FROM statement_template WHERE ratio IS NOT NULL)
+)"""
+
+
+def _values(p: str, leaf: str) -> str:
+    """CTEs {p}_raw, {p}_vals (category, period, value) from a leaf CTE (category, month, value)."""
+    return f""",
+{p}_raw AS (SELECT category, month, value FROM {leaf} WHERE month IS NOT NULL),
+{p}_vm AS (
+  SELECT category, month, value FROM {p}_raw WHERE category NOT IN (SELECT category FROM tcodes)
+  UNION ALL
+  SELECT c.category, r.month, SUM(r.value) FROM closure c JOIN {p}_raw r ON r.category = c.leaf
+  GROUP BY c.category, r.month
+),
+{p}_vals AS (
+  SELECT category, CAST(month AS VARCHAR) AS period, value FROM {p}_vm
+  UNION ALL
+  SELECT category, 'Total', SUM(value) FROM {p}_vm GROUP BY category
+)"""
+
+
+def _periods(p: str, *leaves: str) -> str:
+    months = " UNION ".join(f"SELECT CAST(month AS VARCHAR) AS period FROM {leaf} WHERE month IS NOT NULL" for leaf in leaves)
+    exists = " OR ".join(f"EXISTS (SELECT 1 FROM {leaf})" for leaf in leaves)
+    return f""",
+{p}_periods AS ({months} UNION SELECT 'Total' WHERE {exists})"""
+
+
+def _long(p: str, value_name: str) -> str:
+    return f""",
+{p}_den AS (
+  SELECT rc.ratio, pp.period, SUM(COALESCE(v.value, 0)) AS denominator
+  FROM ratio_code rc CROSS JOIN {p}_periods pp
+  LEFT JOIN {p}_vals v ON v.category = rc.code AND v.period = pp.period
+  GROUP BY rc.ratio, pp.period
+),
+{p}_long AS (
+  SELECT t.n, t.category, t.concept, t.is_total, pp.period,
+         CAST(COALESCE(v.value, 0) AS DOUBLE) AS {value_name},
+         CASE WHEN COALESCE(d.denominator, 0) <> 0
+              THEN CAST(COALESCE(v.value, 0) AS DOUBLE) / CAST(d.denominator AS DOUBLE) * 100 END AS pct
+  FROM tmpl_rows t CROSS JOIN {p}_periods pp
+  LEFT JOIN {p}_vals v ON v.category = t.category AND v.period = pp.period
+  LEFT JOIN {p}_den d ON d.ratio = t.ratio AND d.period = pp.period
+)"""
+
+
+def pnl_base(company=PNL_COMPANY, year=PNL_YEAR) -> str:
+    return duckdb_cte(["ledger", "statement_template"], recursive=True) + f""",
+{CLOSURE_SQL},
+a_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
+           WHERE company = '{company}' AND year = {int(year)} GROUP BY category, month)
+""" + _values("a", "a_leaf") + _periods("a", "a_leaf") + _long("a", "value")
+
+
+def budget_base(company=PNL_COMPANY, year=PNL_YEAR) -> str:
+    return duckdb_cte(["budget_raw", "statement_template", "dim_company"], recursive=True) + f""",
+{BUDGET_SQL},
+{CLOSURE_SQL},
+b_leaf AS (SELECT category, TRY_CAST(month AS INT) AS month, SUM(base_total) AS value FROM budget
+           WHERE company_code = (SELECT MIN(code) FROM dim_company WHERE company = '{company}')
+             AND year = '{int(year)}'
+           GROUP BY category, TRY_CAST(month AS INT))
+""" + _values("b", "b_leaf") + _periods("b", "b_leaf") + _long("b", "budget")
+
+
+def _wide(p: str, measures: list[str]) -> str:
+    periods = [str(m) for m in range(1, 13)] + ["Total"]
+    cols = ", ".join(f"MAX(CASE WHEN period = '{pp}' THEN {m} END) AS \"{m if m != 'value' else 'res'}_{pp}\""
+                     for pp in periods for m in measures)
+    return f"SELECT n, category, concept, is_total, {cols} FROM {p}_long GROUP BY n, category, concept, is_total"
+
+
+ORACLE["pnl_long"] = pnl_base() + "SELECT * FROM a_long"
+ORACLE["pnl_wide"] = pnl_base() + _wide("a", ["value", "pct"])
+ORACLE["budget_wide"] = budget_base() + _wide("b", ["budget", "pct"])
+ORACLE["company_code_lookup"] = duckdb_cte(["dim_company"]) + f"""
+SELECT MIN(code) AS code FROM dim_company WHERE company = '{PNL_COMPANY}'
+"""
+
+ORACLE["pnl_vs_budget"] = duckdb_cte(["ledger", "budget_raw", "statement_template", "dim_company"], recursive=True) + f""",
+{BUDGET_SQL},
+{CLOSURE_SQL},
+a_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
+           WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR} GROUP BY category, month),
+b_leaf AS (SELECT category, TRY_CAST(month AS INT) AS month, SUM(base_total) AS value FROM budget
+           WHERE company_code = (SELECT MIN(code) FROM dim_company WHERE company = '{PNL_COMPANY}')
+             AND year = '{PNL_YEAR}'
+           GROUP BY category, TRY_CAST(month AS INT))
+""" + _values("a", "a_leaf") + _values("b", "b_leaf") + _periods("ab", "a_leaf", "b_leaf") + """
+SELECT t.n, t.category, t.concept, t.is_total, pp.period,
+       CAST(COALESCE(a.value, 0) AS DOUBLE) AS real, CAST(COALESCE(b.value, 0) AS DOUBLE) AS budget,
+       CAST(COALESCE(a.value, 0) AS DOUBLE) - CAST(COALESCE(b.value, 0) AS DOUBLE) AS diff,
+       CASE WHEN CAST(COALESCE(b.value, 0) AS DOUBLE) <> 0
+            THEN (CAST(COALESCE(a.value, 0) AS DOUBLE) - CAST(COALESCE(b.value, 0) AS DOUBLE))
+                 / ABS(CAST(COALESCE(b.value, 0) AS DOUBLE)) * 100 END AS var_pct
+FROM tmpl_rows t CROSS JOIN ab_periods pp
+LEFT JOIN a_vals a ON a.category = t.category AND a.period = pp.period
+LEFT JOIN b_vals b ON b.category = t.category AND b.period = pp.period
+"""
+
+ORACLE["pnl_vs_prior_year"] = duckdb_cte(["ledger", "statement_template"], recursive=True) + f""",
+{CLOSURE_SQL},
+c_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
+           WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR} GROUP BY category, month),
+p_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
+           WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR - 1} GROUP BY category, month)
+""" + _values("c", "c_leaf") + _values("p", "p_leaf") + f"""
+SELECT t.n, t.category, t.concept, t.is_total,
+       CAST(COALESCE(c.value, 0) AS DOUBLE) AS current, CAST(COALESCE(p.value, 0) AS DOUBLE) AS prior,
+       CAST(COALESCE(c.value, 0) AS DOUBLE) - CAST(COALESCE(p.value, 0) AS DOUBLE) AS diff,
+       CASE WHEN CAST(COALESCE(p.value, 0) AS DOUBLE) <> 0
+            THEN (CAST(COALESCE(c.value, 0) AS DOUBLE) - CAST(COALESCE(p.value, 0) AS DOUBLE))
+                 / ABS(CAST(COALESCE(p.value, 0) AS DOUBLE)) * 100 END AS var_pct
+FROM tmpl_rows t
+LEFT JOIN c_vals c ON c.category = t.category AND c.period = '{PNL_MONTH}'
+LEFT JOIN p_vals p ON p.category = t.category AND p.period = '{PNL_MONTH}'
+WHERE EXISTS (SELECT 1 FROM c_leaf WHERE month IS NOT NULL)
+"""
+
+_drill_cols = ", ".join(f"CAST(COALESCE(SUM(CASE WHEN month = {m} THEN monthly_balance END), 0) AS DOUBLE) AS balance_{m}"
+                        for m in range(1, 13))
+ORACLE["account_drilldown"] = duckdb_cte(["ledger"]) + f"""
+SELECT account, account_name, centre_name, centre, section,
+       CAST(COALESCE(SUM(CASE WHEN month IS NOT NULL THEN monthly_balance END), 0) AS DOUBLE) AS total,
+       {_drill_cols}
+FROM ledger
+WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR} AND category = '{DRILL_CATEGORY}'
+GROUP BY account, account_name, centre_name, centre, section
+"""
+
+ORACLE["ledger_companies"] = duckdb_cte(["dim_company"]) + "SELECT DISTINCT company FROM dim_company"
+ORACLE["ledger_years"] = duckdb_cte(["dim_time", "ledger"]) + """
+SELECT DISTINCT CAST(dt.year AS INT) AS year FROM dim_time dt
+WHERE EXISTS (SELECT 1 FROM ledger b WHERE CAST(b.year AS INT) = dt.year)
+"""
+
+ORACLE["pnl_kpis"] = pnl_base() + """,
+tot AS (SELECT category, value FROM a_long WHERE is_total AND period = 'Total'),
+ser AS (SELECT CAST(m.period AS INT) AS month, COALESCE(MAX(l.value), 0) AS v
+        FROM (SELECT DISTINCT period FROM a_long WHERE period <> 'Total') m
+        LEFT JOIN a_long l ON l.period = m.period AND l.category = 'T18' AND l.is_total
+        GROUP BY m.period)
+SELECT COALESCE((SELECT MAX(value) FROM tot WHERE category = 'T18'), 0) AS pnl_total,
+       COALESCE((SELECT MAX(value) FROM tot WHERE category = 'T13'), 0) AS net_total,
+       ABS(COALESCE((SELECT MAX(value) FROM tot WHERE category = 'T14'), 0)) AS general_costs,
+       ABS(COALESCE((SELECT MAX(value) FROM tot WHERE category = 'T15'), 0)) AS staff_costs,
+       (SELECT month FROM ser ORDER BY v DESC, month DESC LIMIT 1) AS best_month,
+       (SELECT v FROM ser ORDER BY v DESC, month DESC LIMIT 1) AS best_value,
+       (SELECT month FROM ser ORDER BY v ASC, month DESC LIMIT 1) AS worst_month,
+       (SELECT v FROM ser ORDER BY v ASC, month DESC LIMIT 1) AS worst_value
+"""
+
+ORACLE["pnl_series"] = pnl_base() + """
+SELECT CAST(period AS INT) AS month,
+  COALESCE(MAX(CASE WHEN is_total AND category = 'T18' THEN value END), 0) AS pnl,
+  COALESCE(MAX(CASE WHEN is_total AND category = 'T13' THEN value END), 0) AS net_total,
+  COALESCE(MAX(CASE WHEN is_total AND category = 'T2' THEN value END), 0) AS net_new,
+  COALESCE(MAX(CASE WHEN is_total AND category = 'T4' THEN value END), 0) AS net_used,
+  COALESCE(MAX(CASE WHEN is_total AND category = 'T12' THEN value END), 0) AS net_after_sales,
+  MAX(CASE WHEN is_total AND category = 'T1' THEN pct END) AS gross_new_pct,
+  MAX(CASE WHEN is_total AND category = 'T2' THEN pct END) AS net_new_pct,
+  MAX(CASE WHEN is_total AND category = 'T13' THEN pct END) AS net_total_pct,
+  MAX(CASE WHEN is_total AND category = 'T18' THEN pct END) AS pnl_pct
+FROM a_long WHERE period <> 'Total' GROUP BY period
+"""
+
+ORACLE["pnl_waterfall"] = pnl_base() + """,
+tv AS (SELECT category, MAX(value) AS v FROM a_long WHERE is_total AND period = 'Total' GROUP BY category),
+g AS (SELECT COALESCE((SELECT v FROM tv WHERE category = 'T13'), 0) AS t13,
+             COALESCE((SELECT v FROM tv WHERE category = 'T14'), 0) AS t14,
+             COALESCE((SELECT v FROM tv WHERE category = 'T15'), 0) AS t15,
+             COALESCE((SELECT v FROM tv WHERE category = 'T16'), 0) AS t16,
+             COALESCE((SELECT v FROM tv WHERE category = 'T17'), 0) AS t17,
+             COALESCE((SELECT v FROM tv WHERE category = 'T18'), 0) AS t18)
+SELECT 1 AS step, 'Net total' AS name, t13 - 0 AS value FROM g UNION ALL
+SELECT 2, 'General costs', t14 - 0 FROM g UNION ALL
+SELECT 3, 'Staff costs', t15 - 0 FROM g UNION ALL
+SELECT 4, 'Result I+A', t16 - 0 FROM g UNION ALL
+SELECT 5, 'Interest+Amort.', t17 - t16 FROM g UNION ALL
+SELECT 6, 'Operating result', t17 - 0 FROM g UNION ALL
+SELECT 7, 'Other', t18 - t17 FROM g UNION ALL
+SELECT 8, 'P&L', t18 - 0 FROM g
+"""
+
+ORACLE["ratio_codes"] = duckdb_cte(["statement_template"]) + """
+SELECT n, ratio, CAST(UNNEST(range(len(codes))) AS INT) AS pos, UNNEST(codes) AS code FROM (
+  SELECT n, ratio, regexp_extract_all(CASE WHEN strpos(ratio, '/') > 0 THEN substr(ratio, strpos(ratio, '/') + 1) END,
+                                      '\\b([A-Z][A-Z0-9]*\\d+)\\b', 1) AS codes
+  FROM statement_template WHERE ratio IS NOT NULL)
+"""
