@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dealbook.functions import ratio_codes, safe_pct, starts_with_total, variance_pct
 from dealbook.operators.filters import all_of, equals_unless_unset, unset
 from dealbook.operators.hierarchy import total_closure, total_codes
-from dealbook.operators.joins import bounded_broadcast
 
 TOTAL_PERIOD = "Total"
 MONTHS = list(range(1, 13))
 PERIODS = [str(m) for m in MONTHS] + [TOTAL_PERIOD]
-TEMPLATE_MAX_ROWS = 10_000
+# Templates are statement layouts (tens of lines). The closure of a forest
+# with R rows has at most R * R pairs, so this bound keeps every broadcast
+# derived from the template small.
+TEMPLATE_MAX_ROWS = 2_000
 
 
 # --- leaf values --------------------------------------------------------------
@@ -55,6 +57,25 @@ def budget_leaf(budget: DataFrame, dim_company: DataFrame, company=None, year=No
 
 # --- values of every code -----------------------------------------------------
 
+def code_targets(spark: SparkSession, template: DataFrame) -> DataFrame:
+    """``(code, targets)``: the codes a posting under ``code`` adds to.
+
+    A code adds to itself unless it is a total code of the template (those
+    are replaced by their computed value), and to every total whose closure
+    reaches it, once per path. Codes absent from the result add only to
+    themselves. Size: at most one row per template code, each array at most
+    (template rows) long, since every template row has one parent.
+    """
+    ancestors = (total_closure(spark, template).groupBy("leaf")
+                 .agg(F.collect_list("category").alias("ancestors"))
+                 .withColumnRenamed("leaf", "code"))
+    totals = total_codes(template).select(F.col("category").alias("code"), F.lit(True).alias("is_total_code"))
+    joined = ancestors.join(totals, "code", "full")
+    own = F.when(F.col("is_total_code").isNull(), F.array("code")).otherwise(F.array().cast("array<string>"))
+    return joined.select("code", F.concat(own, F.coalesce("ancestors", F.array().cast("array<string>")))
+                         .alias("targets"))
+
+
 def statement_values(spark: SparkSession, leaf: DataFrame, template: DataFrame,
                      keys: tuple[str, ...] = ()) -> DataFrame:
     """``(*keys, category, period, value)`` for leaf codes and total codes.
@@ -62,19 +83,32 @@ def statement_values(spark: SparkSession, leaf: DataFrame, template: DataFrame,
     Total codes of the template get the closure sum of their leaves (their own
     postings are replaced); every other code keeps its postings. ``period`` is
     the month as text, plus 'Total' = sum over the months. ``keys`` are extra
-    grouping columns of ``leaf`` (e.g. a scenario) carried through.
+    grouping columns of ``leaf`` (e.g. a year) carried through.
+
+    Plan: the leaf (already combined per code and month) is joined to the
+    broadcast code->targets map, exploded, and summed once with grouping sets
+    ``(keys, category, month)`` and ``(keys, category)``: one shuffle of the
+    small leaf, the fact table read once.
     """
+    check_template_size(template)
+    targets = F.broadcast(code_targets(spark, template))
     raw = leaf.where(F.col("month").isNotNull())
-    closure = bounded_broadcast(total_closure(spark, template), TEMPLATE_MAX_ROWS)
-    totals = (closure.join(raw.withColumnRenamed("category", "leaf"), "leaf")
-              .groupBy(*keys, "category", "month").agg(F.sum("value").alias("value")))
-    plain = raw.join(bounded_broadcast(total_codes(template), TEMPLATE_MAX_ROWS), "category", "left_anti")
-    monthly = plain.select(*keys, "category", "month", "value").unionByName(
-        totals.select(*keys, "category", "month", "value"))
-    by_month = monthly.select(*keys, "category", F.col("month").cast("string").alias("period"), "value")
-    whole = (monthly.groupBy(*keys, "category").agg(F.sum("value").alias("value"))
-             .select(*keys, "category", F.lit(TOTAL_PERIOD).alias("period"), "value"))
-    return by_month.unionByName(whole)
+    mapped = (raw.join(targets, raw.category == targets.code, "left")
+              .select(*keys, F.explode(F.coalesce("targets", F.array(raw.category))).alias("category"),
+                      "month", "value"))
+    sets = [[*keys, "category", "month"], [*keys, "category"]]
+    agg = mapped.groupingSets(sets, *keys, "category", "month").agg(
+        F.sum("value").alias("value"), F.grouping("month").alias("_g"))
+    return agg.select(*keys, "category",
+                      F.when(F.col("_g") == 1, F.lit(TOTAL_PERIOD))
+                      .otherwise(F.col("month").cast("string")).alias("period"),
+                      "value")
+
+
+def check_template_size(template: DataFrame, max_rows: int = TEMPLATE_MAX_ROWS) -> None:
+    """The template and everything derived from it is broadcast; prove its size."""
+    if template.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"statement template has more than {max_rows} rows")
 
 
 def periods_of(*leaves: DataFrame) -> Column:
@@ -102,7 +136,7 @@ def statement_long(spark: SparkSession, leaf: DataFrame, template: DataFrame,
     percentage over the parsed denominator codes (NULL when it sums to 0) (R7)."""
     values = statement_values(spark, leaf, template)
     periods = periods if periods is not None else periods_of(leaf)
-    rows = bounded_broadcast(template_rows(template), TEMPLATE_MAX_ROWS).withColumn("period", F.explode(periods))
+    rows = F.broadcast(template_rows(template)).withColumn("period", F.explode(periods))
     with_value = (rows.join(values, ["category", "period"], "left")
                   .withColumn("value", F.coalesce("value", F.lit(0)).cast("double")))
     denominators = (template.select("ratio").where(F.col("ratio").isNotNull()).distinct()
@@ -166,7 +200,7 @@ def pnl_vs_budget(spark, ledger, budget, dim_company, template, company=None, ye
     # Each side's Total only sums that side's months, exactly as the values do.
     real = statement_values(spark, real_leaf, template).withColumnRenamed("value", "real")
     plan = statement_values(spark, budget_leaf_, template).withColumnRenamed("value", "budget")
-    rows = bounded_broadcast(template_rows(template), TEMPLATE_MAX_ROWS).withColumn("period", F.explode(periods))
+    rows = F.broadcast(template_rows(template)).withColumn("period", F.explode(periods))
     out = (rows.join(real, ["category", "period"], "left")
            .join(plan, ["category", "period"], "left")
            .withColumn("real", F.coalesce("real", F.lit(0)).cast("double"))
@@ -194,7 +228,7 @@ def pnl_vs_prior_year(spark, ledger, template, company, year, month: int) -> Dat
     # The report exists only when the current year has postings with a month.
     has_current = leaf.where((F.col("year") == y) & F.col("month").isNotNull()).select(
         (F.count(F.lit(1)) > 0).alias("has")).scalar()
-    rows = bounded_broadcast(template_rows(template), TEMPLATE_MAX_ROWS).where(has_current)
+    rows = F.broadcast(template_rows(template)).where(has_current)
     out = (rows.join(current, "category", "left").join(prior, "category", "left")
            .withColumn("current", F.coalesce("current", F.lit(0)).cast("double"))
            .withColumn("prior", F.coalesce("prior", F.lit(0)).cast("double")))
