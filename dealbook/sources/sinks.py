@@ -22,9 +22,16 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Header, ';' separator, NULL as empty field, no quoting."""
-    (df.write.mode("overwrite").option("header", "true").option("sep", sep)
-       .option("nullValue", "").option("emptyValue", "").option("quote", "")
+    """Header, ';' separator, NULL as empty field and no quoting at all.
+
+    Each line is the plain join of the field texts, so a field containing the
+    separator is written as is (the export format has no quoting). The line
+    is built with ``concat_ws`` and written as a one-column text file with the
+    joined column names as header, one file per task.
+    """
+    line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+    (df.select(line.alias(sep.join(df.columns))).write.mode("overwrite")
+       .option("header", "true").option("sep", "\u0001").option("quote", "\u0000")
        .option("escapeQuotes", "false").csv(path))
 
 
