@@ -8,17 +8,20 @@ from pyspark.sql import Column, functions as F
 # '-' or '/', optionally followed by a time part. This is the shape both
 # engines read the same way; texts such as '2024' (a bare year, which Spark
 # would read as 1 January) or '15/01/2024' give NULL.
-_DATE_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?\s*$"
+_DATE_SHAPE = r"^\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2})(?:[T ].*)?\s*$"
 
 
 def try_date(text: Column | str) -> Column:
-    """TRY_CAST(text AS DATE) with the shape guard: NULL instead of an error."""
+    """TRY_CAST(text AS DATE) with the shape guard: NULL instead of an error.
+
+    One regular expression both checks the shape and cuts the date part
+    (the time part of 'YYYY-MM-DDThh:mm:ssZ' or 'YYYY-MM-DD hh:mm:ss' is
+    dropped); a non-matching text extracts '' which parses to NULL.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    normalised = F.regexp_replace(c, "/", "-")
-    # The time part is cut before the cast: 'YYYY-MM-DDThh:mm:ssZ' and
-    # 'YYYY-MM-DD hh:mm:ss' keep their date.
-    date_part = F.regexp_extract(normalised, r"^\s*(\d{4}-\d{1,2}-\d{1,2})", 1)
-    return F.when(normalised.rlike(_DATE_SHAPE), F.try_to_date(date_part, "yyyy-M-d"))
+    date_part = F.translate(F.regexp_extract(c, _DATE_SHAPE, 1), "/", "-")
+    # Spark's own string->date cast (no formatter, no exceptions) on the cut text.
+    return date_part.try_cast("date")
 
 
 def first_of_month(year: Column, month: Column) -> Column:

@@ -16,7 +16,14 @@ of every total code. Joining it to leaf values and summing gives the totals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dealbook.session import ensure_checkpoint_dir
+
+# Templates are statement layouts (tens of lines). The closure of a forest
+# with R rows has at most R * R pairs, so this bound keeps every broadcast
+# derived from the template small.
+TEMPLATE_MAX_ROWS = 2_000
 
 _CLOSURE_SQL = """
 WITH RECURSIVE
@@ -48,3 +55,53 @@ def total_closure(spark: SparkSession, template: DataFrame) -> DataFrame:
 def total_codes(template: DataFrame) -> DataFrame:
     """Distinct total codes of the template (their ledger postings are replaced)."""
     return template.where(template.category.startswith("T")).select("category").distinct()
+
+
+def check_template_size(template: DataFrame, max_rows: int = TEMPLATE_MAX_ROWS) -> None:
+    """The template and everything derived from it is broadcast; prove its size."""
+    if template.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"statement template has more than {max_rows} rows")
+
+
+def code_targets(spark: SparkSession, template: DataFrame) -> DataFrame:
+    """``(code, targets)``: the codes a posting under ``code`` adds to.
+
+    A code adds to itself unless it is a total code of the template (those
+    are replaced by their computed value), and to every total whose closure
+    reaches it, once per path. Codes absent from the result add only to
+    themselves. Size: at most one row per template code, each array at most
+    (template rows) long.
+    """
+    ancestors = (total_closure(spark, template).groupBy("leaf")
+                 .agg(F.collect_list("category").alias("ancestors"))
+                 .withColumnRenamed("leaf", "code"))
+    totals = total_codes(template).select(F.col("category").alias("code"), F.lit(True).alias("is_total_code"))
+    joined = ancestors.join(totals, "code", "full")
+    own = F.when(F.col("is_total_code").isNull(), F.array("code")).otherwise(F.array().cast("array<string>"))
+    return joined.select("code", F.concat(own, F.coalesce("ancestors", F.array().cast("array<string>")))
+                         .alias("targets"))
+
+
+# Bridge tables already built in this process: key -> (template, bridge).
+_BRIDGES: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
+    """The code -> targets bridge of a template, built once per template version.
+
+    The closure is a recursive query whose cost does not depend on the fact
+    data; reports over the same template reuse one materialised copy. The
+    copy is a reliable checkpoint in the shared ``spark.checkpoint.dir``
+    (lineage cut, survives lost executors). A template version is identified
+    by its plan (``semanticHash``/``sameSemantics``) plus its input files, so
+    a rewritten template table (new files) gets a new bridge.
+    """
+    key = (id(spark), template.semanticHash(), tuple(sorted(template.inputFiles())))
+    hit = _BRIDGES.get(key)
+    if hit is not None and hit[0].sameSemantics(template):
+        return hit[1]
+    check_template_size(template)
+    ensure_checkpoint_dir(spark)
+    bridge = code_targets(spark, template).checkpoint(eager=True)
+    _BRIDGES[key] = (template, bridge)
+    return bridge

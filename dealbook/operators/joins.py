@@ -21,16 +21,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return df
 
 
-def left_join_split_nulls(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` with NULL keys kept out of the shuffle.
+# NULL join keys are spread over this many shuffle buckets.
+NULL_KEY_BUCKETS = 64
 
-    A NULL key never matches, but in a shuffle join all NULL-key rows hash to
-    one partition; if a third of the rows have no key that task holds a third
-    of the data. The NULL-key rows skip the join and get NULL right columns.
+
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str,
+                           buckets: int = NULL_KEY_BUCKETS) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` with rows of NULL key spread out.
+
+    A NULL key never matches, but a shuffle join sends every NULL-key row to
+    the same partition; if a third of the rows have no key, one task would
+    hold a third of the data. The join is made on ``(key, salt)``: the salt
+    is 0 on the right and for non-NULL keys, and a hash of the row for NULL
+    keys, so those rows spread over ``buckets`` partitions and still match
+    nothing. The salt is a deterministic hash (not ``rand``), so a retried
+    task after a lost executor sends every row to the same place again.
     """
-    right_cols = [c for c in right.columns if c != key]
-    matched = left.where(F.col(key).isNotNull()).join(right, key, "left")
-    unmatched = left.where(F.col(key).isNull())
-    for c in right_cols:
-        unmatched = unmatched.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
-    return matched.unionByName(unmatched.select(*matched.columns))
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]),
+                                           F.lit(buckets))).otherwise(F.lit(0))
+    lhs = left.withColumn("_salt", salt)
+    # Always 0, but not a constant Catalyst could fold into a join condition:
+    # the salt must stay a hash key on both sides.
+    rhs = right.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(1)))
+    return lhs.join(rhs, [key, "_salt"], "left").drop("_salt")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dealbook.functions import round_half_away, share_pct, try_date
 from dealbook.operators.distinct import two_level_aggregate
 from dealbook.operators.filters import active_orders, period, unset
-from dealbook.operators.joins import left_join_split_nulls
+from dealbook.operators.joins import left_join_spread_nulls
 from dealbook.operators.pivot import distinct_values, pivot_sum
 from dealbook.operators.topk import top_k
 from dealbook.operators.totals import append_total_row
@@ -52,7 +52,7 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
         # Exact decimal arithmetic keeps the mean independent of summation order.
         (F.coalesce("discount", F.lit(0.0)).cast("decimal(20,10)") * F.lit(100)).alias("discount_pct"),
     )
-    joined = left_join_split_nulls(base, registered_vins(stock), "vin")
+    joined = left_join_spread_nulls(base, registered_vins(stock), "vin")
     return joined.withColumn("registered", F.coalesce("registered", F.lit(False)))
 
 

@@ -13,15 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealbook.functions import ratio_codes, safe_pct, starts_with_total, variance_pct
 from dealbook.operators.filters import all_of, equals_unless_unset, unset
-from dealbook.operators.hierarchy import total_closure, total_codes
+from dealbook.operators.hierarchy import TEMPLATE_MAX_ROWS, template_bridge
 
 TOTAL_PERIOD = "Total"
 MONTHS = list(range(1, 13))
 PERIODS = [str(m) for m in MONTHS] + [TOTAL_PERIOD]
-# Templates are statement layouts (tens of lines). The closure of a forest
-# with R rows has at most R * R pairs, so this bound keeps every broadcast
-# derived from the template small.
-TEMPLATE_MAX_ROWS = 2_000
 
 
 # --- leaf values --------------------------------------------------------------
@@ -57,99 +53,109 @@ def budget_leaf(budget: DataFrame, dim_company: DataFrame, company=None, year=No
 
 # --- values of every code -----------------------------------------------------
 
-def code_targets(spark: SparkSession, template: DataFrame) -> DataFrame:
-    """``(code, targets)``: the codes a posting under ``code`` adds to.
-
-    A code adds to itself unless it is a total code of the template (those
-    are replaced by their computed value), and to every total whose closure
-    reaches it, once per path. Codes absent from the result add only to
-    themselves. Size: at most one row per template code, each array at most
-    (template rows) long, since every template row has one parent.
-    """
-    ancestors = (total_closure(spark, template).groupBy("leaf")
-                 .agg(F.collect_list("category").alias("ancestors"))
-                 .withColumnRenamed("leaf", "code"))
-    totals = total_codes(template).select(F.col("category").alias("code"), F.lit(True).alias("is_total_code"))
-    joined = ancestors.join(totals, "code", "full")
-    own = F.when(F.col("is_total_code").isNull(), F.array("code")).otherwise(F.array().cast("array<string>"))
-    return joined.select("code", F.concat(own, F.coalesce("ancestors", F.array().cast("array<string>")))
-                         .alias("targets"))
+# Code under which every leaf row also records "this month has data". The
+# statement's months are the months present in the leaf, including months
+# whose only postings are outside the template; these marker rows carry
+# that information through the same aggregation as the values.
+MARKER = "\u0000months"
 
 
 def statement_values(spark: SparkSession, leaf: DataFrame, template: DataFrame,
                      keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(*keys, category, period, value)`` for leaf codes and total codes.
+    """``(*keys, category, period, value, _cnt)`` for leaf codes, total codes and markers.
 
     Total codes of the template get the closure sum of their leaves (their own
     postings are replaced); every other code keeps its postings. ``period`` is
     the month as text, plus 'Total' = sum over the months. ``keys`` are extra
-    grouping columns of ``leaf`` (e.g. a year) carried through.
+    grouping columns of ``leaf`` (a side, a year) carried through. Rows with
+    ``category = MARKER`` exist for every month with data and for 'Total'.
 
     Plan: the leaf (already combined per code and month) is joined to the
     broadcast code->targets map, exploded, and summed once with grouping sets
     ``(keys, category, month)`` and ``(keys, category)``: one shuffle of the
-    small leaf, the fact table read once.
+    small leaf; the fact table is read once.
     """
-    check_template_size(template)
-    targets = F.broadcast(code_targets(spark, template))
+    targets = F.broadcast(template_bridge(spark, template))
     raw = leaf.where(F.col("month").isNotNull())
+    own = F.coalesce("targets", F.array(raw.category))
     mapped = (raw.join(targets, raw.category == targets.code, "left")
-              .select(*keys, F.explode(F.coalesce("targets", F.array(raw.category))).alias("category"),
+              .select(*keys, F.explode(F.concat(own, F.array(F.lit(MARKER)))).alias("category"),
                       "month", "value"))
     sets = [[*keys, "category", "month"], [*keys, "category"]]
     agg = mapped.groupingSets(sets, *keys, "category", "month").agg(
-        F.sum("value").alias("value"), F.grouping("month").alias("_g"))
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("_cnt"), F.grouping("month").alias("_g"))
     return agg.select(*keys, "category",
                       F.when(F.col("_g") == 1, F.lit(TOTAL_PERIOD))
                       .otherwise(F.col("month").cast("string")).alias("period"),
-                      "value")
+                      "value", "_cnt")
 
 
-def check_template_size(template: DataFrame, max_rows: int = TEMPLATE_MAX_ROWS) -> None:
-    """The template and everything derived from it is broadcast; prove its size."""
-    if template.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"statement template has more than {max_rows} rows")
+def template_rows(template: DataFrame) -> DataFrame:
+    return template.select("n", "category", "concept", "ratio",
+                           starts_with_total("category").alias("is_total"))
 
 
-def periods_of(*leaves: DataFrame) -> Column:
-    """Scalar: sorted months present in any of the leaves as text, then 'Total';
-    NULL (no rows at all) when every leaf is empty."""
-    months = None
-    for leaf in leaves:
-        part = leaf.select("month")
-        months = part if months is None else months.unionByName(part)
-    agg = months.agg(F.when(
-        F.count(F.lit(1)) > 0,
-        F.concat(F.transform(F.sort_array(F.collect_set("month")), lambda m: m.cast("string")),
-                 F.array(F.lit(TOTAL_PERIOD)))).alias("periods"))
-    return agg.scalar()
+ROW_COLS = ["_row", "n", "category", "concept", "is_total"]
 
 
-def template_rows(template: DataFrame) -> DataFrame:
-    return template.select("n", "category", "concept", "ratio",
-                           starts_with_total("category").alias("is_total"))
+def requests(template: DataFrame, periods: list[str], with_ratio: bool = True,
+             marker_period: str | None = None) -> DataFrame:
+    """What each template line needs per period: its own value ('v'), its
+    denominator codes ('d', duplicates kept) and the month marker ('p').
+
+    ``(_row, n, category, concept, is_total, period, code, role)``; a few rows
+    per template line and period, broadcast into the single join with the
+    values. ``marker_period`` asks for the marker of one fixed period instead
+    of each period's own.
+    """
+    rows = template_rows(template).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
+    need = F.array(F.struct(F.col("category").alias("code"), F.col("period").alias("at"), F.lit("v").alias("role")),
+                   F.struct(F.lit(MARKER).alias("code"),
+                            (F.lit(marker_period) if marker_period else F.col("period")).alias("at"),
+                            F.lit("p").alias("role")))
+    if with_ratio:
+        need = F.concat(need, F.transform(ratio_codes("ratio"), lambda c: F.struct(
+            c.alias("code"), F.col("period").alias("at"), F.lit("d").alias("role"))))
+    out = rows.select(*ROW_COLS, "period", F.explode(need).alias("r"))
+    return F.broadcast(out.select(*ROW_COLS, "period", "r.code", "r.at", "r.role"))
+
+
+def _lookup(values: DataFrame, reqs: DataFrame) -> DataFrame:
+    """The one join of requests with values on (code, period)."""
+    v = values.withColumnRenamed("category", "code").withColumnRenamed("period", "at")
+    return reqs.join(v, ["code", "at"], "left")
+
+
+def _sum_role(role: str, extra: Column | None = None) -> Column:
+    cond = F.col("role") == role
+    if extra is not None:
+        cond = cond & extra
+    return F.sum(F.when(cond, F.col("value")))
+
+
+def _present(extra: Column | None = None) -> Column:
+    cond = F.col("role") == "p"
+    if extra is not None:
+        cond = cond & extra
+    return F.coalesce(F.max(F.when(cond, F.col("_cnt"))), F.lit(0)) > 0
 
 
 def statement_long(spark: SparkSession, leaf: DataFrame, template: DataFrame,
-                   periods: Column | None = None, value_name: str = "value") -> DataFrame:
-    """One row per template line and period: value (0 when missing) and the
-    percentage over the parsed denominator codes (NULL when it sums to 0) (R7)."""
+                   value_name: str = "value", periods: list[str] = PERIODS) -> DataFrame:
+    """One row per template line and period with data: value (0 when missing)
+    and the percentage over the parsed denominator codes (NULL when they sum
+    to 0) (R7). Periods are the months with data, then 'Total'; an empty leaf
+    gives an empty report."""
     values = statement_values(spark, leaf, template)
-    periods = periods if periods is not None else periods_of(leaf)
-    rows = F.broadcast(template_rows(template)).withColumn("period", F.explode(periods))
-    with_value = (rows.join(values, ["category", "period"], "left")
-                  .withColumn("value", F.coalesce("value", F.lit(0)).cast("double")))
-    denominators = (template.select("ratio").where(F.col("ratio").isNotNull()).distinct()
-                    .select("ratio", F.explode(ratio_codes("ratio")).alias("code"))
-                    .withColumn("period", F.explode(periods))
-                    .join(values.withColumnRenamed("category", "code"), ["code", "period"], "left")
-                    .groupBy("ratio", "period")
-                    .agg(F.sum(F.coalesce("value", F.lit(0))).cast("double").alias("denominator")))
-    out = with_value.join(denominators, ["ratio", "period"], "left")
+    joined = _lookup(values, requests(template, periods))
+    agg = joined.groupBy(*ROW_COLS, "period").agg(
+        _sum_role("v").alias("value"), _sum_role("d").alias("denominator"), _present().alias("present"))
+    out = agg.where("present")
     return out.select(
         "n", "category", "concept", "is_total", "period",
-        F.col("value").alias(value_name),
-        safe_pct("value", F.coalesce("denominator", F.lit(0.0))).alias("pct"),
+        F.coalesce("value", F.lit(0)).cast("double").alias(value_name),
+        safe_pct(F.coalesce("value", F.lit(0)), F.coalesce("denominator", F.lit(0))).alias("pct"),
     )
 
 
@@ -191,18 +197,19 @@ def budget_wide(spark, budget, dim_company, template, company=None, year=None) -
 def pnl_vs_budget(spark, ledger, budget, dim_company, template, company=None, year=None) -> DataFrame:
     """Actual vs budget per template line and period: real, budget, diff, var %.
 
-    Periods are the months of either side plus 'Total'; a side missing a
-    period counts 0.
+    Both leaves go through one closure map and one aggregation, keyed by
+    side. Periods are the months of either side plus 'Total'; each side's
+    Total sums that side's months; a side missing a period counts 0.
     """
-    real_leaf = ledger_leaf(ledger, company, year)
-    budget_leaf_ = budget_leaf(budget, dim_company, company, year)
-    periods = periods_of(real_leaf, budget_leaf_)
-    # Each side's Total only sums that side's months, exactly as the values do.
-    real = statement_values(spark, real_leaf, template).withColumnRenamed("value", "real")
-    plan = statement_values(spark, budget_leaf_, template).withColumnRenamed("value", "budget")
-    rows = F.broadcast(template_rows(template)).withColumn("period", F.explode(periods))
-    out = (rows.join(real, ["category", "period"], "left")
-           .join(plan, ["category", "period"], "left")
+    leaf = (ledger_leaf(ledger, company, year).withColumn("side", F.lit("real"))
+            .unionByName(budget_leaf(budget, dim_company, company, year).withColumn("side", F.lit("budget"))))
+    values = statement_values(spark, leaf, template, keys=("side",))
+    joined = _lookup(values, requests(template, PERIODS, with_ratio=False))
+    agg = joined.groupBy(*ROW_COLS, "period").agg(
+        _sum_role("v", F.col("side") == "real").alias("real"),
+        _sum_role("v", F.col("side") == "budget").alias("budget"),
+        _present().alias("present"))
+    out = (agg.where("present")
            .withColumn("real", F.coalesce("real", F.lit(0)).cast("double"))
            .withColumn("budget", F.coalesce("budget", F.lit(0)).cast("double")))
     return out.select("n", "category", "concept", "is_total", "period", "real", "budget",
@@ -214,7 +221,8 @@ def pnl_vs_prior_year(spark, ledger, template, company, year, month: int) -> Dat
     """One month against the same month of the previous year.
 
     One scan reads both years (``year IN (y, y-1)``); the statement is built
-    per year by carrying the year as a key. Year 'all' is an error.
+    per year by carrying the year as a key. The report exists only when the
+    current year has postings with a month. Year 'all' is an error.
     """
     if unset(year):
         raise ValueError("a specific year is required")
@@ -222,14 +230,14 @@ def pnl_vs_prior_year(spark, ledger, template, company, year, month: int) -> Dat
     conds = equals_unless_unset("company", company) + [F.col("year").isin(y, y - 1)]
     leaf = (ledger.where(all_of(conds)).groupBy("year", "category", "month")
             .agg(F.sum("monthly_balance").alias("value")))
-    values = statement_values(spark, leaf, template, keys=("year",)).where(F.col("period") == F.lit(str(month)))
-    current = values.where(F.col("year") == y).select("category", F.col("value").alias("current"))
-    prior = values.where(F.col("year") == y - 1).select("category", F.col("value").alias("prior"))
-    # The report exists only when the current year has postings with a month.
-    has_current = leaf.where((F.col("year") == y) & F.col("month").isNotNull()).select(
-        (F.count(F.lit(1)) > 0).alias("has")).scalar()
-    rows = F.broadcast(template_rows(template)).where(has_current)
-    out = (rows.join(current, "category", "left").join(prior, "category", "left")
+    values = statement_values(spark, leaf, template, keys=("year",))
+    reqs = requests(template, [str(int(month))], with_ratio=False, marker_period=TOTAL_PERIOD)
+    joined = _lookup(values, reqs)
+    agg = joined.groupBy(*ROW_COLS).agg(
+        _sum_role("v", F.col("year") == y).alias("current"),
+        _sum_role("v", F.col("year") == y - 1).alias("prior"),
+        _present(F.col("year") == y).alias("present"))
+    out = (agg.where("present")
            .withColumn("current", F.coalesce("current", F.lit(0)).cast("double"))
            .withColumn("prior", F.coalesce("prior", F.lit(0)).cast("double")))
     return out.select("n", "category", "concept", "is_total", "current", "prior",

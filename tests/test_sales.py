@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealbook.operators.joins import left_join_split_nulls
+from dealbook.operators.joins import left_join_spread_nulls
 from dealbook.plans import sales
 
 ORDER_SCHEMA = ("order_id long, order_no string, state_code int, salesperson string, vin long, file_no long, "
@@ -84,7 +84,7 @@ def test_shares_sum_to_100(spark, tables):
 def test_null_keys_skip_the_join(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k long, v string")
     right = spark.createDataFrame([(1, True)], "k long, hit boolean")
-    out = sorted(left_join_split_nulls(left, right, "k").collect(), key=lambda r: r.v)
+    out = sorted(left_join_spread_nulls(left, right, "k").collect(), key=lambda r: r.v)
     assert [(r.v, r.hit) for r in out] == [("a", True), ("b", None), ("c", None)]
 
 
