@@ -249,7 +249,11 @@ def filter_options(ledger: DataFrame, dim_company: DataFrame, dim_time: DataFram
     """Companies of the company dimension, and dimension years that occur in
     the ledger (semi join) (R6). Display order: A-Z and newest first."""
     companies = dim_company.select("company").distinct()
-    ledger_years = ledger.select(F.col("year").try_cast("int").alias("y")).where(F.col("y").isNotNull())
+    # Distinct years first: a partial aggregate leaves a handful of rows per
+    # task, so the semi join never shuffles the ledger itself (a year holds a
+    # large share of all rows and would land in one partition).
+    ledger_years = (ledger.select(F.col("year").try_cast("int").alias("y"))
+                    .where(F.col("y").isNotNull()).distinct())
     years = (dim_time.join(ledger_years, F.col("year") == F.col("y"), "left_semi")
              .select(F.col("year").try_cast("int").alias("year")).where(F.col("year").isNotNull()).distinct())
     return companies, years
