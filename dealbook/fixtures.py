@@ -115,6 +115,9 @@ def duckdb_cte(names: list[str] | tuple[str, ...], recursive: bool = False) -> s
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
+_SHARED: dict[tuple, "Tables"] = {}
+
+
 class Tables:
     """Lazy access to the driver tables of one directory and the fixtures on them.
 
@@ -127,6 +130,17 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Tables":
+        """One instance per session and directory, so queries over the same
+        read-only inputs share the file listing, footers and analysed fixture
+        plans (plan objects only; no data is cached)."""
+        key = (id(spark), sf_dir.rstrip("/"))
+        inst = _SHARED.get(key)
+        if inst is None or inst.spark is not spark:
+            inst = _SHARED[key] = cls(spark, sf_dir)
+        return inst
+
     def base(self, name: str) -> DataFrame:
         if name not in self._cache:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -52,8 +52,8 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
         # Exact decimal arithmetic keeps the mean independent of summation order.
         (F.coalesce("discount", F.lit(0.0)).cast("decimal(20,10)") * F.lit(100)).alias("discount_pct"),
     )
-    joined = left_join_spread_nulls(base, registered_vins(stock), "vin")
-    return joined.withColumn("registered", F.coalesce("registered", F.lit(False)))
+    # ``registered`` is NULL for orders without a registered VIN.
+    return left_join_spread_nulls(base, registered_vins(stock), "vin")
 
 
 def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:
@@ -68,7 +68,7 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
         # those rows before the shuffle is exact.
         base = base.where(in_notice | in_order)
     flags = {
-        "plated": F.col("registered") & in_notice,
+        "plated": F.coalesce("registered", F.lit(False)) & in_notice,
         "uploaded": F.col("file_no").isNotNull() & in_notice,
         "pending": F.col("file_no").isNull() & in_notice,
         "orders": in_order,
@@ -86,7 +86,7 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
         *[round_half_away(c, 2).alias(c) for c in ["sum_gp1", "avg_gp1", "sum_gp2", "avg_gp2",
                                                  "sum_gp3", "avg_gp3", "avg_discount_pct"]],
         "financed",
-    ).select(*SUMMARY_COLUMNS)
+    )
 
 
 def summary_with_totals(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:

@@ -293,6 +293,11 @@ def pnl_kpis(long: DataFrame) -> DataFrame:
         *head.columns, "_b.best_month", "_b.best_value", "_b.worst_month", "_b.worst_value")
 
 
+def pnl_best_worst_month(long: DataFrame) -> DataFrame:
+    """Best and worst month of the P&L line (A19): the month columns of R15."""
+    return pnl_kpis(long).select("best_month", "best_value", "worst_month", "worst_value")
+
+
 # Codes plotted per month and their output names.
 SERIES_VALUES = [("T18", "pnl"), ("T13", "net_total"), ("T2", "net_new"), ("T4", "net_used"),
                  ("T12", "net_after_sales")]

@@ -362,6 +362,17 @@ SELECT COALESCE((SELECT MAX(value) FROM tot WHERE category = 'T18'), 0) AS pnl_t
        (SELECT v FROM ser ORDER BY v ASC, month DESC LIMIT 1) AS worst_value
 """
 
+ORACLE["pnl_best_worst_month"] = pnl_base() + """,
+ser AS (SELECT CAST(m.period AS INT) AS month, COALESCE(MAX(l.value), 0) AS v
+        FROM (SELECT DISTINCT period FROM a_long WHERE period <> 'Total') m
+        LEFT JOIN a_long l ON l.period = m.period AND l.category = 'T18' AND l.is_total
+        GROUP BY m.period)
+SELECT (SELECT month FROM ser ORDER BY v DESC, month DESC LIMIT 1) AS best_month,
+       (SELECT v FROM ser ORDER BY v DESC, month DESC LIMIT 1) AS best_value,
+       (SELECT month FROM ser ORDER BY v ASC, month DESC LIMIT 1) AS worst_month,
+       (SELECT v FROM ser ORDER BY v ASC, month DESC LIMIT 1) AS worst_value
+"""
+
 ORACLE["pnl_series"] = pnl_base() + """
 SELECT CAST(period AS INT) AS month,
   COALESCE(MAX(CASE WHEN is_total AND category = 'T18' THEN value END), 0) AS pnl,
