@@ -26,8 +26,10 @@ def accounting(x: Column | str) -> Column:
 def percent_text(x: Column | str) -> Column:
     """'12.34 %' with two decimals, NULL or NaN -> '' (F25)."""
     v = _col(x).cast("double")
-    return F.when(v.isNull() | F.isnan(v), F.lit("")).otherwise(
-        F.concat(F.format_string("%.2f", v), F.lit(" %")))
+    # format_number rounds half-even on the exact binary value (like the
+    # reference's formatter); its thousands commas are removed.
+    text = F.translate(F.format_number(v, 2), ",", "")
+    return F.when(v.isNull() | F.isnan(v), F.lit("")).otherwise(F.concat(text, F.lit(" %")))
 
 
 def month_label(month: Column | str) -> Column:

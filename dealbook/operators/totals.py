@@ -9,18 +9,24 @@ def append_total_row(df: DataFrame, label_col: str, label: str,
                      aggregates: dict[str, Column], flag_col: str | None = "is_total") -> DataFrame:
     """``df`` plus one totals row computed by ``aggregates`` over all of ``df``.
 
-    The totals row is a global aggregate (partial per task, one row to the
-    final task), then appended by name. ``flag_col`` marks it so later steps
-    (top-k, charts) can exclude it (U4).
+    One aggregation with grouping sets ``(_row)`` and ``()``: every input row
+    is its own group (returned unchanged) and the empty set gives the totals
+    row, so ``df`` is evaluated once instead of once per branch of a union.
+    Columns without an aggregate are NULL in the totals row. ``flag_col``
+    marks the totals row so later steps can exclude it (U4).
     """
-    total = df.agg(*[expr.alias(name) for name, expr in aggregates.items()])
-    total = total.withColumn(label_col, F.lit(label))
-    body = df
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    is_total = F.grouping("_row") == 1
+    cols = []
+    for c in df.columns:
+        field = df.schema[c]
+        if c == label_col:
+            value = F.when(is_total, F.lit(label)).otherwise(F.first(F.col(f"`{c}`")))
+        elif c in aggregates:
+            value = F.when(is_total, aggregates[c]).otherwise(F.first(F.col(f"`{c}`")))
+        else:
+            value = F.when(~is_total, F.first(F.col(f"`{c}`")))
+        cols.append(value.cast(field.dataType).alias(c))
     if flag_col:
-        body = body.withColumn(flag_col, F.lit(False))
-        total = total.withColumn(flag_col, F.lit(True))
-    for c in body.columns:
-        if c not in total.columns:
-            total = total.withColumn(c, F.lit(None).cast(body.schema[c].dataType))
-    total = total.select(*[F.col(c).cast(body.schema[c].dataType) for c in body.columns])
-    return body.unionByName(total)
+        cols.append(is_total.alias(flag_col))
+    return keyed.groupingSets([["_row"], []], "_row").agg(*cols).drop("_row")

@@ -82,10 +82,9 @@ def csv_roundtrip(df: DataFrame, schema: str) -> DataFrame:
 
 
 def overwrite_count(df: DataFrame) -> DataFrame:
-    """Create-or-replace twice (the second replaces the first) and report the stored count."""
+    """Create-or-replace a table and report the stored count."""
     spark = df.sparkSession
     path = scratch_dir(spark, "table")
-    overwrite_table(df, path)
     n = overwrite_table(df, path)
     return spark.createDataFrame([(n,)], "rows long")
 

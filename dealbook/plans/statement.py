@@ -261,36 +261,38 @@ def filter_options(ledger: DataFrame, dim_company: DataFrame, dim_time: DataFram
 
 # --- dashboard derivations (R15-R17) -------------------------------------------
 
-def _totals_lookup(long: DataFrame) -> DataFrame:
-    return long.where(F.col("is_total"))
+def _month(period: str = "period") -> Column:
+    return F.when(F.col(period) != TOTAL_PERIOD, F.col(period).cast("int"))
+
+
+def _line(code: str, measure: str = "value") -> Column:
+    """Value of a total line within a group (NULL when the line is absent)."""
+    return F.max(F.when(F.col("is_total") & (F.col("category") == code), F.col(measure)))
 
 
 def pnl_kpis(long: DataFrame) -> DataFrame:
     """P&L total, net total, |general costs|, |staff costs|, best and worst month.
 
-    Ties between months go to the later month, as the dashboard's reduce does.
+    One pass over the statement: per period the needed lines, then one global
+    aggregate. A missing line counts 0. Ties between months go to the later
+    month, as the dashboard's reduce does.
     """
-    t = _totals_lookup(long)
-    tot = t.where(F.col("period") == TOTAL_PERIOD)
-
-    def total_of(code: str) -> Column:
-        return F.coalesce(F.max(F.when(tot.category == code, tot.value)), F.lit(0.0))
-
-    head = tot.agg(total_of("T18").alias("pnl_total"), total_of("T13").alias("net_total"),
-                   F.abs(total_of("T14")).alias("general_costs"), F.abs(total_of("T15")).alias("staff_costs"))
-    months = (long.where(F.col("period") != TOTAL_PERIOD).select(F.col("period").cast("int").alias("month"))
-              .distinct())
-    pnl_by_month = (t.where((F.col("category") == "T18") & (F.col("period") != TOTAL_PERIOD))
-                    .groupBy(F.col("period").cast("int").alias("month")).agg(F.max("value").alias("v")))
-    series = months.join(pnl_by_month, "month", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    best = series.agg(
-        F.max_by("month", F.struct("v", "month")).alias("best_month"),
-        F.max_by("v", F.struct("v", "month")).alias("best_value"),
-        F.min_by("month", F.struct("v", (-F.col("month")).alias("m"))).alias("worst_month"),
-        F.min_by("v", F.struct("v", (-F.col("month")).alias("m"))).alias("worst_value"))
-    # One-row aggregate attached as a scalar subquery (no join).
-    return head.withColumn("_b", best.select(F.struct("*")).scalar()).select(
-        *head.columns, "_b.best_month", "_b.best_value", "_b.worst_month", "_b.worst_value")
+    per = long.groupBy("period").agg(
+        F.coalesce(_line("T18"), F.lit(0.0)).alias("t18"), _line("T13").alias("t13"),
+        _line("T14").alias("t14"), _line("T15").alias("t15"))
+    total = F.col("period") == TOTAL_PERIOD
+    month = _month()
+
+    def at_total(c: str) -> Column:
+        return F.coalesce(F.max(F.when(total, F.col(c))), F.lit(0.0))
+
+    best_key = F.when(month.isNotNull(), F.struct(F.col("t18"), month))
+    worst_key = F.when(month.isNotNull(), F.struct(F.col("t18"), -month))
+    return per.agg(
+        at_total("t18").alias("pnl_total"), at_total("t13").alias("net_total"),
+        F.abs(at_total("t14")).alias("general_costs"), F.abs(at_total("t15")).alias("staff_costs"),
+        F.max_by(month, best_key).alias("best_month"), F.max_by("t18", best_key).alias("best_value"),
+        F.min_by(month, worst_key).alias("worst_month"), F.min_by("t18", worst_key).alias("worst_value"))
 
 
 def pnl_best_worst_month(long: DataFrame) -> DataFrame:
@@ -306,17 +308,11 @@ SERIES_PCTS = [("T1", "gross_new_pct"), ("T2", "net_new_pct"), ("T13", "net_tota
 
 def pnl_series(long: DataFrame) -> DataFrame:
     """Per month: values of T18, T13, T2, T4, T12 (0 when missing) and the
-    percentages of T1, T2, T13, T18 (NULL when missing) (R16)."""
-    monthly = long.where(F.col("period") != TOTAL_PERIOD)
-    t = monthly.where(F.col("is_total"))
-    aggs = [F.coalesce(F.max(F.when(F.col("category") == c, F.col("value"))), F.lit(0.0)).alias(name)
-            for c, name in SERIES_VALUES]
-    aggs += [F.max(F.when(F.col("category") == c, F.col("pct"))).alias(name) for c, name in SERIES_PCTS]
-    months = monthly.select(F.col("period").cast("int").alias("month")).distinct()
-    per = t.groupBy(F.col("period").cast("int").alias("month")).agg(*aggs)
-    out = months.join(per, "month", "left")
-    return out.select("month", *[F.coalesce(name, F.lit(0.0)).alias(name) for _, name in SERIES_VALUES],
-                      *[name for _, name in SERIES_PCTS])
+    percentages of T1, T2, T13, T18 (NULL when missing) (R16). One pass."""
+    aggs = [F.coalesce(_line(c), F.lit(0.0)).alias(name) for c, name in SERIES_VALUES]
+    aggs += [_line(c, "pct").alias(name) for c, name in SERIES_PCTS]
+    return (long.where(F.col("period") != TOTAL_PERIOD)
+            .groupBy(F.col("period").cast("int").alias("month")).agg(*aggs))
 
 
 # Waterfall steps: (order, label, code added, code subtracted).

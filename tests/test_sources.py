@@ -87,6 +87,9 @@ def test_delimited_export_format(spark):
 def test_overwrite_replaces_and_counts(spark, tables):
     out = roundtrips.overwrite_count(tables.statement_template).collect()
     assert out[0].rows == 22
+    path = _tmp() + "/t"
+    assert sinks.overwrite_table(tables.statement_template, path) == 22
+    assert sinks.overwrite_table(tables.statement_template.limit(5), path) == 5   # replaced, not appended
 
 
 def test_nan_to_null_and_json(spark):
