@@ -10,6 +10,9 @@ computing row before the current one, and the reference point moves to that
 row. Every expansion lowers the reference ``n``, so the recursion ends even
 on cyclic templates.
 
+A line whose ``n`` is NULL (unparsable in the template sheet) sorts after
+every other line, as ``ORDER BY n`` puts NULLs last.
+
 Result: ``(category, leaf)`` pairs, one per path, for the final computation
 of every total code. Joining it to leaf values and summing gives the totals.
 """
@@ -27,7 +30,7 @@ TEMPLATE_MAX_ROWS = 2_000
 
 _CLOSURE_SQL = """
 WITH RECURSIVE
- tmpl AS (SELECT n, category, parent FROM {template} WHERE n IS NOT NULL),
+ tmpl AS (SELECT coalesce(n, 2147483647) AS n, category, parent FROM {template}),
  total_rows AS (SELECT n, category FROM tmpl WHERE category LIKE 'T%'),
  total_ns AS (SELECT category, collect_list(n) AS ns FROM total_rows GROUP BY category),
  walk (anc_n, anc, node, ref_n, depth) AS (

@@ -196,23 +196,30 @@ BUDGET_SQL = f"""budget AS (
     AND NOT COALESCE(LOWER(TRIM(REPLACE(month_text0, 'MESACUMULADO', 'Total'))) = 'total', FALSE)
 )"""
 
-CLOSURE_SQL = """walk(anc, node, ref_n) AS (
-  SELECT category, category, n FROM statement_template WHERE category LIKE 'T%'
+def closure_sql(tmpl: str = "statement_template") -> str:
+    return f"""walk(anc, node, ref_n) AS (
+  SELECT category, category, COALESCE(n, 2147483647) FROM {tmpl} WHERE category LIKE 'T%'
   UNION ALL
-  SELECT w.anc, c.category, CASE WHEN c.category LIKE 'T%' AND c.n < w.ref_n THEN c.n END
-  FROM walk w JOIN statement_template c ON c.parent = w.node
+  SELECT w.anc, c.category, CASE WHEN c.category LIKE 'T%' AND COALESCE(c.n, 2147483647) < w.ref_n
+                                 THEN COALESCE(c.n, 2147483647) END
+  FROM walk w JOIN {tmpl} c ON c.parent = w.node
   WHERE w.ref_n IS NOT NULL
 ),
 closure AS (SELECT anc AS category, node AS leaf FROM walk WHERE ref_n IS NULL),
-tcodes AS (SELECT DISTINCT category FROM statement_template WHERE category LIKE 'T%'),
-tmpl_rows AS (SELECT n, category, concept, ratio, COALESCE(category LIKE 'T%', FALSE) AS is_total FROM statement_template),
+tcodes AS (SELECT DISTINCT category FROM {tmpl} WHERE category LIKE 'T%'),
+tmpl_rows AS (SELECT n, category, concept, ratio, COALESCE(category LIKE 'T%', FALSE) AS is_total FROM {tmpl}),
 ratio_code AS (
   SELECT ratio, UNNEST(regexp_extract_all(CASE WHEN strpos(ratio, '/') > 0 THEN substr(ratio, strpos(ratio, '/') + 1) END,
                                           '\\b([A-Z][A-Z0-9]*\\d+)\\b', 1)) AS code
-  FROM (SELECT DISTINCT ratio FROM statement_template WHERE ratio IS NOT NULL)
+  FROM (SELECT DISTINCT ratio FROM {tmpl} WHERE ratio IS NOT NULL)
 )"""
 
 
+
+
+CLOSURE_SQL = closure_sql()
+
+
 def _values(p: str, leaf: str) -> str:
     """CTEs {p}_raw, {p}_vals (category, period, value) from a leaf CTE (category, month, value)."""
     return f""",
@@ -256,9 +263,16 @@ def _long(p: str, value_name: str) -> str:
 )"""
 
 
-def pnl_base(company=PNL_COMPANY, year=PNL_YEAR) -> str:
-    return duckdb_cte(["ledger", "statement_template"], recursive=True) + f""",
-{CLOSURE_SQL},
+def pnl_base(company=PNL_COMPANY, year=PNL_YEAR, typed_template: bool = False) -> str:
+    if typed_template:
+        head = duckdb_cte(["ledger", "template_raw"], recursive=True) + """,
+typed_template AS (SELECT TRY_CAST(TRIM(n) AS INT) AS n, concept, category, parent, ratio FROM template_raw)"""
+        closure = closure_sql("typed_template")
+    else:
+        head = duckdb_cte(["ledger", "statement_template"], recursive=True).rstrip()
+        closure = CLOSURE_SQL
+    return head + f""",
+{closure},
 a_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
            WHERE company = '{company}' AND year = {int(year)} GROUP BY category, month)
 """ + _values("a", "a_leaf") + _periods("a", "a_leaf") + _long("a", "value")
@@ -405,11 +419,14 @@ SELECT 7, 'Other', t18 - t17 FROM g UNION ALL
 SELECT 8, 'P&L', t18 - 0 FROM g
 """
 
-ORACLE["ratio_codes"] = duckdb_cte(["statement_template"]) + """
-SELECT n, ratio, CAST(UNNEST(range(len(codes))) AS INT) AS pos, UNNEST(codes) AS code FROM (
+ORACLE["ratio_denominators"] = pnl_base() + """,
+rc AS (SELECT n, ratio, codes FROM (
   SELECT n, ratio, regexp_extract_all(CASE WHEN strpos(ratio, '/') > 0 THEN substr(ratio, strpos(ratio, '/') + 1) END,
                                       '\\b([A-Z][A-Z0-9]*\\d+)\\b', 1) AS codes
-  FROM statement_template WHERE ratio IS NOT NULL)
+  FROM statement_template WHERE ratio IS NOT NULL)),
+rcx AS (SELECT n, ratio, CAST(UNNEST(range(len(codes))) AS INT) AS pos, UNNEST(codes) AS code FROM rc)
+SELECT rcx.n, rcx.ratio, rcx.pos, rcx.code, CAST(COALESCE(v.value, 0) AS DOUBLE) AS code_value
+FROM rcx LEFT JOIN a_vals v ON v.category = rcx.code AND v.period = 'Total'
 """
 
 
@@ -443,8 +460,14 @@ ORACLE["load_ledger_files"] = ORACLE["etl_ledger"]
 ORACLE["company_name_map"] = duckdb_cte(["ledger_raw"]) + f", {ETL_LEDGER_SQL}\nSELECT DISTINCT company_code, company FROM etl_ledger"
 ORACLE["etl_budget"] = duckdb_cte(["budget_raw"]) + f", {BUDGET_SQL}\nSELECT * FROM budget"
 ETL_TEMPLATE_SQL = "SELECT TRY_CAST(TRIM(n) AS INT) AS n, concept, category, parent, ratio FROM template_raw"
-ORACLE["etl_template"] = duckdb_cte(["template_raw"]) + ETL_TEMPLATE_SQL
-ORACLE["template_ordered"] = ORACLE["etl_template"]
+ORACLE["template_coverage"] = duckdb_cte(["template_raw", "ledger"]) + f"""
+SELECT t.n, t.concept, t.category, t.parent, t.ratio,
+       CAST(COALESCE(p.postings, 0) AS BIGINT) AS postings, CAST(COALESCE(p.amount, 0) AS DOUBLE) AS amount
+FROM ({ETL_TEMPLATE_SQL}) t
+LEFT JOIN (SELECT category, COUNT(*) AS postings, SUM(monthly_balance) AS amount FROM ledger GROUP BY category) p
+  ON p.category = t.category
+"""
+ORACLE["pnl_from_template_sheet"] = pnl_base(typed_template=True) + "SELECT * FROM a_long"
 ETL_CATEGORIES_SQL = ("SELECT name, identifier, TRIM(CONCAT(COALESCE(identifier, ''), ' ', COALESCE(name, ''))) AS label "
                       "FROM category_raw")
 ORACLE["etl_categories"] = duckdb_cte(["category_raw"]) + ETL_CATEGORIES_SQL

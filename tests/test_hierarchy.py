@@ -18,7 +18,7 @@ def sequential_values(template, leaf):
         if month is not None:
             values[cat][month] = values[cat].get(month, 0) + v
     months = sorted({m for cv in values.values() for m in cv})
-    rows = sorted(template, key=lambda r: r[0])
+    rows = sorted(template, key=lambda r: (r[0] is None, r[0] or 0))   # NULL n last
     for n, _, cat, _, _ in rows:
         if cat is not None and cat.startswith("T"):
             children = [r[2] for r in rows if r[3] == cat]
@@ -57,6 +57,17 @@ def test_forward_child_total_counts_its_postings(spark):
     assert_same(sequential_values(template, leaf), got)
 
 
+def test_null_n_sorts_last(spark):
+    # T1 has no position (unparsable n): it is computed after T2, so T2 sees
+    # T1's own postings; a leaf with NULL n is still a child.
+    template = [(None, "a", "T1", "T2", None), (1, "b", "A1", "T1", None), (None, "c", "A2", "T2", None),
+                (2, "d", "T2", None, None)]
+    leaf = [("A1", 1, 10.0), ("A2", 1, 1.0), ("T1", 1, 100.0)]
+    got = spark_values(spark, template, leaf)
+    assert got[("T2", "1")] == 101.0 and got[("T1", "1")] == 10.0
+    assert_same(sequential_values(template, leaf), got)
+
+
 def test_duplicated_child_counts_twice(spark):
     template = [(1, "a", "A1", "T1", None), (2, "b", "A1", "T1", None), (3, "c", "T1", None, None)]
     leaf = [("A1", 1, 5.0), ("A1", 2, 1.0)]
