@@ -135,7 +135,7 @@ class Tables:
         """One instance per session and directory, so queries over the same
         read-only inputs share the file listing, footers and analysed fixture
         plans (plan objects only; no data is cached)."""
-        key = (id(spark), sf_dir.rstrip("/"))
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         inst = _SHARED.get(key)
         if inst is None or inst.spark is not spark:
             inst = _SHARED[key] = cls(spark, sf_dir)

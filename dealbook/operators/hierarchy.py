@@ -99,7 +99,7 @@ def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
     by its plan (``semanticHash``/``sameSemantics``) plus its input files, so
     a rewritten template table (new files) gets a new bridge.
     """
-    key = (id(spark), template.semanticHash(), tuple(sorted(template.inputFiles())))
+    key = (spark.sparkContext.applicationId, template.semanticHash(), tuple(sorted(template.inputFiles())))
     hit = _BRIDGES.get(key)
     if hit is not None and hit[0].sameSemantics(template):
         return hit[1]

@@ -33,7 +33,8 @@ def start_ledger_ingest(spark: SparkSession, landing: str, table: str, schema: S
     raw = reader.load(landing).withColumn(
         "source_name", F.regexp_replace(F.col("_metadata.file_name"), _LANDING_EXT, ""))
     ledger = transform_ledger(raw, company_names)
-    writer = (ledger.writeStream.format("parquet").outputMode("append")
+    # Partitioned by year: report filters on a year read only that folder.
+    writer = (ledger.writeStream.format("parquet").outputMode("append").partitionBy("year")
               .option("path", table).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealbook.operators.joins import left_join_spread_nulls
+from dealbook.operators.joins import bounded_broadcast, left_join_spread_nulls
 from dealbook.plans import sales
 
 ORDER_SCHEMA = ("order_id long, order_no string, state_code int, salesperson string, vin long, file_no long, "
@@ -107,3 +107,11 @@ def test_top_k_is_deterministic(spark, tables):
 def test_years_newest_first(spark, tables):
     years = [r.year for r in sales.available_years(tables.sales_orders).collect()]
     assert years == sorted(years, reverse=True) and None not in years
+
+
+def test_bounded_broadcast_checks_size(spark):
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert "broadcast" in bounded_broadcast(small, 100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
+    plan = bounded_broadcast(big, 100).join(small, "id")._jdf.queryExecution().logical().toString().lower()
+    assert "resolvedhint" not in plan and "broadcast" not in plan
