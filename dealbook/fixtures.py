@@ -143,7 +143,9 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            from dealbook.sources.tables import spread
+
+            self._cache[name] = spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         return self._cache[name]
 
     def fixture(self, name: str) -> DataFrame:

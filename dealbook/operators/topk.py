@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 
 def top_k(df: DataFrame, by: Column, k: int, tie_break: list[Column]) -> DataFrame:

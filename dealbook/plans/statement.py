@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealbook.functions import ratio_codes, safe_pct, starts_with_total, variance_pct
 from dealbook.operators.filters import all_of, equals_unless_unset, unset
-from dealbook.operators.hierarchy import TEMPLATE_MAX_ROWS, template_bridge
+from dealbook.operators.hierarchy import template_bridge
 
 TOTAL_PERIOD = "Total"
 MONTHS = list(range(1, 13))
