@@ -122,9 +122,17 @@ def requests(template: DataFrame, periods: list[str], with_ratio: bool = True,
 
 
 def _lookup(values: DataFrame, reqs: DataFrame) -> DataFrame:
-    """The one join of requests with values on (code, period)."""
+    """Requests with the values they ask for, on (code, period).
+
+    An inner join with the broadcast requests as build side streams the
+    values without shuffling them; the bare requests are appended (NULL
+    values) so every template line and period survives the aggregation
+    that follows, exactly as a left outer join would, but with the small
+    side broadcast.
+    """
     v = values.withColumnRenamed("category", "code").withColumnRenamed("period", "at")
-    return reqs.join(v, ["code", "at"], "left")
+    matched = reqs.join(v, ["code", "at"], "inner")
+    return matched.unionByName(reqs, allowMissingColumns=True)
 
 
 def _sum_role(role: str, extra: Column | None = None) -> Column:
