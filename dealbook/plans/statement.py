@@ -105,7 +105,8 @@ def requests(template: DataFrame, periods: list[str], with_ratio: bool = True,
 
     ``(_row, n, category, concept, is_total, period, code, role)``; a few rows
     per template line and period, broadcast into the single join with the
-    values. ``marker_period`` asks for the marker of one fixed period instead
+    values (a few rows per template line; bounded by the template check).
+    ``marker_period`` asks for the marker of one fixed period instead
     of each period's own.
     """
     rows = template_rows(template).withColumn("_row", F.monotonically_increasing_id())
@@ -118,7 +119,7 @@ def requests(template: DataFrame, periods: list[str], with_ratio: bool = True,
         need = F.concat(need, F.transform(ratio_codes("ratio"), lambda c: F.struct(
             c.alias("code"), F.col("period").alias("at"), F.lit("d").alias("role"))))
     out = rows.select(*ROW_COLS, "period", F.explode(need).alias("r"))
-    return F.broadcast(out.select(*ROW_COLS, "period", "r.code", "r.at", "r.role"))
+    return out.select(*ROW_COLS, "period", "r.code", "r.at", "r.role")
 
 
 def _lookup(values: DataFrame, reqs: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _lookup(values: DataFrame, reqs: DataFrame) -> DataFrame:
     side broadcast.
     """
     v = values.withColumnRenamed("category", "code").withColumnRenamed("period", "at")
-    matched = reqs.join(v, ["code", "at"], "inner")
+    matched = F.broadcast(reqs).join(v, ["code", "at"], "inner")
     return matched.unionByName(reqs, allowMissingColumns=True)
 
 
