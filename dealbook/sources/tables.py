@@ -22,7 +22,7 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     A Parquet file with one row group is one split, so every operator up to
     the first shuffle would run in one task. When a table is larger than
     ``min_bytes`` but has fewer splits than ``defaultParallelism``, a
-    round-robin ``repartition`` right after the scan lets the following
+    hash ``repartition`` right after the scan lets the following
     narrow work (joins with broadcast sides, parsing, partial aggregation)
     use all cores. Column pruning and filters still reach the scan. On a
     large table with many splits this is a no-op.
@@ -34,7 +34,11 @@ def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) < min_bytes:
         return df
-    return df.repartition(cores)
+    # Hash on the leading (key) column: deterministic on task retries like a
+    # round-robin split, but without the local sort that round-robin
+    # repartitioning performs for that determinism, and it still lets the
+    # scan read only the columns used downstream (plus this one).
+    return df.repartition(cores, F.col(f"`{df.columns[0]}`"))
 
 
 def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
