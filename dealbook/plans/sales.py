@@ -80,7 +80,8 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
     means["avg_discount_pct"] = F.when(in_notice, F.col("discount_pct"))
     agg = two_level_aggregate(base, ["salesperson"], "order_id", flags, sums, means)
     agg = agg.where((F.col("orders") > 0) | (F.col("sales") > 0))
-    return agg.select(
+    # Report order (O1): most orders first, name as tie-break; one small sort.
+    return agg.orderBy(F.col("orders").desc(), F.col("salesperson").asc_nulls_last()).select(
         F.coalesce("salesperson", F.lit(NO_SALESPERSON)).alias("salesperson"),
         *COUNT_COLUMNS[:5],
         *[round_half_away(c, 2).alias(c) for c in ["sum_gp1", "avg_gp1", "sum_gp2", "avg_gp2",
@@ -96,7 +97,8 @@ def summary_with_totals(orders: DataFrame, stock: DataFrame, year=None, month=No
     aggs = {c: F.sum(c) for c in COUNT_COLUMNS}
     aggs.update({c: round_half_away(F.sum(c), 2) for c in SUM_COLUMNS})
     aggs.update({c: round_half_away(F.avg(c), 2) for c in MEAN_COLUMNS})
-    return append_total_row(summary, "salesperson", TOTALS_LABEL, aggs)
+    out = append_total_row(summary, "salesperson", TOTALS_LABEL, aggs)
+    return out.orderBy("is_total", F.col("orders").desc(), F.col("salesperson").asc_nulls_last())
 
 
 def sales_kpis(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:
@@ -130,12 +132,14 @@ def sales_by_type(orders: DataFrame, year=None, month=None) -> DataFrame:
               .select("salesperson", "sale_type", "order_id").distinct()
               .groupBy("salesperson", "sale_type").agg(F.count(F.lit(1)).alias("quantity")))
     per_person = Window.partitionBy("salesperson")
-    return counts.where(F.col("quantity") > 0).select(
+    out = counts.where(F.col("quantity") > 0).select(
         F.coalesce("salesperson", F.lit(NO_SALESPERSON)).alias("salesperson"),
         F.coalesce("sale_type", F.lit(NO_SALE_TYPE)).alias("sale_type"),
         F.col("quantity").cast("long").alias("quantity"),
         round_half_away(share_pct("quantity", F.sum("quantity").over(per_person)), 1).alias("share_pct"),
     )
+    # Report order (O2): by salesperson, largest count first.
+    return out.orderBy("salesperson", F.col("quantity").desc(), "sale_type")
 
 
 def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None = None) -> DataFrame:
@@ -150,8 +154,10 @@ def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None
     wide = pivot_sum(shares, "salesperson", "sale_type", "quantity", types, TOTAL_COLUMN)
     value_cols = [str(t) for t in types] + [TOTAL_COLUMN]
     wide = wide.select("salesperson", *[F.col(f"`{c}`").cast("long").alias(c) for c in value_cols])
-    return append_total_row(wide, "salesperson", TOTALS_LABEL,
-                            {c: F.coalesce(F.sum(f"`{c}`"), F.lit(0)) for c in value_cols})
+    out = append_total_row(wide, "salesperson", TOTALS_LABEL,
+                           {c: F.coalesce(F.sum(f"`{c}`"), F.lit(0)) for c in value_cols})
+    # Report order (O4): by row total, the totals row last.
+    return out.orderBy("is_total", F.col(TOTAL_COLUMN).desc(), "salesperson")
 
 
 def available_years(orders: DataFrame) -> DataFrame:

@@ -115,3 +115,14 @@ def test_bounded_broadcast_checks_size(spark):
     assert "broadcast" in bounded_broadcast(small, 100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
     plan = bounded_broadcast(big, 100).join(small, "id")._jdf.queryExecution().logical().toString().lower()
     assert "resolvedhint" not in plan and "broadcast" not in plan
+
+
+def test_report_orders(spark, tables):
+    rows = sales.summary_with_totals(tables.sales_orders, tables.vehicle_stock, 1997).collect()
+    assert rows[-1].is_total and not any(r.is_total for r in rows[:-1])
+    assert [r.orders for r in rows[:-1]] == sorted((r.orders for r in rows[:-1]), reverse=True)
+    piv = sales.type_pivot(tables.sales_orders, 1997).collect()
+    assert piv[-1].salesperson == "TOTALES"
+    assert [r["TOTAL"] for r in piv[:-1]] == sorted((r["TOTAL"] for r in piv[:-1]), reverse=True)
+    shares = sales.sales_by_type(tables.sales_orders, 1997).collect()
+    assert [r.salesperson for r in shares] == sorted(r.salesperson for r in shares)
