@@ -126,3 +126,16 @@ def test_report_orders(spark, tables):
     assert [r["TOTAL"] for r in piv[:-1]] == sorted((r["TOTAL"] for r in piv[:-1]), reverse=True)
     shares = sales.sales_by_type(tables.sales_orders, 1997).collect()
     assert [r.salesperson for r in shares] == sorted(r.salesperson for r in shares)
+
+
+def test_latest_row_and_value(spark):
+    import datetime as dt
+
+    from dealbook.operators.latest import latest_row, latest_value
+
+    df = spark.createDataFrame([(1, None, "a"), (1, dt.date(2024, 1, 1), "b"), (1, dt.date(2023, 1, 1), "c"),
+                                (2, None, "d")], "vin long, d date, tag string")
+    rows = {r.vin: r for r in latest_row(df, "vin", "d").collect()}
+    assert rows[1].tag == "b" and rows[2].tag == "d" and rows[2].d is None
+    vals = {r.vin: r.d for r in latest_value(df, "vin", "d").collect()}
+    assert vals == {1: dt.date(2024, 1, 1), 2: None}

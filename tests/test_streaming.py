@@ -36,3 +36,21 @@ def test_ingest_processes_each_file_once(spark, tables):
     out = spark.read.parquet(table)
     assert out.count() == raw.where(F.col("source_name").isin(names)).count()
     assert {r.source_name for r in out.select("source_name").distinct().collect()} == set(names)
+
+
+def test_csv_ingest(spark, tables):
+    root = tempfile.mkdtemp(prefix="dealbook-stream-csv-")
+    landing, table, ckpt = (os.path.join(root, d) for d in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    raw = tables.ledger_raw
+    name = raw.select("source_name").orderBy("source_name").first().source_name
+    part = raw.where(F.col("source_name") == name).drop("source_name")
+    d = os.path.join(root, "tmp")
+    part.coalesce(1).write.option("header", "true").csv(d)
+    f = [x for x in os.listdir(d) if x.endswith(".csv")][0]
+    os.replace(os.path.join(d, f), os.path.join(landing, name + ".csv"))
+    q = start_ledger_ingest(spark, landing, table, LEDGER_FILE_SCHEMA, fmt="csv", checkpoint=ckpt)
+    q.awaitTermination()
+    out = spark.read.parquet(table)
+    assert out.count() == part.count()
+    assert [r.source_name for r in out.select("source_name").distinct().collect()] == [name]
