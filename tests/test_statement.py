@@ -59,3 +59,40 @@ def test_waterfall_steps_add_up(spark, tables):
     steps = {r.step: r.value for r in statement.pnl_waterfall(long).collect()}
     assert len(steps) == 8
     assert abs(steps[4] + steps[5] - steps[6]) < 1e-6 and abs(steps[6] + steps[7] - steps[8]) < 1e-6
+
+
+LEDGER_SCHEMA = ("company string, year int, month int, category string, account string, account_name string, "
+                 "centre_name string, centre int, section int, monthly_balance double")
+
+
+def test_vs_budget_with_empty_budget_side(spark):
+    t = spark.createDataFrame(TEMPLATE, TSCHEMA)
+    ledger = spark.createDataFrame([("C", 2024, 1, "A1", 30.0), ("C", 2024, 2, "A2", 10.0)],
+                                   "company string, year int, month int, category string, monthly_balance double")
+    budget = spark.createDataFrame([], "category string, company_code int, year string, month string, base_total double")
+    dim = spark.createDataFrame([(1, "C")], "code int, company string")
+    rows = {(r.category, r.period): r for r in statement.pnl_vs_budget(spark, ledger, budget, dim, t, "C", 2024).collect()}
+    assert rows[("A1", "1")].real == 30.0 and rows[("A1", "1")].budget == 0.0 and rows[("A1", "1")].var_pct is None
+    assert rows[("T1", "Total")].real == 40.0 and rows[("T1", "Total")].diff == 40.0
+    assert {p for _, p in rows} == {"1", "2", "Total"}
+
+
+def test_drilldown_keeps_null_keys_and_null_sums_are_zero(spark):
+    from dealbook.plans.drilldown import account_drilldown
+
+    ledger = spark.createDataFrame(
+        [("C", 2024, 1, "A7", "6001", "acc", None, None, 1, 5.0),
+         ("C", 2024, 2, "A7", "6001", "acc", None, None, 1, -8.0),
+         ("C", 2024, 1, "A7", "6002", "acc2", "x", 3, 2, None)], LEDGER_SCHEMA)
+    rows = {r.account: r for r in account_drilldown(ledger, "C", 2024, "A7").collect()}
+    assert rows["6001"].centre is None and rows["6001"].total == -3.0 and rows["6001"].balance_2 == -8.0
+    assert rows["6002"].total == 0.0 and rows["6002"].balance_1 == 0.0
+    assert [r.account for r in account_drilldown(ledger, "C", 2024, "A7").collect()] == ["6001", "6002"]
+
+
+def test_budget_etl_keeps_null_category_and_month(spark):
+    raw = spark.createDataFrame([(None, 1, "2024", "3", 1.0), ("A1", 1, "2024", None, 2.0), ("T2", 1, "2024", "3", 4.0),
+                                 ("A1", 1, "2024", "MESACUMULADO", 8.0), ("A1", 1, "2024", " acumulado ", 16.0)],
+                                "category string, company_code int, year string, month string, base_total double")
+    out = sorted((r.base_total, r.month_text) for r in etl.transform_budget(raw).collect())
+    assert out == [(1.0, "Marzo"), (2.0, None)]
