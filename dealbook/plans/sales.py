@@ -56,9 +56,11 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
     return left_join_spread_nulls(base, registered_vins(stock), "vin")
 
 
-def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:
+def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=None,
+                        ordered: bool = True) -> DataFrame:
     """Per-salesperson KPIs (R1). Orders are counted by order date, everything
-    else by notice date; ``year``/``month`` None means no filter."""
+    else by notice date; ``year``/``month`` None means no filter. ``ordered``
+    sorts for display (most orders first); reports built on top pass False."""
     base = order_base(orders, stock)
     in_notice = period("notice_date", year, month)
     in_order = F.col("order_date").isNotNull() & period("order_date", year, month)
@@ -80,8 +82,10 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
     means["avg_discount_pct"] = F.when(in_notice, F.col("discount_pct"))
     agg = two_level_aggregate(base, ["salesperson"], "order_id", flags, sums, means)
     agg = agg.where((F.col("orders") > 0) | (F.col("sales") > 0))
-    # Report order (O1): most orders first, name as tie-break; one small sort.
-    return agg.orderBy(F.col("orders").desc(), F.col("salesperson").asc_nulls_last()).select(
+    if ordered:
+        # Report order (O1): most orders first, name as tie-break; one small sort.
+        agg = agg.orderBy(F.col("orders").desc(), F.col("salesperson").asc_nulls_last())
+    return agg.select(
         F.coalesce("salesperson", F.lit(NO_SALESPERSON)).alias("salesperson"),
         *COUNT_COLUMNS[:5],
         *[round_half_away(c, 2).alias(c) for c in ["sum_gp1", "avg_gp1", "sum_gp2", "avg_gp2",
@@ -93,7 +97,7 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
 def summary_with_totals(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:
     """R1 plus the TOTALES row: counts and sums summed, means averaged over the
     salesperson rows (unweighted mean of means, NULLs skipped) (R2)."""
-    summary = salesperson_summary(orders, stock, year, month)
+    summary = salesperson_summary(orders, stock, year, month, ordered=False)
     aggs = {c: F.sum(c) for c in COUNT_COLUMNS}
     aggs.update({c: round_half_away(F.sum(c), 2) for c in SUM_COLUMNS})
     aggs.update({c: round_half_away(F.avg(c), 2) for c in MEAN_COLUMNS})
@@ -103,7 +107,7 @@ def summary_with_totals(orders: DataFrame, stock: DataFrame, year=None, month=No
 
 def sales_kpis(orders: DataFrame, stock: DataFrame, year=None, month=None) -> DataFrame:
     """Headline counts: plated, uploaded, pending, orders, sales."""
-    summary = salesperson_summary(orders, stock, year, month)
+    summary = salesperson_summary(orders, stock, year, month, ordered=False)
     return summary.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
                          for c in ["plated", "uploaded", "pending", "orders", "sales"]])
 
@@ -115,14 +119,14 @@ def top_salespeople(orders: DataFrame, stock: DataFrame, measure: str, k: int =
     A NULL measure ranks as 0, as in the dashboard's numeric sort; ties are
     broken by name so the list is deterministic.
     """
-    summary = salesperson_summary(orders, stock, year, month)
+    summary = salesperson_summary(orders, stock, year, month, ordered=False)
     return top_k(summary, F.coalesce(F.col(measure).cast("double"), F.lit(0.0)), k,
                  [F.col("salesperson").asc_nulls_last(), F.col("orders").desc()])
 
 
-def sales_by_type(orders: DataFrame, year=None, month=None) -> DataFrame:
+def sales_by_type(orders: DataFrame, year=None, month=None, ordered: bool = True) -> DataFrame:
     """Distinct orders per salesperson and sale type, with the share within the
-    salesperson in percent, one decimal (R3)."""
+    salesperson in percent, one decimal (R3). ``ordered`` sorts for display."""
     active = active_orders(orders)
     if not (unset(year) and unset(month)):
         active = active.where(period(try_date("notice_date_txt"), year, month))
@@ -139,7 +143,7 @@ def sales_by_type(orders: DataFrame, year=None, month=None) -> DataFrame:
         round_half_away(share_pct("quantity", F.sum("quantity").over(per_person)), 1).alias("share_pct"),
     )
     # Report order (O2): by salesperson, largest count first.
-    return out.orderBy("salesperson", F.col("quantity").desc(), "sale_type")
+    return out.orderBy("salesperson", F.col("quantity").desc(), "sale_type") if ordered else out
 
 
 def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None = None) -> DataFrame:
@@ -148,7 +152,7 @@ def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None
     ``types`` are the pivot columns; by default the sorted distinct types
     present (a bounded list, since they become columns).
     """
-    shares = sales_by_type(orders, year, month)
+    shares = sales_by_type(orders, year, month, ordered=False)
     if types is None:
         types = distinct_values(shares, "sale_type")
     wide = pivot_sum(shares, "salesperson", "sale_type", "quantity", types, TOTAL_COLUMN)
