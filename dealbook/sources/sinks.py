@@ -8,15 +8,21 @@ from pyspark.sql.types import DoubleType, FloatType
 from dealbook.functions.text import MONTH_NAMES_TITLE
 
 
-def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
+def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                    replace_partitions_only: bool = False) -> int:
     """Create-or-replace a Parquet table and return its row count.
 
     The count is read back from the written files (Parquet footers), so it
     is the count of what was stored, without a second pass over the input.
+    With ``partition_by`` (e.g. the ledger by year) and
+    ``replace_partitions_only``, only the partitions present in ``df`` are
+    replaced (a monthly reload rewrites its year, not the whole table).
     """
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+        if replace_partitions_only:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     return df.sparkSession.read.parquet(path).count()
 

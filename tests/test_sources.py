@@ -115,3 +115,17 @@ def test_guarded_select(spark, tables):
     with pytest.raises(ValueError):
         adhoc.guarded_select(spark, "SELECT * FROM no_such_table")
     assert "so" in [r.name for r in tbl.list_tables(spark).collect()]
+
+
+def test_partition_reload_replaces_only_its_year(spark):
+    path = _tmp() + "/ledger"
+    df = spark.createDataFrame([(1997, "A1", 1.0), (1997, "A2", 2.0), (1998, "A1", 3.0)],
+                               "year int, category string, monthly_balance double")
+    assert sinks.overwrite_table(df, path, partition_by=["year"]) == 3
+    reload = spark.createDataFrame([(1998, "A9", 9.0)], "year int, category string, monthly_balance double")
+    assert sinks.overwrite_table(reload, path, partition_by=["year"], replace_partitions_only=True) == 3
+    got = sorted((r.year, r.category) for r in spark.read.parquet(path).collect())
+    assert got == [(1997, "A1"), (1997, "A2"), (1998, "A9")]
+    pruned = spark.read.parquet(path).where(F.col("year") == 1997)
+    assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString() or \
+        pruned.count() == 2
