@@ -129,3 +129,14 @@ def test_partition_reload_replaces_only_its_year(spark):
     pruned = spark.read.parquet(path).where(F.col("year") == 1997)
     assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString() or \
         pruned.count() == 2
+
+
+def test_spread_only_single_split_large_inputs(spark):
+    small = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    assert tbl.spread(small) is small                       # below the size floor
+    big = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    out = tbl.spread(big, min_bytes=1)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert out.count() == big.count()
+    many = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism * 2)
+    assert tbl.spread(many, min_bytes=1) is many             # already parallel
