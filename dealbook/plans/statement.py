@@ -1,10 +1,18 @@
 """P&L statement engine.
 
-Everything stays in long form ``(scenario, category, period, value)`` until
-the report edge. The only large input is the fact table; it is filtered
-(pushed to the Parquet scan) and combined to ``(category, month)`` map-side
-before its one shuffle. The template and everything derived from it are a
-few hundred rows at most; they are broadcast behind a row-count check.
+Everything stays in long form ``(keys, category, period, value)`` until the
+report edge. The only large input is the fact table. It is filtered (pushed
+to the Parquet scan) and combined to ``(category, month)`` map-side before
+its one shuffle, and it is read once per report.
+
+From there, each leaf row is mapped through the template bridge
+(``operators.hierarchy``) to the codes it adds to, and everything is summed
+in one grouping-sets aggregation. Month-presence markers ride in the same
+aggregation. One broadcast join then hands every template line its value,
+its denominator codes and its months.
+
+The template and everything derived from it are a few hundred rows at most;
+they are broadcast behind a row-count proof.
 """
 
 from __future__ import annotations
