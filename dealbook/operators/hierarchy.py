@@ -102,6 +102,23 @@ def template_fingerprint(template: DataFrame) -> tuple:
     return (row["rows"], row["h1"], row["h2"])
 
 
+# Fingerprints of template plans already seen: plan key -> (template, fingerprint).
+_FINGERPRINTS: dict[tuple, tuple[DataFrame, tuple]] = {}
+
+
+def _fingerprint_of_plan(app: str, template: DataFrame) -> tuple:
+    """The content fingerprint, computed once per template plan (same
+    canonical plan over the same input files, confirmed with
+    ``sameSemantics``); a new plan or new files are fingerprinted again."""
+    plan_key = (app, template.semanticHash(), tuple(sorted(template.inputFiles())))
+    hit = _FINGERPRINTS.get(plan_key)
+    if hit is not None and hit[0].sameSemantics(template):
+        return hit[1]
+    fp = template_fingerprint(template)
+    _FINGERPRINTS[plan_key] = (template, fp)
+    return fp
+
+
 def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
     """The code -> targets bridge of a template, built once per template content.
 
@@ -112,7 +129,8 @@ def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
     is the template's content fingerprint, so a template rewritten in place
     gets a new bridge and the same content landed again reuses the old one.
     """
-    key = (spark.sparkContext.applicationId, template_fingerprint(template))
+    app = spark.sparkContext.applicationId
+    key = (app, _fingerprint_of_plan(app, template))
     hit = _BRIDGES.get(key)
     if hit is not None:
         return hit
