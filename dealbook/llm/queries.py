@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dealbook.llm.common import table
 from dealbook.llm.metric_join import NEAR_DUPLICATES_SQL, near_duplicates
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes
+from dealbook.llm.packing import pack
 from dealbook.llm.sharding import shuffle_into_shards
 from dealbook.llm.topk_search import TOP_K_SQL, top_k_search
 
@@ -20,10 +21,12 @@ def queries() -> dict[str, Query]:
         "op3_metric_range_join": lambda spark, d: near_duplicates(table(spark, d, "embeddings")),
         "op6_exact_top_k": lambda spark, d: top_k_search(table(spark, d, "embeddings")),
         "op7_hypergeometric_shards": lambda spark, d: shuffle_into_shards(table(spark, d, "documents")),
+        "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
         "op9_ngram_jaccard_join": lambda spark, d: jaccard_classes(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_metric_range_join": NEAR_DUPLICATES_SQL, "op6_exact_top_k": TOP_K_SQL,
-            "op9_ngram_jaccard_join": JACCARD_SQL}
+            "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
+        "op9_ngram_jaccard_join": JACCARD_SQL}
