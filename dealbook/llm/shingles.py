@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-# Odd multipliers and their inverses, by position of a byte in its chunk.
+# Bytes that go through the array operations together.
 CHUNK = 1 << 20
 
 
@@ -36,20 +36,16 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(1 << 12)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of one text, A-Z in lower case, in order."""
-    return words_of(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))[0]
-
-
-def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start positions of the words in a byte array."""
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start positions and byte lengths of the words in a byte array."""
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     if raw.size == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return none
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if starts.size == 0:
-        return np.empty(0, np.uint64), starts
+        return none
     low = _BYTE_HASH[_LOWER[raw]]
     length = ends - starts
     if length.max() < _POWERS.size:
@@ -66,7 +62,7 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         grow = _powers(int(length.max()))
         out = np.array([(low[s:e] * grow[: e - s]).sum(dtype=np.uint64)
                         for s, e in zip(starts, ends)], dtype=np.uint64)
-    return mix(out + length.astype(np.uint64) * _BASE), starts
+    return mix(out + length.astype(np.uint64) * _BASE), starts, length
 
 
 def shingle_sets(texts, width: int) -> list[np.ndarray]:
@@ -92,7 +88,7 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
 
 def _sets(part: list[bytes], width: int) -> list[np.ndarray]:
     raw = np.frombuffer(b"\n".join(part), dtype=np.uint8)
-    words, starts = words_of(raw)
+    words, starts, _ = words_of(raw)
     begins = np.cumsum([0] + [len(p) + 1 for p in part])
     cut = np.searchsorted(starts, begins)
     n = words.size
