@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dealbook.llm.common import table
+from dealbook.llm.language_id import identify_language
 from dealbook.llm.metric_join import NEAR_DUPLICATES_SQL, near_duplicates
 from dealbook.llm.mixing import mix_sources
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes
 from dealbook.llm.packing import pack
 from dealbook.llm.sharding import shuffle_into_shards
+from dealbook.llm.toxicity import score_toxicity
 from dealbook.llm.training_order import materialise
 from dealbook.llm.topk_search import TOP_K_SQL, top_k_search
 
@@ -20,8 +22,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_byte_cnn_language": lambda spark, d: identify_language(table(spark, d, "documents")),
         "op3_metric_range_join": lambda spark, d: near_duplicates(table(spark, d, "embeddings")),
         "op4_training_order": lambda spark, d: materialise(table(spark, d, "documents")),
+        "op5_nb_scaled_toxicity": lambda spark, d: score_toxicity(
+            table(spark, d, "documents"), table(spark, d, "labels")),
         "op6_exact_top_k": lambda spark, d: top_k_search(table(spark, d, "embeddings")),
         "op7_hypergeometric_shards": lambda spark, d: shuffle_into_shards(table(spark, d, "documents")),
         "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
