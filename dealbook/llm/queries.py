@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dealbook.llm.common import table
+from dealbook.llm.html_extract import extract_main_text
 from dealbook.llm.language_id import identify_language
 from dealbook.llm.metric_join import NEAR_DUPLICATES_SQL, near_duplicates
 from dealbook.llm.mixing import mix_sources
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_crf_main_text": lambda spark, d: extract_main_text(table(spark, d, "pages")),
         "op2_byte_cnn_language": lambda spark, d: identify_language(table(spark, d, "documents")),
         "op3_metric_range_join": lambda spark, d: near_duplicates(table(spark, d, "embeddings")),
         "op4_training_order": lambda spark, d: materialise(table(spark, d, "documents")),
