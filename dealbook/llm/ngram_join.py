@@ -106,6 +106,10 @@ SHARED = "kind int, doc_id long, hi long, lo long, n long, shared long"
 def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """One fragment: for each set how many of its n-grams lie in another set too (kind 1).
 
+    Only segments of which at least half is shared are told. A set that can
+    link at p percent has at most 100 - p percent of its n-grams unshared; its
+    other segments have more unshared than shared n-grams, so they hold fewer
+    shared ones than that, and the told segments add up to 2p - 100 percent or more.
     Documents ride along as rows of kind 0.
     """
     docs = np.frombuffer(b"".join(rows["docs"]), np.int64).reshape(-1, 5)
@@ -130,7 +134,7 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
         common[1:] |= same
         common[:-1] |= same
         counts = np.bincount((both[common] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=names.size)
-        some = np.flatnonzero(counts)
+        some = np.flatnonzero((counts > 0) & (2 * counts >= lens[first]))
         out.append(pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * some.size, dtype="Int64"),
                                  "hi": names[some], "lo": 0, "n": size[first][some], "shared": counts[some]}))
     return pd.concat(out, ignore_index=True)
@@ -247,7 +251,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         .groupBy("frag").applyInPandas(shared_counts, SHARED), "shared")
     sets = first.where("kind = 0").select("doc_id", "hi", "lo", "n")
     hopeful = (first.where("kind = 1").groupBy("hi").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-               .where(F.col("shared") * 100 >= F.col("n") * percent).select("hi"))
+               .where(F.col("shared") * 100 >= F.col("n") * (2 * percent - 100)).select("hi"))
     # One document of each set stands for it; ``ref`` is the key of the set.
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
     wanted = written(classes.join(hopeful, "hi").where("first is not null").select("first").distinct(), "hopeful")
