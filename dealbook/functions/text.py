@@ -74,4 +74,4 @@ def month_text(month: Column | str) -> Column:
     names = F.array(*[F.lit(x) for x in MONTH_NAMES_TITLE])
     return (F.when(key.isin("ACUMULADO", "TOTAL"), F.lit("Total"))
             .when(as_int.between(1, 12), F.element_at(names, as_int))
-            .otherwise(m))
+            .otherwise(F.trim(m)))

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealbook.session import ensure_checkpoint_dir
 
-# Templates are statement layouts (tens of lines). The closure of a forest
-# with R rows has at most R * R pairs, so this bound keeps every broadcast
-# derived from the template small.
+# Templates are statement layouts (tens of lines). A template of more rows is
+# refused, so that what is derived from it may be broadcast.
 TEMPLATE_MAX_ROWS = 2_000
 
 _CLOSURE_SQL = """
@@ -60,12 +59,6 @@ def total_codes(template: DataFrame) -> DataFrame:
     return template.where(template.category.startswith("T")).select("category").distinct()
 
 
-def check_template_size(template: DataFrame, max_rows: int = TEMPLATE_MAX_ROWS) -> None:
-    """The template and everything derived from it is broadcast; prove its size."""
-    if template.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"statement template has more than {max_rows} rows")
-
-
 def code_targets(spark: SparkSession, template: DataFrame) -> DataFrame:
     """``(code, targets)``: the codes a posting under ``code`` adds to.
 
@@ -102,23 +95,6 @@ def template_fingerprint(template: DataFrame) -> tuple:
     return (row["rows"], row["h1"], row["h2"])
 
 
-# Fingerprints of template plans already seen: plan key -> (template, fingerprint).
-_FINGERPRINTS: dict[tuple, tuple[DataFrame, tuple]] = {}
-
-
-def _fingerprint_of_plan(app: str, template: DataFrame) -> tuple:
-    """The content fingerprint, computed once per template plan (same
-    canonical plan over the same input files, confirmed with
-    ``sameSemantics``); a new plan or new files are fingerprinted again."""
-    plan_key = (app, template.semanticHash(), tuple(sorted(template.inputFiles())))
-    hit = _FINGERPRINTS.get(plan_key)
-    if hit is not None and hit[0].sameSemantics(template):
-        return hit[1]
-    fp = template_fingerprint(template)
-    _FINGERPRINTS[plan_key] = (template, fp)
-    return fp
-
-
 def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
     """The code -> targets bridge of a template, built once per template content.
 
@@ -126,15 +102,25 @@ def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
     data; reports over the same template content reuse one materialised
     copy. The copy is a reliable checkpoint in the shared
     ``spark.checkpoint.dir`` (lineage cut, survives lost executors). The key
-    is the template's content fingerprint, so a template rewritten in place
-    gets a new bridge and the same content landed again reuses the old one.
+    is the template's content fingerprint, read anew on every call, so a
+    template rewritten in place gets a new bridge and the same content landed
+    again reuses the old one.
     """
     app = spark.sparkContext.applicationId
-    key = (app, _fingerprint_of_plan(app, template))
+    key = (app, template_fingerprint(template))
     hit = _BRIDGES.get(key)
     if hit is not None:
         return hit
     ensure_checkpoint_dir(spark)
-    bridge = code_targets(spark, template).checkpoint(eager=True)
+    # A chain of totals may be as long as the template.
+    limits = {"spark.sql.cteRecursionLevelLimit": str(TEMPLATE_MAX_ROWS + 1), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        bridge = code_targets(spark, template).checkpoint(eager=True)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _BRIDGES[key] = bridge
     return bridge

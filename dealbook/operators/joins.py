@@ -1,46 +1,18 @@
-"""Join helpers: size-checked broadcast and skew-safe left joins."""
+"""Left join that keeps rows without a key out of the shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A dimension is broadcast only when it is proven to have at most this many
-# rows; larger inputs fall back to a shuffle join (AQE can still convert it at
-# runtime from measured sizes).
-BROADCAST_MAX_ROWS = 200_000
 
+def left_join_null_bypass(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left LEFT JOIN right USING (key)``; rows of NULL key bypass the join.
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows, so it is cheap for real
-    dimensions and never scans a fact table fully.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-# NULL join keys are spread over this many shuffle buckets.
-NULL_KEY_BUCKETS = 64
-
-
-def left_join_spread_nulls(left: DataFrame, right: DataFrame, key: str,
-                           buckets: int = NULL_KEY_BUCKETS) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` with rows of NULL key spread out.
-
-    A NULL key never matches, but a shuffle join sends every NULL-key row to
-    the same partition; if a third of the rows have no key, one task would
-    hold a third of the data. The join is made on ``(key, salt)``: the salt
-    is 0 on the right and for non-NULL keys, and a hash of the row for NULL
-    keys, so those rows spread over ``buckets`` partitions and still match
-    nothing. The salt is a deterministic hash (not ``rand``), so a retried
-    task after a lost executor sends every row to the same place again.
+    A NULL key matches nothing, yet a shuffle join would send all such rows to
+    one task. They get NULL right columns where they are, without a shuffle.
     """
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]),
-                                           F.lit(buckets))).otherwise(F.lit(0))
-    lhs = left.withColumn("_salt", salt)
-    # Always 0, but not a constant Catalyst could fold into a join condition:
-    # the salt must stay a hash key on both sides.
-    rhs = right.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(1)))
-    return lhs.join(rhs, [key, "_salt"], "left").drop("_salt")
+    extra = [f for f in right.schema.fields if f.name != key]
+    matched = left.where(F.col(key).isNotNull()).join(right, key, "left")
+    alone = left.where(F.col(key).isNull()).select(
+        *matched.columns[:len(left.columns)], *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    return matched.unionByName(alone)

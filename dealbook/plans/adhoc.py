@@ -4,17 +4,33 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 50
 _READ_ONLY = re.compile(r"^\s*(SELECT|WITH)\b", re.IGNORECASE)
 
 
+def _writes(spark: SparkSession, sql: str) -> bool:
+    """Whether the parsed statement holds anything but a query."""
+    gateway = spark.sparkContext._gateway
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        if any(is_instance_of(gateway, node, logical + kind) for kind in ("Command", "ParsedStatement")):
+            return True
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return False
+
+
 def guarded_select(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Run one read-only query and cap the result at ``max_rows`` rows.
 
-    Only texts starting with SELECT (or WITH ... SELECT) are accepted; Spark's
-    parser takes exactly one statement, so nothing can be appended. Errors
+    Only texts starting with SELECT (or WITH ... SELECT) are accepted. The text
+    is parsed first, and any statement that is not a pure query (an insert
+    behind a WITH, say) is refused before it can run. Errors
     are raised as ``ValueError`` with the engine's message. The cap is the
     feature (a preview), not a way to make the query cheap: Spark pushes the
     limit into the plan.
@@ -22,7 +38,11 @@ def guarded_select(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> D
     if not _READ_ONLY.match(sql or ""):
         raise ValueError("only SELECT queries are allowed")
     try:
+        if _writes(spark, sql):
+            raise ValueError("only SELECT queries are allowed")
         df = spark.sql(sql)
+    except ValueError:
+        raise
     except Exception as exc:  # noqa: BLE001 - surfaced to the caller as text
         raise ValueError(str(exc)) from exc
     return df.limit(max_rows)

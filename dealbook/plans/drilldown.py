@@ -10,9 +10,10 @@ ACCOUNT_KEYS = ["account", "account_name", "centre_name", "centre", "section"]
 
 
 def account_drilldown(ledger: DataFrame, company, year, category: str,
-                      months: list[int] = list(range(1, 13))) -> DataFrame:
+                      months: list[int] | None = None) -> DataFrame:
     """One row per account/centre/section: ``balance_{m}`` per month (0 when
-    missing) and ``total``; largest absolute total first.
+    missing) and ``total``; largest absolute total first. Months are 1-12 and
+    any other month found, so the columns always add up to ``total``.
 
     One aggregation (one shuffle) produces all month columns at once. Groups
     with a NULL key part are kept (NULL-safe grouping).
@@ -20,9 +21,13 @@ def account_drilldown(ledger: DataFrame, company, year, category: str,
     conds = equals_unless_unset("company", company) + [F.col("category") == F.lit(category)]
     if not unset(year):
         conds.append(F.col("year") == F.lit(int(year)))
+    rows = ledger.where(all_of(conds))
+    if months is None:
+        found = {r["month"] for r in rows.select("month").distinct().collect()} - {None}
+        months = sorted(found | set(range(1, 13)))
     bal = F.col("monthly_balance")
     aggs = [F.coalesce(F.sum(F.when(F.col("month") == m, bal)), F.lit(0)).cast("double").alias(f"balance_{m}")
             for m in months]
     total = F.coalesce(F.sum(F.when(F.col("month").isNotNull(), bal)), F.lit(0)).cast("double").alias("total")
-    out = ledger.where(all_of(conds)).groupBy(*ACCOUNT_KEYS).agg(total, *aggs)
+    out = rows.groupBy(*ACCOUNT_KEYS).agg(total, *aggs)
     return out.orderBy(F.abs("total").desc(), *ACCOUNT_KEYS)

@@ -50,21 +50,39 @@ def transform_ledger(raw: DataFrame, company_names: dict[str, str] | None = None
             .withColumn("year", try_number(text_right("date_part", 4), "int")))
     names = F.array(*[F.lit(m) for m in MONTH_NAMES_UPPER])
     df = (df.withColumn("month_name", F.when(F.col("month").between(1, 12), F.element_at(names, F.col("month"))))
-            .withColumn("monthly_balance", try_number("monthly_balance_txt", "double"))
+            .withColumn("monthly_balance", try_number("monthly_balance_txt", "decimal(18,2)"))
             .withColumn("report_date", first_of_month(F.col("year"), F.col("month")))
             .withColumn("category", F.coalesce("category", F.lit(NO_CATEGORY)))
             .withColumn("account_key", composite_key("account", "centre", "section")))
     return df.drop("monthly_balance_txt")
 
 
+# Column names of the budget source and ours.
+BUDGET_COLUMNS = {
+    "cgib_categoria": "category",
+    "cgib_totalbase": "base_total",
+    "cgib_valorporcentaje": "percent_value",
+    "cgib_empresa": "company_code",
+    "cgib_ano": "year",
+    "cgib_mes": "month",
+    "cgib_concepto": "concept",
+}
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed by a map; names that the frame lacks are ignored."""
+    return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+
+
 def transform_budget(raw: DataFrame) -> DataFrame:
-    """Budget records -> monthly budget.
+    """Budget records -> monthly budget (E2). Source column names are renamed first.
 
     Month text: 'Total' for accumulations, a month name for 1-12. Rows of
     accumulated months and of categories containing 'T' are removed. NULL
     month or category rows are kept (they do not equal the excluded texts).
     """
-    df = raw.withColumn("month", F.col("month").cast("string"))
+    df = renamed(raw, BUDGET_COLUMNS)
+    df = df.withColumn("month", F.col("month").cast("string"))
     df = df.withColumn("month_text", month_text("month"))
     df = df.withColumn("month", F.replace("month", F.lit("MESACUMULADO"), F.lit("00")))
     df = df.where(~F.coalesce(F.upper(F.trim("month")) == "ACUMULADO", F.lit(False)))
@@ -83,11 +101,11 @@ def transform_template(raw: DataFrame) -> DataFrame:
 def transform_categories(raw: DataFrame) -> DataFrame:
     """Category records -> category dimension with a display label.
 
-    Metadata columns (names starting with '@') are dropped and missing
-    columns added as NULL before the label 'identifier name' is built.
+    Metadata columns (names starting with '@') are dropped and a missing name
+    or identifier is NULL before the label 'identifier name' is built.
     """
     df = raw.drop(*[c for c in raw.columns if c.startswith("@")])
-    for c in ("category_id", "name", "identifier"):
+    for c in ("name", "identifier"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
     return df.select("name", "identifier", label_concat("identifier", "name").alias("label"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
 from dealbook.session import scratch_dir
 from dealbook.sources.landing import read_json_pages, read_ledger_files, read_template_sheet
-from dealbook.sources.sinks import overwrite_table, write_delimited
+from dealbook.sources.sinks import overwrite_table, read_delimited, write_delimited
 
 # Records per landed JSON page (the source API's page size).
 PAGE_SIZE = 5000
@@ -21,16 +21,20 @@ LEDGER_FILE_SCHEMA = ("account string, account_name string, centre_name string,
                       "section int, category string, monthly_balance_txt string")
 
 
-def land_ledger_files(ledger_raw: DataFrame, fmt: str = "csv", split: int = 1) -> str:
+# Rows of one landed file; a name with more is written as several.
+FILE_ROWS = 500_000
+
+
+def land_ledger_files(ledger_raw: DataFrame, fmt: str = "csv", path: str | None = None) -> str:
     """One folder per original file name (``source_name=...``), as a landing area.
 
-    Rows are spread by (name, salt): with ``split`` = 1 every original file
-    is one landed file (as an upstream export writes it); ``split`` > 1
-    writes a name holding a large share of the rows from several tasks.
+    Each task writes the rows it has, sorted by name so that it holds one file
+    open at a time; no shuffle, so a name that holds a large share of the rows
+    is written by all tasks that have some.
     """
-    path = scratch_dir(ledger_raw.sparkSession, "ledger-landing")
-    salt = F.pmod(F.xxhash64(*ledger_raw.columns), F.lit(split))
-    writer = ledger_raw.repartition("source_name", salt).write.mode("overwrite").partitionBy("source_name")
+    path = path or scratch_dir(ledger_raw.sparkSession, "ledger-landing")
+    writer = (ledger_raw.sortWithinPartitions("source_name").write.mode("overwrite")
+              .option("maxRecordsPerFile", FILE_ROWS).partitionBy("source_name"))
     if fmt == "csv":
         writer.option("header", "true").csv(path)
     else:
@@ -42,8 +46,15 @@ def load_ledger_files(ledger_raw: DataFrame, company_names: dict[str, str] | Non
     """Land the ledger rows as CSV files, read the folder, transform (S3 + E1)."""
     spark = ledger_raw.sparkSession
     path = land_ledger_files(ledger_raw, "csv")
-    schema = LEDGER_FILE_SCHEMA + ", source_name string"
-    return transform_ledger(read_ledger_files(spark, path, "csv", schema=schema), company_names)
+    return transform_ledger(read_ledger_files(spark, path, "csv", schema=LEDGER_FILE_SCHEMA), company_names)
+
+
+def landed_ledger_table(ledger_raw: DataFrame, company_names: dict[str, str] | None = None) -> DataFrame:
+    """The reference's ledger flow: landed files -> E1 -> ledger table by year, read back."""
+    path = scratch_dir(ledger_raw.sparkSession, "ledger-table")
+    ledger = load_ledger_files(ledger_raw, company_names)
+    ledger.write.mode("overwrite").partitionBy("year").parquet(path)
+    return ledger_raw.sparkSession.read.schema(ledger.schema).parquet(path)
 
 
 def land_json_pages(records: DataFrame, page_size: int = PAGE_SIZE) -> str:
@@ -78,15 +89,15 @@ def csv_roundtrip(df: DataFrame, schema: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, "export")
     write_delimited(df, path)
-    return spark.read.option("header", "true").option("sep", ";").option("quote", "").schema(schema).csv(path)
+    return read_delimited(spark, path, schema)
 
 
 def overwrite_count(df: DataFrame) -> DataFrame:
     """Create-or-replace a table and report the stored count."""
     spark = df.sparkSession
     path = scratch_dir(spark, "table")
-    n = overwrite_table(df, path)
-    return spark.createDataFrame([(n,)], "rows long")
+    overwrite_table(df, path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def materialise(df: DataFrame) -> DataFrame:

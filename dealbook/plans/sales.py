@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dealbook.functions import round_half_away, share_pct, try_date
 from dealbook.operators.distinct import two_level_aggregate
 from dealbook.operators.filters import active_orders, period, unset
-from dealbook.operators.joins import left_join_spread_nulls
+from dealbook.operators.joins import left_join_null_bypass
 from dealbook.operators.pivot import distinct_values, pivot_sum
 from dealbook.operators.topk import top_k
 from dealbook.operators.totals import append_total_row
@@ -53,7 +53,7 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
         (F.coalesce("discount", F.lit(0.0)).cast("decimal(20,10)") * F.lit(100)).alias("discount_pct"),
     )
     # ``registered`` is NULL for orders without a registered VIN.
-    return left_join_spread_nulls(base, registered_vins(stock), "vin")
+    return left_join_null_bypass(base, registered_vins(stock), "vin")
 
 
 def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=None,
@@ -154,7 +154,15 @@ def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None
     """
     shares = sales_by_type(orders, year, month, ordered=False)
     if types is None:
-        types = distinct_values(shares, "sale_type")
+        # Headers from a pruned scan of the active orders, not from the report.
+        active = active_orders(orders)
+        if not (unset(year) and unset(month)):
+            active = active.where(period(try_date("notice_date_txt"), year, month))
+        types = distinct_values(active.where(F.col("order_id").isNotNull())
+                                .select(F.coalesce("sale_type", F.lit(NO_SALE_TYPE)).alias("sale_type")), "sale_type")
+    reserved = {"salesperson", "is_total", TOTAL_COLUMN}
+    if reserved & {str(t) for t in types}:
+        raise ValueError(f"sale types cannot be named {sorted(reserved & {str(t) for t in types})}: they are report columns")
     wide = pivot_sum(shares, "salesperson", "sale_type", "quantity", types, TOTAL_COLUMN)
     value_cols = [str(t) for t in types] + [TOTAL_COLUMN]
     wide = wide.select("salesperson", *[F.col(f"`{c}`").cast("long").alias(c) for c in value_cols])

@@ -106,42 +106,32 @@ def template_rows(template: DataFrame) -> DataFrame:
 ROW_COLS = ["_row", "n", "category", "concept", "is_total"]
 
 
-def requests(template: DataFrame, periods: list[str], with_ratio: bool = True,
-             marker_period: str | None = None) -> DataFrame:
-    """What each template line needs per period: its own value ('v'), its
-    denominator codes ('d', duplicates kept) and the month marker ('p').
-
-    ``(_row, n, category, concept, is_total, period, code, role)``; a few rows
-    per template line and period, broadcast into the single join with the
-    values (a few rows per template line; bounded by the template check).
-    ``marker_period`` asks for the marker of one fixed period instead
-    of each period's own.
+def requests(template: DataFrame, with_ratio: bool = True) -> DataFrame:
+    """What each template line needs: its own value ('v'), its denominator
+    codes ('d', duplicates kept) and the period marker ('p').
+
+    ``(_row, n, category, concept, is_total, code, role)``: a few rows per
+    template line, broadcast into the single join with the values (bounded by
+    the template check).
     """
     rows = template_rows(template).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
-    need = F.array(F.struct(F.col("category").alias("code"), F.col("period").alias("at"), F.lit("v").alias("role")),
-                   F.struct(F.lit(MARKER).alias("code"),
-                            (F.lit(marker_period) if marker_period else F.col("period")).alias("at"),
-                            F.lit("p").alias("role")))
+    need = F.array(F.struct(F.col("category").alias("code"), F.lit("v").alias("role")),
+                   F.struct(F.lit(MARKER).alias("code"), F.lit("p").alias("role")))
     if with_ratio:
         need = F.concat(need, F.transform(ratio_codes("ratio"), lambda c: F.struct(
-            c.alias("code"), F.col("period").alias("at"), F.lit("d").alias("role"))))
-    out = rows.select(*ROW_COLS, "period", F.explode(need).alias("r"))
-    return out.select(*ROW_COLS, "period", "r.code", "r.at", "r.role")
+            c.alias("code"), F.lit("d").alias("role"))))
+    out = rows.select(*ROW_COLS, F.explode(need).alias("r"))
+    return out.select(*ROW_COLS, "r.code", "r.role")
 
 
 def _lookup(values: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Requests with the values they ask for, on (code, period).
+    """Requests with the values they ask for, for every period of the data.
 
-    An inner join with the broadcast requests as build side streams the
-    values without shuffling them; the bare requests are appended (NULL
-    values) so every template line and period survives the aggregation
-    that follows, exactly as a left outer join would, but with the small
-    side broadcast.
+    An inner join with the broadcast requests as build side streams the values
+    without shuffling them. Every line asks for the marker, and the marker has
+    a row for each period with data, so each line comes out once per period.
     """
-    v = values.withColumnRenamed("category", "code").withColumnRenamed("period", "at")
-    matched = F.broadcast(reqs).join(v, ["code", "at"], "inner")
-    return matched.unionByName(reqs, allowMissingColumns=True)
+    return F.broadcast(reqs).join(values.withColumnRenamed("category", "code"), "code", "inner")
 
 
 def _sum_role(role: str, extra: Column | None = None) -> Column:
@@ -159,26 +149,40 @@ def _present(extra: Column | None = None) -> Column:
 
 
 def statement_long(spark: SparkSession, leaf: DataFrame, template: DataFrame,
-                   value_name: str = "value", periods: list[str] = PERIODS) -> DataFrame:
+                   value_name: str = "value") -> DataFrame:
     """One row per template line and period with data: value (0 when missing)
     and the percentage over the parsed denominator codes (NULL when they sum
-    to 0) (R7). Periods are the months with data, then 'Total'; an empty leaf
-    gives an empty report."""
-    values = statement_values(spark, leaf, template)
-    joined = _lookup(values, requests(template, periods))
+    to 0) (R7). Periods are the months found in the data, whatever their
+    number, then 'Total'; an empty leaf gives an empty report."""
+    joined = _lookup(statement_values(spark, leaf, template), requests(template))
     agg = joined.groupBy(*ROW_COLS, "period").agg(
-        _sum_role("v").alias("value"), _sum_role("d").alias("denominator"), _present().alias("present"))
-    out = agg.where("present")
-    return out.select(
+        _sum_role("v").alias("value"), _sum_role("d").alias("denominator"))
+    return agg.select(
         "n", "category", "concept", "is_total", "period",
         F.coalesce("value", F.lit(0)).cast("double").alias(value_name),
         safe_pct(F.coalesce("value", F.lit(0)), F.coalesce("denominator", F.lit(0))).alias("pct"),
     )
 
 
+def data_periods(leaf: DataFrame) -> list[str]:
+    """Months found in a leaf, ascending, then 'Total' (empty without data).
+
+    A partial distinct leaves a handful of rows per task; the result is the
+    list of month numbers, not data.
+    """
+    months = leaf.select("month").where(F.col("month").isNotNull()).distinct().collect()
+    return [str(m) for m in sorted(r["month"] for r in months)] + ([TOTAL_PERIOD] if months else [])
+
+
+def wide_periods(leaf: DataFrame) -> list[str]:
+    """Column periods of a wide report: months 1-12, any other month found, 'Total'."""
+    extra = [p for p in data_periods(leaf) if p not in PERIODS]
+    return PERIODS[:-1] + extra + [TOTAL_PERIOD]
+
+
 def widen(long: DataFrame, measures: list[str], periods: list[str] = PERIODS,
           keys: tuple[str, ...] = ("n", "category", "concept", "is_total")) -> DataFrame:
-    """Long -> wide: ``{measure}_{period}`` columns for a fixed period list (report edge).
+    """Long -> wide: ``{measure}_{period}`` columns for a period list (report edge).
 
     A period absent from the data gives NULL columns.
     """
@@ -196,8 +200,8 @@ def pnl_long(spark, ledger, template, company=None, year=None) -> DataFrame:
 
 def pnl_wide(spark, ledger, template, company=None, year=None) -> DataFrame:
     """Actual P&L, ``res_{period}``/``pct_{period}`` columns, template order."""
-    long = pnl_long(spark, ledger, template, company, year).withColumnRenamed("value", "res")
-    return widen(long, ["res", "pct"]).orderBy("n")
+    leaf = ledger_leaf(ledger, company, year)
+    return widen(statement_long(spark, leaf, template, "res"), ["res", "pct"], wide_periods(leaf)).orderBy("n")
 
 
 def budget_long(spark, budget, dim_company, template, company=None, year=None) -> DataFrame:
@@ -207,8 +211,8 @@ def budget_long(spark, budget, dim_company, template, company=None, year=None) -
 
 
 def budget_wide(spark, budget, dim_company, template, company=None, year=None) -> DataFrame:
-    long = budget_long(spark, budget, dim_company, template, company, year)
-    return widen(long, ["budget", "pct"]).orderBy("n")
+    leaf = budget_leaf(budget, dim_company, company, year)
+    return widen(statement_long(spark, leaf, template, "budget"), ["budget", "pct"], wide_periods(leaf)).orderBy("n")
 
 
 def pnl_vs_budget(spark, ledger, budget, dim_company, template, company=None, year=None) -> DataFrame:
@@ -221,12 +225,11 @@ def pnl_vs_budget(spark, ledger, budget, dim_company, template, company=None, ye
     leaf = (ledger_leaf(ledger, company, year).withColumn("side", F.lit("real"))
             .unionByName(budget_leaf(budget, dim_company, company, year).withColumn("side", F.lit("budget"))))
     values = statement_values(spark, leaf, template, keys=("side",))
-    joined = _lookup(values, requests(template, PERIODS, with_ratio=False))
+    joined = _lookup(values, requests(template, with_ratio=False))
     agg = joined.groupBy(*ROW_COLS, "period").agg(
         _sum_role("v", F.col("side") == "real").alias("real"),
-        _sum_role("v", F.col("side") == "budget").alias("budget"),
-        _present().alias("present"))
-    out = (agg.where("present")
+        _sum_role("v", F.col("side") == "budget").alias("budget"))
+    out = (agg
            .withColumn("real", F.coalesce("real", F.lit(0)).cast("double"))
            .withColumn("budget", F.coalesce("budget", F.lit(0)).cast("double")))
     return out.select("n", "category", "concept", "is_total", "period", "real", "budget",
@@ -248,8 +251,10 @@ def pnl_vs_prior_year(spark, ledger, template, company, year, month: int) -> Dat
     leaf = (ledger.where(all_of(conds)).groupBy("year", "category", "month")
             .agg(F.sum("monthly_balance").alias("value")))
     values = statement_values(spark, leaf, template, keys=("year",))
-    reqs = requests(template, [str(int(month))], with_ratio=False, marker_period=TOTAL_PERIOD)
-    joined = _lookup(values, reqs)
+    # Only the asked month's values, and the marker that the year has data at all.
+    values = values.where(F.when(F.col("category") == MARKER, F.col("period") == TOTAL_PERIOD)
+                          .otherwise(F.col("period") == str(int(month))))
+    joined = _lookup(values, requests(template, with_ratio=False))
     agg = joined.groupBy(*ROW_COLS).agg(
         _sum_role("v", F.col("year") == y).alias("current"),
         _sum_role("v", F.col("year") == y - 1).alias("prior"),
@@ -265,14 +270,15 @@ def pnl_vs_prior_year(spark, ledger, template, company, year, month: int) -> Dat
 def filter_options(ledger: DataFrame, dim_company: DataFrame, dim_time: DataFrame):
     """Companies of the company dimension, and dimension years that occur in
     the ledger (semi join) (R6). Display order: A-Z and newest first."""
-    companies = dim_company.select("company").distinct()
+    companies = dim_company.select("company").distinct().orderBy("company")
     # Distinct years first: a partial aggregate leaves a handful of rows per
     # task, so the semi join never shuffles the ledger itself (a year holds a
     # large share of all rows and would land in one partition).
     ledger_years = (ledger.select(F.col("year").try_cast("int").alias("y"))
                     .where(F.col("y").isNotNull()).distinct())
     years = (dim_time.join(ledger_years, F.col("year") == F.col("y"), "left_semi")
-             .select(F.col("year").try_cast("int").alias("year")).where(F.col("year").isNotNull()).distinct())
+             .select(F.col("year").try_cast("int").alias("year")).where(F.col("year").isNotNull()).distinct()
+             .orderBy(F.col("year").desc()))
     return companies, years
 
 

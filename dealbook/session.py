@@ -36,14 +36,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (and so share a machine)."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the operator sets this to a shared (HDFS/S3/ABFS) folder and we
-    only read it. Only when it is unset (tests, a laptop) do we pick a fresh
-    local folder.
+    only read it; without it a job would write to folders that others cannot
+    see, so that is an error. Only a local session (tests, a laptop) gets a
+    fresh local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="dealbook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

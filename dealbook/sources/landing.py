@@ -7,31 +7,85 @@ scan; the file name becomes a column.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Landing extension added to the original file name (stripped again on read).
 _LANDING_EXT = r"(?i)\.(csv|parquet|json|orc)$"
 
 
+REJECT = "_reject"
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files that start with it.
+
+    A file's first split holds its header first. One aggregate leaves one row
+    per file; the result is file metadata, not data.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    layouts: dict[str, list[str]] = {}
+    for r in heads.collect():
+        layouts.setdefault(r["header"], []).append(r["file"])
+    return layouts
+
+
+def _read_csv_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV files whose columns may differ in order and number, by their own headers.
+
+    Files with one header are read together. A wanted column that a file lacks
+    is NULL, other columns are dropped, and a row that does not fit its header
+    or a value that does not fit its type leaves the row's text in ``REJECT``.
+    """
+    out = None
+    named = [f for f in schema.fields if f.name != "source_name"]
+    for header, files in sorted(csv_layouts(spark, path).items()):
+        names = next(csv.reader([header]))
+        layout = StructType([StructField(n, StringType()) for n in names] + [StructField(REJECT, StringType())])
+        df = (spark.read.schema(layout).option("header", "true").option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", REJECT).option("ignoreCorruptFiles", "true").csv(files))
+        cells, bad = [], F.lit(False)
+        for f in named:
+            if f.name in names:
+                value = F.col(f"`{f.name}`")
+                cells.append(value.try_cast(f.dataType).alias(f.name))
+                bad = bad | (value.isNotNull() & value.try_cast(f.dataType).isNull())
+            else:
+                cells.append(F.lit(None).cast(f.dataType).alias(f.name))
+        text = F.coalesce(F.col(REJECT), F.when(bad, F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))))
+        folder = F.regexp_extract(F.url_decode("_metadata.file_path"), r"/source_name=([^/]*)/", 1)
+        name = F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), _LANDING_EXT, ""))
+        df = df.select(*cells, F.when(name != "__HIVE_DEFAULT_PARTITION__", name).alias("source_name"), text.alias(REJECT))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        fields = [*named, StructField("source_name", StringType()), StructField(REJECT, StringType())]
+        out = spark.createDataFrame([], StructType(fields))
+    return out
+
+
 def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
-                      schema: StructType | None = None) -> DataFrame:
+                      schema: StructType | str | None = None) -> DataFrame:
     """All ledger files under ``path`` with a ``source_name`` column.
 
-    * Columns are aligned by name across files (Parquet/ORC ``mergeSchema``);
-      a column missing from a file is NULL for its rows (U1).
-    * Unreadable files are skipped (``ignoreCorruptFiles``) and malformed
-      CSV rows become NULL fields (``PERMISSIVE``) instead of failing the
-      load (S4).
+    * Columns are aligned by name across files (Parquet/ORC ``mergeSchema``,
+      CSV by each file's own header; CSV needs ``schema``). A column missing
+      from a file is NULL for its rows (U1).
+    * Unreadable files are skipped (``ignoreCorruptFiles``) and malformed CSV
+      rows left out (S4); ``rejected_ledger_rows`` and ``skipped_ledger_files``
+      report both.
     * ``source_name`` is the original file name: a ``source_name=...``
       partition directory if present, else the data file's name without the
       landing extension.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "false")
-    if fmt in ("parquet", "orc"):
-        reader = reader.option("mergeSchema", "true")
     if fmt == "csv":
-        reader = reader.option("header", "true").option("mode", "PERMISSIVE")
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return _read_csv_by_name(spark, path, schema).where(F.col(REJECT).isNull()).drop(REJECT)
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.format(fmt).load(path)
@@ -40,6 +94,21 @@ def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
     return df
 
 
+def rejected_ledger_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of landed CSV files that do not fit, with their file: (source_name, row)."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return (_read_csv_by_name(spark, path, schema).where(F.col(REJECT).isNotNull())
+            .select("source_name", F.col(REJECT).alias("row")))
+
+
+def skipped_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Files under ``path`` that gave no row (unreadable or empty): (file_path, bytes)."""
+    every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.col("length").alias("bytes"))
+    read = (spark.read.option("ignoreCorruptFiles", "true").format(fmt).load(path)
+            .select(F.url_decode("_metadata.file_path").alias("file_path")).distinct())
+    return every.withColumn("file_path", F.url_decode("file_path")).join(read, "file_path", "left_anti")
+
+
 def read_template_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Template exported as delimited text with a header row; every column text."""
     schema = "n string, concept string, category string, parent string, ratio string"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 from dealbook.functions.text import MONTH_NAMES_TITLE
 
@@ -28,42 +28,55 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:
-    """Header, ';' separator, NULL as empty field and no quoting at all.
+    """';' separator, NULL as empty field and no quoting at all.
 
     Each line is the plain join of the field texts, so a field containing the
     separator is written as is (the export format has no quoting). The line
-    is built with ``concat_ws`` and written as a one-column text file with the
-    joined column names as header, one file per task.
+    is built with ``concat_ws`` and written as text, one file per task. The
+    header line is the file in ``_header`` (readers of the folder skip it; put
+    it first when the parts are concatenated into one download).
     """
     line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
-    (df.select(line.alias(sep.join(df.columns))).write.mode("overwrite")
-       .option("header", "true").option("sep", "\u0001").option("quote", "\u0000")
-       .option("escapeQuotes", "false").csv(path))
+    df.select(F.concat(line, F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    header = sep.join(df.columns)
+    df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
+
+
+def read_delimited(spark, path: str, schema: str, sep: str = ";") -> DataFrame:
+    """A folder written by ``write_delimited``, read back by position."""
+    return spark.read.option("sep", sep).option("quote", "").schema(schema).csv(path)
+
+
+def _without_nan(value, kind):
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value), value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _without_nan(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _without_nan(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[
+            _without_nan(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return value
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Float NaN -> NULL in every floating column (S12), for JSON output."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    """Float NaN -> NULL in every floating value, nested ones included (S12), for JSON output."""
+    return df.select(*[_without_nan(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def to_json_records(df: DataFrame) -> DataFrame:
     """One JSON text per row with NaN already NULL."""
-    return nan_to_null(df).select(F.to_json(F.struct(*df.columns)).alias("json"))
+    return nan_to_null(df).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 
 def statement_export(wide: DataFrame, periods: list[str]) -> DataFrame:
     """Flat export layout: 'Categoría', 'Concepto', then '{Month} Resultado' and
-    '{Month} %' per period, 'Total' last (S11, R12). Missing values are 0,
-    missing percentages stay empty."""
+    '{Month} %' per period, 'Total' last (S11, R12). ``periods`` are those with
+    data, so every value is there; missing percentages stay empty."""
     cols = [F.col("category").alias("Categoría"), F.col("concept").alias("Concepto")]
     for p in periods:
         label = MONTH_NAMES_TITLE[int(p) - 1] if p.isdigit() and 1 <= int(p) <= 12 else p
-        cols.append(F.coalesce(F.col(f"res_{p}"), F.lit(0.0)).alias(f"{label} Resultado"))
+        cols.append(F.col(f"res_{p}").alias(f"{label} Resultado"))
         cols.append(F.col(f"pct_{p}").alias(f"{label} %"))
     return wide.orderBy("n").select(*cols)

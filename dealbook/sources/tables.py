@@ -1,46 +1,10 @@
-"""Table scans and the session catalog."""
+"""Session catalog and ordered template read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
-               fmt: str = "parquet") -> DataFrame:
-    """Read a table; selecting ``columns`` here lets the scan read only them."""
-    df = spark.read.format(fmt).load(path)
-    return df.select(*columns) if columns else df
-
-
-# Inputs smaller than this are not worth a redistribution (dimensions).
-SPREAD_MIN_BYTES = 1024 * 1024
-
-
-def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Redistribute a scan that has fewer input splits than the cluster has cores.
-
-    A Parquet file with one row group is one split, so every operator up to
-    the first shuffle would run in one task. When a table is larger than
-    ``min_bytes`` but has fewer splits than ``defaultParallelism``, a
-    hash ``repartition`` right after the scan lets the following
-    narrow work (joins with broadcast sides, parsing, partial aggregation)
-    use all cores. Column pruning and filters still reach the scan. On a
-    large table with many splits this is a no-op.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < min_bytes:
-        return df
-    # Hash on the leading (key) column: deterministic on task retries like a
-    # round-robin split, but without the local sort that round-robin
-    # repartitioning performs for that determinism, and it still lets the
-    # scan read only the columns used downstream (plus this one).
-    return df.repartition(cores, F.col(f"`{df.columns[0]}`"))
-
-
 def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
     """Register DataFrames as temp views for SQL use; returns the names."""
     for name, df in tables.items():

@@ -11,14 +11,15 @@ which suits a scheduled load.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from dealbook.plans.etl import transform_ledger
 from dealbook.session import ensure_checkpoint_dir
-
-_LANDING_EXT = r"(?i)\.(csv|parquet|json|orc)$"
+from dealbook.sources.landing import _LANDING_EXT
 
 
 def start_ledger_ingest(spark: SparkSession, landing: str, table: str, schema: StructType | str,
@@ -26,7 +27,9 @@ def start_ledger_ingest(spark: SparkSession, landing: str, table: str, schema: S
                         checkpoint: str | None = None, available_now: bool = True,
                         max_files_per_trigger: int = 1000) -> StreamingQuery:
     """Start the ingest query; the caller waits with ``awaitTermination()``."""
-    checkpoint = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger_ingest"
+    # One checkpoint per pair of landing folder and table.
+    own = hashlib.sha256(f"{landing}\n{table}".encode()).hexdigest()[:16]
+    checkpoint = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger_ingest-{own}"
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         reader = reader.option("header", "true").option("mode", "PERMISSIVE")

@@ -1,4 +1,4 @@
-"""Closure-based totals against a sequential evaluation of the statement rules."""
+"""Closure-based totals against a recursive evaluation of the statement rules and hand-made tables."""
 
 import random
 from collections import defaultdict
@@ -11,25 +11,30 @@ TEMPLATE_SCHEMA = "n int, concept string, category string, parent string, ratio
 LEAF_SCHEMA = "category string, month int, value double"
 
 
-def sequential_values(template, leaf):
-    """Straightforward in-order evaluation of the rules (the specification)."""
-    values = defaultdict(dict)
-    for cat, month, v in leaf:
+def expected_values(template, leaf):
+    """Values by recursion: a total's worth, seen from a place in the template, is its children's worth seen from its row."""
+    posted = defaultdict(float)
+    for code, month, v in leaf:
         if month is not None:
-            values[cat][month] = values[cat].get(month, 0) + v
-    months = sorted({m for cv in values.values() for m in cv})
-    rows = sorted(template, key=lambda r: (r[0] is None, r[0] or 0))   # NULL n last
-    for n, _, cat, _, _ in rows:
-        if cat is not None and cat.startswith("T"):
-            children = [r[2] for r in rows if r[3] == cat]
-            values[cat] = {**values.get(cat, {})}
-            for m in months:
-                values[cat][m] = sum(values.get(c, {}).get(m, 0) for c in children)
+            posted[code, str(month)] += v
+            posted[code, "Total"] += v
+    rows = [(float("inf") if n is None else n, code, parent) for n, _, code, parent, _ in template]
+    periods = {p for _, p in posted}
+
+    def worth(code, seen_from, period):
+        own = [n for n, c, _ in rows if c == code and c.startswith("T") and n < seen_from]
+        if not own:
+            return posted[code, period]
+        return sum(worth(c, max(own), period) for _, c, parent in rows if parent == code)
+
+    codes = {c for _, c, _ in rows} | {c for c, _ in posted}
+    after_all = float("inf")
     out = {}
-    for cat, cv in values.items():
-        for m in months:
-            out[(cat, str(m))] = cv.get(m, 0)
-        out[(cat, "Total")] = sum(cv.get(m, 0) for m in months)
+    for code in codes:
+        for p in periods:
+            mine = [n for n, c, _ in rows if c == code and c.startswith("T")]
+            out[code, p] = (sum(worth(c, max(mine), p) for _, c, parent in rows if parent == code)
+                            if mine else worth(code, after_all, p))
     return out
 
 
@@ -54,7 +59,7 @@ def test_forward_child_total_counts_its_postings(spark):
     got = spark_values(spark, template, leaf)
     assert got[("T2", "1")] == 3.0
     assert got[("T1", "1")] == 10.0
-    assert_same(sequential_values(template, leaf), got)
+    assert_same(expected_values(template, leaf), got)
 
 
 def test_null_n_sorts_last(spark):
@@ -65,7 +70,7 @@ def test_null_n_sorts_last(spark):
     leaf = [("A1", 1, 10.0), ("A2", 1, 1.0), ("T1", 1, 100.0)]
     got = spark_values(spark, template, leaf)
     assert got[("T2", "1")] == 101.0 and got[("T1", "1")] == 10.0
-    assert_same(sequential_values(template, leaf), got)
+    assert_same(expected_values(template, leaf), got)
 
 
 def test_duplicated_child_counts_twice(spark):
@@ -91,14 +96,35 @@ def random_template(rng, rows):
     return [tuple(r) for r in out]
 
 
-def test_closure_matches_sequential_on_random_templates(spark):
+def test_closure_matches_recursion_on_random_templates(spark):
     for seed in range(4):
         rng = random.Random(seed)
         template = random_template(rng, rng.randint(8, 40))
         codes = [r[2] for r in template] + ["X1"]
         leaf = [(rng.choice(codes), rng.randint(1, 12), float(rng.randint(-100, 100))) for _ in range(200)]
         leaf.append(("A1", None, 7.0))
-        assert_same(sequential_values(template, leaf), spark_values(spark, template, leaf))
+        assert_same(expected_values(template, leaf), spark_values(spark, template, leaf))
+
+
+def test_long_chain_of_totals(spark):
+    template = [(i, "x", f"T{i}", f"T{i + 1}", None) for i in range(1, 151)] + [(0, "leaf", "A1", "T1", None)]
+    got = spark_values(spark, template, [("A1", 1, 2.0)])
+    assert got[("T150", "1")] == 2.0
+
+
+def test_template_rewritten_in_place(spark):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="dealbook-test-") + "/t"
+    leaf = spark.createDataFrame([("A1", 1, 10.0), ("A2", 1, 1.0)], LEAF_SCHEMA)
+    totals = []
+    for rows in ([(1, "a", "A1", "T1", None), (2, "t", "T1", None, None)],
+                 [(1, "a", "A1", "T1", None), (3, "b", "A2", "T1", None), (4, "t", "T1", None, None)]):
+        spark.createDataFrame(rows, TEMPLATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        template = spark.read.schema(TEMPLATE_SCHEMA).parquet(path)
+        got = statement.statement_values(spark, leaf, template).where("category = 'T1' and period = '1'").first()
+        totals.append(got.value)
+    assert totals == [10.0, 11.0]
 
 
 def test_root_equals_sum_of_leaves(spark, tables):

@@ -1,38 +1,27 @@
 """Property tests: functions against their specification / DuckDB on generated inputs."""
 
-import re
-
 import duckdb
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from dealbook import functions as D
-from dealbook.functions.text import RATIO_CODE_PATTERN
 from dealbook.operators.distinct import two_level_aggregate
 
 
-def spec_ratio_codes(text):
-    if not text or "/" not in text:
-        return []
-    return re.findall(RATIO_CODE_PATTERN, text.split("/", 1)[1])
-
-
-ratio_texts = st.one_of(
-    st.none(),
-    st.text(alphabet="AT0123456789/+- xZ", max_size=20),
-    st.lists(st.sampled_from(["A1", "T12", "B22", "x", "/", "+", "-", " ", "AB", "Q9Z", "A1/"]), max_size=8).map("".join),
-)
+RATIO_TEXTS = [
+    (None, []), ("", []), ("A1", []), ("A2/A1", ["A1"]), ("T12/A7+A8", ["A7", "A8"]), ("/T1", ["T1"]),
+    ("T13/A2+A5+A7+A8", ["A2", "A5", "A7", "A8"]), ("T1/T2/T3", ["T2", "T3"]), ("A1/ A2 - A2", ["A2", "A2"]),
+    ("A1/x9", []), ("A1/AB", []), ("A1/Q9Z", []), ("A1/Q9Z8", ["Q9Z8"]), ("A1/1A2", []), ("A1/", []), ("A1/A2x", []),
+]
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(ratio_texts, min_size=50, max_size=120))
-def test_ratio_codes_match_spec(spark, texts):
-    df = spark.createDataFrame([(t,) for t in texts], "r string")
-    got = [r[0] for r in df.select(D.ratio_codes("r")).collect()]
-    assert got == [spec_ratio_codes(t) for t in texts]
+def test_ratio_codes_of_known_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(RATIO_TEXTS)], "i int, r string")
+    got = {r.i: r.c for r in df.select("i", D.ratio_codes("r").alias("c")).collect()}
+    assert [got[i] for i in range(len(RATIO_TEXTS))] == [codes for _, codes in RATIO_TEXTS]
 
 
-@settings(max_examples=1, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.one_of(st.integers(-10**6, 10**6).map(lambda i: i / 200.0),
                           st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False)),
                 min_size=100, max_size=300))

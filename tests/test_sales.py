@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealbook.operators.joins import bounded_broadcast, left_join_spread_nulls
+from dealbook.operators.joins import left_join_null_bypass
 from dealbook.plans import sales
 
 ORDER_SCHEMA = ("order_id long, order_no string, state_code int, salesperson string, vin long, file_no long, "
@@ -84,7 +84,7 @@ def test_shares_sum_to_100(spark, tables):
 def test_null_keys_skip_the_join(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k long, v string")
     right = spark.createDataFrame([(1, True)], "k long, hit boolean")
-    out = sorted(left_join_spread_nulls(left, right, "k").collect(), key=lambda r: r.v)
+    out = sorted(left_join_null_bypass(left, right, "k").collect(), key=lambda r: r.v)
     assert [(r.v, r.hit) for r in out] == [("a", True), ("b", None), ("c", None)]
 
 
@@ -109,12 +109,24 @@ def test_years_newest_first(spark, tables):
     assert years == sorted(years, reverse=True) and None not in years
 
 
-def test_bounded_broadcast_checks_size(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "broadcast" in bounded_broadcast(small, 100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
-    plan = bounded_broadcast(big, 100).join(small, "id")._jdf.queryExecution().logical().toString().lower()
-    assert "resolvedhint" not in plan and "broadcast" not in plan
+def test_repeated_orders_null_and_hot_vins(spark):
+    """A third of the VINs is NULL, a third is one VIN, and each order id occurs twice."""
+    orders = [(i % 30, f"P{i}", 0, "ANA", None if i % 3 == 0 else 7 if i % 3 == 1 else i, None, "1997-05-01",
+               "1997-05-20", "x", 1, 1, 1, 0.0, 0) for i in range(60)]
+    schema = ("order_id long, order_no string, state_code int, salesperson string, vin long, file_no long, order_date_txt string, "
+              "notice_date_txt string, sale_type string, gp1 int, gp2 int, gp3 int, discount double, financed_amount int")
+    stock = spark.createDataFrame([(7, "1997-01-01"), (7, None), (5, "1997-01-01")], "vin long, d string").selectExpr(
+        "vin", "cast(d as date) as registration_date")
+    row = sales.salesperson_summary(spark.createDataFrame(orders, schema), stock, 1997, 5).collect()
+    plated = {i % 30 for i in range(60) if i % 3 == 1 or i == 5}
+    assert [(r.orders, r.sales, r.plated, r.pending, r.sum_gp1) for r in row] == [(30, 30, len(plated), 30, 60.0)]
+
+
+def test_reserved_pivot_names_are_refused(spark, tables):
+    import pytest
+
+    with pytest.raises(ValueError):
+        sales.type_pivot(tables.sales_orders, 1997, types=["LOW", "TOTAL"])
 
 
 def test_report_orders(spark, tables):

@@ -14,6 +14,11 @@ def _tmp():
     return tempfile.mkdtemp(prefix="dealbook-test-")
 
 
+def _lines(root):
+    return [ln for f in sorted(os.listdir(root)) if f.endswith(".txt")
+            for ln in open(os.path.join(root, f)).read().splitlines()]
+
+
 def test_ledger_files_aligned_by_name_and_corrupt_file_skipped(spark, tables):
     root = _tmp()
     raw = tables.ledger_raw.limit(40).cache()
@@ -33,8 +38,55 @@ def test_ledger_files_aligned_by_name_and_corrupt_file_skipped(spark, tables):
     by = {r.source_name: r for r in got}
     assert by[names[1]].c == 0 and by[names[0]].n == a.count()
     assert set(by) == set(names)
-    led = etl.transform_ledger(df)
-    assert led.where(F.col("company_code") == "").count() <= led.count()
+    assert [r.file_path.rsplit("/", 1)[1] for r in
+            landing.skipped_ledger_files(spark, os.path.join(root, "*.parquet")).collect()] == ["broken.parquet"]
+
+
+def test_csv_columns_go_by_name_and_bad_rows_are_reported(spark):
+    root = _tmp()
+    texts = {"A_MM011997_v1.xlsx.csv": "account,category,monthly_balance_txt,section\n6001,A1,1.5,1\n",
+             "B_MM021997_v1.xlsx.csv": "monthly_balance_txt,extra,category,account\n2.5,z,A2,6002\n9,z,A3,6003\n",
+             "C_MM031997_v1.xlsx.csv": "account,monthly_balance_txt,section\n6004,4.0,1\nbad,row\n6005,1.0,notanumber\n"}
+    for name, text in texts.items():
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(text)
+    schema = "account string, section int, category string, monthly_balance_txt string"
+    got = sorted((r.source_name, r.account, r.section, r.category, r.monthly_balance_txt)
+                 for r in landing.read_ledger_files(spark, root, "csv", schema).collect())
+    assert got == [("A_MM011997_v1.xlsx", "6001", 1, "A1", "1.5"), ("B_MM021997_v1.xlsx", "6002", None, "A2", "2.5"),
+                   ("B_MM021997_v1.xlsx", "6003", None, "A3", "9"), ("C_MM031997_v1.xlsx", "6004", 1, None, "4.0")]
+    bad = sorted((r.source_name, r.row) for r in landing.rejected_ledger_rows(spark, root, schema).collect())
+    assert bad == [("C_MM031997_v1.xlsx", "6005,1.0,notanumber"), ("C_MM031997_v1.xlsx", "bad,row")]
+
+
+def test_month_rows_add_up_to_the_total(spark, tables):
+    from dealbook.plans import statement
+
+    ledger = etl.transform_ledger(tables.ledger_raw, {"BalanceAlpha": "ALPHA MOTOR"})
+    long = statement.pnl_long(spark, ledger, tables.statement_template, "ALPHA MOTOR", 1997).collect()
+    assert "13" in {r.period for r in long}
+    for line in {r.category for r in long}:
+        months = sum(r.value for r in long if r.category == line and r.period != "Total")
+        assert abs(months - next(r.value for r in long if r.category == line and r.period == "Total")) < 0.01
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from types import SimpleNamespace
+
+    from dealbook.session import ensure_checkpoint_dir
+
+    far = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(far)
+
+
+def test_budget_source_names_are_renamed(spark):
+    raw = spark.createDataFrame([("A1", 5.0, 0.1, 1, "2024", "3", "c")],
+                                "cgib_categoria string, cgib_totalbase double, cgib_valorporcentaje double, "
+                                "cgib_empresa int, cgib_ano string, cgib_mes string, cgib_concepto string")
+    row = etl.transform_budget(raw).first()
+    assert (row.category, row.base_total, row.percent_value, row.company_code, row.concept, row.month_text) == (
+        "A1", 5.0, 0.1, 1, "c", "Marzo")
 
 
 def test_ledger_transform_rules(spark):
@@ -78,10 +130,13 @@ def test_delimited_export_format(spark):
     root = _tmp()
     df = spark.createDataFrame([("a;b", None, 1.5)], "x string, y string, z double")
     sinks.write_delimited(df, root)
-    lines = [ln for f in sorted(os.listdir(root)) if f.endswith(".csv")
-             for ln in open(os.path.join(root, f)).read().splitlines()]
-    assert set(ln for ln in lines if ln == "x;y;z") == {"x;y;z"}
-    assert [ln for ln in lines if ln != "x;y;z"] == ["a;b;;1.5"]
+    assert _lines(root) == ["a;b;;1.5"] and _lines(root + "/_header") == ["x;y;z"]
+
+
+def test_delimited_export_of_one_null_is_an_empty_line(spark):
+    root = _tmp()
+    sinks.write_delimited(spark.createDataFrame([(None,)], "x string"), root)
+    assert _lines(root) == [""]
 
 
 def test_overwrite_replaces_and_counts(spark, tables):
@@ -97,6 +152,9 @@ def test_nan_to_null_and_json(spark):
     assert [r.v for r in sinks.nan_to_null(df).orderBy("k").collect()] == [None, 2.0]
     js = [r.json for r in sinks.to_json_records(df).collect()]
     assert '{"k":1}' in js
+    nested = spark.createDataFrame([([1.0, float("nan")], (float("nan"), "x"))], "`a.b` array<double>, s struct<v:double,t:string>")
+    row = sinks.nan_to_null(nested).first()
+    assert row["a.b"] == [1.0, None] and tuple(row.s) == (None, "x")
 
 
 def test_template_sheet_types(spark, tables):
@@ -114,6 +172,12 @@ def test_guarded_select(spark, tables):
         adhoc.guarded_select(spark, "DROP VIEW so")
     with pytest.raises(ValueError):
         adhoc.guarded_select(spark, "SELECT * FROM no_such_table")
+    path = _tmp() + "/tgt"
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError):
+        adhoc.guarded_select(spark, f"WITH x AS (SELECT 9L AS id) INSERT INTO parquet.`{path}` SELECT id FROM x")
+    assert spark.read.parquet(path).count() == 3
+    assert adhoc.guarded_select(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x").count() == 1
     assert "so" in [r.name for r in tbl.list_tables(spark).collect()]
 
 
@@ -127,16 +191,5 @@ def test_partition_reload_replaces_only_its_year(spark):
     got = sorted((r.year, r.category) for r in spark.read.parquet(path).collect())
     assert got == [(1997, "A1"), (1997, "A2"), (1998, "A9")]
     pruned = spark.read.parquet(path).where(F.col("year") == 1997)
-    assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString() or \
-        pruned.count() == 2
-
-
-def test_spread_only_single_split_large_inputs(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
-    assert tbl.spread(small) is small                       # below the size floor
-    big = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
-    out = tbl.spread(big, min_bytes=1)
-    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert out.count() == big.count()
-    many = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism * 2)
-    assert tbl.spread(many, min_bytes=1) is many             # already parallel
+    assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count() == 2
