@@ -19,6 +19,11 @@ _LANDING_EXT = r"(?i)\.(csv|parquet|json|orc)$"
 REJECT = "_reject"
 
 
+def _decoded(path):
+    """A path of the file metadata without its URL escapes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def csv_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Header line -> files that start with it.
 
@@ -26,7 +31,7 @@ def csv_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
     per file; the result is file metadata, not data.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        _decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
     heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
     layouts: dict[str, list[str]] = {}
@@ -58,7 +63,7 @@ def _read_csv_by_name(spark: SparkSession, path: str, schema: StructType) -> Dat
             else:
                 cells.append(F.lit(None).cast(f.dataType).alias(f.name))
         text = F.coalesce(F.col(REJECT), F.when(bad, F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))))
-        folder = F.regexp_extract(F.url_decode("_metadata.file_path"), r"/source_name=([^/]*)/", 1)
+        folder = _decoded(F.regexp_extract(_decoded(F.col("_metadata.file_path")), r"/source_name=([^/]*)/", 1))
         name = F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), _LANDING_EXT, ""))
         df = df.select(*cells, F.when(name != "__HIVE_DEFAULT_PARTITION__", name).alias("source_name"), text.alias(REJECT))
         out = df if out is None else out.unionByName(df)
@@ -105,8 +110,8 @@ def skipped_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet") -
     """Files under ``path`` that gave no row (unreadable or empty): (file_path, bytes)."""
     every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.col("length").alias("bytes"))
     read = (spark.read.option("ignoreCorruptFiles", "true").format(fmt).load(path)
-            .select(F.url_decode("_metadata.file_path").alias("file_path")).distinct())
-    return every.withColumn("file_path", F.url_decode("file_path")).join(read, "file_path", "left_anti")
+            .select(_decoded(F.col("_metadata.file_path")).alias("file_path")).distinct())
+    return every.withColumn("file_path", _decoded(F.col("file_path"))).join(read, "file_path", "left_anti")
 
 
 def read_template_sheet(spark: SparkSession, path: str) -> DataFrame:
