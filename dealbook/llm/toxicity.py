@@ -25,7 +25,7 @@ FOLDS = 5
 #: An n-gram needs this many training documents; the classifier keeps the strongest.
 MIN_DOCUMENTS = 3
 MIN_STRENGTH = 6.0
-FEATURES = 20_000
+FEATURES = 4096
 SMOOTHING = 0.5
 PENALTY = 1e-3
 STEPS = 300
@@ -104,17 +104,38 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int
-                 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on the mean log loss, both labels of equal total weight."""
+#: (document, feature) pairs of one step of the fit: bounds its memory.
+PAIRS = 1 << 20
+
+
+def fit_logistic(lens: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on the mean log loss, both labels of equal total weight.
+
+    ``feature`` lists the features of all documents, ``lens`` how many each
+    has, ``ratio`` is the value of a feature where it is present. Documents go
+    through a step in slices of about PAIRS pairs.
+    """
+    n = ratio.size
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(n_features), 0.0
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    ends = np.cumsum(lens)
+    cuts = [0]
+    while cuts[-1] < y.size:
+        done = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + PAIRS, "right"))))
+    slices = [(a, min(b, y.size)) for a, b in zip(cuts[:-1], cuts[1:])]
+    w, b = np.zeros(n), 0.0
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, weights=value * w[feature], minlength=y.size) + b
-        error = weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(feature, weights=value * error[doc], minlength=n_features) + PENALTY * w,
-                         error.sum())
+        grad = np.append(PENALTY * w, 0.0)
+        scaled = w * ratio
+        for first, last in slices:
+            start = ends[first] - lens[first]
+            f = feature[start: ends[last - 1]]
+            doc = np.repeat(np.arange(last - first), lens[first:last])
+            z = np.bincount(doc, weights=scaled[f], minlength=last - first) + b
+            error = weight[first:last] * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[first:last])
+            grad[:n] += ratio * np.bincount(f, weights=error[doc], minlength=n)
+            grad[n] += error.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-12)
         w, b = w - move[:-1], b - move[-1]
@@ -173,10 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
 
     rows = (sample.mapInPandas(features, "doc_id long, label int, features binary").toPandas()
             .sort_values("doc_id", kind="stable"))
-    y = rows["label"].to_numpy()
-    feature = np.frombuffer(b"".join(rows["features"]), np.int32).astype(np.int64)
-    doc = np.repeat(np.arange(y.size), (rows["features"].str.len() // 4).to_numpy())
-    w, b = fit_logistic(doc, feature, r[feature], y, kept.size)
+    lens = (rows["features"].str.len() // 4).to_numpy()
+    w, b = fit_logistic(lens, np.frombuffer(b"".join(rows["features"]), np.int32), r, rows["label"].to_numpy())
     return Model(kept, w * r, b)
 
 
