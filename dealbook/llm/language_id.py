@@ -22,8 +22,7 @@ FILTERS = 24
 TRAIN_PER_LANGUAGE = 600
 #: Pieces of each training document, and their largest length in characters.
 PIECES, PIECE_CHARS = 4, 256
-EPOCHS = 6
-BATCH = 128
+BATCH, STEPS = 128, 480
 RATE = 0.004
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -101,16 +100,13 @@ class Network:
         rng = np.random.default_rng(seed)
         params = self.parameters()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(y))
-            for first in range(0, len(y), BATCH):
-                some = order[first: first + BATCH]
-                step += 1
-                for p, g, a, b in zip(params, self.gradients(x[some], y[some]), m, v):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= RATE * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)
+        order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-STEPS * BATCH // len(y)))])
+        for step in range(1, STEPS + 1):
+            some = order[(step - 1) * BATCH: step * BATCH]
+            for p, g, a, b in zip(params, self.gradients(x[some], y[some]), m, v):
+                a += 0.1 * (g - a)
+                b += 0.001 * (g * g - b)
+                p -= RATE * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """Log softmax of many windows; byte pairs share one table look-up."""
