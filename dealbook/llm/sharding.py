@@ -129,7 +129,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7,
     blocks = max(1, -(-rows // block_rows))
     # The place is a hash of the row, not of its position, so a retried scan gives it again.
     base = base.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
-    base = base.withColumn("block", F.pmod("place", F.lit(blocks)))
+    # Texts are read once; everything after works on these few numbers.
+    base = written(base.withColumn("block", F.pmod("place", F.lit(blocks))), "places")
     block_rows_df = base.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     matrix = communication_matrix(block_rows_df, blocks, shards, rows, seed).select(
         "block", F.transform("counts", lambda _, i: F.aggregate(
