@@ -31,6 +31,13 @@ SELECT o.o_orderkey AS order_id,
  CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE (o.o_orderkey % 10) / CAST(100 AS DOUBLE) END AS discount,
  CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(o.o_totalprice AS DECIMAL(18,2)) WHEN o.o_orderkey % 3 = 1 THEN 0 ELSE NULL END AS financed_amount
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+""",
+    # Orders as they come in practice: a third without a VIN, a third with one VIN, some entered twice.
+    "sales_orders_dirty": """
+SELECT order_id, order_no, state_code, salesperson,
+ CASE WHEN order_id % 3 = 0 THEN NULL WHEN order_id % 3 = 1 THEN 7 ELSE vin END AS vin,
+ file_no, order_date_txt, notice_date_txt, sale_type, gp1, gp2, gp3, discount, financed_amount
+FROM (SELECT *, 1 AS entry FROM {sales_orders} UNION ALL SELECT *, 2 AS entry FROM {sales_orders} WHERE order_id % 5 = 0) AS twice
 """,
     "vehicle_stock": """
 SELECT l_orderkey AS vin, CASE WHEN l_returnflag = 'N' THEN NULL ELSE CAST(l_shipdate AS DATE) END AS registration_date FROM {lineitem}
@@ -85,6 +92,7 @@ SELECT DISTINCT 1990 + o_orderkey % 41 AS year FROM {orders}
 
 FIXTURE_DEPS: dict[str, tuple[str, ...]] = {
     "sales_orders": ("orders", "customer", "nation"),
+    "sales_orders_dirty": ("sales_orders",),
     "vehicle_stock": ("lineitem",),
     "ledger": ("lineitem", "supplier", "nation", "region"),
     "ledger_raw": ("lineitem", "supplier", "nation", "region"),

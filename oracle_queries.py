@@ -28,7 +28,7 @@ def _period(col: str, year, month) -> str:
     return " AND ".join(parts) or "TRUE"
 
 
-def sales_summary(year=None, month=None) -> str:
+def sales_summary(year=None, month=None, orders: str = "sales_orders") -> str:
     """R1 from SURVEY section 2.4: period flags per order first, then filtered aggregates."""
     def mean(x: str) -> str:
         return _r2(f"CAST(SUM({x}) FILTER (WHERE noticed) AS DOUBLE) / NULLIF(COUNT({x}) FILTER (WHERE noticed), 0)")
@@ -40,11 +40,11 @@ def sales_summary(year=None, month=None) -> str:
         return _r2(f"COALESCE(SUM({x}) FILTER (WHERE noticed), 0)")
 
     profits = ",\n  ".join(f"{total(f'p{i}')} AS sum_gp{i}, {mean(f'p{i}')} AS avg_gp{i}" for i in (1, 2, 3))
-    return duckdb_cte(["sales_orders", "vehicle_stock"]) + f""",
+    return duckdb_cte([orders, "vehicle_stock"]) + f""",
 plates AS (SELECT vin, MAX(registration_date) AS plate_date FROM vehicle_stock GROUP BY vin),
 dated AS (
   SELECT *, TRY_CAST(order_date_txt AS DATE) AS ordered_on, TRY_CAST(notice_date_txt AS DATE) AS noticed_on
-  FROM sales_orders WHERE order_no IS NOT NULL AND state_code = 0
+  FROM {orders} WHERE order_no IS NOT NULL AND state_code = 0
 ),
 flagged AS (
   SELECT d.order_id, d.salesperson, d.file_no, d.financed_amount > 0 AS is_financed,
@@ -70,6 +70,7 @@ HAVING {count('ordered')} + {count('noticed')} > 0
 ORACLE: dict[str, str] = {}
 
 ORACLE["sales_summary_month"] = sales_summary(SALES_YEAR, SALES_MONTH) + "SELECT * FROM summary"
+ORACLE["sales_summary_dirty"] = sales_summary(SALES_YEAR, orders="sales_orders_dirty") + "SELECT * FROM summary"
 ORACLE["sales_summary_all"] = sales_summary() + "SELECT * FROM summary"
 ORACLE["sales_summary_totals"] = sales_summary(SALES_YEAR) + f"""
 SELECT salesperson, plated, uploaded, pending, orders, sales, sum_gp1, avg_gp1, sum_gp2, avg_gp2,
@@ -497,6 +498,8 @@ WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR} AND month IS NOT NULL
 ADHOC_SQL = ("SELECT COALESCE(salesperson, 'Sin asignar') AS salesperson, COUNT(*) AS active_orders "
              "FROM sales_orders WHERE state_code = 0 AND order_no IS NOT NULL "
              "GROUP BY salesperson ORDER BY active_orders DESC, salesperson LIMIT 50")
+PREVIEW_SQL = "SELECT order_id, salesperson, gp1 FROM sales_orders WHERE state_code = 0 ORDER BY gp1 DESC, order_id"
+ORACLE["adhoc_preview"] = duckdb_cte(["sales_orders"]) + PREVIEW_SQL + " LIMIT 50"
 ORACLE["adhoc_select"] = duckdb_cte(["sales_orders"]) + ADHOC_SQL
 
 _acct = "round_even(CAST(gp3 AS DOUBLE), 0)"
