@@ -31,6 +31,8 @@ SHARD_SEQUENCES = 8192
 #: Sequences that a task stores as one row: bounds its memory.
 ROW_SEQUENCES = 2048
 HEADER = 4
+#: Compression of sequences on their way to the shards.
+LEVEL = 6
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -62,7 +64,7 @@ def sequences(batches: Iterator[pd.DataFrame], name: str, length: int, row_seque
     """Cuts a partition's stream of documents into sequences; the last one of a row may be shorter."""
     import zstandard
 
-    enc, pack = encoder(name), zstandard.ZstdCompressor(level=3)
+    enc, pack = encoder(name), zstandard.ZstdCompressor(level=LEVEL)
     part = TaskContext.get().partitionId()
     first = 0
     held: list[np.ndarray] = []
@@ -111,7 +113,7 @@ def to_shards(batches: Iterator[pd.DataFrame], base: np.ndarray, n: int, length:
     """Splits each stored row by the shards of its sequences' slots."""
     import zstandard
 
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
     for pdf in batches:
         for part, first, count, raw, counts in zip(*(pdf[c] for c in ("part", "first", "n", "ids", "counts"))):
             slots = feistel(base[part] + first + np.arange(count), n, key)
