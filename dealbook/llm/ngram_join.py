@@ -32,6 +32,8 @@ WIDTH = 4
 PERCENT = 85
 #: Text bytes per fragment of the first cut (about six bytes make an n-gram).
 FRAGMENT_BYTES = 24_000_000
+#: Characters of text whose n-grams a task holds at a time.
+SLICE_CHARS = 6_000_000
 #: Sets in one block of a cluster, and fragments of the second cut.
 BLOCK_SETS = 1024
 FRAGMENTS = 8
@@ -62,6 +64,14 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return key(0x1234567), key(0x89ABCDE)
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut to about SLICE_CHARS characters of text each (one text at least)."""
+    for pdf in batches:
+        part = pdf["text"].str.len().fillna(0).cumsum() // SLICE_CHARS
+        for _, rows in pdf.groupby(part.to_numpy(), sort=True):
+            yield rows
+
+
 def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int) -> Iterator[pd.DataFrame]:
     """Per batch and fragment one row with the segments of the batch's distinct sets.
 
@@ -70,7 +80,7 @@ def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int) -> Ite
     Within a fragment 32 more bits tell n-grams apart; a rare clash only makes
     an n-gram look shared, which keeps a set for the exact steps.
     """
-    for pdf in batches:
+    for pdf in slices(batches):
         sets = shingle_sets(pdf["text"].tolist(), width)
         hi, lo = set_keys(sets)
         size = np.array([s.size for s in sets], dtype=np.int64)
@@ -125,12 +135,12 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
         names, first = np.unique(refs, return_index=True)
         keep = np.zeros(refs.size, dtype=bool)
         keep[first] = True
-        tokens = tokens[np.repeat(keep, lens)]
-        owner = np.repeat(np.searchsorted(names, refs[keep]), lens[keep]).astype(np.uint64)
-        both = np.sort((tokens.astype(np.uint64) << np.uint64(32)) | owner)
-        token = both >> np.uint64(32)
-        same = token[1:] == token[:-1]
-        common = np.zeros(token.size, dtype=bool)
+        # N-gram in the high half, set in the low half; sorted, equal n-grams lie side by side.
+        both = tokens[np.repeat(keep, lens)].astype(np.uint64) << np.uint64(32)
+        both |= np.repeat(np.searchsorted(names, refs[keep]), lens[keep]).astype(np.uint64)
+        both.sort()
+        same = (both[1:] ^ both[:-1]) >> np.uint64(32) == 0
+        common = np.zeros(both.size, dtype=bool)
         common[1:] |= same
         common[:-1] |= same
         counts = np.bincount((both[common] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=names.size)
@@ -142,7 +152,7 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
 
 def set_segments(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     """Per set and fragment of the second cut one row: its n-grams there."""
-    for pdf in batches:
+    for pdf in slices(batches):
         rows = []
         sets = shingle_sets(pdf["text"].tolist(), width)
         for ref, s in zip(set_keys(sets)[0].tolist(), sets):
