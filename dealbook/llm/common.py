@@ -24,9 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tasks(spark: SparkSession) -> int:
-    """Partitions for a shuffle whose work is heavier than its bytes tell."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows that go to a Python task at a time: whole texts are long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_ROWS rows, so a task holds few whole texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def _edge_digest(edges: DataFrame) -> tuple[int, int]:

@@ -24,16 +24,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealbook.llm.common import components, written
+from dealbook.llm.common import components, small_batches, written
 from dealbook.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Text bytes per fragment of the first cut (about six bytes make an n-gram).
-FRAGMENT_BYTES = 24_000_000
+FRAGMENT_BYTES = 16_000_000
 #: Characters of text whose n-grams a task holds at a time.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
+#: Documents per group that sums the fragments' shared counts.
+SUM_DOCS = 200_000
 #: Sets in one block of a cluster, and fragments of the second cut.
 BLOCK_SETS = 1024
 FRAGMENTS = 8
@@ -110,22 +112,22 @@ def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int) -> Ite
 
 
 SEGMENTS = "frag int, refs binary, sizes binary, lens binary, tokens binary, docs binary"
-SHARED = "kind int, doc_id long, hi long, lo long, n long, shared long"
+SHARED = "bucket int, doc_id long, hi long, lo long, n long, refs binary, sizes binary, shared binary"
 
 
-def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """One fragment: for each set how many of its n-grams lie in another set too (kind 1).
+def shared_counts(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """One fragment: for each set how many of its n-grams lie in another set too.
 
     Only segments of which at least half is shared are told. A set that can
     link at p percent has at most 100 - p percent of its n-grams unshared; its
     other segments have more unshared than shared n-grams, so they hold fewer
     shared ones than that, and the told segments add up to 2p - 100 percent or more.
-    Documents ride along as rows of kind 0.
+    The counts leave as one row of arrays per bucket of sets; documents ride
+    along as rows without a bucket.
     """
     docs = np.frombuffer(b"".join(rows["docs"]), np.int64).reshape(-1, 5)
-    out = [pd.DataFrame({"kind": 0, "doc_id": pd.array(docs[:, 0], dtype="Int64"), "hi": docs[:, 2],
-                         "lo": docs[:, 3], "n": docs[:, 4], "shared": 0})]
-    out[0].loc[docs[:, 1] == 0, "doc_id"] = pd.NA
+    out = [pd.DataFrame({"doc_id": pd.Series(docs[:, 0], dtype="Int64").where(docs[:, 1] == 1), "hi": docs[:, 2],
+                         "lo": docs[:, 3], "n": docs[:, 4]}).astype("Int64")]
     refs = np.frombuffer(b"".join(rows["refs"]), np.int64)
     if refs.size:
         size = np.frombuffer(b"".join(rows["sizes"]), np.uint32)
@@ -145,9 +147,26 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
         common[:-1] |= same
         counts = np.bincount((both[common] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=names.size)
         some = np.flatnonzero((counts > 0) & (2 * counts >= lens[first]))
-        out.append(pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * some.size, dtype="Int64"),
-                                 "hi": names[some], "lo": 0, "n": size[first][some], "shared": counts[some]}))
-    return pd.concat(out, ignore_index=True)
+        told, sizes, counts = names[some], size[first][some], counts[some].astype(np.uint32)
+        bucket = (told.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out.append(pd.DataFrame([
+            (b, told[at].tobytes(), sizes[at].tobytes(), counts[at].tobytes())
+            for b in range(buckets) if (at := order[cuts[b]: cuts[b + 1]]).size],
+            columns=["bucket", "refs", "sizes", "shared"]).astype({"bucket": "Int64"}))
+    columns = [c.split()[0] for c in SHARED.split(", ")]
+    return pd.concat(out, ignore_index=True).reindex(columns=columns).astype(
+        {c: "Int64" for c in ("bucket", "doc_id", "hi", "lo", "n")})
+
+
+def hopeful_sets(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Sums the shared counts of one bucket over the fragments; the sets that may still link."""
+    refs = np.frombuffer(b"".join(rows["refs"]), np.int64)
+    names, first, back = np.unique(refs, return_index=True, return_inverse=True)
+    size = np.frombuffer(b"".join(rows["sizes"]), np.uint32)[first].astype(np.int64)
+    shared = np.bincount(back, weights=np.frombuffer(b"".join(rows["shared"]), np.uint32), minlength=names.size)
+    return pd.DataFrame({"hi": names[100 * shared >= (2 * percent - 100) * size]})
 
 
 def set_segments(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -254,14 +273,15 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = int(max(1, -(-size // fragment_bytes)))
+    size, count = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    fragments, buckets = int(max(1, -(-(size or 0) // fragment_bytes))), max(1, -(-count // SUM_DOCS))
+    small_batches(spark)
     first = written(
         docs.mapInPandas(lambda it: segments(it, width, fragments), SEGMENTS)
-        .groupBy("frag").applyInPandas(shared_counts, SHARED), "shared")
-    sets = first.where("kind = 0").select("doc_id", "hi", "lo", "n")
-    hopeful = (first.where("kind = 1").groupBy("hi").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-               .where(F.col("shared") * 100 >= F.col("n") * (2 * percent - 100)).select("hi"))
+        .groupBy("frag").applyInPandas(lambda g: shared_counts(g, buckets), SHARED), "shared")
+    sets = first.where("bucket is null").select("doc_id", "hi", "lo", "n")
+    hopeful = (first.where("bucket is not null").select("bucket", "refs", "sizes", "shared")
+               .groupBy("bucket").applyInPandas(lambda g: hopeful_sets(g, percent), "hi long"))
     # One document of each set stands for it; ``ref`` is the key of the set.
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
     wanted = written(classes.join(hopeful, "hi").where("first is not null").select("first").distinct(), "hopeful")

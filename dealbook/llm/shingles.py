@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 # Bytes that go through the array operations together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _powers(n: int) -> np.ndarray:
