@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealbook.llm.common import written
+from dealbook.llm.common import small_batches, written
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 22
@@ -30,7 +30,7 @@ SMOOTHING = 0.5
 PENALTY = 1e-3
 STEPS = 300
 #: Characters handled together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MULT = np.uint32(0x9E3779B1)
 
 
@@ -72,9 +72,11 @@ def label_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [b for _, b in buckets([text])]
             if found:
                 counts[y, np.unique(np.concatenate(found))] += 1
-    some = np.flatnonzero(counts.any(axis=0))
-    yield pd.DataFrame({"bucket": some, "other": counts[0, some].astype(np.int64),
-                        "toxic": counts[1, some].astype(np.int64)})
+    for first in range(0, size, size // 32):
+        part = counts[:, first: first + size // 32]
+        some = np.flatnonzero(part.any(axis=0))
+        yield pd.DataFrame({"bucket": some + first, "other": part[0, some].astype(np.int64),
+                            "toxic": part[1, some].astype(np.int64)})
 
 
 class Model:
@@ -82,11 +84,14 @@ class Model:
 
     def __init__(self, kept: np.ndarray, weights: np.ndarray, intercept: float):
         self.kept, self.weights, self.intercept = kept, weights, intercept
+        self._place: np.ndarray | None = None  # feature of each bucket, built where it is used
 
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(document, feature) pairs of the kept n-grams that are present, each once."""
-        place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
-        place[self.kept] = np.arange(self.kept.size)
+        if self._place is None:
+            self._place = np.full(1 << BUCKET_BITS, -1, dtype=np.int16)
+            self._place[self.kept] = np.arange(self.kept.size)
+        place = self._place
         docs, feats = [], []
         for doc, bucket in buckets(texts):
             f = place[bucket]
@@ -99,9 +104,12 @@ class Model:
         return np.divmod(both, max(1, self.kept.size))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        doc, feature = self.hits(texts)
-        z = np.bincount(doc, weights=self.weights[feature], minlength=len(texts)) + self.intercept
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        z = np.zeros(len(texts))
+        for first in range(0, len(texts), 256):
+            doc, feature = self.hits(texts[first: first + 256])
+            part = z[first: first + 256]
+            part += np.bincount(doc, weights=self.weights[feature], minlength=part.size)
+        return 1.0 / (1.0 + np.exp(-np.clip(z + self.intercept, -30, 30)))
 
 
 #: (document, feature) pairs of one step of the fit: bounds its memory.
@@ -144,6 +152,7 @@ def fit_logistic(lens: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, folds: int = FOLDS) -> Model:
     """Fits the classifier on a bounded sample of the labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     labels = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
               .where("doc_id is not null and label in (0, 1)")
               .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
