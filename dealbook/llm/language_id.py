@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealbook.llm.common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 24
@@ -152,6 +154,7 @@ class Network:
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Network | None:
     """A network fitted on pieces of a bounded sample of the labelled texts outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
              .where("doc_id is not null and lang is not null and text is not null")
              .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT))

@@ -18,8 +18,8 @@ VOCABULARY = "byte_bpe_50k"
 #: Id that ends every document.
 END = 0
 #: Code points handled together, and words kept between chunks.
-CHUNK = 1 << 21
-CACHE_WORDS = 1_500_000
+CHUNK = 1 << 20
+CACHE_WORDS = 1_000_000
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 # The suffixes that the vocabulary's pattern splits off after an apostrophe, and its special token.
