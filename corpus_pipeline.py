@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dealbook.llm.common import table, written
 from dealbook.llm.language_id import known_language_documents
-from dealbook.llm.mixing import mixed_documents
+from dealbook.llm.mixing import KEPT_SHARE, mixed_documents
 from dealbook.llm.ngram_join import one_per_group
 from dealbook.llm.packing import pack
 from dealbook.llm.toxicity import clean_documents
@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics meet their target weights."""
-    return mixed_documents(docs)
+    return mixed_documents(docs, share=KEPT_SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

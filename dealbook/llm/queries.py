@@ -10,7 +10,7 @@ from dealbook.llm.common import table
 from dealbook.llm.html_extract import extract_main_text
 from dealbook.llm.language_id import identify_language
 from dealbook.llm.metric_join import NEAR_DUPLICATES_SQL, near_duplicates
-from dealbook.llm.mixing import mix_sources
+from dealbook.llm.mixing import KEPT_SHARE, mix_sources
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes
 from dealbook.llm.packing import pack
 from dealbook.llm.sharding import shuffle_into_shards
@@ -33,7 +33,7 @@ def queries() -> dict[str, Query]:
         "op7_hypergeometric_shards": lambda spark, d: shuffle_into_shards(table(spark, d, "documents")),
         "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
         "op9_ngram_jaccard_join": lambda spark, d: jaccard_classes(table(spark, d, "documents")),
-        "op10_mix_to_targets": lambda spark, d: mix_sources(table(spark, d, "documents")),
+        "op10_mix_to_targets": lambda spark, d: mix_sources(table(spark, d, "documents"), share=KEPT_SHARE),
     }
 
 

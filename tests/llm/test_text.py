@@ -141,6 +141,26 @@ def test_mixing_meets_its_targets(make_docs, clashing):
         str(None if np.isnan(i) else int(i)) for i in got[got.kept].doc_id.astype(float))
 
 
+@pytest.mark.parametrize("lang,source", [("en", "new"), (None, "a")])
+def test_one_stray_row_does_not_empty_the_sample(spark, make_docs, lang, source):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alphabet", "betabetabeta", "gammaray", "deltas"]) for _ in range(rng.randint(100, 140))),
+             rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "b", "c"])) for i in range(600)]
+    docs = make_docs(rows + [(5000, "alphabet " * 20, lang, source)])
+    kept = corpus_pipeline.mixing_stage(spark, docs, "").count()
+    assert 0.4 * len(rows) < kept
+    got = mix_sources(docs, share=0.5).toPandas()
+    assert got.probability.between(0, 1).all() and got.kept.sum() == kept
+    expected = got.probability * got.n_tokens
+    assert abs(expected.sum() / got.n_tokens.sum() - 0.5) < 1e-6
+    assert got.set_index("doc_id").probability[5000] > 0.999  # its target is more than it holds
+    for level in ("source", "lang"):  # the others share the rest as their targets say
+        size, have = got.n_tokens.groupby(got[level]).sum(), expected.groupby(got[level]).sum()
+        free = [v for v in size.index if v not in ("new", "")]
+        goal = size[free] ** TEMPER[level]
+        assert np.allclose(have[free] / have[free].sum(), goal / goal.sum(), atol=1e-4)
+
+
 def test_mixing_of_nothing(make_docs):
     assert mix_sources(make_docs([])).collect() == []
 
