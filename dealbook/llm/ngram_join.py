@@ -57,11 +57,13 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not lens.sum():
         return np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     flat = np.concatenate(sets)
-    starts = np.minimum(np.cumsum(lens) - lens, flat.size - 1)
+    some = np.flatnonzero(lens)  # reduceat knows no empty runs
+    starts = (np.cumsum(lens) - lens)[some]
 
     def key(salt):
-        total = np.add.reduceat(mix(flat + np.uint64(salt)), starts)
-        return mix(np.where(lens > 0, total, 0).astype(np.uint64) + lens.astype(np.uint64)).view(np.int64)
+        total = np.zeros(lens.size, dtype=np.uint64)
+        total[some] = np.add.reduceat(mix(flat + np.uint64(salt)), starts)
+        return mix(total + lens.astype(np.uint64)).view(np.int64)
 
     return key(0x1234567), key(0x89ABCDE)
 

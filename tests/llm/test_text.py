@@ -85,6 +85,14 @@ def test_jaccard_classes_equal_brute_force(make_docs, clashing, fragment_bytes,
     assert got == brute_classes(rows)
 
 
+def test_jaccard_classes_of_a_slice_that_ends_in_empty_texts(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, "other words stand in this text here"), (3, text), (4, ""), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(docs).collect())
+    assert got == sorted(brute_classes(rows)) and got[2] == (3, 4, 1)
+
+
 def test_jaccard_classes_of_nothing(make_docs):
     assert jaccard_classes(make_docs([])).collect() == []
 
