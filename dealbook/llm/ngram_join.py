@@ -287,8 +287,10 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # One document of each set stands for it; ``ref`` is the key of the set.
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
     wanted = written(classes.join(hopeful, "hi").where("first is not null").select("first").distinct(), "hopeful")
+    # A doc_id may have several rows, of one set or of many: a set's segments stay once.
     cut = written(docs.join(wanted, F.col("doc_id") == F.col("first")).select("text").mapInPandas(
-        lambda it: set_segments(it, width), "ref long, n long, frag int, tokens binary"), "segments")
+        lambda it: set_segments(it, width), "ref long, n long, frag int, tokens binary")
+        .dropDuplicates(["ref", "frag"]), "segments")
 
     # Exact frequency order among the remaining sets, rare first; the prefix needs only shared n-grams.
     tokens = cut.select("tokens", "ref", "n").mapInPandas(frequencies, "token long, ref long, n long")

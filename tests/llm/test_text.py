@@ -93,6 +93,14 @@ def test_jaccard_classes_of_a_slice_that_ends_in_empty_texts(spark):
     assert got == sorted(brute_classes(rows)) and got[2] == (3, 4, 1)
 
 
+def test_jaccard_classes_of_a_repeated_row_just_over_the_threshold(make_docs):
+    a = [f"w{i}" for i in range(103)]
+    b = a[:95] + [f"v{i}" for i in range(8)]  # 92 of 100 n-grams each are shared
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (1, " ".join(a)), (1, " ".join(a))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(make_docs(rows)).collect())
+    assert got == [(1, 100, 1)] * 3 + [(2, 100, 1)]
+
+
 def test_jaccard_classes_of_nothing(make_docs):
     assert jaccard_classes(make_docs([])).collect() == []
 
