@@ -15,6 +15,9 @@ from dealbook.llm.ngram_join import one_per_group
 from dealbook.llm.packing import pack
 from dealbook.llm.toxicity import clean_documents
 
+#: Near-duplicates: word n-grams of this width, and the least Jaccard similarity in percent.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays near chance."""
@@ -28,7 +31,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near-duplicates."""
-    return one_per_group(docs)
+    return one_per_group(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

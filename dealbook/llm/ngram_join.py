@@ -338,7 +338,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")))
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stand for their group (component), with its own columns.
 
     Of rows that repeat a kept doc_id one stays; rows with a null doc_id all stay.
@@ -346,7 +346,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     mark = "kept"
     while mark in docs.columns:
         mark += "_"
-    classes = (jaccard_classes(docs).where("doc_id is not null").groupBy("doc_id")
+    classes = (jaccard_classes(docs, width, percent).where("doc_id is not null").groupBy("doc_id")
                .agg(F.max(F.col("doc_id") == F.col("component_id")).alias(mark), F.count(F.lit(1)).alias("n")))
     marks = written(classes.where((F.col("n") > 1) | ~F.col(mark)).select("doc_id", mark), "marks")
     marked = docs.join(marks, "doc_id", "left").select(*docs.columns, mark)

@@ -123,6 +123,15 @@ def test_one_document_of_each_group_stays(make_docs, clashing):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
 
 
+def test_near_duplicate_stage_compares_five_words_at_80_percent(spark, make_docs):
+    words = [f"w{i}" for i in range(229)]
+    changed = [w + "x" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words + [f"v{i}" for i in range(40)])),
+            (4, " ".join(f"u{i}" for i in range(50)))]
+    kept = corpus_pipeline.near_duplicate_stage(spark, make_docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 def test_mixing_meets_its_targets(make_docs, clashing):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alphabet", "betabetabeta", "gammaray", "deltas", "x"]) for _ in range(rng.randint(0, 60))),
