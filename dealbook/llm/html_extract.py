@@ -21,6 +21,9 @@ from dealbook.llm.labelled_pages import LABEL_ATTRIBUTE, labelled_pages
 #: Elements whose content is never text of the page.
 SKIPPED = {"script", "style", "head", "title", "template", "noscript", "svg", "math", "iframe", "object", "canvas",
            "audio", "video", "select", "textarea"}
+#: All that may stand in a head; any other start tag or text ends one without an end tag.
+HEAD_CONTENT = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "title", "noscript", "noframes", "style",
+                "script", "template"}
 #: Elements inside a block; all others end the block before and after them.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font",
           "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
@@ -39,10 +42,14 @@ STEPS, RATE, PENALTY = 250, 0.1, 3e-4
 
 
 class Blocks(HTMLParser):
-    """Collects a page's leaf blocks: (path, text, characters within links, label)."""
+    """Collects a page's leaf blocks: (path, text, characters within links, label).
 
-    def __init__(self):
+    Labels are those of the training pages; without ``labelled`` all are 0.
+    """
+
+    def __init__(self, labelled: bool = True):
         super().__init__(convert_charrefs=True)
+        self.labelled = labelled
 
     def read(self, html: str) -> list[tuple[tuple, str, int, int]]:
         self.reset()
@@ -71,7 +78,13 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_CONTENT:
+            self.end_head()
         if tag == "body" and self.skip:  # a head without an end tag
             self.pop_to(next(i for i, e in enumerate(self.stack) if e[0] in SKIPPED))
         if tag not in INLINE:
@@ -91,8 +104,8 @@ class Blocks(HTMLParser):
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 words += " " + value
-            elif key == LABEL_ATTRIBUTE:
-                label = int(value)
+            elif self.labelled and key == LABEL_ATTRIBUTE:
+                label = int(value == "1")
         self.stack.append((tag, words, label))
         self.skip += tag in SKIPPED
         self.links += tag == "a"
@@ -113,6 +126,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if self.skip:
             return
         if self.path is None:
@@ -281,7 +296,7 @@ def extract_main_text(pages: DataFrame, field: Field | None = None) -> DataFrame
 
     @F.pandas_udf("string")
     def extract(htmls: pd.Series) -> pd.Series:
-        reader = Blocks()
+        reader = Blocks(labelled=False)
         return pd.Series([main_text(h, field, reader) for h in htmls], dtype=object)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", extract("html").alias("text"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import random
 
-LABEL_ATTRIBUTE = "data-main"
+#: A control character may not stand in an attribute's name, so no page of the web has this one.
+LABEL_ATTRIBUTE = "\x01main"
 
 _SYLLABLES = ("ba ko ri ten mo sul ka ver no lin da per to mi gra chu el on ur as ent tion ing").split()
 # Containers and the class or id names that sites give them; '' is a bare element.

@@ -240,6 +240,15 @@ def test_extraction_of_known_pages(field, page, text):
     assert html_extract.main_text(page, field, html_extract.Blocks()) == text
 
 
+@pytest.mark.parametrize("head", [
+    "<html><head><script data-main='js/app' src='require.js'></script></head><body>",
+    "<html><head><title>T</title>", "<head><meta charset=utf-8><title>T</title><link rel=x href=y>"])
+def test_extraction_of_real_heads(field, head):
+    page = head + "<article><h1>Title here</h1><p>One two three, four five.</p></article>"
+    for reader in (html_extract.Blocks(), html_extract.Blocks(labelled=False)):
+        assert html_extract.main_text(page, field, reader) == "Title here\n\nOne two three, four five."
+
+
 def test_language_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify_language(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
