@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealbook.llm.common import components, written
 
@@ -27,18 +28,14 @@ MAX_PIVOTS = 2048
 SLACK = 1e-4
 
 
-def normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Valid vectors as bytes: the raw doubles and their length."""
-    for pdf in batches:
-        ids, raw = [], []
-        for vec_id, vec in zip(pdf["vec_id"], pdf["embedding"]):
-            if vec is None or pd.isna(vec_id):
-                continue
-            x = np.asarray(vec, dtype=np.float64) + 0.0  # -0.0 becomes 0.0
-            if x.size and np.isfinite(x).all() and x.any():
-                ids.append(int(vec_id))
-                raw.append(x.tobytes())
-        yield pd.DataFrame({"vec_id": np.array(ids, dtype=np.int64), "vec": raw})
+@F.pandas_udf(T.BinaryType())
+def normalised(vectors: pd.Series) -> pd.Series:
+    """The raw doubles of valid vectors as bytes, null for the others."""
+    raw = []
+    for vec in vectors:
+        x = np.empty(0) if vec is None else np.asarray(vec, dtype=np.float64) + 0.0  # -0.0 becomes 0.0
+        raw.append(x.tobytes() if x.size and np.isfinite(x).all() and x.any() else None)
+    return pd.Series(raw, dtype=object)
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -141,12 +138,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     components and those with a null id link with nothing; neither do vectors of different
     lengths. Equal vectors are joined as one row with a count, so copies cost
     no pairs, and link with each other. Rows that repeat an id are vectors of
-    their own in n_links and one node in component_id. Other columns are not read.
+    their own in n_links and one node in component_id; so one without a valid
+    vector has no links and lies in the component of its id. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
-    valid = written(rows.where("not exists(embedding, x -> x is null)")
-                    .mapInPandas(normalised, "vec_id long, vec binary"), "vectors")
+    whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
+    rows = written(rows.select("vec_id", normalised(whole).alias("vec")), "vectors")
+    valid = rows.where("vec_id is not null and vec is not null")
     reps = valid.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps.withColumn("place", F.shiftrightunsigned(F.xxhash64("vec"), 1)), "distinct")
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
@@ -178,8 +177,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                .select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                        F.coalesce("component", "rep").alias("component")))
     own = valid.join(per_rep, "vec").select("vec_id", "n_links", "component")
-    rest = (rows.select("vec_id").join(valid.select("vec_id").distinct(), "vec_id", "left_anti")
-            .select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component")))
+    rest = rows.where("vec_id is null or vec is null").select("vec_id")
+    same = (own.join(rest.distinct(), "vec_id", "left_semi")
+            .groupBy("vec_id").agg(F.min("component").alias("component")))
+    rest = rest.join(same, "vec_id", "left").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
     return own.unionByName(rest).select(
         "vec_id", F.col("n_links").cast("long"), F.col("component").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"))

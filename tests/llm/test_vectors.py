@@ -52,6 +52,12 @@ def test_metric_join_equals_brute_force(spark, clashing, block, pivots):
     assert got == brute_links(rows)
 
 
+def test_metric_join_keeps_the_invalid_rows_of_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, None, 0), (2, [0.0, 0.0], 0), (2, [float("nan"), 1.0], 0), (3, None, 0)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True)] + [(2, 0, 1, False)] * 3 + [(2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_metric_join_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
