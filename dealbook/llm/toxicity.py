@@ -25,7 +25,7 @@ FOLDS = 5
 #: An n-gram needs this many training documents; the classifier keeps the strongest.
 MIN_DOCUMENTS = 3
 MIN_STRENGTH = 6.0
-FEATURES = 4096
+FEATURES = 20_000
 SMOOTHING = 0.5
 PENALTY = 1e-3
 STEPS = 300

@@ -301,6 +301,16 @@ def test_toxicity_of_held_out_texts(spark, make_docs):
     assert np.allclose(together, alone) and together[3] > 0.5 and ((0 <= together) & (together <= 1)).all()
 
 
+def test_toxicity_keeps_every_strong_ngram(spark, make_docs):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000)) for _ in range(2)]
+    docs = make_docs([(i, texts[i % 2]) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = [{int(b) for _, part in toxicity.buckets([t]) for b in part} for t in texts]
+    strong = found[0] ^ found[1]  # those of both texts say nothing
+    assert len(strong) > 4096 and set(toxicity.train(docs, labels).kept.tolist()) == strong
+
+
 def test_toxicity_with_one_label(spark, make_docs):
     docs = make_docs([(i, f"text {i}") for i in range(12)] + [(None, None)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(3, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
