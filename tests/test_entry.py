@@ -24,6 +24,10 @@ def test_every_query_has_an_oracle():
     assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_oracle_is_a_text():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else v
