@@ -14,6 +14,7 @@ from dealbook.llm.mixing import KEPT_SHARE, mix_sources
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes
 from dealbook.llm.packing import pack
 from dealbook.llm.sharding import shuffle_into_shards
+from dealbook.llm.substring_dedup import REMOVE_REPEATS_SQL, remove_repeats
 from dealbook.llm.toxicity import score_toxicity
 from dealbook.llm.training_order import materialise
 from dealbook.llm.topk_search import TOP_K_SQL, top_k_search
@@ -34,9 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
         "op9_ngram_jaccard_join": lambda spark, d: jaccard_classes(table(spark, d, "documents")),
         "op10_mix_to_targets": lambda spark, d: mix_sources(table(spark, d, "documents"), share=KEPT_SHARE),
+        "op11_fm_index_substrings": lambda spark, d: remove_repeats(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_metric_range_join": NEAR_DUPLICATES_SQL, "op6_exact_top_k": TOP_K_SQL,
-            "op9_ngram_jaccard_join": JACCARD_SQL}
+            "op9_ngram_jaccard_join": JACCARD_SQL,
+            "op11_fm_index_substrings": REMOVE_REPEATS_SQL}

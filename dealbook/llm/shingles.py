@@ -36,8 +36,8 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(1 << 12)
 
 
-def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, start positions and byte lengths of the words in a byte array."""
+def words_of(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start positions and byte lengths of the words in a byte array; ``fold`` lower-cases A-Z first."""
     none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     if raw.size == 0:
         return none
@@ -46,7 +46,7 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     if starts.size == 0:
         return none
-    low = _BYTE_HASH[_LOWER[raw]]
+    low = _BYTE_HASH[_LOWER[raw] if fold else raw]
     length = ends - starts
     if length.max() < _POWERS.size:
         # Position of each byte in its word picks its multiplier, so equal words hash alike everywhere.
