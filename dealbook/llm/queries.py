@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from dealbook.llm.common import table
 from dealbook.llm.html_extract import extract_main_text
 from dealbook.llm.language_id import identify_language
+from dealbook.llm.lexical_search import RANKED_SEARCH_SQL, ranked_search
 from dealbook.llm.metric_join import NEAR_DUPLICATES_SQL, near_duplicates
 from dealbook.llm.mixing import KEPT_SHARE, mix_sources
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes
 from dealbook.llm.packing import pack
+from dealbook.llm.periodic_runs import run_digests
 from dealbook.llm.sharding import shuffle_into_shards
-from dealbook.llm.substring_dedup import REMOVE_REPEATS_SQL, remove_repeats
+from dealbook.llm.substring_dedup import REMOVE_REPEATS_SQL, kept_digests
 from dealbook.llm.toxicity import score_toxicity
 from dealbook.llm.training_order import materialise
 from dealbook.llm.topk_search import TOP_K_SQL, top_k_search
@@ -35,11 +37,15 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": lambda spark, d: pack(table(spark, d, "documents")),
         "op9_ngram_jaccard_join": lambda spark, d: jaccard_classes(table(spark, d, "documents")),
         "op10_mix_to_targets": lambda spark, d: mix_sources(table(spark, d, "documents"), share=KEPT_SHARE),
-        "op11_fm_index_substrings": lambda spark, d: remove_repeats(table(spark, d, "documents")),
+        "op11_fm_index_substrings": lambda spark, d: kept_digests(table(spark, d, "documents")),
+        "op12_aho_corasick_search": lambda spark, d: ranked_search(
+            table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op13_suffix_automaton_runs": lambda spark, d: run_digests(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_metric_range_join": NEAR_DUPLICATES_SQL, "op6_exact_top_k": TOP_K_SQL,
             "op9_ngram_jaccard_join": JACCARD_SQL,
-            "op11_fm_index_substrings": REMOVE_REPEATS_SQL}
+            "op11_fm_index_substrings": REMOVE_REPEATS_SQL,
+            "op12_aho_corasick_search": RANKED_SEARCH_SQL}

@@ -21,7 +21,6 @@ very many documents reaches its shard once a slice, not once a document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,21 +265,18 @@ def _cover(n: int, start: np.ndarray, windows: np.ndarray, window: int) -> np.nd
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_words(batches: Iterator[pd.DataFrame], window: int, with_text: bool) -> Iterator[pd.DataFrame]:
+def remove_words(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, text, start, windows in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["windows"]):
+        for text, start, windows in zip(pdf["text"], pdf["starts"], pdf["windows"]):
             words = [] if text is None else text.encode("utf-8", "surrogatepass").split()
             kept = words
             if start is not None and len(start):
                 gone = _cover(len(words), np.asarray(start), np.asarray(windows), window)
                 kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
-            joined = b" ".join(kept)
-            rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
-                        + ((joined.decode("utf-8", "surrogatepass"),) if with_text else ()))
-        columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-        out = pd.DataFrame(rows, columns=columns)
-        out["doc_id"] = pd.array(pdf["doc_id"].tolist(), dtype="Int64")
+            rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
+        out.insert(0, "doc_id", pd.array(pdf["doc_id"].tolist(), dtype="Int64"))
         yield out
 
 
@@ -310,12 +306,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             .mapInPandas(lambda b: search_shards(b, window), REPEATED))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     """Documents without the words of repeated windows.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and, on demand, kept_text:
-    one row per row of ``docs``, which needs doc_id and text; other columns are
-    ignored. Words are separated by space and 0x09-0x0D and otherwise
+    Returns doc_id, n_words, n_removed and kept_text (the words that stay,
+    joined by one space): one row per row of ``docs``, which needs doc_id and
+    text; other columns are ignored. Words are separated by space and 0x09-0x0D and otherwise
     unchanged; a null, empty or blank text has none, and a document with fewer
     words than a window keeps all. Rows of one doc_id count as one document:
     windows of the same start tie, so equal rows get equal results. A null
@@ -330,10 +326,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     rows = docs.select("doc_id", "text").withColumns({
         "known": F.col("doc_id").isNotNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
         "mark": F.xxhash64("text")})
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return (rows.join(found, ["known", "id", "mark"], "left")
             .select("doc_id", "text", "starts", "windows")
-            .mapInPandas(lambda b: remove_words(b, window, with_text), out))
+            .mapInPandas(lambda b: remove_words(b, window),
+                         "doc_id long, n_words long, n_removed long, kept_text string"))
+
+
+def kept_digests(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` with the SHA-256 of each kept text in its place."""
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed",
+                                       F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 REMOVE_REPEATS_SQL = r"""

@@ -31,7 +31,8 @@ def brute(rows, window=20):
 
 
 def got(df, **how):
-    return sorted((tuple(r)[:4] for r in remove_repeats(df.select("doc_id", "text"), **how).collect()), key=str)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return sorted(((*r[:3], sha(r.kept_text)) for r in remove_repeats(df, **how).collect()), key=str)
 
 
 def corpus(seed=1, n=60):
@@ -95,9 +96,11 @@ def test_null_empty_repeated_clashing_and_very_long(make_docs, clashing):
     assert remove_repeats(make_docs([])).collect() == []
 
 
-def test_kept_text_is_returned_on_demand(make_docs):
+def test_kept_text_is_returned_and_digested(make_docs):
     line = " ".join(f"q{j}" for j in range(25))
-    out = {r.doc_id: r.kept_text for r in remove_repeats(make_docs([line, "a " + line + " b"]), with_text=True).collect()}
+    docs = make_docs([line, "a " + line + " b"])
+    assert sorted(tuple(r) for r in sd.kept_digests(docs).collect()) == brute([(0, line), (1, "a " + line + " b")])
+    out = {r.doc_id: r.kept_text for r in remove_repeats(docs).collect()}
     assert out == {0: line, 1: "a b"}
 
 
