@@ -6,14 +6,18 @@ is repeated, and every word under a repeated window is removed.
 
 Work is cut by content, so each index sees all it has to compare:
 
-1. Consecutive windows with the same least GRAM-word hash form a segment; equal
-   windows have the same least hash, so they meet in the same shard. A hash that
-   very many segments have is told beforehand, and its windows go out one by
-   one under the hash of all their words, so no shard grows with it.
-2. Each shard indexes its distinct segments (Burrows-Wheeler transform in a
+1. Equal texts are told by their hash: all but the one of smallest id repeat as
+   a whole, and only that one goes on.
+2. Consecutive windows with the same least GRAM-word hash form a segment; equal
+   windows have the same least hash, so they meet in the same shard. The hashes
+   are counted first. One that a single segment has cannot repeat, so that
+   segment stays where it is. One that very many have is hot, and its windows
+   go out one by one under the hash of all their words, so no shard grows with
+   it.
+3. Each shard indexes its distinct segments (Burrows-Wheeler transform in a
    wavelet tree) and streams them through: backward search gives for every
    window the interval of its occurrences, and with it the earliest.
-3. The repeated windows go back to their documents.
+4. The repeated windows go back to their documents.
 
 Copies of a segment within a slice of texts are settled there, so a passage of
 very many documents reaches its shard once a slice, not once a document.
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealbook.llm.common import small_batches
+from dealbook.llm.common import small_batches, written
 from dealbook.llm.fm_index import earliest
 from dealbook.llm.shingles import mix
 from dealbook.llm.words import Words, rolled, slices, sliding_min
@@ -51,18 +55,21 @@ REPEATED = "known boolean, id long, mark long, start long, windows long"
 
 
 class Segments:
-    """The segments of a slice of documents.
+    """The segments of a slice of documents; those whose least hash is in ``shared`` if that is given.
 
-    ``first`` is a segment's first word in ``words``; ``windows`` counts its
+    ``shared`` holds sorted hashes for each text. ``first`` is a segment's first word in ``words``; ``windows`` counts its
     windows; ``gram`` is the least hash and ``key`` identifies its words.
     """
 
-    def __init__(self, texts, window: int, gram: int, hot: np.ndarray):
+    def __init__(self, texts, window: int, gram: int, hot: np.ndarray, shared: list[np.ndarray] | None = None):
         self.words = w = Words(texts)
         last = w.cut[1:][w.text] - window
         at = np.flatnonzero(np.arange(len(w)) <= last)
-        full = rolled(w.hash, window)[at]
         least = sliding_min(mix(rolled(w.hash, gram)), window - gram + 1)[at]
+        if shared is not None:
+            keep = _among(least, w.text[at], shared)
+            at, least = at[keep], least[keep]
+        full = rolled(w.hash, window)[at]
         begin = np.ones(at.size, dtype=bool)
         begin[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
         if hot.size:
@@ -82,13 +89,31 @@ class Segments:
         self.key = mix(full[run] + mix(full[run + self.windows - 1] ^ self.windows.astype(np.uint64)))
 
 
-def gram_counts(batches: Iterator[pd.DataFrame], window: int, gram: int) -> Iterator[pd.DataFrame]:
-    """How many distinct segments of each slice each least hash has."""
+def _among(values: np.ndarray, text: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which values lie in the set of their text; values come text by text."""
+    out = np.zeros(values.size, dtype=bool)
+    cuts = np.searchsorted(text, np.arange(len(sets) + 1))
+    for k, own in enumerate(sets):
+        if own.size and cuts[k] < cuts[k + 1]:
+            part = values[cuts[k]: cuts[k + 1]]
+            slot = np.minimum(np.searchsorted(own, part), own.size - 1)
+            out[cuts[k]: cuts[k + 1]] = own[slot] == part
+    return out
+
+
+def document_grams(batches: Iterator[pd.DataFrame], window: int, gram: int) -> Iterator[pd.DataFrame]:
+    """The least hashes of the segments of each text (by its mark), with how many of its segments have them."""
     for pdf in slices(batches):
+        pdf = pdf.drop_duplicates("mark")
         s = Segments(pdf["text"].tolist(), window, gram, np.empty(0, np.uint64))
-        _, one = np.unique(s.key, return_index=True)
-        grams, n = np.unique(s.gram[one], return_counts=True)
-        yield pd.DataFrame({"gram": grams.view(np.int64), "n": n.astype(np.int64)})
+        # Text by text, so that the marks compress.
+        order = np.lexsort((s.gram, s.text))
+        text, grams = s.text[order], s.gram[order]
+        fresh = np.ones(order.size, dtype=bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])
+        at = np.flatnonzero(fresh)
+        yield pd.DataFrame({"gram": grams[at].view(np.int64), "mark": pdf["mark"].to_numpy().astype(np.int64)[text[at]],
+                            "n": np.diff(np.append(at, order.size))})
 
 
 def _pack(meta: np.ndarray) -> bytes:
@@ -128,7 +153,8 @@ def cut_segments(batches: Iterator[pd.DataFrame], window: int, gram: int, shards
     import zstandard
 
     for pdf in slices(batches):
-        s = Segments(pdf["text"].tolist(), window, gram, hot)
+        shared = [np.sort(np.asarray(g, dtype=np.int64).view(np.uint64)) for g in pdf["grams"]]
+        s = Segments(pdf["text"].tolist(), window, gram, hot, shared)
         if not s.first.size:
             continue
         known = pdf["doc_id"].notna().to_numpy()
@@ -268,10 +294,12 @@ def _cover(n: int, start: np.ndarray, windows: np.ndarray, window: int) -> np.nd
 def remove_words(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for text, start, windows in zip(pdf["text"], pdf["starts"], pdf["windows"]):
+        for text, copy, start, windows in zip(pdf["text"], pdf["copy"], pdf["starts"], pdf["windows"]):
             words = [] if text is None else text.encode("utf-8", "surrogatepass").split()
             kept = words
-            if start is not None and len(start):
+            if copy:
+                kept = words if len(words) < window else []
+            elif start is not None and len(start):
                 gone = _cover(len(words), np.asarray(start), np.asarray(windows), window)
                 kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
@@ -280,28 +308,40 @@ def remove_words(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
         yield out
 
 
-def _hot_grams(docs: DataFrame, window: int, gram: int, least: int) -> np.ndarray:
-    """Hashes that ``least`` segments or more have, sorted; at most bytes / ``least`` of them."""
-    counts = docs.select("text").mapInPandas(lambda b: gram_counts(b, window, gram), "gram long, n long")
-    hot = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["gram"] for r in hot.select("gram").collect()], dtype=np.int64).view(np.uint64))
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, mark (hash of the text) and copy: whether an equal text has a smaller id (null the largest)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    firsts = rows.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    return rows.join(firsts, "mark").select("doc_id", "text", "mark",
+                                            (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("copy"))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
+def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW, gram: int = GRAM,
                      hot_segments: int = HOT_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Stretches of windows that also start earlier: (known, id, mark, start, windows).
 
-    ``id`` is the doc_id (0 and ``known`` false for null), ``mark`` the hash of
-    the row's text, ``start`` the first window's first word.
+    ``rows`` are those of ``_marked(docs)``; copies take no part. ``id`` is the
+    doc_id (0 and ``known`` false for null), ``start`` the first window's
+    first word.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("text is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hot = _hot_grams(docs, window, gram, max(hot_segments, size // HOT_PART))
+    grams = written(docs.select("text", F.xxhash64("text").alias("mark"))
+                    .mapInPandas(lambda b: document_grams(b, window, gram), "gram long, mark long, n long"), "grams")
+    stats = grams.groupBy("gram").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.max("n").alias("most"),
+                                      F.sum("n").alias("n")).where("lo <> hi or most > 1")
+    stats = written(stats.select("gram", "n"), "shared-grams")
+    # At most size / least entries, see HOT_PART.
+    least = max(hot_segments, size // HOT_PART)
+    hot = np.sort(np.array([r["gram"] for r in stats.where(F.col("n") >= least).select("gram").collect()],
+                           dtype=np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(hot)
     shards = -(-size // shard_bytes) or 1
-    cut = docs.mapInPandas(lambda b: cut_segments(b, window, gram, shards, hot.value), CUT)
+    shared = (grams.join(stats.select("gram"), "gram", "left_semi")
+              .groupBy("mark").agg(F.collect_set("gram").alias("grams")))
+    cut = (rows.join(shared, "mark").where("not copy").select("doc_id", "text", "mark", "grams")
+           .mapInPandas(lambda b: cut_segments(b, window, gram, shards, hot.value), CUT))
     return (cut.repartition("shard").sortWithinPartitions("shard")
             .mapInPandas(lambda b: search_shards(b, window), REPEATED))
 
@@ -311,23 +351,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
 
     Returns doc_id, n_words, n_removed and kept_text (the words that stay,
     joined by one space): one row per row of ``docs``, which needs doc_id and
-    text; other columns are ignored. Words are separated by space and 0x09-0x0D and otherwise
-    unchanged; a null, empty or blank text has none, and a document with fewer
+    text; other columns are ignored. Words are separated by space and 0x09-0x0D
+    and otherwise unchanged; a null, empty or blank text has none, and a document with fewer
     words than a window keeps all. Rows of one doc_id count as one document:
     windows of the same start tie, so equal rows get equal results. A null
-    doc_id comes after all others. Results are whole at any text
-    length; copies of a segment are told by 64-bit hashes, windows of different
-    segments by their words. An empty table gives an empty one.
+    doc_id comes after all others. Results are whole at any text length; equal
+    texts and copies of a segment are told by 64-bit hashes, windows of
+    different segments by their words. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    found = (repeated_windows(docs, window, **how)
-             .groupBy("known", "id", "mark")
+    rows = _marked(docs)
+    found = (repeated_windows(docs, rows, window, **how).groupBy("mark")
              .agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows")))
-    rows = docs.select("doc_id", "text").withColumns({
-        "known": F.col("doc_id").isNotNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "mark": F.xxhash64("text")})
-    return (rows.join(found, ["known", "id", "mark"], "left")
-            .select("doc_id", "text", "starts", "windows")
+    return (rows.join(found, "mark", "left").select("doc_id", "text", "copy", "starts", "windows")
             .mapInPandas(lambda b: remove_words(b, window),
                          "doc_id long, n_words long, n_removed long, kept_text string"))
 

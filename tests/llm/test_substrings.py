@@ -72,6 +72,9 @@ def test_slices_settle_and_shards_compact_alike(make_docs, monkeypatch):
     df = make_docs([(i, t, "en", "s") for i, t in rows], parts=4).cache()
     assert got(df) == want
     parts = [pdf for pdf in [df.toPandas().assign(mark=lambda p: p["doc_id"])]]
+    parts[0]["grams"] = [np.concatenate([np.empty(0, np.int64), *(g.to_numpy() for g in own)])
+                         for own in [[pdf.loc[pdf["mark"] == d, "gram"] for pdf in sd.document_grams(iter(parts), 20, 5)]
+                                     for d in parts[0]["mark"]]]
     for chars, room in ((50, 200), (2_000_000, 1)):
         monkeypatch.setattr("dealbook.llm.words.SLICE_CHARS", chars)
         monkeypatch.setattr(sd, "INDEX_WORDS", room)
