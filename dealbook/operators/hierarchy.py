@@ -1,126 +1,89 @@
-"""Statement template hierarchy: which leaf codes each total line adds up.
+"""Statement template hierarchy: how often each leaf code counts in each total line.
 
 The reference evaluates total lines (codes starting with 'T') one after the
 other in template order ``n``: a total is the sum of its children as they
 stand at that moment. A child total computed earlier (smaller ``n``) counts
 with its computed value, a child total computed later counts with whatever
-was posted under its own code. The closure below reproduces that rule
-without a sequential loop: a child total is descended into only when it has a
-computing row before the current one, and the reference point moves to that
-row. Every expansion lowers the reference ``n``, so the recursion ends even
-on cyclic templates.
+was posted under its own code. So a row of a total refers to rows of smaller
+``n`` only, and the rows in the order of ``n`` are a topological order even of
+a cyclic template.
+
+The bridge is the matrix of path counts between totals and leaves, summed row
+by row in that order: the counts of a total are the sum of its children's. A
+leaf that is reached on many paths is one entry with its number of paths, so
+the work is bounded by rows x leaves whatever the number of paths.
 
 A line whose ``n`` is NULL (unparsable in the template sheet) sorts after
 every other line, as ``ORDER BY n`` puts NULLs last.
-
-Result: ``(category, leaf)`` pairs, one per path, for the final computation
-of every total code. Joining it to leaf values and summing gives the totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from bisect import bisect_left
+from collections import Counter
+from decimal import Decimal
 
-from dealbook.session import ensure_checkpoint_dir
+from pyspark.sql import DataFrame, SparkSession
 
 # Templates are statement layouts (tens of lines). A template of more rows is
 # refused, so that what is derived from it may be broadcast.
 TEMPLATE_MAX_ROWS = 2_000
-
-_CLOSURE_SQL = """
-WITH RECURSIVE
- tmpl AS (SELECT coalesce(n, 2147483647) AS n, category, parent FROM {template}),
- total_rows AS (SELECT n, category FROM tmpl WHERE category LIKE 'T%'),
- total_ns AS (SELECT category, collect_list(n) AS ns FROM total_rows GROUP BY category),
- walk (anc_n, anc, node, ref_n, depth) AS (
-   SELECT n, category, category, n, 0 FROM total_rows
-   UNION ALL
-   SELECT w.anc_n, w.anc, c.category,
-          array_max(filter(t.ns, x -> x < w.ref_n)), w.depth + 1
-   FROM walk w
-   JOIN tmpl c ON c.parent = w.node
-   LEFT JOIN total_ns t ON t.category = c.category
-   WHERE w.ref_n IS NOT NULL
- ),
- final_rows AS (SELECT category, max(n) AS n FROM total_rows GROUP BY category)
-SELECT w.anc AS category, w.node AS leaf
-FROM walk w JOIN final_rows f ON w.anc = f.category AND w.anc_n = f.n
-WHERE w.ref_n IS NULL AND w.node IS NOT NULL
-"""
-
-
-def total_closure(spark: SparkSession, template: DataFrame) -> DataFrame:
-    """``(category, leaf)`` rows with multiplicity for every total code of the template."""
-    return spark.sql(_CLOSURE_SQL, template=template.select("n", "category", "parent"))
-
-
-def total_codes(template: DataFrame) -> DataFrame:
-    """Distinct total codes of the template (their ledger postings are replaced)."""
-    return template.where(template.category.startswith("T")).select("category").distinct()
-
-
-def code_targets(spark: SparkSession, template: DataFrame) -> DataFrame:
-    """``(code, targets)``: the codes a posting under ``code`` adds to.
-
-    A code adds to itself unless it is a total code of the template (those
-    are replaced by their computed value), and to every total whose closure
-    reaches it, once per path. Codes absent from the result add only to
-    themselves. Size: at most one row per template code, each array at most
-    (template rows) long.
-    """
-    ancestors = (total_closure(spark, template).groupBy("leaf")
-                 .agg(F.collect_list("category").alias("ancestors"))
-                 .withColumnRenamed("leaf", "code"))
-    totals = total_codes(template).select(F.col("category").alias("code"), F.lit(True).alias("is_total_code"))
-    joined = ancestors.join(totals, "code", "full")
-    own = F.when(F.col("is_total_code").isNull(), F.array("code")).otherwise(F.array().cast("array<string>"))
-    return joined.select("code", F.concat(own, F.coalesce("ancestors", F.array().cast("array<string>")))
-                         .alias("targets"))
-
-
-# Bridge tables already built in this process: (app, content key) -> bridge.
-_BRIDGES: dict[tuple, DataFrame] = {}
-
-
-def template_fingerprint(template: DataFrame) -> tuple:
-    """Content key of a template: row count and two order-independent sums of
-    row hashes (64-bit xxhash and 32-bit murmur3), computed by one small
-    aggregate. It also proves the size bound before anything is broadcast."""
-    cols = [F.col(c).cast("string") for c in ("n", "category", "parent", "ratio", "concept")]
-    row = template.agg(F.count(F.lit(1)).alias("rows"),
-                       F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string").alias("h1"),
-                       F.sum(F.hash(*cols).cast("decimal(38,0)")).cast("string").alias("h2")).collect()[0]
-    if row["rows"] > TEMPLATE_MAX_ROWS:
+_LAST = 2**31 - 1  # place of a line without n
+# Counts are exact decimals of so many digits; values times counts must fit a decimal of 38.
+MAX_COUNT = 10**18
+
+BRIDGE_SCHEMA = "code string, targets array<struct<category:string,count:decimal(18,0)>>"
+
+
+def path_counts(lines: list[tuple[int | None, str | None, str | None]]) -> dict[str, Counter]:
+    """For every total code its leaf codes with their number of paths, from (n, category, parent) lines."""
+    children: dict[str, list[str]] = {}
+    places: dict[str, list[int]] = {}
+    for n, category, parent in lines:
+        if category is not None and parent is not None:
+            children.setdefault(parent, []).append(category)
+        if category is not None and category.startswith("T"):
+            places.setdefault(category, []).append(_LAST if n is None else n)
+    for own in places.values():
+        own.sort()
+    counts: dict[tuple[int, str], Counter] = {}
+    for n, total in sorted({(n, total) for total, own in places.items() for n in own}):
+        row: Counter = Counter()
+        for child, times in Counter(children.get(total, ())).items():
+            before = bisect_left(places.get(child, ()), n)
+            if before:
+                for leaf, paths in counts[places[child][before - 1], child].items():
+                    row[leaf] += times * paths
+            else:
+                row[child] += times
+        if any(c >= MAX_COUNT for c in row.values()):
+            raise ValueError(f"a leaf counts more than {MAX_COUNT} times in the statement line {total}")
+        counts[n, total] = row
+    return {total: counts[own[-1], total] for total, own in places.items()}
+
+
+def template_lines(template: DataFrame) -> list[tuple[int | None, str | None, str | None]]:
+    """(n, category, parent) of a template, whose size is checked."""
+    rows = template.select("n", "category", "parent").limit(TEMPLATE_MAX_ROWS + 1).collect()
+    if len(rows) > TEMPLATE_MAX_ROWS:
         raise ValueError(f"statement template has more than {TEMPLATE_MAX_ROWS} rows")
-    return (row["rows"], row["h1"], row["h2"])
+    return [(r["n"], r["category"], r["parent"]) for r in rows]
 
 
 def template_bridge(spark: SparkSession, template: DataFrame) -> DataFrame:
-    """The code -> targets bridge of a template, built once per template content.
+    """``(code, targets)``: the codes a posting under ``code`` adds to, and how often.
 
-    The closure is a recursive query whose cost does not depend on the fact
-    data; reports over the same template content reuse one materialised
-    copy. The copy is a reliable checkpoint in the shared
-    ``spark.checkpoint.dir`` (lineage cut, survives lost executors). The key
-    is the template's content fingerprint, read anew on every call, so a
-    template rewritten in place gets a new bridge and the same content landed
-    again reuses the old one.
+    A code adds to itself unless it is a total code of the template (those
+    are replaced by their computed value), and to every total that reaches it,
+    as many times as it has paths. Codes absent from the result add only to
+    themselves. Size: at most one row per template code, each array at most
+    (template rows) long; rows of the driver, no Spark job but the read of the
+    template.
     """
-    app = spark.sparkContext.applicationId
-    key = (app, template_fingerprint(template))
-    hit = _BRIDGES.get(key)
-    if hit is not None:
-        return hit
-    ensure_checkpoint_dir(spark)
-    # A chain of totals may be as long as the template.
-    limits = {"spark.sql.cteRecursionLevelLimit": str(TEMPLATE_MAX_ROWS + 1), "spark.sql.cteRecursionRowLimit": "-1"}
-    before = {k: spark.conf.get(k, None) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        bridge = code_targets(spark, template).checkpoint(eager=True)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _BRIDGES[key] = bridge
-    return bridge
+    totals = path_counts(template_lines(template))
+    targets: dict[str, list[tuple[str, int]]] = {total: [] for total in totals}
+    for total, leaves in totals.items():
+        for leaf, count in leaves.items():
+            targets.setdefault(leaf, [] if leaf in totals else [(leaf, 1)]).append((total, count))
+    rows = [(code, [(t, Decimal(c)) for t, c in own]) for code, own in sorted(targets.items())]
+    return spark.createDataFrame(rows, BRIDGE_SCHEMA)

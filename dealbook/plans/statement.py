@@ -18,6 +18,7 @@ they are broadcast behind a row-count proof.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DecimalType
 
 from dealbook.functions import ratio_codes, safe_pct, starts_with_total, variance_pct
 from dealbook.operators.filters import all_of, equals_unless_unset, unset
@@ -79,16 +80,24 @@ def statement_values(spark: SparkSession, leaf: DataFrame, template: DataFrame,
     ``category = MARKER`` exist for every month with data and for 'Total'.
 
     Plan: the leaf (already combined per code and month) is joined to the
-    broadcast code->targets map, exploded, and summed once with grouping sets
+    broadcast code->targets map, exploded, multiplied by the number of paths,
+    and summed once with grouping sets
     ``(keys, category, month)`` and ``(keys, category)``: one shuffle of the
     small leaf; the fact table is read once.
     """
     targets = F.broadcast(template_bridge(spark, template))
     raw = leaf.where(F.col("month").isNotNull())
-    own = F.coalesce("targets", F.array(raw.category))
+
+    def once(code: Column) -> Column:
+        return F.array(F.struct(code.alias("category"), F.lit(1).cast("decimal(18,0)").alias("count")))
+
+    own = F.coalesce("targets", once(raw.category))
+    kind = leaf.schema["value"].dataType
+    # Exact money stays exact: a sum of 28 digits times a count of 18 would lose its cents to the precision rules.
+    money = "decimal(38,2)" if isinstance(kind, DecimalType) else kind.simpleString()
     mapped = (raw.join(targets, raw.category == targets.code, "left")
-              .select(*keys, F.explode(F.concat(own, F.array(F.lit(MARKER)))).alias("category"),
-                      "month", "value"))
+              .select(*keys, F.explode(F.concat(own, once(F.lit(MARKER)))).alias("t"), "month", "value")
+              .select(*keys, "t.category", "month", (F.col("value") * F.col("t.count")).cast(money).alias("value")))
     sets = [[*keys, "category", "month"], [*keys, "category"]]
     agg = mapped.groupingSets(sets, *keys, "category", "month").agg(
         F.sum("value").alias("value"), F.count(F.lit(1)).alias("_cnt"), F.grouping("month").alias("_g"))

@@ -132,3 +132,43 @@ def test_root_equals_sum_of_leaves(spark, tables):
     tot = {r.category: r.value for r in long.where(F.col("period") == "Total").collect()}
     leaves = ["A2", "A3", "A4", "A5", "A6", "A7", "A8", "A9", "A10", "A11", "A12"]
     assert abs(tot["T18"] - sum(tot[c] for c in leaves)) < 1e-6
+
+
+def test_totals_in_two_lines_are_counted_not_enumerated(spark):
+    import time
+
+    # 30 levels, each total in two rows of the next: 2**29 paths to the leaf.
+    lines, n = [(1, "leaf", "A1", "T0", None)], 2
+    for level in range(30):
+        for _ in range(2):
+            lines.append((n, f"total {level}", f"T{level}", f"T{level + 1}", None))
+            n += 1
+    began = time.time()
+    got = spark_values(spark, lines, [("A1", 1, 2.0), ("T99", 1, 7.0)])
+    assert time.time() - began < 20
+    assert got["T0", "1"] == 2.0 and got["T29", "1"] == 2.0 * 2**29 and got["T99", "Total"] == 7.0
+
+
+def test_counts_take_no_time_and_refuse_to_overflow():
+    import time
+
+    import pytest
+
+    from dealbook.operators.hierarchy import path_counts
+
+    lines, n = [(1, "A1", "T0")], 2
+    for level in range(30):
+        lines += [(n + k, f"T{level}", f"T{level + 1}") for k in range(2)]
+        n += 2
+    began = time.time()
+    assert path_counts(lines)["T29"] == {"A1": 2**29}
+    assert time.time() - began < 1
+    with pytest.raises(ValueError):
+        path_counts([(1, "A1", "T0")] + [(k + 2, f"T{k // 2}", f"T{k // 2 + 1}") for k in range(200)])
+
+
+def test_exact_money_keeps_its_cents(spark):
+    t = spark.createDataFrame([(1, "a", "A1", "T1", None), (2, "t", "T1", None, None)], TEMPLATE_SCHEMA)
+    leaf = spark.sql("SELECT 'A1' AS category, 1 AS month, CAST('12345678901234567890123456.78' AS DECIMAL(28,2)) AS value")
+    got = {(r.category, r.period): str(r.value) for r in statement.statement_values(spark, leaf, t).collect()}
+    assert got["T1", "1"] == got["A1", "Total"] == "12345678901234567890123456.78"
