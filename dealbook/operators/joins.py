@@ -1,18 +1,49 @@
-"""Left join that keeps rows without a key out of the shuffle."""
+"""Joins that spread rows without a key, and co-bucketed tables that join without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def left_join_null_bypass(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left LEFT JOIN right USING (key)``; rows of NULL key bypass the join.
+def spread_key(key: Column, spread: list[Column]) -> Column:
+    """The key as text; a NULL key becomes a text of its own that no key can equal, by the hash of ``spread``.
 
     A NULL key matches nothing, yet a shuffle join would send all such rows to
-    one task. They get NULL right columns where they are, without a shuffle.
+    one task. With the hash of an id in its place they go everywhere.
     """
-    extra = [f for f in right.schema.fields if f.name != key]
-    matched = left.where(F.col(key).isNotNull()).join(right, key, "left")
-    alone = left.where(F.col(key).isNull()).select(
-        *matched.columns[:len(left.columns)], *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return matched.unionByName(alone)
+    return F.coalesce(F.concat(F.lit("k"), key.cast("string")),
+                      F.concat(F.lit("-"), F.xxhash64(*spread).cast("string")))
+
+
+SPREAD_KEY = "_spread_key"
+
+
+def keyed(right: DataFrame, key: str) -> DataFrame:
+    """Rows of ``right`` with a key, under the text that ``spread_key`` gives it (column ``SPREAD_KEY``)."""
+    return right.where(F.col(key).isNotNull()).withColumn(SPREAD_KEY, F.concat(F.lit("k"), F.col(key).cast("string")))
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` in one pass over ``left``; rows of NULL key are dealt by ``spread``.
+
+    ``right`` comes from ``keyed`` (aggregated by ``SPREAD_KEY`` or not); its NULL keys match nothing.
+    """
+    at = left.withColumn(SPREAD_KEY, spread_key(F.col(key), [F.col(c) for c in spread]))
+    return at.join(right.drop(key), SPREAD_KEY, "left").drop(SPREAD_KEY)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, spread: list[str], buckets: int, path: str) -> DataFrame:
+    """``df`` stored in ``buckets`` sorted buckets of its spread key (column ``{key}_bucket``), read back as a table.
+
+    Tables with one number of buckets join on that column, and group by it,
+    without a shuffle. Rows without a key lie in all buckets alike; ``buckets``
+    should make one bucket a few hundred MB. ``path`` is a folder that driver
+    and executors share.
+    """
+    spark: SparkSession = df.sparkSession
+    column = f"{key}_bucket"
+    (df.withColumn(column, spread_key(F.col(key), [F.col(c) for c in spread]))
+     .repartition(buckets, F.col(column))  # one file a bucket
+     .write.mode("overwrite").option("path", path).format("parquet")
+     .bucketBy(buckets, column).sortBy(column).saveAsTable(table))
+    return spark.table(table)

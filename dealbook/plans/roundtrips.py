@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
 from dealbook.session import scratch_dir
 from dealbook.sources.landing import read_json_pages, read_ledger_files, read_template_sheet
-from dealbook.sources.sinks import overwrite_table, read_delimited, write_delimited
+from dealbook.sources.sinks import overwrite_table, read_delimited, read_table, write_delimited
 
 # Records per landed JSON page (the source API's page size).
 PAGE_SIZE = 5000
@@ -97,7 +97,7 @@ def overwrite_count(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, "table")
     overwrite_table(df, path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    return read_table(spark, path).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dealbook.functions import round_half_away, share_pct, try_date
 from dealbook.operators.distinct import two_level_aggregate
 from dealbook.operators.filters import active_orders, period, unset
-from dealbook.operators.joins import left_join_null_bypass
+from dealbook.operators.joins import SPREAD_KEY, keyed, left_join_spread, write_bucketed
 from dealbook.operators.pivot import distinct_values, pivot_sum
 from dealbook.operators.topk import top_k
 from dealbook.operators.totals import append_total_row
@@ -29,21 +29,43 @@ MEAN_COLUMNS = ["avg_gp1", "avg_gp2", "avg_gp3", "avg_discount_pct"]
 
 
 def registered_vins(stock: DataFrame) -> DataFrame:
-    """VINs whose latest stock row has a registration date (W1 + J1).
+    """VINs whose latest stock row has a registration date (W1 + J1), by their join key.
 
     The latest row by ``registration_date DESC`` has a date exactly when any
     row of the VIN has one, so a distinct VIN list is enough; it combines
     map-side, so a VIN repeated in a third of the stock rows costs one row
     per task.
     """
-    return (stock.where(F.col("registration_date").isNotNull() & F.col("vin").isNotNull())
-            .select("vin").distinct().withColumn("registered", F.lit(True)))
+    return (keyed(stock.where(F.col("registration_date").isNotNull()), "vin")
+            .select(SPREAD_KEY).distinct().withColumn("registered", F.lit(True)))
+
+
+#: Column by which ``bucketed_sales_tables`` stores orders and stock.
+VIN_BUCKET = "vin_bucket"
+
+
+def bucketed_sales_tables(orders: DataFrame, stock: DataFrame, path: str, buckets: int,
+                          name: str = "sales") -> tuple[DataFrame, DataFrame]:
+    """Orders and stock stored by VIN in as many sorted buckets each, so that reports join them without a shuffle.
+
+    Orders without a VIN are dealt over all buckets by their order id.
+    """
+    stored = write_bucketed(orders, f"{name}_orders_by_vin", "vin", ["order_id"], buckets, f"{path}/orders")
+    # Stock rows without a VIN match no order.
+    return stored, write_bucketed(stock.where(F.col("vin").isNotNull()), f"{name}_stock_by_vin", "vin", ["vin"],
+                                  buckets, f"{path}/stock")
 
 
 def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
-    """Active orders with parsed dates, zero-filled measures and the plate flag."""
+    """Active orders with parsed dates, zero-filled measures and the plate flag.
+
+    Tables of ``bucketed_sales_tables`` are joined bucket by bucket, others by
+    the spread VIN; either way the orders are read once.
+    """
+    bucketed = VIN_BUCKET in orders.columns and VIN_BUCKET in stock.columns
     base = active_orders(orders).select(
         "order_id", "salesperson", "vin", "file_no", "sale_type", "financed_amount",
+        *[VIN_BUCKET] * bucketed,
         try_date("order_date_txt").alias("order_date"),
         try_date("notice_date_txt").alias("notice_date"),
         F.coalesce("gp1", F.lit(0)).alias("gp1"),
@@ -53,7 +75,11 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
         (F.coalesce("discount", F.lit(0.0)).cast("decimal(20,10)") * F.lit(100)).alias("discount_pct"),
     )
     # ``registered`` is NULL for orders without a registered VIN.
-    return left_join_null_bypass(base, registered_vins(stock), "vin")
+    if bucketed:
+        plated = (stock.where(F.col("registration_date").isNotNull()).groupBy(VIN_BUCKET)
+                  .agg(F.lit(True).alias("registered")))
+        return base.join(plated, VIN_BUCKET, "left").drop(VIN_BUCKET)
+    return left_join_spread(base, registered_vins(stock), "vin", ["order_id"])
 
 
 def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=None,

@@ -23,6 +23,7 @@ from pyspark.sql.types import DecimalType
 from dealbook.functions import ratio_codes, safe_pct, starts_with_total, variance_pct
 from dealbook.operators.filters import all_of, equals_unless_unset, unset
 from dealbook.operators.hierarchy import template_bridge
+from dealbook.sources.sinks import statement_export, stored
 
 TOTAL_PERIOD = "Total"
 MONTHS = list(range(1, 13))
@@ -176,8 +177,9 @@ def statement_long(spark: SparkSession, leaf: DataFrame, template: DataFrame,
 def data_periods(leaf: DataFrame) -> list[str]:
     """Months found in a leaf, ascending, then 'Total' (empty without data).
 
-    A partial distinct leaves a handful of rows per task; the result is the
-    list of month numbers, not data.
+    The result is a list of month numbers. Column names come from data here,
+    so reports with a column per period store their leaf first (``stored``):
+    the fact table is read once, for the leaf.
     """
     months = leaf.select("month").where(F.col("month").isNotNull()).distinct().collect()
     return [str(m) for m in sorted(r["month"] for r in months)] + ([TOTAL_PERIOD] if months else [])
@@ -209,10 +211,28 @@ def pnl_long(spark, ledger, template, company=None, year=None) -> DataFrame:
 
 def pnl_wide(spark, ledger, template, company=None, year=None) -> DataFrame:
     """Actual P&L, ``res_{period}``/``pct_{period}`` columns, template order."""
-    leaf = ledger_leaf(ledger, company, year)
+    leaf = stored(ledger_leaf(ledger, company, year), "ledger-leaf")
     return widen(statement_long(spark, leaf, template, "res"), ["res", "pct"], wide_periods(leaf)).orderBy("n")
 
 
+def pnl_export(spark, ledger, template, company=None, year=None) -> DataFrame:
+    """Actual P&L in the flat layout of the export: months with data only, 'Total' last."""
+    leaf = stored(ledger_leaf(ledger, company, year), "ledger-leaf")
+    periods = data_periods(leaf)
+    return statement_export(widen(statement_long(spark, leaf, template, "res"), ["res", "pct"], periods), periods)
+
+
+def by_period(long: DataFrame, measures: list[str],
+              keys: tuple[str, ...] = ("n", "category", "concept", "is_total")) -> DataFrame:
+    """Long -> one row per line with a map (period to value) per measure.
+
+    Every period of the data is a map key, so no column name comes from data
+    and nothing runs before the query does. A line has one entry per period.
+    """
+    return long.groupBy(*keys).agg(*[
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("period", F.col(m))))).alias(m) for m in measures])
+
+
 def budget_long(spark, budget, dim_company, template, company=None, year=None) -> DataFrame:
     """Budget statement, long form."""
     return statement_long(spark, budget_leaf(budget, dim_company, company, year), template,
@@ -220,7 +240,7 @@ def budget_long(spark, budget, dim_company, template, company=None, year=None) -
 
 
 def budget_wide(spark, budget, dim_company, template, company=None, year=None) -> DataFrame:
-    leaf = budget_leaf(budget, dim_company, company, year)
+    leaf = stored(budget_leaf(budget, dim_company, company, year), "budget-leaf")
     return widen(statement_long(spark, leaf, template, "budget"), ["budget", "pct"], wide_periods(leaf)).orderBy("n")
 
 

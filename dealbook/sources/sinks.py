@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 from dealbook.functions.text import MONTH_NAMES_TITLE
+from dealbook.session import scratch_dir
+from dealbook.sources.versioned import read_table, replace_table  # noqa: F401 - the reader belongs to the sink
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                     replace_partitions_only: bool = False) -> int:
-    """Create-or-replace a Parquet table and return its row count.
+    """Create-or-replace a table and return its row count (S8, S9); ``read_table`` reads it.
 
-    The count is read back from the written files (Parquet footers), so it
-    is the count of what was stored, without a second pass over the input.
-    With ``partition_by`` (e.g. the ledger by year) and
+    The new version is written aside and becomes current by one commit, so a
+    replace that fails leaves the old table. The count is read back from the
+    written files, so it is the count of what was stored, without a second
+    pass over the input. With ``partition_by`` (e.g. the ledger by year) and
     ``replace_partitions_only``, only the partitions present in ``df`` are
     replaced (a monthly reload rewrites its year, not the whole table).
     """
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-        if replace_partitions_only:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    return replace_table(df, path, partition_by, replace_partitions_only)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";") -> None:

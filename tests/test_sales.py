@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealbook.operators.joins import left_join_null_bypass
+from dealbook.operators.joins import keyed, left_join_spread
 from dealbook.plans import sales
 
 ORDER_SCHEMA = ("order_id long, order_no string, state_code int, salesperson string, vin long, file_no long, "
@@ -81,10 +81,10 @@ def test_shares_sum_to_100(spark, tables):
         assert abs(total - 100) <= 0.05 * 6 + 1e-9
 
 
-def test_null_keys_skip_the_join(spark):
+def test_null_keys_match_nothing(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k long, v string")
-    right = spark.createDataFrame([(1, True)], "k long, hit boolean")
-    out = sorted(left_join_null_bypass(left, right, "k").collect(), key=lambda r: r.v)
+    right = spark.createDataFrame([(1, True), (None, False)], "k long, hit boolean")
+    out = sorted(left_join_spread(left, keyed(right, "k"), "k", ["v"]).collect(), key=lambda r: r.v)
     assert [(r.v, r.hit) for r in out] == [("a", True), ("b", None), ("c", None)]
 
 
@@ -151,3 +151,43 @@ def test_latest_row_and_value(spark):
     assert rows[1].tag == "b" and rows[2].tag == "d" and rows[2].d is None
     vals = {r.vin: r.d for r in latest_value(df, "vin", "d").collect()}
     assert vals == {1: dt.date(2024, 1, 1), 2: None}
+
+
+def test_null_keys_go_to_many_partitions_and_the_left_side_is_read_once(spark):
+    left = spark.range(40_000).selectExpr("case when id % 3 = 0 then id end as k", "id as v")
+    right = keyed(spark.range(40_000).selectExpr("id as k", "true as hit"), "k")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = left_join_spread(left, right, "k", ["v"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        sizes = out.where("k is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Range (") == 2
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2 * 26_666 / 8
+
+
+def test_bucketed_tables_join_without_a_shuffle_and_give_the_same_summary(spark, tables):
+    import tempfile
+
+    orders, stock = tables.sales_orders_dirty, tables.vehicle_stock
+    want = sorted(map(tuple, sales.salesperson_summary(orders, stock, 1997, 5).collect()))
+    path = tempfile.mkdtemp(prefix="dealbook-test-")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = sales.bucketed_sales_tables(orders, stock, path, 4, "test_sales")
+        assert sorted(map(tuple, sales.salesperson_summary(*stored, 1997, 5).collect())) == want
+        base = sales.order_base(*stored)
+        plan = base._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("FileScan") == 2
+        empty = [r["n"] for r in stored[0].where("vin is null").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert len(empty) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for t in ("test_sales_orders_by_vin", "test_sales_stock_by_vin"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")

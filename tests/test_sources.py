@@ -188,8 +188,63 @@ def test_partition_reload_replaces_only_its_year(spark):
     assert sinks.overwrite_table(df, path, partition_by=["year"]) == 3
     reload = spark.createDataFrame([(1998, "A9", 9.0)], "year int, category string, monthly_balance double")
     assert sinks.overwrite_table(reload, path, partition_by=["year"], replace_partitions_only=True) == 3
-    got = sorted((r.year, r.category) for r in spark.read.parquet(path).collect())
+    got = sorted((r.year, r.category) for r in sinks.read_table(spark, path).collect())
     assert got == [(1997, "A1"), (1997, "A2"), (1998, "A9")]
-    pruned = spark.read.parquet(path).where(F.col("year") == 1997)
+    pruned = sinks.read_table(spark, path).where(F.col("year") == 1997)
     assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString()
     assert pruned.count() == 2
+
+
+def _fails_half_way(spark):
+    """Two tasks, of which one writes its rows and the other fails."""
+    return spark.range(0, 20_000, 1, 2).selectExpr(
+        "case when id = 19999 then raise_error('lost') else 2000 end as year", "'A1' as category", "1.0D as monthly_balance")
+
+
+def test_failed_replace_leaves_the_old_table(spark):
+    path = _tmp() + "/ledger"
+    schema = "year int, category string, monthly_balance double"
+    rows = [(1997, "A1", 1.0), (1998, "A2", 2.0)]
+    for how in ({}, {"partition_by": ["year"]}):
+        at = path + str(len(how))
+        assert sinks.overwrite_table(spark.createDataFrame(rows, schema), at, **how) == 2
+        with pytest.raises(Exception):
+            sinks.overwrite_table(_fails_half_way(spark), at, **how)
+        assert sorted(map(tuple, sinks.read_table(spark, at).collect())) == rows
+        assert sinks.overwrite_table(spark.createDataFrame(rows[:1], schema), at, **how) == 1
+        assert sorted(map(tuple, sinks.read_table(spark, at).collect())) == rows[:1]
+
+
+def test_readers_keep_their_version_and_older_ones_go(spark):
+    path = _tmp() + "/t"
+    for k in range(5):
+        sinks.overwrite_table(spark.range(k, k + 1), path)
+        if k == 3:
+            begun = sinks.read_table(spark, path)
+    assert [r.id for r in begun.collect()] == [3]
+    assert [r.id for r in sinks.read_table(spark, path).collect()] == [4]
+    assert len([d for d in os.listdir(path) if d.startswith("v")]) == 2
+    with pytest.raises(ValueError):
+        sinks.read_table(spark, path + "-none")
+
+
+def test_second_writer_from_one_version_is_refused(spark):
+    from dealbook.sources import versioned
+
+    path = _tmp() + "/t"
+    sinks.overwrite_table(spark.range(1), path)
+    versioned._write_commit(spark, path, 2, {"folders": {}, "rows": 0, "schema": spark.range(0).schema.jsonValue()})
+    with pytest.raises(Exception):
+        versioned._write_commit(spark, path, 2, {"folders": {}})
+    assert sinks.read_table(spark, path).count() == 0
+    with open(os.path.join(path, "_commits", "000000000003.json"), "w") as fh:
+        fh.write('{"folders": {"": "v0')   # a writer lost half-way
+    assert sinks.read_table(spark, path).count() == 0
+    assert sinks.overwrite_table(spark.range(7), path) == 7
+
+
+def test_empty_partitioned_table_is_readable(spark):
+    path = _tmp() + "/t"
+    empty = spark.createDataFrame([], "year int, category string")
+    assert sinks.overwrite_table(empty, path, partition_by=["year"]) == 0
+    assert sinks.read_table(spark, path).columns == ["year", "category"]
