@@ -43,6 +43,8 @@ GRAM = 5
 #: Text bytes per shard, and words that one index holds about.
 SHARD_BYTES = 8_000_000
 INDEX_WORDS = 1_500_000
+#: Text bytes whose hashes one bucket counts.
+BUCKET_BYTES = 32_000_000
 #: A hash is hot from so many segments on, or from one in HOT_PART bytes of all text if that is more, so the list
 #: of hot ones that all tasks get has at most HOT_PART entries (8 bytes each), at any size.
 HOT_SEGMENTS = 5_000
@@ -50,6 +52,7 @@ HOT_PART = 1 << 22
 _FAR = np.int64(1) << 62
 
 _META = ["known", "id", "mark", "start", "windows"]
+GRAMS = "bucket long, settled boolean, entries binary"
 CUT = "shard long, settled boolean, words binary, meta binary"
 REPEATED = "known boolean, id long, mark long, start long, windows long"
 
@@ -101,19 +104,72 @@ def _among(values: np.ndarray, text: np.ndarray, sets: list[np.ndarray]) -> np.n
     return out
 
 
-def document_grams(batches: Iterator[pd.DataFrame], window: int, gram: int) -> Iterator[pd.DataFrame]:
-    """The least hashes of the segments of each text (by its mark), with how many of its segments have them."""
+def document_grams(batches: Iterator[pd.DataFrame], window: int, gram: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """The least hashes of a slice's segments, one entry each, dealt to buckets by hash.
+
+    An entry has the hash, the mark of a text that has it, how many segments
+    do, and whether more than one does. Where more than one does, the texts
+    need not ask: a settled row has their (mark, hash) pairs. So a hash sends
+    one entry a slice, in however many texts it is; rows are at most entries.
+    """
     for pdf in slices(batches):
         pdf = pdf.drop_duplicates("mark")
         s = Segments(pdf["text"].tolist(), window, gram, np.empty(0, np.uint64))
-        # Text by text, so that the marks compress.
-        order = np.lexsort((s.gram, s.text))
-        text, grams = s.text[order], s.gram[order]
-        fresh = np.ones(order.size, dtype=bool)
-        fresh[1:] = (text[1:] != text[:-1]) | (grams[1:] != grams[:-1])
-        at = np.flatnonzero(fresh)
-        yield pd.DataFrame({"gram": grams[at].view(np.int64), "mark": pdf["mark"].to_numpy().astype(np.int64)[text[at]],
-                            "n": np.diff(np.append(at, order.size))})
+        if not s.gram.size:
+            continue
+        marks = pdf["mark"].to_numpy().astype(np.int64)[s.text]
+        order = np.lexsort((s.text, s.gram))
+        grams, marks = s.gram[order], marks[order]
+        begin = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        n = np.diff(np.append(begin, grams.size))
+        pairs = np.column_stack((marks, grams.view(np.int64)))[np.repeat(n > 1, n)]
+        if pairs.size:
+            pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
+        entries = np.column_stack((grams[begin].view(np.int64), marks[begin], n, n > 1)).astype(np.int64)
+        bucket = _dealt(grams[begin], buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        rows = [(int(bucket[order[a]]), False, _pack(entries[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])]
+        if pairs.size:
+            rows.append((int(bucket[0]), True, _pack(pairs)))
+        yield pd.DataFrame(rows, columns=["bucket", "settled", "entries"])
+
+
+def shared_grams(batches: Iterator[pd.DataFrame], hot_segments: int) -> Iterator[pd.DataFrame]:
+    """Of the buckets of a partition, in order: (mark, gram) of the texts whose hash is shared.
+
+    A row without a mark tells of a hot hash, with the number of its segments.
+    """
+    def close(entries):
+        entries = entries[np.argsort(entries[:, 0], kind="stable")]
+        begin = np.flatnonzero(np.concatenate(([True], entries[1:, 0] != entries[:-1, 0])))
+        size = np.diff(np.append(begin, len(entries)))
+        n, many = np.add.reduceat(entries[:, 2], begin), np.maximum.reduceat(entries[:, 3], begin)
+        ask = entries[np.repeat((size > 1) | (many > 0), size) & (entries[:, 3] == 0)]
+        hot = n >= hot_segments
+        return pd.DataFrame({
+            "mark": pd.array([*ask[:, 1].tolist(), *[None] * int(hot.sum())], dtype="Int64"),
+            "gram": np.concatenate((ask[:, 0], entries[begin[hot], 0])),
+            "n": np.concatenate((np.zeros(len(ask), np.int64), n[hot]))})
+
+    parts, now = [], None
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.settled:
+                pairs = _unpack(row.entries, 2)
+                yield pd.DataFrame({"mark": pd.array(pairs[:, 0], dtype="Int64"), "gram": pairs[:, 1], "n": 0})
+                continue
+            if parts and row.bucket != now:
+                yield close(np.concatenate(parts))
+                parts = []
+            now = row.bucket
+            parts.append(_unpack(row.entries, 4))
+    if parts:
+        yield close(np.concatenate(parts))
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(hashes) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(meta: np.ndarray) -> bytes:
@@ -124,10 +180,10 @@ def _pack(meta: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.transpose(0, 2, 1)).tobytes())
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def _unpack(blob: bytes, columns: int) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(len(_META), 8, -1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(columns, 8, -1)
     return np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.int64)[:, :, 0].T
 
 
@@ -162,7 +218,7 @@ def cut_segments(batches: Iterator[pd.DataFrame], window: int, gram: int, shards
         marks = pdf["mark"].to_numpy().astype(np.int64)
         meta = np.column_stack((known[s.text], ids[s.text], marks[s.text], s.start, s.windows)).astype(np.int64)
         keep, settled = _settle(s.key, meta)
-        shard = ((mix(s.gram[keep]) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        shard = _dealt(s.gram[keep], shards)
         order = np.lexsort((keep, shard))
         keep, shard = keep[order], shard[order]
         last = s.first + s.windows + (window - 2)
@@ -262,7 +318,7 @@ def search_shards(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.D
     texts, metas, size, room, now = [], [], 0, 2 * INDEX_WORDS, None
     for pdf in batches:
         for row in pdf.itertuples(index=False):
-            meta = _unpack(row.meta)
+            meta = _unpack(row.meta, len(_META))
             if row.settled:
                 yield _repeated(meta)
                 continue
@@ -317,7 +373,8 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                     hot_segments: int = HOT_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                     hot_segments: int = HOT_SEGMENTS, shard_bytes: int = SHARD_BYTES,
+                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Stretches of windows that also start earlier: (known, id, mark, start, windows).
 
     ``rows`` are those of ``_marked(docs)``; copies take no part. ``id`` is the
@@ -327,19 +384,19 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, window: int = WINDOW, gra
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    grams = written(docs.select("text", F.xxhash64("text").alias("mark"))
-                    .mapInPandas(lambda b: document_grams(b, window, gram), "gram long, mark long, n long"), "grams")
-    stats = grams.groupBy("gram").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.max("n").alias("most"),
-                                      F.sum("n").alias("n")).where("lo <> hi or most > 1")
-    stats = written(stats.select("gram", "n"), "shared-grams")
     # At most size / least entries, see HOT_PART.
     least = max(hot_segments, size // HOT_PART)
-    hot = np.sort(np.array([r["gram"] for r in stats.where(F.col("n") >= least).select("gram").collect()],
+    buckets = -(-size // bucket_bytes) or 1
+    grams = (docs.select("text", F.xxhash64("text").alias("mark"))
+             .mapInPandas(lambda b: document_grams(b, window, gram, buckets), GRAMS)
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInPandas(lambda b: shared_grams(b, least), "mark long, gram long, n long"))
+    grams = written(grams, "shared-grams")
+    hot = np.sort(np.array([r["gram"] for r in grams.where("mark is null").select("gram").collect()],
                            dtype=np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast(hot)
     shards = -(-size // shard_bytes) or 1
-    shared = (grams.join(stats.select("gram"), "gram", "left_semi")
-              .groupBy("mark").agg(F.collect_set("gram").alias("grams")))
+    shared = grams.where("mark is not null").groupBy("mark").agg(F.collect_set("gram").alias("grams"))
     cut = (rows.join(shared, "mark").where("not copy").select("doc_id", "text", "mark", "grams")
            .mapInPandas(lambda b: cut_segments(b, window, gram, shards, hot.value), CUT))
     return (cut.repartition("shard").sortWithinPartitions("shard")

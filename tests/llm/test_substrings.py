@@ -60,7 +60,7 @@ def corpus(seed=1, n=60):
     return [(i, "".join(w + rng.choice(seps) for w in t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_segments": 2}, {"shard_bytes": 500}, {"gram": 3, "hot_segments": 4}])
+@pytest.mark.parametrize("how", [{}, {"hot_segments": 2}, {"shard_bytes": 500, "bucket_bytes": 300}, {"gram": 3, "hot_segments": 4}])
 def test_equals_brute_force(make_docs, how):
     rows = corpus()
     assert got(make_docs([(i, t, "en", "s") for i, t in rows], parts=5), **how) == brute(rows)
@@ -72,15 +72,17 @@ def test_slices_settle_and_shards_compact_alike(make_docs, monkeypatch):
     df = make_docs([(i, t, "en", "s") for i, t in rows], parts=4).cache()
     assert got(df) == want
     parts = [pdf for pdf in [df.toPandas().assign(mark=lambda p: p["doc_id"])]]
-    parts[0]["grams"] = [np.concatenate([np.empty(0, np.int64), *(g.to_numpy() for g in own)])
-                         for own in [[pdf.loc[pdf["mark"] == d, "gram"] for pdf in sd.document_grams(iter(parts), 20, 5)]
-                                     for d in parts[0]["mark"]]]
+    import pandas as pd
+
+    monkeypatch.setattr("dealbook.llm.words.SLICE_CHARS", 300)
+    dealt = pd.concat(sd.document_grams(iter(parts), 20, 5, 3)).sort_values("bucket", kind="stable")
+    told = pd.concat(sd.shared_grams(iter([dealt]), 30))
+    assert told["mark"].isna().any() and told.loc[told["mark"].isna(), "n"].min() >= 30
+    parts[0]["grams"] = [told.loc[told["mark"] == d, "gram"].to_numpy() for d in parts[0]["mark"]]
     for chars, room in ((50, 200), (2_000_000, 1)):
         monkeypatch.setattr("dealbook.llm.words.SLICE_CHARS", chars)
         monkeypatch.setattr(sd, "INDEX_WORDS", room)
         cut = [r for p in sd.cut_segments(iter(parts), 20, 5, 1, np.empty(0, np.uint64)) for r in p.itertuples()]
-        import pandas as pd
-
         found = pd.concat(sd.search_shards(iter([pd.DataFrame(cut)[["shard", "settled", "words", "meta"]]]), 20))
         removed = {}
         for r in found.itertuples():
