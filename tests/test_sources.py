@@ -248,3 +248,56 @@ def test_empty_partitioned_table_is_readable(spark):
     empty = spark.createDataFrame([], "year int, category string")
     assert sinks.overwrite_table(empty, path, partition_by=["year"]) == 0
     assert sinks.read_table(spark, path).columns == ["year", "category"]
+
+
+@pytest.fixture
+def views(spark, tables):
+    tbl.register_views(spark, {"so": tables.sales_orders, "led": tables.ledger})
+    return {"so", "led"}
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT salesperson, COUNT(*) AS n, ROUND(AVG(gp1), 2) AS a FROM so GROUP BY ALL HAVING COUNT(*) > 1 ORDER BY n DESC",
+    "WITH a AS (SELECT * FROM so), b AS (SELECT salesperson FROM a) SELECT DISTINCT salesperson FROM b",
+    "SELECT * FROM so WHERE vin IN (SELECT centre FROM led) OR order_id = (SELECT MAX(section) FROM led)",
+    "SELECT a.order_id, ROW_NUMBER() OVER (PARTITION BY a.salesperson ORDER BY a.gp1) AS r FROM so a JOIN SO b USING (order_id)",
+    "SELECT CASE WHEN gp2 IS NULL THEN 'x' ELSE CAST(gp2 AS STRING) || '!' END AS t, -gp1 % 3 FROM so UNION ALL SELECT 'a', 1",
+    "SELECT x.a FROM (SELECT explode(array(1, 2)) AS a) x",
+    "SELECT so.order_id, x FROM so LATERAL VIEW explode(array(1, 2)) t AS x",
+    "SELECT 1 AS one"])
+def test_queries_over_views_are_allowed(spark, views, sql):
+    adhoc.guarded_select(spark, sql, views=views).collect()
+
+
+@pytest.mark.parametrize("call", [
+    "reflect('java.lang.System', 'getProperty', 'user.home')", "java_method('java.lang.System', 'currentTimeMillis')",
+    "try_reflect('java.lang.System', 'currentTimeMillis')", "input_file_name()", "current_user()", "version()",
+    "(SELECT reflect('java.lang.System', 'currentTimeMillis'))", "sum(length(java_method('java.lang.Math', 'random')))"])
+def test_calls_outside_the_list_are_refused(spark, views, call):
+    for sql in (f"SELECT {call} FROM so", f"WITH w AS (SELECT {call} AS a FROM so) SELECT a FROM w",
+                f"SELECT 1 FROM so WHERE EXISTS (SELECT {call})"):
+        with pytest.raises(ValueError):
+            adhoc.guarded_select(spark, sql, views=views)
+
+
+def test_only_registered_views_are_read(spark, views, tables):
+    path = _tmp() + "/t"
+    spark.range(3).write.parquet(path)
+    table = "adhoc_secret"
+    spark.range(3).write.mode("overwrite").option("path", _tmp() + "/s").saveAsTable(table)
+    try:
+        for source in (f"parquet.`{path}`", f"text.`{path}`", table, f"spark_catalog.default.{table}", "range(3)",
+                       f"(SELECT * FROM {table})", "so LATERAL VIEW sql_keywords() k AS a, b"):
+            with pytest.raises(ValueError):
+                adhoc.guarded_select(spark, f"SELECT * FROM {source}", views=views)
+            with pytest.raises(ValueError):
+                adhoc.guarded_select(spark, f"SELECT * FROM so WHERE order_id IN (SELECT 1 FROM {source})", views=views)
+        tbl.register_views(spark, {"hidden": tables.category_raw})
+        with pytest.raises(ValueError):
+            adhoc.guarded_select(spark, "SELECT * FROM hidden", views=views)
+        assert adhoc.guarded_select(spark, "SELECT * FROM hidden", views={"hidden"}).count() == 50
+        # A name given by WITH does not open a table of that name to other queries.
+        with pytest.raises(ValueError):
+            adhoc.guarded_select(spark, f"WITH x AS (SELECT * FROM {table}) SELECT * FROM x", views=views)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
