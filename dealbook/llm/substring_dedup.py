@@ -368,7 +368,8 @@ def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, text, mark (hash of the text) and copy: whether an equal text has a smaller id (null the largest)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     firsts = rows.groupBy("mark").agg(F.min("doc_id").alias("first"))
-    return rows.join(firsts, "mark").select("doc_id", "text", "mark",
+    # A left join, so that the test of ``copy`` cannot become a join key: both uses share one exchange by mark.
+    return rows.join(firsts, "mark", "left").select("doc_id", "text", "mark",
                                             (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("copy"))
 
 
