@@ -78,6 +78,16 @@ SELECT * FROM (VALUES
 """,
     "template_raw": """
 SELECT CASE WHEN n = 5 THEN 'x' ELSE CAST(n AS STRING) END AS n, concept, category, parent, ratio FROM {statement_template}
+""",
+    # A template as it may come: a total in two lines of another, one read before it is computed, one computed twice.
+    "statement_template_odd": """
+SELECT * FROM {statement_template} UNION ALL SELECT * FROM (VALUES
+ (0,'Preview','T19',CAST(NULL AS STRING),'T19/T13'),(23,'Net new, again','T2','T13',NULL),(24,'P&L in preview','T18','T19',NULL),
+ (25,'P&L in review','T18','T20',NULL),(26,'P&L in review, again','T18','T20',NULL),(27,'Units in review','A1','T20',NULL),(30,'Review','T20',NULL,'T20/A2')
+) AS t(n, concept, category, parent, ratio)
+""",
+    "company_names": """
+SELECT CASE r_regionkey WHEN 0 THEN 'BalanceAlpha' WHEN 1 THEN 'BalanceBeta' ELSE CONCAT('Balance', r_name) END AS code, CONCAT(r_name, ' MOTOR') AS company FROM {region}
 """,
     "category_raw": """
 SELECT CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_brand END AS identifier, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS name FROM {part}
@@ -99,6 +109,8 @@ FIXTURE_DEPS: dict[str, tuple[str, ...]] = {
     "budget_raw": ("orders", "customer", "nation"),
     "statement_template": (),
     "template_raw": ("statement_template",),
+    "statement_template_odd": ("statement_template",),
+    "company_names": ("region",),
     "category_raw": ("part",),
     "dim_company": ("region",),
     "dim_time": ("orders",),

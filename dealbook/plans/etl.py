@@ -19,17 +19,30 @@ from dealbook.functions.text import MONTH_NAMES_UPPER
 NO_CATEGORY = "without_category"
 
 
-def _mapped(code, mapping: dict[str, str] | DataFrame | None):
-    """code -> name through a literal map; unknown codes map to themselves."""
-    if not mapping:
-        return code
-    pairs = []
-    for k, v in sorted(mapping.items()):
-        pairs += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), code), code)
+def map_codes(df: DataFrame, code: str, target: str, mapping: dict[str, str] | DataFrame | None) -> DataFrame:
+    """``target`` = the name of ``code`` by a mapping; unknown codes map to themselves.
 
-
-def transform_ledger(raw: DataFrame, company_names: dict[str, str] | None = None) -> DataFrame:
+    A mapping is a dict (a literal map, for a handful of names) or a DataFrame
+    ``(code, name)`` of any size. That is joined, broadcast or not by its
+    measured size, and its codes are checked: one that occurs with more than
+    one row raises. Rows of the mapping without a code or a name are ignored.
+    """
+    if mapping is None or isinstance(mapping, dict) and not mapping:
+        return df.withColumn(target, F.col(code))
+    if isinstance(mapping, dict):
+        pairs = [F.lit(x) for pair in sorted(mapping.items()) for x in pair]
+        return df.withColumn(target, F.coalesce(F.element_at(F.create_map(*pairs), F.col(code)), F.col(code)))
+    names = mapping.select(F.col(mapping.columns[0]).cast("string").alias("_code"),
+                           F.col(mapping.columns[1]).cast("string").alias("_name")).where(
+        "_code is not null and _name is not null")
+    twice = names.groupBy("_code").count().where("count > 1").select("_code").limit(1).collect()
+    if twice:
+        raise ValueError(f"the mapping names the code {twice[0]['_code']} more than once")
+    return (df.join(names, F.col(code) == F.col("_code"), "left")
+            .withColumn(target, F.coalesce("_name", code)).drop("_code", "_name"))
+
+
+def transform_ledger(raw: DataFrame, company_names: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Ledger file rows -> ledger table.
 
     ``source_name`` is '{company}_{MMmmYYYY}_{suffix}.xls[x]': the company code
@@ -43,9 +56,8 @@ def transform_ledger(raw: DataFrame, company_names: dict[str, str] | None = None
             df = df.withColumn(c, F.lit(""))
     company_code = F.coalesce(F.get(parts, 0), F.lit(""))
     date_part = F.coalesce(F.get(parts, 1), F.lit(""))
-    df = (df.withColumn("company_code", company_code)
-            .withColumn("date_part", date_part)
-            .withColumn("company", _mapped(F.col("company_code"), company_names))
+    df = df.withColumn("company_code", company_code).withColumn("date_part", date_part)
+    df = (map_codes(df, "company_code", "company", company_names)
             .withColumn("month", try_number(F.substring("date_part", 3, 2), "int"))
             .withColumn("year", try_number(text_right("date_part", 4), "int")))
     names = F.array(*[F.lit(m) for m in MONTH_NAMES_UPPER])

@@ -8,11 +8,18 @@ written folders live under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import gzip
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
 from dealbook.session import scratch_dir
-from dealbook.sources.landing import read_json_pages, read_ledger_files, read_template_sheet
+from dealbook.sources.landing import (
+    REJECT, adopt_files, land_ledger_files, read_json_pages, read_landed_csv, read_ledger_files, read_template_sheet,
+    skipped_ledger_files,
+)
+from dealbook.sources.versioned import write_bytes
 from dealbook.sources.sinks import overwrite_table, read_delimited, read_table, write_delimited
 
 # Records per landed JSON page (the source API's page size).
@@ -21,31 +28,10 @@ LEDGER_FILE_SCHEMA = ("account string, account_name string, centre_name string,
                       "section int, category string, monthly_balance_txt string")
 
 
-# Rows of one landed file; a name with more is written as several.
-FILE_ROWS = 500_000
-
-
-def land_ledger_files(ledger_raw: DataFrame, fmt: str = "csv", path: str | None = None) -> str:
-    """One folder per original file name (``source_name=...``), as a landing area.
-
-    Each task writes the rows it has, sorted by name so that it holds one file
-    open at a time; no shuffle, so a name that holds a large share of the rows
-    is written by all tasks that have some.
-    """
-    path = path or scratch_dir(ledger_raw.sparkSession, "ledger-landing")
-    writer = (ledger_raw.sortWithinPartitions("source_name").write.mode("overwrite")
-              .option("maxRecordsPerFile", FILE_ROWS).partitionBy("source_name"))
-    if fmt == "csv":
-        writer.option("header", "true").csv(path)
-    else:
-        writer.format(fmt).save(path)
-    return path
-
-
 def load_ledger_files(ledger_raw: DataFrame, company_names: dict[str, str] | None = None) -> DataFrame:
     """Land the ledger rows as CSV files, read the folder, transform (S3 + E1)."""
     spark = ledger_raw.sparkSession
-    path = land_ledger_files(ledger_raw, "csv")
+    path = land_ledger_files(ledger_raw, scratch_dir(spark, "ledger-landing"))
     return transform_ledger(read_ledger_files(spark, path, "csv", schema=LEDGER_FILE_SCHEMA), company_names)
 
 
@@ -53,8 +39,60 @@ def landed_ledger_table(ledger_raw: DataFrame, company_names: dict[str, str] | N
     """The reference's ledger flow: landed files -> E1 -> ledger table by year, read back."""
     path = scratch_dir(ledger_raw.sparkSession, "ledger-table")
     ledger = load_ledger_files(ledger_raw, company_names)
-    ledger.write.mode("overwrite").partitionBy("year").parquet(path)
-    return ledger_raw.sparkSession.read.schema(ledger.schema).parquet(path)
+    overwrite_table(ledger, path, partition_by=["year"])
+    return read_table(ledger_raw.sparkSession, path)
+
+
+def accounted_load(spark: SparkSession, landing: str, table: str, schema: StructType | str = LEDGER_FILE_SCHEMA,
+                   company_names: dict[str, str] | DataFrame | None = None, incoming: str | None = None) -> DataFrame:
+    """Landing folder of CSV files -> ledger table, and what became of every row.
+
+    One write stores good rows and rejects: the table is partitioned by
+    ``quarantined`` and year, and a quarantined row keeps its text in
+    ``_reject``. The counts are observed on that write. Returns one row:
+    ``rows`` and ``rejects`` as observed, ``unparsed`` (good rows whose money
+    is no number), ``money`` (its sum), ``stored`` (rows counted in the stored
+    files) and ``skipped_files`` (files of ``incoming``, by default of the
+    landing folder, without a readable row).
+    """
+    landed = read_landed_csv(spark, landing, schema)
+    good = F.col(REJECT).isNull()
+    ledger = transform_ledger(landed, company_names).withColumn("quarantined", ~good)
+    seen = Observation("load")
+    observed = ledger.observe(
+        seen, F.count(F.when(good, 1)).alias("rows"), F.count(REJECT).alias("rejects"),
+        F.count(F.when(good & F.col("monthly_balance").isNull(), 1)).alias("unparsed"),
+        F.coalesce(F.sum(F.when(good, F.col("monthly_balance"))), F.lit(0)).cast("decimal(28,2)").alias("money"))
+    stored_rows = overwrite_table(observed, table, partition_by=["quarantined", "year"])
+    told = seen.get
+    skipped = skipped_ledger_files(spark, incoming or landing, "csv").count()
+    return spark.createDataFrame(
+        [(told["rows"], told["rejects"], told["unparsed"], float(told["money"]), stored_rows, skipped)],
+        "rows long, rejects long, unparsed long, money double, stored long, skipped_files long")
+
+
+def drifted_landing(ledger_raw: DataFrame) -> str:
+    """The ledger rows as a folder of files from several upstream versions, one of them cut off.
+
+    Names that end in .XLS come without ``centre`` and in another column
+    order; in the others a section 7 is written as 'x7', which is no number.
+    """
+    spark = ledger_raw.sparkSession
+    path = scratch_dir(spark, "incoming")
+    old = F.col("source_name").endswith(".XLS")
+    land_ledger_files(ledger_raw.where(old).select(
+        "monthly_balance_txt", "section", "category", "source_name", "centre_name", "account_name", "account"), path)
+    section = F.when(F.col("section") == 7, F.lit("x7")).otherwise(F.col("section").cast("string"))
+    land_ledger_files(ledger_raw.where(~old).withColumn("section", section), path)
+    write_bytes(spark, f"{path}/BalanceOmega_MM011997_v1.xlsx.csv.gz", gzip.compress(b"account,section\n1,2\n")[:12])
+    return path
+
+
+def load_drifted(ledger_raw: DataFrame) -> DataFrame:
+    """``accounted_load`` of the drifted landing."""
+    spark = ledger_raw.sparkSession
+    landing = adopt_files(spark, incoming := drifted_landing(ledger_raw), scratch_dir(spark, "adopted"))
+    return accounted_load(spark, landing, scratch_dir(spark, "ledger-table"), incoming=incoming)
 
 
 def land_json_pages(records: DataFrame, page_size: int = PAGE_SIZE) -> str:

@@ -1,22 +1,34 @@
 """Landing-folder readers: ledger files, template sheet, paged JSON records.
 
 The reference downloads files one by one and concatenates them in memory.
-Here the files are landed in a folder and read by Spark in one distributed
-scan; the file name becomes a column.
+Here the files are landed in a folder with a manifest of their headers and read
+by Spark in one distributed scan; the file name becomes a column.
 """
 
 from __future__ import annotations
 
 import csv
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from dealbook.session import scratch_dir
+from dealbook.sources.versioned import exists
+
 # Landing extension added to the original file name (stripped again on read).
 _LANDING_EXT = r"(?i)\.(csv|parquet|json|orc)$"
 
 
 REJECT = "_reject"
+#: Parquet manifest of a landing folder: the CSV header line of each layout folder.
+LAYOUTS = "_layouts"
+#: Lines of adopted files, and the header of each file.
+LINES, HEADERS = "_lines", "_headers"
+#: A landed file or stored part is about so large; larger names are split, smaller ones share a task.
+FILE_BYTES = 128 * 1024 * 1024
 
 
 def _decoded(path):
@@ -24,53 +36,163 @@ def _decoded(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def csv_layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> files that start with it.
+def _source_name():
+    """Original file name of a landed file: its ``source_name=`` folder if there is one, else its own name."""
+    folder = _decoded(F.regexp_extract(_decoded(F.col("_metadata.file_path")), r"/source_name=([^/]*)/", 1))
+    name = F.when(folder != "", folder).otherwise(F.regexp_replace(
+        F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"(?i)\.(gz|bz2|zst)$", ""), _LANDING_EXT, ""))
+    return F.when(name != "__HIVE_DEFAULT_PARTITION__", name)
+
+
+@contextmanager
+def file_sized(spark: SparkSession) -> Iterator[None]:
+    """While it is open, rebalanced writes make parts of FILE_BYTES; the session's own setting comes back after."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(FILE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def land_ledger_files(ledger_raw: DataFrame, path: str, fmt: str = "csv") -> str:
+    """One folder per original file name (``layout=.../source_name=...``), and a manifest of the layouts.
+
+    Rows are rebalanced by name with sizes measured at run time: a name's rows
+    come together, a name that holds a large share of the rows is split, and
+    small names share a task. So there are about as many files as names and
+    FILE_BYTES of data, however many tasks read the input. Names landed again
+    replace their files.
+    """
+    spark = ledger_raw.sparkSession
+    names = [c for c in ledger_raw.columns if c != "source_name"]
+    header = ",".join(names)
+    layout = f"{zlib.crc32(header.encode()):08x}"
+    writer = (ledger_raw.hint("rebalance", "source_name").write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("source_name"))
+    with file_sized(spark):
+        writer.option("header", "true").format(fmt).save(f"{path}/layout={layout}")
+    spark.createDataFrame([(layout, header)], "layout string, header string").write.mode("append").parquet(
+        f"{path}/{LAYOUTS}")
+    return path
+
+
+def adopt_files(spark: SparkSession, incoming: str, path: str) -> str:
+    """Takes over CSV files from anywhere below ``incoming``: lines and headers are stored in ``path``.
 
-    A file's first split holds its header first. One aggregate leaves one row
-    per file; the result is file metadata, not data.
+    One pass reads the texts (unreadable files are skipped) and stores their
+    lines, rebalanced by file. A file's header is the first line of its first
+    block; the manifest of headers is made from the stored lines of first
+    blocks and stored beside them.
     """
-    lines = spark.read.text(path).select(
-        _decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    layouts: dict[str, list[str]] = {}
-    for r in heads.collect():
-        layouts.setdefault(r["header"], []).append(r["file"])
-    return layouts
-
-
-def _read_csv_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV files whose columns may differ in order and number, by their own headers.
-
-    Files with one header are read together. A wanted column that a file lacks
-    is NULL, other columns are dropped, and a row that does not fit its header
-    or a value that does not fit its type leaves the row's text in ``REJECT``.
+    lines = (spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").text(incoming)
+             .select(*line_columns()))
+    return adopt_lines(lines, path)
+
+
+def line_columns() -> list:
+    """What ``adopt_lines`` needs of a text source."""
+    return [_source_name().alias("source_name"), _decoded(F.col("_metadata.file_path")).alias("file"),
+            F.col("_metadata.file_block_start").alias("block"), "value"]
+
+
+def adopt_lines(lines: DataFrame, path: str) -> str:
+    """Stores lines of CSV files (``line_columns``, in the order of the files) and the headers of the files."""
+    spark = lines.sparkSession
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    with file_sized(spark):
+        lines.hint("rebalance", "file").write.mode("overwrite").parquet(f"{path}/{LINES}")
+    heads = (spark.read.parquet(f"{path}/{LINES}").where("block = 0").groupBy("file")
+             .agg(F.min("at").alias("header_at"), F.min_by("value", "at").alias("header")))
+    heads.withColumn("header", F.regexp_replace("header", "^\ufeff", "")).write.mode("overwrite").parquet(
+        f"{path}/{HEADERS}")
+    return path
+
+
+def _typed(df: DataFrame, names: list[str], schema: StructType) -> DataFrame:
+    """Text columns of one layout (``names``, ``source_name``, ``REJECT``) as the wanted columns.
+
+    A wanted column that the layout lacks is NULL, other columns are dropped,
+    and a value that does not fit its type leaves the row's text in ``REJECT``.
     """
+    cells, bad = [], F.lit(False)
+    for f in schema.fields:
+        if f.name == "source_name":
+            continue
+        if f.name in names:
+            value = F.col(f"`{f.name}`")
+            cells.append(value.try_cast(f.dataType).alias(f.name))
+            bad = bad | (value.isNotNull() & value.try_cast(f.dataType).isNull())
+        else:
+            cells.append(F.lit(None).cast(f.dataType).alias(f.name))
+    text = F.coalesce(F.col(REJECT), F.when(bad, F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))))
+    return df.select(*cells, "source_name", text.alias(REJECT))
+
+
+def _header_names(header: str) -> list[str]:
+    """Column names of a header line; a repeated name gets its place behind it, so the first one counts."""
+    names = next(csv.reader([header]), [])
+    return [n if n not in names[:i] else f"{n}#{i}" for i, n in enumerate(names)]
+
+
+def _layout_schema(names: list[str]) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names] + [StructField(REJECT, StringType())])
+
+
+def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    fields = [*[f for f in schema.fields if f.name != "source_name"], StructField("source_name", StringType()),
+              StructField(REJECT, StringType())]
+    return spark.createDataFrame([], StructType(fields))
+
+
+def _landed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV folders of ``land_ledger_files``, one read per layout of the manifest."""
+    out = None
+    for row in spark.read.parquet(f"{path}/{LAYOUTS}").distinct().orderBy("layout").collect():
+        names = _header_names(row["header"])
+        df = (spark.read.schema(StructType([*_layout_schema(names).fields, StructField("source_name", StringType())]))
+              .option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
+              .option("ignoreCorruptFiles", "true").csv(f"{path}/layout={row['layout']}"))
+        part = _typed(df, names, schema)
+        out = part if out is None else out.unionByName(part)
+    return _empty(spark, schema) if out is None else out
+
+
+def _adopted_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Lines of ``adopt_files``, parsed by the header of their file; one parse per distinct header."""
+    heads = spark.read.parquet(f"{path}/{HEADERS}")
+    lines = spark.read.parquet(f"{path}/{LINES}").join(heads, "file").where("block <> 0 or at <> header_at")
     out = None
-    named = [f for f in schema.fields if f.name != "source_name"]
-    for header, files in sorted(csv_layouts(spark, path).items()):
-        names = next(csv.reader([header]))
-        layout = StructType([StructField(n, StringType()) for n in names] + [StructField(REJECT, StringType())])
-        df = (spark.read.schema(layout).option("header", "true").option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", REJECT).option("ignoreCorruptFiles", "true").csv(files))
-        cells, bad = [], F.lit(False)
-        for f in named:
-            if f.name in names:
-                value = F.col(f"`{f.name}`")
-                cells.append(value.try_cast(f.dataType).alias(f.name))
-                bad = bad | (value.isNotNull() & value.try_cast(f.dataType).isNull())
-            else:
-                cells.append(F.lit(None).cast(f.dataType).alias(f.name))
-        text = F.coalesce(F.col(REJECT), F.when(bad, F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]))))
-        folder = _decoded(F.regexp_extract(_decoded(F.col("_metadata.file_path")), r"/source_name=([^/]*)/", 1))
-        name = F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), _LANDING_EXT, ""))
-        df = df.select(*cells, F.when(name != "__HIVE_DEFAULT_PARTITION__", name).alias("source_name"), text.alias(REJECT))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        fields = [*named, StructField("source_name", StringType()), StructField(REJECT, StringType())]
-        out = spark.createDataFrame([], StructType(fields))
-    return out
+    for row in heads.select("header").distinct().orderBy("header").collect():
+        names = _header_names(row["header"])
+        ddl = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in [*names, REJECT])
+        cells = F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT})
+        own = lines.where(F.col("header") == row["header"]).where("value <> ''")
+        part = _typed(own.select(cells.alias("c"), "source_name").select("c.*", "source_name"), names, schema)
+        out = part if out is None else out.unionByName(part)
+    return _empty(spark, schema) if out is None else out
+
+
+def _foreign_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV files without a manifest: adopted first."""
+    return _adopted_csv(spark, adopt_files(spark, path, scratch_dir(spark, "adopted")), schema)
+
+
+def read_landed_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All rows of a landing folder with ``source_name`` and, for rows that do not fit, their text in ``REJECT``.
+
+    CSV files may differ in the order and number of their columns; each goes
+    by its own header, from the folder's manifest. A folder without one is
+    adopted first. A row that does not fit its header or a value that does not
+    fit its type is a reject.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if exists(spark, f"{path}/{LAYOUTS}"):
+        return _landed_csv(spark, path, schema)
+    if exists(spark, f"{path}/{HEADERS}"):
+        return _adopted_csv(spark, path, schema)
+    return _foreign_csv(spark, path, schema)
 
 
 def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -78,8 +200,8 @@ def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
     """All ledger files under ``path`` with a ``source_name`` column.
 
     * Columns are aligned by name across files (Parquet/ORC ``mergeSchema``,
-      CSV by each file's own header; CSV needs ``schema``). A column missing
-      from a file is NULL for its rows (U1).
+      CSV by each file's own header, see ``read_landed_csv``; CSV needs
+      ``schema``). A column missing from a file is NULL for its rows (U1).
     * Unreadable files are skipped (``ignoreCorruptFiles``) and malformed CSV
       rows left out (S4); ``rejected_ledger_rows`` and ``skipped_ledger_files``
       report both.
@@ -88,8 +210,7 @@ def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
       landing extension.
     """
     if fmt == "csv":
-        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return _read_csv_by_name(spark, path, schema).where(F.col(REJECT).isNull()).drop(REJECT)
+        return read_landed_csv(spark, path, schema).where(F.col(REJECT).isNull()).drop(REJECT)
     reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
     if schema is not None:
         reader = reader.schema(schema)
@@ -101,17 +222,18 @@ def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def rejected_ledger_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of landed CSV files that do not fit, with their file: (source_name, row)."""
-    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return (_read_csv_by_name(spark, path, schema).where(F.col(REJECT).isNotNull())
+    return (read_landed_csv(spark, path, schema).where(F.col(REJECT).isNotNull())
             .select("source_name", F.col(REJECT).alias("row")))
 
 
 def skipped_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Files under ``path`` that gave no row (unreadable or empty): (file_path, bytes)."""
-    every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), F.col("length").alias("bytes"))
-    read = (spark.read.option("ignoreCorruptFiles", "true").format(fmt).load(path)
+    """Files under ``path`` that hold bytes but gave no row (unreadable): (file_path, bytes)."""
+    every = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(_decoded(F.col("path")).alias("file_path"), F.col("length").alias("bytes")))
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    read = (reader.format("text" if fmt == "csv" else fmt).load(path)
             .select(_decoded(F.col("_metadata.file_path")).alias("file_path")).distinct())
-    return every.withColumn("file_path", _decoded(F.col("file_path"))).join(read, "file_path", "left_anti")
+    return every.join(read, "file_path", "left_anti")
 
 
 def read_template_sheet(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,11 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return bool(fs.exists(at))
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, at = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
@@ -53,16 +58,21 @@ def current(spark: SparkSession, path: str) -> dict | None:
     return None
 
 
-def _write_commit(spark: SparkSession, path: str, number: int, content: dict) -> None:
-    """Fails if the commit exists: of two writers from one version the second is refused."""
-    fs, at = _fs(spark, f"{path}/{_COMMITS}/{number:012d}.json")
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small new file; fails if it exists."""
+    fs, at = _fs(spark, path)
     out = fs.create(at, False)
     try:
-        out.write(bytearray(json.dumps(content).encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def _write_commit(spark: SparkSession, path: str, number: int, content: dict) -> None:
+    """Fails if the commit exists: of two writers from one version the second is refused."""
+    write_bytes(spark, f"{path}/{_COMMITS}/{number:012d}.json", json.dumps(content).encode())
+
+
 def _partition_folders(spark: SparkSession, root: str, depth: int) -> list[str]:
     """Partition folders of a version, relative to it."""
     found = [""]

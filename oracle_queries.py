@@ -428,6 +428,20 @@ FROM rcx LEFT JOIN a_vals v ON v.category = rcx.code AND v.period = 'Total'
 
 # --- ETL, sources and sinks ----------------------------------------------------
 
+# A total may stand in several lines: its last row counts, and a child total counts as of its last row before.
+ORACLE["pnl_odd_template"] = duckdb_cte(["ledger", "statement_template_odd"], recursive=True) + f""",
+total_ns AS (SELECT category, list(n) AS ns FROM statement_template_odd WHERE category LIKE 'T%' GROUP BY category),
+{closure_sql("statement_template_odd").replace(
+    "SELECT category, category, COALESCE(n, 2147483647) FROM statement_template_odd WHERE category LIKE 'T%'",
+    "SELECT category, category, list_max(ns) FROM total_ns").replace(
+    """CASE WHEN c.category LIKE 'T%' AND COALESCE(c.n, 2147483647) < w.ref_n
+                                 THEN COALESCE(c.n, 2147483647) END""",
+    "list_max(list_filter(t.ns, lambda x: x < w.ref_n))").replace(
+    "ON c.parent = w.node", "ON c.parent = w.node LEFT JOIN total_ns t ON t.category = c.category")},
+a_leaf AS (SELECT category, month, SUM(monthly_balance) AS value FROM ledger
+           WHERE company = '{PNL_COMPANY}' AND year = {PNL_YEAR} GROUP BY category, month)
+""" + _values("a", "a_leaf") + _periods("a", "a_leaf") + _long("a", "value") + "SELECT * FROM a_long"
+
 # Company code -> name map used for the fixture ledger files (J9); codes not
 # listed fall back to themselves.
 FIXTURE_COMPANY_NAMES = {"BalanceAlpha": "ALPHA MOTOR", "BalanceBeta": "BETA MOTOR", "BalanceGamma": "GAMMA MOTOR"}
@@ -471,8 +485,22 @@ GROUP BY account, account_name, centre_name, centre, section
 
 ORACLE["etl_ledger"] = duckdb_cte(["ledger_raw"]) + f", {ETL_LEDGER_SQL}\nSELECT * FROM etl_ledger"
 ORACLE["load_ledger_files"] = ORACLE["etl_ledger"]
+ORACLE["sales_summary_bucketed"] = ORACLE["sales_summary_dirty"]
 ORACLE["company_name_map"] = duckdb_cte(["ledger_raw"]) + f", {ETL_LEDGER_SQL}\nSELECT DISTINCT company_code, company FROM etl_ledger"
+ORACLE["company_name_table"] = duckdb_cte(["ledger_raw", "company_names"]) + f""", {ETL_LEDGER_SQL}
+SELECT e.company_code, COALESCE(c.company, e.company_code) AS company, COUNT(*) AS postings
+FROM etl_ledger e LEFT JOIN company_names c ON c.code = e.company_code GROUP BY 1, 2
+"""
+ORACLE["load_drifted"] = duckdb_cte(["ledger_raw"]) + """
+SELECT COUNT(*) FILTER (WHERE NOT bad) AS rows, COUNT(*) FILTER (WHERE bad) AS rejects,
+       COUNT(*) FILTER (WHERE NOT bad AND money IS NULL) AS unparsed,
+       CAST(COALESCE(SUM(money) FILTER (WHERE NOT bad), 0) AS DOUBLE) AS money, COUNT(*) AS stored,
+       CAST(1 AS BIGINT) AS skipped_files
+FROM (SELECT section = 7 AND source_name NOT LIKE '%.XLS' AS bad,
+             TRY_CAST(TRIM(monthly_balance_txt) AS DECIMAL(18,2)) AS money FROM ledger_raw)
+"""
 ORACLE["etl_budget"] = duckdb_cte(["budget_raw"]) + f", {BUDGET_SQL}\nSELECT * FROM budget"
+ORACLE["budget_source_names"] = ORACLE["etl_budget"]
 ETL_TEMPLATE_SQL = "SELECT TRY_CAST(TRIM(n) AS INT) AS n, concept, category, parent, ratio FROM template_raw"
 ORACLE["template_coverage"] = duckdb_cte(["template_raw", "ledger"]) + f"""
 SELECT t.n, t.concept, t.category, t.parent, t.ratio,

@@ -301,3 +301,73 @@ def test_only_registered_views_are_read(spark, views, tables):
             adhoc.guarded_select(spark, f"WITH x AS (SELECT * FROM {table}) SELECT * FROM x", views=views)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _data_files(root):
+    return [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.startswith("part-")]
+
+
+@pytest.mark.parametrize("tasks", [16, 64])
+def test_landed_files_follow_names_and_bytes_not_tasks(spark, tables, tasks):
+    raw = tables.ledger_raw.repartition(tasks).cache()
+    names = raw.select("source_name").distinct().count()
+    path = landing.land_ledger_files(raw, _tmp())
+    assert len(_data_files(path + "/" + next(d for d in os.listdir(path) if d.startswith("layout=")))) <= names + 1
+    back = landing.read_ledger_files(spark, path, "csv", roundtrips.LEDGER_FILE_SCHEMA)
+    cols = raw.columns
+    kind = {f.name: f.dataType for f in back.schema.fields}
+    want = raw.select(*[F.col(c).cast(kind[c]) for c in cols])
+    assert back.select(*cols).exceptAll(want).count() == 0 and want.exceptAll(back.select(*cols)).count() == 0
+    raw.unpersist()
+
+
+def test_layouts_of_one_folder_are_read_by_their_manifest(spark):
+    path = _tmp()
+    a = spark.createDataFrame([("A_MM011997_v1.xlsx", "6001", "1.5", "x")], "source_name string, account string, monthly_balance_txt string, extra string")
+    b = spark.createDataFrame([("B_MM021997_v1.xlsx", "2.5", "A2", "6002"), ("C+%20 d.xlsx", None, "A3", "6003")],
+                              "source_name string, monthly_balance_txt string, category string, account string")
+    for df in (a, b, a):  # a name landed again replaces its files
+        landing.land_ledger_files(df, path)
+    got = sorted(map(tuple, landing.read_ledger_files(
+        spark, path, "csv", "account string, category string, monthly_balance_txt string").collect()))
+    assert got == [("6001", None, "1.5", "A_MM011997_v1.xlsx"), ("6002", "A2", "2.5", "B_MM021997_v1.xlsx"),
+                   ("6003", "A3", None, "C+%20 d.xlsx")]
+
+
+def test_accounted_load_tells_of_every_row_and_file(spark):
+    import gzip
+
+    root = _tmp()
+    texts = {"A_MM011997_v1.xlsx.csv": "﻿account,category,monthly_balance_txt,section\n6001,A1,1.5,1\n6002,A1,n/a,1\n",
+             "sub/B_MM021997_v1.xlsx.csv": "monthly_balance_txt,extra,category,account,extra\n2.5,z,A2,6003,y\n",
+             "C_MM031997_v1.xlsx.csv": "account,monthly_balance_txt,section\n6004,4.0,1\nbad,row\n6005,1.0,notanumber\n",
+             "empty.csv": ""}
+    os.makedirs(root + "/sub")
+    for name, text in texts.items():
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(text)
+    packed = gzip.compress(b"account,section\n" + os.urandom(5000))
+    with open(root + "/D_MM041997_v1.xlsx.csv.gz", "wb") as fh:
+        fh.write(packed[:12])
+    with open(root + "/E_MM051997_v1.xlsx.csv.gz", "wb") as fh:
+        fh.write(gzip.compress(b"account,monthly_balance_txt\n6006,8.0\n"))
+    table = _tmp() + "/t"
+    (told,) = roundtrips.accounted_load(spark, root, table, "account string, section int, category string, monthly_balance_txt string").collect()
+    assert told.asDict() == {"rows": 5, "rejects": 2, "unparsed": 1, "money": 16.0, "stored": 7, "skipped_files": 1}
+    kept = {(r.account, r.company_code, r.month) for r in sinks.read_table(spark, table).where("not quarantined").collect()}
+    assert kept == {("6001", "A", 1), ("6002", "A", 1), ("6003", "B", 2), ("6004", "C", 3), ("6006", "E", 5)}
+    bad = sorted(r._reject for r in sinks.read_table(spark, table).where("quarantined").collect())
+    assert bad == ["6005,1.0,notanumber", "bad,row"]
+
+
+def test_mapping_tables_are_joined_and_checked(spark):
+    codes = spark.createDataFrame([("A",), ("B",), (None,), ("Z",)], "code string")
+    names = spark.createDataFrame([("A", "Alpha"), ("B", None), (None, "none"), ("C", "Gamma")], "k string, v string")
+    got = {r.code: r.name for r in etl.map_codes(codes, "code", "name", names).collect()}
+    assert got == {"A": "Alpha", "B": "B", None: None, "Z": "Z"}
+    assert got == {r.code: r.name for r in etl.map_codes(codes, "code", "name", {"A": "Alpha"}).collect()}
+    with pytest.raises(ValueError, match="A"):
+        etl.map_codes(codes, "code", "name", names.unionByName(names))
+    raw = spark.createDataFrame([("A_MM011997_v1.xlsx", "6001", None, "1.5")],
+                                "source_name string, account string, category string, monthly_balance_txt string")
+    assert etl.transform_ledger(raw, names).first().company == "Alpha"

@@ -54,3 +54,27 @@ def test_csv_ingest(spark, tables):
     out = spark.read.parquet(table)
     assert out.count() == part.count()
     assert [r.source_name for r in out.select("source_name").distinct().collect()] == [name]
+
+
+def test_csv_ingest_goes_by_each_header(spark):
+    root = tempfile.mkdtemp(prefix="dealbook-stream-csv-")
+    landing, table, ckpt = (os.path.join(root, d) for d in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+
+    def land(name, text):
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(text)
+        os.replace(os.path.join(root, name), os.path.join(landing, name))
+
+    def run():
+        start_ledger_ingest(spark, landing, table, "account string, category string, section int, monthly_balance_txt string",
+                            fmt="csv", checkpoint=ckpt).awaitTermination()
+        return sorted((r.account, r.category, r.month, str(r.quarantined) == "true") for r in spark.read.parquet(table).collect())
+
+    land("A_MM011997_v1.xlsx.csv", "account,category,section,monthly_balance_txt\n6001,A1,1,2.5\n")
+    land("B_MM021997_v1.xlsx.csv", "category,account\nA2,6002\n")
+    want = [("6001", "A1", 1, False), ("6002", "A2", 2, False)]
+    assert run() == want
+    land("C_MM031997_v1.xlsx.csv", "section,account,category\nx,6003,A3\n")
+    assert run() == want + [("6003", "A3", 3, True)]
+    assert run() == want + [("6003", "A3", 3, True)]
