@@ -146,8 +146,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
     rows = written(rows.select("vec_id", normalised(whole).alias("vec")), "vectors")
     valid = rows.where("vec_id is not null and vec is not null")
-    reps = valid.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = written(reps.withColumn("place", F.shiftrightunsigned(F.xxhash64("vec"), 1)), "distinct")
+    reps = valid.groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # A number of its own names each distinct vector: two of one id are two.
+    reps = written(reps.withColumns({"place": F.shiftrightunsigned(F.xxhash64("vec"), 1),
+                                     "rep": F.monotonically_increasing_id()}), "distinct")
     reach = float(np.sqrt(2.0 - 2.0 * threshold))
     n_dims = reps.groupBy(F.length("vec").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     pivots = {}
@@ -157,7 +159,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         chosen = (reps.where(F.length("vec") == dim * 8).orderBy(F.xxhash64(F.lit(1), "place"), "vec")
                   .limit(k).select("vec").collect())
         pivots[dim] = unit([bytes(r["vec"]) for r in chosen])
-    home = written(reps.mapInPandas(lambda it: homes(it, pivots), (
+    home = written(reps.drop("first_id").mapInPandas(lambda it: homes(it, pivots), (
         "vec binary, rep long, copies long, place long, dim int, cell int, far double")), "homes")
     cells = {d: (np.full(len(p), np.inf), np.full(len(p), -np.inf), np.zeros(len(p), np.int64))
              for d, p in pivots.items()}
@@ -171,12 +173,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     found = written(spread.groupBy("dim", "cell", "hb", "cb").applyInPandas(
         lambda g: linked(g, threshold), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found, "rep", "root")
-    per_rep = (reps.select("vec", "rep", "copies").join(links, "rep", "left")
+    held = written(valid.join(reps.select("vec", "rep"), "vec").select("vec_id", "rep"), "ids")
+    # Vectors of one id are one node of the components.
+    several = (held.groupBy("vec_id").agg(F.min("rep").alias("root"), F.max("rep").alias("last"))
+               .where("root < last").drop("last"))
+    bridges = held.join(several, "vec_id").select("rep", "root").where("rep <> root")
+    groups = components(found.select("rep", "root").unionByName(bridges), "rep", "root")
+    per_rep = (reps.select("rep", "first_id", "copies").join(links, "rep", "left")
                .join(groups, F.col("rep") == F.col("node"), "left")
-               .select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                       F.coalesce("component", "rep").alias("component")))
-    own = valid.join(per_rep, "vec").select("vec_id", "n_links", "component")
+               .select("rep", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                       F.coalesce("component", "rep").alias("label")))
+    least = per_rep.groupBy("label").agg(F.min("first_id").alias("component"))
+    own = (held.join(per_rep.join(least, "label").select("rep", "n_links", "component"), "rep")
+           .select("vec_id", "n_links", "component"))
     rest = rows.where("vec_id is null or vec is null").select("vec_id")
     same = (own.join(rest.distinct(), "vec_id", "left_semi")
             .groupBy("vec_id").agg(F.min("component").alias("component")))
@@ -188,20 +197,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
 
 NEAR_DUPLICATES_SQL = f"""
-WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings), v AS (
+  SELECT r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM rows
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
-  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+  SELECT a.r AS r, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
 ), reach AS (
   SELECT vec_id AS node, vec_id AS seen FROM embeddings
   UNION
   SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
 )
-SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE r = e.r) AS n_links,
        (SELECT min(seen) FROM reach WHERE node = e.vec_id) AS component_id,
        (SELECT min(seen) FROM reach WHERE node = e.vec_id) = e.vec_id AS kept
-FROM embeddings e
+FROM rows e
 """

@@ -91,3 +91,53 @@ def test_vector_queries_match_sql(spark, query, sql):
     got = query(spark.read.parquet(f"{SF}/embeddings.parquet"))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def _same_as_sql(spark, rows, op, sql):
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows],
+                                         "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "vec_id long, embedding array<double>")
+    out = op(df.repartition(3))
+    want = con.execute(sql).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted(tuple(r) for r in out.select(*names).collect()) == sorted(want)
+    return sorted(tuple(r) for r in out.collect())
+
+
+def test_metric_join_of_two_vectors_of_one_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a), (5, b), (1, [1.0, 0.01, 0.0]), (2, [0.01, 1.0, 0.0]), (3, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0]),
+            (9, [0.0, 0.0, 1.0]), (7, [0.0, 0.0, 2.0])]
+    got = _same_as_sql(spark, rows, near_duplicates, NEAR_DUPLICATES_SQL)
+    assert [r[:3] for r in got if r[0] == 5] == [(5, 1, 1), (5, 2, 1)]
+    assert [r[:3] for r in got if r[0] in (2, 7)] == [(2, 2, 1), (7, 2, 7)]
+
+
+def test_top_k_lists_every_equal_row(spark):
+    rows = [(20, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 0.25]), (40, [0.0, 1.0]), (40, [1.0, 0.0])]
+    got = _same_as_sql(spark, rows, top_k_search, TOP_K_SQL)
+    assert [r[2] for r in got if r[0] == 20] == [1, 1, 40, 40, 2] or len([r for r in got if r[0] == 20]) == 5
+    assert len([r for r in got if r[0] == 40]) == 8
+
+
+def test_top_k_of_components_of_any_finite_size(spark):
+    import math
+    from fractions import Fraction
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    rows += [(100, [1e30, 0.0, 1.0]), (101, [-1e300, 1e-3, 0.0]), (120, [1.7e308, 0.5, 0.0]), (121, [3e9, 2.0**60, 1.0])]
+    ints = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    want = {}
+    for q, w in ints:
+        if q % 20 == 0:
+            scored = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(w, v)))), c) for c, v in ints if c != q)
+            want[q] = [(c, -s) for s, c in scored[:20]]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in sorted(top_k_search(df, candidate_block=16, query_block=2).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
