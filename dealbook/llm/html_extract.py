@@ -9,6 +9,7 @@ maximum likelihood on the labelled pages of ``labelled_pages`` and is decoded by
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,6 +30,13 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
           "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
           "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements of other vocabularies that stand within a line and may close themselves; their content is skipped too.
+FOREIGN = {"svg", "math"}
+#: A start tag that ends an open svg or math (unless html is nested in it by a foreignobject).
+BREAKOUT = {"article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "footer", "h1", "h2", "h3",
+            "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: All that may stand in a select; another start tag ends one without an end tag.
+SELECT_CONTENT = {"option", "optgroup", "hr", "script", "template", "select"}
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -60,8 +68,11 @@ class Blocks(HTMLParser):
         self.path: tuple | None = None
         self.blocks: list[tuple[tuple, str, int, int]] = []
         self.label = 0
-        self.feed(html)
-        self.close()
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError, IndexError):
+            pass  # the parser gives up on this markup: the blocks read so far stay
         self.flush()
         return self.blocks
 
@@ -82,12 +93,29 @@ class Blocks(HTMLParser):
         if self.stack and self.stack[-1][0] == "head":
             self.pop_to(len(self.stack) - 1)
 
+    def parse_marked_section(self, i, report=1):
+        # Browsers read <![ ... > as a comment, whatever stands in it.
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def end_skipped(self, tag) -> None:
+        """Ends an open select, svg or math in which the start tag cannot stand."""
+        names = [e[0] for e in self.stack]
+        if "select" in names and tag not in SELECT_CONTENT:
+            self.pop_to(names.index("select"))
+        elif tag in BREAKOUT and "foreignobject" not in names:
+            at = next((i for i, name in enumerate(names) if name in FOREIGN), None)
+            if at is not None:
+                self.pop_to(at)
+
     def handle_starttag(self, tag, attrs):
+        if self.skip:
+            self.end_skipped(tag)
         if tag not in HEAD_CONTENT:
             self.end_head()
         if tag == "body" and self.skip:  # a head without an end tag
             self.pop_to(next(i for i, e in enumerate(self.stack) if e[0] in SKIPPED))
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in FOREIGN and not any(e[0] in FOREIGN for e in self.stack):
             self.flush()
             for i in range(len(self.stack) - 1, -1, -1):
                 name = self.stack[i][0]
@@ -111,12 +139,18 @@ class Blocks(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
+        if tag in FOREIGN:
+            return
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in SKIPPED:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        names = [e[0] for e in self.stack]
+        inside = next((i for i, name in enumerate(names) if name in FOREIGN), len(names))
+        if tag in names[inside:] or inside < len(names) and tag not in names[:inside]:
+            pass  # within an svg or math: the block around it goes on
+        elif tag not in INLINE:
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -259,6 +293,7 @@ class Field:
         return out[::-1]
 
 
+@lru_cache(maxsize=1)
 def train(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> Field:
     reader = Blocks()
     parsed = [reader.read(html) for html in labelled_pages(pages, seed)]
@@ -290,7 +325,8 @@ def extract_main_text(pages: DataFrame, field: Field | None = None) -> DataFrame
     gives an empty text. Character references are decoded, white space within a
     block becomes one space, blocks are trimmed. Broken or cut-off markup is
     read as far as it goes. Repeated rows and null ids keep a row each. Other
-    columns are not read.
+    columns are not read. No page fails the query: markup that the parser gives
+    up on is read up to there.
     """
     field = field or train()
 

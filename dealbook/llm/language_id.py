@@ -32,12 +32,12 @@ UNKNOWN = "und"
 MIN_SCORE = 0.3
 #: Windows that run through the network together.
 ROWS = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = 0x20
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether any character is a letter (signs that only stand for numbers are none)."""
+    return text is not None and any(map(str.isalpha, text))
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

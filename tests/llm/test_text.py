@@ -337,3 +337,44 @@ def test_pipeline_stages(spark, clashing):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<p>One</p><![foo[ x ]]><p>two</p>", ["One", "two"]),
+    ("<p>One</p><![ 1 ]><p>two</p>", ["One", "two"]),
+    ("<p>One</p><![CDATA[ gone ]]><p>two</p>", ["One", "two"]),
+    ("<p>One</p><![if !IE]><p>two</p><![endif]>", ["One", "two"]),
+    ("<p>One</p><![foo", ["One"]),
+    ("<p>One</p><!x[<p>two</p>", None),
+    ('<article><svg class="i"/><p>text</p></article>', ["text"]),
+    ("<p>One two <svg/> three.</p>", ["One two three."]),
+    ("<p>One <svg><g><path d='1'/><title>no</title></g></svg>two <math><mi>x</mi></math> three</p>", ["One two three"]),
+    ("<p>One <svg><g> two</p><p>three</p>", ["One", "three"]),
+    ("<div><svg><path><p>out</p></div>", ["out"]),
+    ("<div>a<svg><foreignObject><div>no</div></foreignObject></svg>b</div>", ["ab"]),
+    ("<form><select><option>x<option>y</form><p>text</p>", ["text"]),
+    ("<select><option>x<p>One</p><p>two</p>", ["One", "two"]),
+    ("<div><select><optgroup><option>x</select>in</div>", ["in"]),
+])
+def test_blocks_of_odd_markup(html, want):
+    got = [b[1] for b in html_extract.Blocks(labelled=False).read(html)]
+    assert want is None or got == want
+
+
+def test_extraction_of_empty_repeated_and_very_long_pages(spark, field):
+    schema = "page_id long, url string, html string"
+    assert html_extract.extract_main_text(spark.createDataFrame([], schema), field).collect() == []
+    para = "This is a sentence of the article, and it goes on for a while. "
+    long = "<html><body><article>" + "".join(f"<p>{para * 8}{i}</p>" for i in range(10_000)) + "</article></body></html>"
+    assert len(long) > 5_000_000
+    rows = [(1, "u", long), (2, "v", "<p>x</p>"), (2, "v", "<p>x</p>"), (None, None, None)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, schema).repartition(2), field).collect()
+    assert len(got) == 4 and sum(r.page_id == 2 for r in got) == 2
+    text = next(r.text for r in got if r.page_id == 1)
+    assert text.count("\n\n") == 9_999 and text.endswith("9999")
+
+
+@pytest.mark.parametrize("text, letter", [("½ ²", False), ("①", False), ("Ⅷ 8 _", False), ("", False), (None, False),
+                                          ("1a", True), ("ñ", True), ("中", True)])
+def test_signs_of_numbers_are_no_letters(text, letter):
+    assert language_id.has_letter(text) is letter
