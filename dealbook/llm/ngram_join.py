@@ -271,8 +271,11 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sequence as its one n-gram. Rows with a null doc_id get a null component
     and lend none. Rows that repeat a doc_id are linked by their own texts and
     keep a row each. Texts of any length are read whole. Other columns are not
-    read. n-grams are compared by 64-bit hashes.
+    read. n-grams are compared by 64-bit hashes. ``percent`` must be over 50:
+    the bounds by which sets are dropped hold only there.
     """
+    if not 50 < percent <= 100:
+        raise ValueError(f"percent must be over 50 and at most 100, not {percent}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size, count = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()

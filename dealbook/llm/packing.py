@@ -20,8 +20,6 @@ from dealbook.llm.common import small_batches, written
 from dealbook.llm.tokens import END, VOCABULARY, encoder
 
 LENGTH = 2048
-#: A sequence with at most this many free places is done.
-NEARLY_FULL = 0
 #: Items that one task packs at a time.
 GROUP_ITEMS = 60_000
 #: A piece in a bin's member bytes: doc_id, known, piece, start, length, ids_crc32.
@@ -70,7 +68,7 @@ def packed(sizes: np.ndarray, members: list[bytes], limit: int) -> pd.DataFrame:
     for bin_ in best_fit(sizes, limit):
         filled = int(sizes[bin_].sum())
         held = b"".join([members[i] for i in bin_])
-        rows.append((filled, held, limit - filled <= NEARLY_FULL, zlib.crc32(held)))
+        rows.append((filled, held, limit == filled, zlib.crc32(held)))
     return pd.DataFrame(rows, columns=["filled", "members", "done", "lead"]).astype(
         {"filled": "int32", "lead": "int64", "done": "bool"})
 
@@ -147,17 +145,24 @@ def pack(docs: DataFrame, limit: int = LENGTH, vocabulary: str = VOCABULARY,
     small_batches(docs.sparkSession)
     bins = written(docs.mapInPandas(lambda it: local_round(it, vocabulary, limit, group_items), BIN), "bins")
     finished = [bins.where("done")]
-    rest = bins.where("not done")
-    n = rest.count()
-    while n:
+
+    def open_bins(df: DataFrame) -> tuple[DataFrame, int]:
+        """Underfull bins that the smallest of them still fits, and their number; the others are finished."""
+        under = df.where("not done")
+        least = under.agg(F.min("filled")).first()[0] or 0
+        finished.append(under.where(F.lit(limit) - F.col("filled") < least))
+        rest = under.where(F.lit(limit) - F.col("filled") >= least)
+        return rest, rest.count()
+
+    rest, n = open_bins(bins)
+    while n > 1:
         # Each group mixes all lengths: it is dealt by a hash of its members.
         groups = max(1, -(-n // group_items))
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("members"), F.lit(groups)))
         merged = written(dealt.groupBy("g").applyInPandas(
             lambda rows: merge_round(rows.drop(columns=["g", "done"]), limit), BIN), "bins")
         finished.append(merged.where("done"))
-        rest = merged.where("not done")
-        left = rest.count()
+        rest, left = open_bins(merged)
         if groups == 1 or left > 0.98 * n:
             break
         n = left

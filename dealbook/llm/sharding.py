@@ -109,6 +109,19 @@ def communication_matrix(block_rows: DataFrame, blocks: int, shards: int, rows:
     return written(nodes.withColumnRenamed("node", "block"), "matrix")
 
 
+def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """The rows of ``docs`` by their numbers: doc_id, size, text_crc32, place (64 random bits) and block."""
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
+    # The place hashes a number of the row too, so equal rows go to blocks of their own.
+    base = base.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32",
+                                               F.monotonically_increasing_id()))
+    # Texts are read once, and places are fixed; everything after works on these few numbers.
+    return written(base.withColumn("block", F.pmod("place", F.lit(blocks))), "places")
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7,
                         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every row of ``docs`` in one of ``shards`` shards, law ``rows``.
@@ -122,15 +135,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7,
     of a text carry no group key here: the law counts rows alone.
     """
     rows = docs.count()
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"))
     blocks = max(1, -(-rows // block_rows))
-    # The place is a hash of the row, not of its position, so a retried scan gives it again.
-    base = base.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
-    # Texts are read once; everything after works on these few numbers.
-    base = written(base.withColumn("block", F.pmod("place", F.lit(blocks))), "places")
+    base = placed(docs, blocks, seed)
     block_rows_df = base.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     matrix = communication_matrix(block_rows_df, blocks, shards, rows, seed).select(
         "block", F.transform("counts", lambda _, i: F.aggregate(

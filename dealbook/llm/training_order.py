@@ -28,6 +28,8 @@ KEY = 20_240_607
 ROUNDS = 6
 #: Sequences of one shard; with its 4,101-byte records a shard is about 34 MB.
 SHARD_SEQUENCES = 8192
+#: Tasks that write the shards at most; each writes whole shards one after the other.
+SHARD_TASKS = 100_000
 #: Sequences that a task stores as one row: bounds its memory.
 ROW_SEQUENCES = 2048
 HEADER = 4
@@ -74,6 +76,8 @@ def sequences(batches: Iterator[pd.DataFrame], name: str, length: int, row_seque
     def row():
         nonlocal first, size
         flat = np.concatenate(held)
+        if flat.max() > 0xFFFF:
+            raise ValueError(f"id {flat.max()} of the vocabulary does not fit the records' 16 bits")
         n = -(-flat.size // length)
         counts = np.full(n, length, dtype=np.uint32)
         counts[-1] = flat.size - (n - 1) * length
@@ -127,6 +131,11 @@ def to_shards(batches: Iterator[pd.DataFrame], base: np.ndarray, n: int, length:
                                columns=["shard", "slots", "counts", "ids"])
 
 
+def dealt_by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows to tasks by the shard number (int) itself: no task gets more than one shard above the mean."""
+    return rows.repartitionById(int(min(shards, SHARD_TASKS)), "shard")
+
+
 def shard_records(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """The records of one shard in slot order, without their closing newline."""
     import zstandard
@@ -168,7 +177,7 @@ def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabular
     ``shard_sequences`` and on, in ``path``/shard=k; ``path`` defaults to the
     shared folder. Columns: sequence, slot, shard, byte_offset in the shard,
     n_tokens, ids_crc32 (over uint32 ids) and doc_ids of the documents in it (-1
-    for a null id). Rows that repeat are documents of their own; an empty table
+    for a null id). A vocabulary with ids over 65,535 raises. Rows that repeat are documents of their own; an empty table
     gives no rows and no shard. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -185,8 +194,8 @@ def materialise(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabular
     if n:
         shards = -(-n // shard_sequences)
         records = (rows.mapInPandas(lambda it: to_shards(it, base, n, length, shard_sequences, key),
-                                    "shard long, slots binary, counts binary, ids binary")
-                   .repartition(int(min(shards, 100_000)), "shard").groupBy("shard")
+                                    "shard int, slots binary, counts binary, ids binary")
+                   .transform(lambda df: dealt_by_shard(df, shards)).groupBy("shard")
                    .applyInPandas(lambda g: shard_records(g, length), "shard long, slot long, record binary"))
         # The text writer puts out the bytes as they are and ends each record with a newline.
         (records.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))

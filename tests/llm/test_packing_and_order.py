@@ -4,16 +4,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dealbook.llm import training_order
 from dealbook.llm.packing import best_fit, pack
-from dealbook.llm.sharding import hypergeometric_sql, shuffle_into_shards, uniform_sql
+from dealbook.llm.sharding import communication_matrix, hypergeometric_sql, placed, shuffle_into_shards, uniform_sql
 from dealbook.llm.tokens import encoder
-from dealbook.llm.training_order import feistel, materialise, read_shard, record_size
+from dealbook.llm.training_order import dealt_by_shard, feistel, materialise, read_shard, record_size
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 TEXTS = ["", None, "a", "a  b\n\n c", "it's we'll 's don't", "日本語 ½ x²", "x<|endoftext|>y", "\x85 　z", "word " * 3000,
@@ -135,3 +137,75 @@ def test_shards_are_exact(make_docs, clashing, rows):
     sizes = [len(slots.get(s, [])) for s in range(5)]
     assert max(sizes) - min(sizes) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def naive_best_fit(sizes, limit):
+    """Largest first, each into the bin of least room that holds it."""
+    room = []
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(room) if r >= size]
+        if fits:
+            room[min(fits)[1]] -= size
+        else:
+            room.append(limit - size)
+    return sorted(limit - r for r in room)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_equals_the_naive_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, (100, 60, 20, 101, 8)[seed], 400)
+    assert sorted(int(sizes[b].sum()) for b in best_fit(sizes, 100)) == naive_best_fit(sizes.tolist(), 100)
+
+
+def test_rounds_fill_the_sequences(make_docs):
+    docs = make_docs(["one two three " * (k % 8) for k in range(900)], parts=7)
+    rows = pack(docs, limit=64, group_items=30).collect()
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    total = sum(filled.values())
+    assert max(filled.values()) <= 64 and len(filled) <= 1.08 * -(-total // 64)
+
+
+def test_equal_rows_spread_over_all_blocks(make_docs):
+    docs = make_docs([(5, "same")] * 40_000, parts=3)
+    sizes = [r["count"] for r in placed(docs, 40, 7).groupBy("block").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 1300
+    out = shuffle_into_shards(docs, shards=4, block_rows=1000).groupBy("shard").agg(
+        F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert [(r.n, r.d, r.m) for r in out] == [(10_000, 10_000, 9_999)] * 4
+
+
+def test_matrix_has_the_sums_of_blocks_and_shards(spark):
+    rows = [13, 0, 40, 7, 25, 15]
+    blocks = spark.createDataFrame([(b, n) for b, n in enumerate(rows) if n], "block long, n long")
+    drawn = {r.block: r.counts for r in communication_matrix(blocks, 6, 7, 100, 3).collect()}
+    assert [sum(drawn[b]) if b in drawn else 0 for b in range(6)] == rows
+    assert [sum(c[j] for c in drawn.values()) for j in range(7)] == [15, 15, 14, 14, 14, 14, 14]
+
+
+@pytest.mark.parametrize("shards", [1, 21, 1229])
+def test_shards_are_dealt_evenly(spark, shards):
+    df = dealt_by_shard(spark.range(shards * 3).selectExpr(f"cast(id % {shards} as int) as shard"), shards)
+    per_task = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count_distinct("shard").alias("n")).collect()]
+    assert len(per_task) == shards and max(per_task) == 1
+    grouped = df.groupBy("shard").applyInPandas(lambda g: g, "shard int")
+    assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_wide_vocabularies_are_refused(monkeypatch):
+    class Wide:
+        def encode(self, texts):
+            return [np.array([70_000], np.uint32) for _ in texts]
+
+    monkeypatch.setattr(training_order, "encoder", lambda name: Wide())
+    monkeypatch.setattr(training_order, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {
+        "partitionId": staticmethod(lambda: 0)}))}))
+    with pytest.raises(ValueError, match="70000"):
+        list(training_order.sequences(iter([pd.DataFrame({"doc_id": [1], "text": ["x"]})]), "wide", 8, 8))
+
+
+def test_training_order_with_a_null_id(make_docs, tmp_path):
+    rows = materialise(make_docs([(None, "a b"), (None, "c"), (3, None)], parts=1), length=4, path=str(tmp_path / "s")).collect()
+    assert sorted(d for r in rows for d in r.doc_ids) .count(-1) >= 2 and any(3 in r.doc_ids for r in rows)

@@ -378,3 +378,9 @@ def test_extraction_of_empty_repeated_and_very_long_pages(spark, field):
                                           ("1a", True), ("ñ", True), ("中", True)])
 def test_signs_of_numbers_are_no_letters(text, letter):
     assert language_id.has_letter(text) is letter
+
+
+@pytest.mark.parametrize("percent", [0, 45, 50, 101])
+def test_jaccard_refuses_thresholds_it_cannot_hold(make_docs, percent):
+    with pytest.raises(ValueError):
+        jaccard_classes(make_docs(["a b c d e"]), percent=percent)
