@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gzip
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
@@ -20,7 +20,7 @@ from dealbook.sources.landing import (
     skipped_ledger_files,
 )
 from dealbook.sources.versioned import write_bytes
-from dealbook.sources.sinks import overwrite_table, read_delimited, read_table, write_delimited
+from dealbook.sources.sinks import export_manifest, overwrite_table, read_delimited, read_table, stored, write_delimited
 
 # Records per landed JSON page (the source API's page size).
 PAGE_SIZE = 5000
@@ -96,19 +96,21 @@ def load_drifted(ledger_raw: DataFrame) -> DataFrame:
 
 
 def land_json_pages(records: DataFrame, page_size: int = PAGE_SIZE) -> str:
-    """Write records as API-style pages ``{"value": [...], "@odata.nextLink": ...}``.
+    """Write records as API-style pages ``{"@odata.id", "value": [...], "@odata.nextLink": ...}``.
 
-    Page ids come from ``monotonically_increasing_id`` (contiguous within a
-    partition), so a page never holds more than ``page_size`` records and
-    pages are built in parallel.
+    Every page but the last names the next one; pages are built in parallel
+    from contiguous record numbers.
     """
     path = scratch_dir(records.sparkSession, "json-pages")
-    page = F.floor(F.monotonically_increasing_id() / F.lit(page_size))
-    pages = (records.withColumn("_page", page)
+    numbered = _contiguous(records, "_record")
+    pages = (numbered.withColumn("_page", F.floor(F.col("_record") / page_size))
              .withColumn("@odata.etag", F.concat(F.lit("W/"), F.col("_page").cast("string")))
              .groupBy("_page")
-             .agg(F.collect_list(F.struct(*records.columns, F.col("`@odata.etag`"))).alias("value"))
-             .withColumn("@odata.nextLink", F.concat(F.lit("page-"), (F.col("_page") + 1).cast("string")))
+             .agg(F.collect_list(F.struct(*records.columns, F.col("`@odata.etag`"))).alias("value")))
+    last = numbered.agg(F.floor(F.max("_record") / page_size).alias("last")).first()["last"]
+    pages = (pages.withColumn("@odata.id", F.concat(F.lit("page-"), F.col("_page").cast("string")))
+             .withColumn("@odata.nextLink", F.when(F.col("_page") < F.lit(last), F.concat(
+                 F.lit("page-"), (F.col("_page") + 1).cast("string"))))
              .drop("_page"))
     pages.write.mode("overwrite").json(path)
     return path
@@ -118,18 +120,46 @@ def load_json_pages(category_raw: DataFrame) -> DataFrame:
     """Land category records as JSON pages, read and explode them, transform (S6 + E4)."""
     spark = category_raw.sparkSession
     path = land_json_pages(category_raw)
-    records = read_json_pages(spark, path, "identifier string, name string, `@odata.etag` string")
+    records = read_json_pages(spark, path, "identifier string, name string, `@odata.etag` string", chained=True)
     return transform_categories(records)
 
 
-def csv_roundtrip(df: DataFrame, schema: str) -> DataFrame:
-    """Export with ';', header, empty NULLs and no quoting; read it back."""
+def csv_roundtrip(df: DataFrame, schema: str, order_by: list[str] | None = None) -> DataFrame:
+    """Ordered export with ';', header, empty NULLs and no quoting; read it back."""
     spark = df.sparkSession
     path = scratch_dir(spark, "export")
-    write_delimited(df, path)
+    write_delimited(df, path, order_by)
     return read_delimited(spark, path, schema)
 
 
+def export_lines(export: DataFrame) -> DataFrame:
+    """The statement export as a file: (line, text), header first, read back from its parts in order."""
+    spark = export.sparkSession
+    path = scratch_dir(spark, "statement-export")
+    write_delimited(export, path)
+    order = {p["part"]: i for i, p in enumerate(export_manifest(spark, path)["parts"])}
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    lines = spark.read.text(path).select(
+        F.element_at(place, F.col("_metadata.file_name")).alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("text"))
+    return lines.select((F.row_number().over(Window.orderBy("part", "block", "at")) - 1).alias("line"), "text")
+
+
+def _contiguous(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 without gaps; one count per partition goes to the driver."""
+    rows = stored(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in counts:
+        offsets.append((p, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, "_p long, _base long")
+    return (rows.join(F.broadcast(table), part == F.col("_p")).withColumn(name, F.col("_base") + within)
+            .drop("_at", "_p", "_base"))
+
+
 def overwrite_count(df: DataFrame) -> DataFrame:
     """Create-or-replace a table and report the stored count."""
     spark = df.sparkSession

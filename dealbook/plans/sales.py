@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dealbook.functions import round_half_away, share_pct, try_date
 from dealbook.operators.distinct import two_level_aggregate
@@ -56,6 +56,16 @@ def bucketed_sales_tables(orders: DataFrame, stock: DataFrame, path: str, bucket
                                   buckets, f"{path}/stock")
 
 
+def order_date(orders: DataFrame) -> Column:
+    """Order date: the typed column of stored orders, else the parsed text."""
+    return F.col("order_date") if "order_date" in orders.columns else try_date("order_date_txt")
+
+
+def notice_date(orders: DataFrame) -> Column:
+    """Notice date: the typed column of stored orders, else the parsed text."""
+    return F.col("notice_date") if "notice_date" in orders.columns else try_date("notice_date_txt")
+
+
 def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
     """Active orders with parsed dates, zero-filled measures and the plate flag.
 
@@ -66,8 +76,8 @@ def order_base(orders: DataFrame, stock: DataFrame) -> DataFrame:
     base = active_orders(orders).select(
         "order_id", "salesperson", "vin", "file_no", "sale_type", "financed_amount",
         *[VIN_BUCKET] * bucketed,
-        try_date("order_date_txt").alias("order_date"),
-        try_date("notice_date_txt").alias("notice_date"),
+        order_date(orders).alias("order_date"),
+        notice_date(orders).alias("notice_date"),
         F.coalesce("gp1", F.lit(0)).alias("gp1"),
         F.coalesce("gp2", F.lit(0)).alias("gp2"),
         F.coalesce("gp3", F.lit(0)).alias("gp3"),
@@ -106,7 +116,11 @@ def salesperson_summary(orders: DataFrame, stock: DataFrame, year=None, month=No
     sums = {f"sum_gp{i}": F.when(in_notice, F.col(f"gp{i}")).otherwise(F.lit(0)) for i in (1, 2, 3)}
     means = {f"avg_gp{i}": F.when(in_notice, F.col(f"gp{i}")) for i in (1, 2, 3)}
     means["avg_discount_pct"] = F.when(in_notice, F.col("discount_pct"))
-    agg = two_level_aggregate(base, ["salesperson"], "order_id", flags, sums, means)
+    return summary_report(two_level_aggregate(base, ["salesperson"], "order_id", flags, sums, means), ordered)
+
+
+def summary_report(agg: DataFrame, ordered: bool = True) -> DataFrame:
+    """Rounded report rows of per-salesperson aggregates; a salesperson without orders and sales is left out."""
     agg = agg.where((F.col("orders") > 0) | (F.col("sales") > 0))
     if ordered:
         # Report order (O1): most orders first, name as tie-break; one small sort.
@@ -155,7 +169,7 @@ def sales_by_type(orders: DataFrame, year=None, month=None, ordered: bool = True
     salesperson in percent, one decimal (R3). ``ordered`` sorts for display."""
     active = active_orders(orders)
     if not (unset(year) and unset(month)):
-        active = active.where(period(try_date("notice_date_txt"), year, month))
+        active = active.where(period(notice_date(orders), year, month))
     # Distinct (salesperson, type, id) first: the shuffle is keyed by the id
     # too, so a hot salesperson/type pair is spread over many tasks.
     counts = (active.where(F.col("order_id").isNotNull())
@@ -183,7 +197,7 @@ def type_pivot(orders: DataFrame, year=None, month=None, types: list[str] | None
         # Headers from a pruned scan of the active orders, not from the report.
         active = active_orders(orders)
         if not (unset(year) and unset(month)):
-            active = active.where(period(try_date("notice_date_txt"), year, month))
+            active = active.where(period(notice_date(orders), year, month))
         types = distinct_values(active.where(F.col("order_id").isNotNull())
                                 .select(F.coalesce("sale_type", F.lit(NO_SALE_TYPE)).alias("sale_type")), "sale_type")
     reserved = {"salesperson", "is_total", TOTAL_COLUMN}
@@ -210,7 +224,7 @@ def available_years(orders: DataFrame) -> DataFrame:
 
 def best_seller(orders: DataFrame, year: int) -> DataFrame:
     """Who sold most in a year: distinct active orders by notice year, top 1."""
-    active = active_orders(orders).where(period(try_date("notice_date_txt"), year, None))
+    active = active_orders(orders).where(period(notice_date(orders), year, None))
     per = (active.where(F.col("order_id").isNotNull()).select("salesperson", "order_id").distinct()
            .groupBy("salesperson").agg(F.count(F.lit(1)).cast("long").alias("sales")))
     per = per.select(F.coalesce("salesperson", F.lit(NO_SALESPERSON)).alias("salesperson"), "sales")

@@ -242,17 +242,52 @@ def read_template_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path)
 
 
+def check_page_chain(pages: DataFrame) -> None:
+    """Raises unless (page, next) rows are one chain: every page once, every link resolved, one first page.
+
+    Links are joined to pages, so the check is a few shuffles of page names
+    whatever their number; the message names a page.
+    """
+    def one(df: DataFrame, column: str):
+        row = df.select(column).limit(1).collect()
+        return row[0][0] if row else None
+
+    links = pages.where(F.col("next").isNotNull()).select("next")
+    twice = one(pages.groupBy("page").count().where("count > 1"), "page")
+    if twice is not None:
+        raise ValueError(f"the page {twice} is there more than once")
+    again = one(links.groupBy("next").count().where("count > 1"), "next")
+    if again is not None:
+        raise ValueError(f"more than one page links to {again}")
+    missing = one(links.join(pages, links["next"] == pages["page"], "left_anti"), "next")
+    if missing is not None:
+        raise ValueError(f"the page {missing} is missing")
+    first = [r["page"] for r in pages.join(links.select(F.col("next").alias("to")), F.col("page") == F.col("to"),
+                                           "left_anti").select("page").orderBy("page").limit(2).collect()]
+    if len(first) > 1 or not first and pages.limit(1).count():
+        raise ValueError(f"no page links to {first[1]}, so pages before it are missing" if first
+                         else "every page is linked: the chain has no first page")
+
+
 def read_json_pages(spark: SparkSession, path: str, record_schema: StructType | str,
-                    multiline: bool = False) -> DataFrame:
+                    multiline: bool = False, chained: bool = False) -> DataFrame:
     """Records of paged API responses ``{"value": [...], "@odata.nextLink": ...}``.
 
     Each page is one JSON document; the ``value`` arrays of all pages are
     exploded into rows in one distributed read. Metadata fields (names
-    starting with '@') are dropped (P3).
+    starting with '@') are dropped (P3). With ``chained`` the next-page links
+    are followed first: a missing or repeated page raises and is named. A page
+    goes by its ``@odata.id``, or by its file name (without extension) if it
+    has none; a link may be a whole address that ends in that name.
     """
     if isinstance(record_schema, str):
         record_schema = StructType.fromDDL(record_schema)
-    page_schema = StructType().add("value", ArrayType(record_schema))
+    page_schema = (StructType().add("value", ArrayType(record_schema)).add("@odata.id", StringType())
+                   .add("@odata.nextLink", StringType()))
     pages = spark.read.option("multiLine", str(multiline).lower()).schema(page_schema).json(path)
+    if chained:
+        own = F.coalesce(F.col("`@odata.id`"), F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.[^.]*$", ""))
+        check_page_chain(pages.select(own.alias("page"), F.regexp_extract(
+            "`@odata.nextLink`", r"([^/]*)$", 1).alias("next")))
     records = pages.select(F.explode("value").alias("r")).select("r.*")
     return records.drop(*[c for c in records.columns if c.startswith("@")])

@@ -29,22 +29,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(at))
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
     fs, at = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def _commit_numbers(spark: SparkSession, path: str) -> list[int]:
-    return [int(n[:-5]) for n in _names(spark, f"{path}/{_COMMITS}") if n.endswith(".json") and n[:-5].isdigit()]
+    return [int(n[:-5]) for n in names_in(spark, f"{path}/{_COMMITS}") if n.endswith(".json") and n[:-5].isdigit()]
 
 
 def _commit(spark: SparkSession, path: str, number: int) -> dict | None:
     fs, at = _fs(spark, f"{path}/{_COMMITS}/{number:012d}.json")
     if not fs.exists(at):
         return None
-    text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(fs.open(at)))
     try:
-        return json.loads(text)
+        return json.loads(read_bytes(spark, f"{path}/{_COMMITS}/{number:012d}.json"))
     except ValueError:
         return None  # its writer was lost half-way: it never became a commit
 
@@ -58,6 +58,21 @@ def current(spark: SparkSession, path: str) -> dict | None:
     return None
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """The content of a small file."""
+    fs, at = _fs(spark, path)
+    source = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    finally:
+        source.close()
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at).getLen()
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """A small new file; fails if it exists."""
     fs, at = _fs(spark, path)
@@ -77,7 +92,7 @@ def _partition_folders(spark: SparkSession, root: str, depth: int) -> list[str]:
     """Partition folders of a version, relative to it."""
     found = [""]
     for _ in range(depth):
-        found = [f"{f}/{n}".lstrip("/") for f in found for n in _names(spark, f"{root}/{f}".rstrip("/")) if "=" in n]
+        found = [f"{f}/{n}".lstrip("/") for f in found for n in names_in(spark, f"{root}/{f}".rstrip("/")) if "=" in n]
     return found
 
 

@@ -486,6 +486,9 @@ GROUP BY account, account_name, centre_name, centre, section
 ORACLE["etl_ledger"] = duckdb_cte(["ledger_raw"]) + f", {ETL_LEDGER_SQL}\nSELECT * FROM etl_ledger"
 ORACLE["load_ledger_files"] = ORACLE["etl_ledger"]
 ORACLE["sales_summary_bucketed"] = ORACLE["sales_summary_dirty"]
+ORACLE["sales_summary_pruned"] = ORACLE["sales_summary_month"]
+ORACLE["sales_by_type_pruned"] = ORACLE["sales_by_type_share"]
+ORACLE["sales_summary_incremental"] = ORACLE["sales_summary_dirty"]
 ORACLE["company_name_map"] = duckdb_cte(["ledger_raw"]) + f", {ETL_LEDGER_SQL}\nSELECT DISTINCT company_code, company FROM etl_ledger"
 ORACLE["company_name_table"] = duckdb_cte(["ledger_raw", "company_names"]) + f""", {ETL_LEDGER_SQL}
 SELECT e.company_code, COALESCE(c.company, e.company_code) AS company, COUNT(*) AS postings
@@ -584,6 +587,19 @@ ORACLE["pnl_export"] = pnl_base() + f"""
 SELECT category AS "Categoría", concept AS "Concepto", {_export_cols}
 FROM a_long GROUP BY n, category, concept, is_total
 """
+# The same table as lines of a delimited text: numbers written out, missing percentages empty.
+_periods_titled = [(str(i + 1), _month_titles[i]) for i in range(12)] + [("Total", "Total")]
+_line_text = " || ';' || ".join(
+    ["COALESCE(category, '')", "COALESCE(concept, '')"] + [
+        f"COALESCE(regexp_replace(CAST({value} AS VARCHAR), '\\.0$', ''), '')" for p, _ in _periods_titled for value in (
+            f"COALESCE(MAX(CASE WHEN period = '{p}' THEN value END), 0)", f"MAX(CASE WHEN period = '{p}' THEN pct END) + 0")])
+_line_header = ";".join(["Categoría", "Concepto"] + [f"{t} {m}" for _, t in _periods_titled for m in ("Resultado", "%")])
+ORACLE["pnl_export_file"] = pnl_base() + f"""
+SELECT 0 AS line, '{_line_header}' AS text
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY n) AS INT) AS line, text
+FROM (SELECT n, {_line_text} AS text FROM a_long GROUP BY n, category, concept, is_total)
+"""
 _fmt_v = "round_even(value, 0)"
 ORACLE["pnl_formatted"] = pnl_base() + f"""
 SELECT n, category, concept, period,

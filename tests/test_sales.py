@@ -191,3 +191,49 @@ def test_bucketed_tables_join_without_a_shuffle_and_give_the_same_summary(spark,
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
         for t in ("test_sales_orders_by_vin", "test_sales_stock_by_vin"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_month_report_reads_one_month_of_folders(spark, tables):
+    import tempfile
+
+    from dealbook.plans import periods
+
+    orders, stock = tables.sales_orders, tables.vehicle_stock
+    stored = periods.store_by_period(orders, tempfile.mkdtemp(prefix="dealbook-test-") + "/o")
+    for year, month in ((1997, 5), (1997, None), (None, 5), (None, None)):
+        assert sorted(map(tuple, sales.salesperson_summary(stored.orders(year, month), stock, year, month).collect())) == \
+            sorted(map(tuple, sales.salesperson_summary(orders, stock, year, month).collect()))
+        assert sorted(map(tuple, sales.sales_by_type(stored.orders(year, month, False), year, month).collect())) == \
+            sorted(map(tuple, sales.sales_by_type(orders, year, month).collect()))
+    read = stored.orders(1997, 5, by_order=False)
+    assert {r.notice_month for r in read.select("notice_month").distinct().collect()} == {199705}
+    read = stored.orders(1997, 5)
+    read.collect()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(notice_month" in plan and "dynamicpruning" in plan
+    assert {r.notice_month for r in read.select("notice_month").distinct().collect()} <= {
+        r.notice_month for r in stored.index().where("order_month = 199705 or notice_month = 199705").collect()}
+
+
+def test_batches_in_any_order_equal_the_full_summary(spark, tables):
+    import os
+    import tempfile
+
+    from dealbook.plans import incremental
+
+    orders, stock = tables.sales_orders_dirty, tables.vehicle_stock
+    parts = [orders.where(F.pmod(F.xxhash64("order_id", "vin"), F.lit(3)) == k) for k in range(3)]
+    # An order that comes again in another batch, with other values.
+    parts[1] = parts[1].unionByName(parts[0].limit(20).withColumn("gp1", (F.col("gp1") + 1).cast("decimal(18,2)")))
+    parts = [p.cache() for p in parts]
+    everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    wants = {(y, m): sorted(map(tuple, sales.salesperson_summary(everything, stock, y, m).collect()))
+             for y, m in ((1997, 5), (None, None))}
+    for order in ((0, 1, 2), (2, 1, 0)):
+        state = incremental.SummaryState(spark, tempfile.mkdtemp(prefix="dealbook-test-"))
+        for k in order:
+            state.add(str(k), parts[k])
+        state.add(str(order[0]), parts[order[0]])   # again: it replaces itself
+        assert len([d for d in os.listdir(state.path) if d.startswith("batch=")]) == 3
+        for (y, m), want in wants.items():
+            assert sorted(map(tuple, state.summary(stock, y, m).collect())) == want

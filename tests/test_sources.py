@@ -126,17 +126,117 @@ def test_multiline_json_pages(spark):
     assert "@odata.etag" not in df.columns
 
 
+def _joined(spark, root):
+    """The export's bytes as its manifest puts them together."""
+    told = sinks.export_manifest(spark, root)
+    out = b""
+    for part in told["parts"]:
+        assert part["offset"] == len(out)
+        with open(os.path.join(root, part["part"]), "rb") as fh:
+            out += fh.read(part["bytes"])
+    assert len(out) == told["bytes"]
+    return out.decode()
+
+
 def test_delimited_export_format(spark):
-    root = _tmp()
-    df = spark.createDataFrame([("a;b", None, 1.5)], "x string, y string, z double")
+    root = _tmp() + "/x"
+    df = spark.createDataFrame([("a;b", None, 1.5, True)], "x string, y string, z double, w boolean")
     sinks.write_delimited(df, root)
-    assert _lines(root) == ["a;b;;1.5"] and _lines(root + "/_header") == ["x;y;z"]
+    assert _joined(spark, root) == "x;y;z;w\na;b;;1.5;true"
 
 
 def test_delimited_export_of_one_null_is_an_empty_line(spark):
-    root = _tmp()
-    sinks.write_delimited(spark.createDataFrame([(None,)], "x string"), root)
-    assert _lines(root) == [""]
+    root = _tmp() + "/x"
+    sinks.write_delimited(spark.createDataFrame([(None,), (None,)], "x string"), root)
+    assert _joined(spark, root) == "x\n\n"
+    sinks.write_delimited(spark.createDataFrame([], "x string, y int"), root + "0")
+    assert _joined(spark, root + "0") == "x;y"
+
+
+def test_numbers_are_written_out(spark):
+    values = [1.0, -2.5, 0.1, 1e7, 12345678.9, 1e15 + 0.5, 1e20, 1.5e-5, -0.0, float("nan"), None, 123456789012.25]
+    got = [r.t for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+           .select(sinks.plain_text(F.col("v"), spark.range(1).select(F.lit(1.0)).schema[0].dataType).alias("t")).collect()]
+    assert got == ["1", "-2.5", "0.1", "10000000", "12345678.9", "1000000000000000.5", "100000000000000000000",
+                   "0.000015", "0", "", "", "123456789012.25"]
+    one = spark.sql("select cast(12.50 as decimal(18,2)) as a, cast(7 as decimal(18,2)) as b, 100 as c, 1e0 as d")
+    root = _tmp() + "/x"
+    sinks.write_delimited(one, root)
+    assert _joined(spark, root) == "a;b;c;d\n12.5;7;100;1"
+
+
+def test_parts_in_order_are_the_whole_text(spark, tables):
+    rows = tables.sales_orders.select("order_id", "salesperson", "gp1").repartition(7)
+    root = _tmp() + "/x"
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_delimited(rows, root, [F.col("gp1").desc(), "order_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(sinks.export_manifest(spark, root)["parts"]) > 4
+
+    def number(v):
+        return str(v).rstrip("0").rstrip(".")
+
+    want = ["order_id;salesperson;gp1"] + [f"{r.order_id};{r.salesperson or ''};{number(r.gp1)}" for r in sorted(
+        rows.collect(), key=lambda r: (-r.gp1, r.order_id))]
+    assert _joined(spark, root) == "\n".join(want)
+    back = sinks.read_delimited(spark, root, "order_id long, salesperson string, gp1 decimal(18,2)")
+    assert back.exceptAll(rows).count() == 0 and back.count() == rows.count()
+
+
+def test_statement_export_is_a_file_in_template_order(spark, tables):
+    from dealbook.plans import statement
+
+    export = statement.pnl_export(spark, tables.ledger, tables.statement_template, "EUROPE", 1997)
+    root = _tmp() + "/x"
+    sinks.write_delimited(export, root)
+    lines = _joined(spark, root).split("\n")
+    assert lines[0].startswith("Categoría;Concepto;Enero Resultado;Enero %;") and lines[0].endswith("Total Resultado;Total %")
+    concepts = [r.concept for r in tables.statement_template.orderBy("n").collect()]
+    assert [ln.split(";")[1] for ln in lines[1:]] == concepts
+    assert [r.text for r in roundtrips.export_lines(export).orderBy("line").collect()] == lines
+
+
+def _pages(root, pages):
+    for name, (values, link) in pages.items():
+        tail = f', "@odata.nextLink": "https://host/api/{link}"' if link else ""
+        with open(os.path.join(root, name + ".json"), "w") as fh:
+            fh.write('{"value": [' + ", ".join(f'{{"identifier": "{v}", "name": "n"}}' for v in values) + "]" + tail + "}\n")
+
+
+def test_page_chains_are_followed(spark):
+    schema = "identifier string, name string"
+    good = {"p1": (["A", "B"], "p2"), "p2": ([], "p3"), "p3": (["C"], None)}
+
+    def read(pages, extra=None):
+        root = _tmp()
+        _pages(root, pages)
+        return sorted(r.identifier for r in landing.read_json_pages(spark, root, schema, chained=True).collect())
+
+    assert read(good) == ["A", "B", "C"]
+    assert read({"p1": (["A"], None)}) == ["A"]
+    with pytest.raises(ValueError, match="p2 is missing"):
+        read({k: v for k, v in good.items() if k != "p2"})
+    with pytest.raises(ValueError, match="p3"):
+        read({**good, "p4": (["D"], "p3")})
+    with pytest.raises(ValueError, match="p4"):
+        read({**good, "p4": (["D"], None)})
+    with pytest.raises(ValueError, match="no first page"):
+        read({**good, "p3": (["C"], "p1")})
+    pages = spark.createDataFrame([("p1", "p2"), ("p2", None), ("p2", None)], "page string, next string")
+    with pytest.raises(ValueError, match="p2 is there more than once"):
+        landing.check_page_chain(pages)
+
+
+def test_landed_pages_are_one_chain_of_full_pages(spark, tables):
+    path = roundtrips.land_json_pages(tables.category_raw.repartition(5), page_size=30)
+    n = tables.category_raw.count()
+    pages = spark.read.json(path)
+    sizes = sorted(pages.select(F.size("value").alias("n")).toPandas()["n"])
+    assert sum(sizes) == n and sizes[1:] == [30] * (len(sizes) - 1)
+    assert landing.read_json_pages(spark, path, "identifier string, name string", chained=True).count() == n
 
 
 def test_overwrite_replaces_and_counts(spark, tables):
