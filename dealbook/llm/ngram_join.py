@@ -34,8 +34,13 @@ PERCENT = 85
 FRAGMENT_BYTES = 16_000_000
 #: Characters of text whose n-grams a task holds at a time.
 SLICE_CHARS = 2_000_000
-#: Documents per group that sums the fragments' shared counts.
-SUM_DOCS = 200_000
+#: Groups of fragments that a slice is cut into at most; more fragments are cut again from many slices together.
+FAN_OUT = 1024
+#: Bytes that the second cut takes together.
+SPLIT_BYTES = 16_000_000
+#: An n-gram is frequent if more sets than HOT_LEAST, or than one in HOT_PART of all n-grams, hold it: a list of at
+#: most HOT_PART entries of 16 bytes.
+HOT_LEAST, HOT_PART = 500, 1 << 20
 #: Sets in one block of a cluster, and fragments of the second cut.
 BLOCK_SETS = 1024
 FRAGMENTS = 8
@@ -76,66 +81,132 @@ def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows
 
 
-def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int) -> Iterator[pd.DataFrame]:
-    """Per batch and fragment one row with the segments of the batch's distinct sets.
-
-    The row of a fragment also carries the batch's documents (id, set key, set
-    size), dealt over the fragments, so one pass over the texts gives both.
-    Within a fragment 32 more bits tell n-grams apart; a rare clash only makes
-    an n-gram look shared, which keeps a set for the exact steps.
+def low_bits(tokens: np.ndarray, fragments: int) -> np.ndarray:
+    """The 32 bits below the fragment number."""
+    return (tokens * np.uint64(fragments) >> np.uint64(32)).astype(np.uint32)
+
+
+def _rows_by(part: np.ndarray, parts: np.ndarray, owners: np.ndarray, tokens: np.ndarray, refs: np.ndarray,
+             sizes: np.ndarray) -> dict[int, tuple]:
+    """For each of ``parts`` its segments (refs, sizes, lens, tokens); ``owners`` index refs and sizes."""
+    order = np.lexsort((owners, part))
+    part, owners, tokens = part[order], owners[order], tokens[order]
+    out = {}
+    for f, a, b in zip(parts.tolist(), np.searchsorted(part, parts), np.searchsorted(part, parts, "right")):
+        runs = np.flatnonzero(np.diff(owners[a:b], prepend=-1))
+        own = owners[a:b][runs]
+        out[f] = (refs[own].tobytes(), sizes[own].astype(np.uint32).tobytes(),
+                  np.diff(np.append(runs, b - a)).astype(np.uint32).tobytes(), tokens[a:b].tobytes())
+    return out
+
+
+def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int, step: int) -> Iterator[pd.DataFrame]:
+    """Per slice and group of ``step`` fragments one row with the segments of the slice's distinct sets.
+
+    An n-gram that several sets of the slice have is shared, whatever the
+    others hold: those sets are told so here (``told``: set, its size, how many
+    such n-grams), and the n-gram goes out once (``many``). So one that very
+    many sets have is one entry a slice, and only n-grams of a single set go
+    out with it. The rows also carry the slice's documents (id, set key, set
+    size), dealt over the rows, so one pass over the texts gives all. Within a
+    fragment 32 more bits tell n-grams apart; a rare clash only makes an
+    n-gram look shared, which keeps a set for the exact steps.
     """
+    groups = -(-fragments // step)
     for pdf in slices(batches):
         sets = shingle_sets(pdf["text"].tolist(), width)
         hi, lo = set_keys(sets)
         size = np.array([s.size for s in sets], dtype=np.int64)
         known = pdf["doc_id"].notna().to_numpy()
         ids = pdf["doc_id"].fillna(0).to_numpy().astype(np.int64)
+        docs = np.column_stack((ids, known, hi, lo, size)).astype(np.int64)
         _, first = np.unique(hi, return_index=True)
         first = first[size[first] > 0]
         flat = np.concatenate([sets[i] for i in first]) if first.size else np.empty(0, np.uint64)
         owner = np.repeat(first, size[first])
-        frag = fragment_of(flat, fragments)
-        order = np.argsort(frag, kind="stable")
-        cuts = np.searchsorted(frag[order], np.arange(fragments + 1))
-        deal = np.arange(len(sets)) % fragments
-        rows = []
-        for f in range(fragments):
-            at = order[cuts[f]: cuts[f + 1]]
-            runs = np.flatnonzero(np.diff(owner[at], prepend=-1))
-            own = owner[at][runs]
-            d = np.flatnonzero(deal == f)
-            if not at.size and not d.size:
-                continue
-            rows.append((f, hi[own].tobytes(), size[own].astype(np.uint32).tobytes(),
-                         np.diff(np.append(runs, at.size)).astype(np.uint32).tobytes(),
-                         (flat[at] * np.uint64(fragments) >> np.uint64(32)).astype(np.uint32).tobytes(),
-                         np.column_stack((ids[d], known[d], hi[d], lo[d], size[d])).astype(np.int64).tobytes()))
-        yield pd.DataFrame(rows, columns=["frag", "refs", "sizes", "lens", "tokens", "docs"])
-
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        same = flat[1:] == flat[:-1]
+        common = np.zeros(flat.size, dtype=bool)
+        common[1:] |= same
+        common[:-1] |= same
+        local = np.bincount(owner[common], minlength=len(sets))
+        some = np.flatnonzero(local)
+        told = np.column_stack((hi[some], size[some], local[some])).astype(np.int64)
+        many = np.unique(flat[common])
+        value = (lambda x: low_bits(x, fragments)) if step == 1 else (lambda x: x)
+        many_at = fragment_of(many, fragments) // step
+        alone, owner = flat[~common], owner[~common]
+        part = fragment_of(alone, fragments) // step
+        used = np.unique(np.concatenate((part, many_at)))
+        if not used.size:
+            used = np.zeros(1, dtype=np.int64)
+        rows = _rows_by(part, used, owner, value(alone), hi, size)
+        deal, deal_told = np.arange(len(docs)) % used.size, np.arange(len(told)) % used.size
+        yield pd.DataFrame([
+            (f, *rows[f], value(many[many_at == f]).tobytes(), told[deal_told == i].tobytes(),
+             docs[deal == i].tobytes()) for i, f in enumerate(used.tolist())],
+            columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+
+SEGMENTS = "frag int, refs binary, sizes binary, lens binary, tokens binary, many binary, told binary, docs binary"
+SHARED = "doc_id long, hi long, lo long, n long, shared long"
+
+
+def split_segments(batches: Iterator[pd.DataFrame], fragments: int, step: int) -> Iterator[pd.DataFrame]:
+    """Second level of the cut: rows of groups of ``step`` fragments, in the order of the groups, to rows of fragments.
+
+    Rows of many slices are cut together, so the rows that leave grow with the
+    n-grams and not with slices times fragments.
+    """
+    held: list = []
+    size = 0
+
+    def cut():
+        refs, sizes, lens = (np.frombuffer(b"".join(r[k] for r in held), kind) for k, kind in (
+            (1, np.int64), (2, np.uint32), (3, np.uint32)))
+        tokens, many = (np.frombuffer(b"".join(r[k] for r in held), np.uint64) for k in (4, 5))
+        part, many_at = fragment_of(tokens, fragments), fragment_of(many, fragments)
+        used = np.unique(np.concatenate((part, many_at)))
+        used = used if used.size else np.array([held[0][0] * step])
+        rows = _rows_by(part, used, np.repeat(np.arange(refs.size), lens), low_bits(tokens, fragments), refs, sizes)
+        told, docs = (b"".join(r[k] for r in held) for k in (6, 7))
+        out = pd.DataFrame([(f, *rows[f], low_bits(many[many_at == f], fragments).tobytes(), told * (i == 0),
+                             docs * (i == 0)) for i, f in enumerate(used.tolist())],
+                           columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+        held.clear()
+        return out
 
-SEGMENTS = "frag int, refs binary, sizes binary, lens binary, tokens binary, docs binary"
-SHARED = "bucket int, doc_id long, hi long, lo long, n long, refs binary, sizes binary, shared binary"
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if held and (row.frag != held[0][0] or size >= SPLIT_BYTES):
+                yield cut()
+                size = 0
+            held.append(tuple(row))
+            size += len(row.tokens) + len(row.docs)
+    if held:
+        yield cut()
 
 
-def shared_counts(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """One fragment: for each set how many of its n-grams lie in another set too.
 
     Only segments of which at least half is shared are told. A set that can
     link at p percent has at most 100 - p percent of its n-grams unshared; its
     other segments have more unshared than shared n-grams, so they hold fewer
-    shared ones than that, and the told segments add up to 2p - 100 percent or more.
-    The counts leave as one row of arrays per bucket of sets; documents ride
-    along as rows without a bucket.
+    shared ones than that, and the told segments add up to 2p - 100 percent or
+    more (what a slice has told is a segment of its own, shared as a whole).
+    Rows out are counts (hi, n, shared), and the documents without counts.
     """
     docs = np.frombuffer(b"".join(rows["docs"]), np.int64).reshape(-1, 5)
-    out = [pd.DataFrame({"doc_id": pd.Series(docs[:, 0], dtype="Int64").where(docs[:, 1] == 1), "hi": docs[:, 2],
-                         "lo": docs[:, 3], "n": docs[:, 4]}).astype("Int64")]
+    told = [np.frombuffer(b"".join(rows["told"]), np.int64).reshape(-1, 3)]
     refs = np.frombuffer(b"".join(rows["refs"]), np.int64)
     if refs.size:
         size = np.frombuffer(b"".join(rows["sizes"]), np.uint32)
         lens = np.frombuffer(b"".join(rows["lens"]), np.uint32).astype(np.int64)
         tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32)
-        # Equal sets of different batches count once.
+        many = np.unique(np.frombuffer(b"".join(rows["many"]), np.uint32))
+        # Equal sets of different slices count once.
         names, first = np.unique(refs, return_index=True)
         keep = np.zeros(refs.size, dtype=bool)
         keep[first] = True
@@ -143,32 +214,23 @@ def shared_counts(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
         both = tokens[np.repeat(keep, lens)].astype(np.uint64) << np.uint64(32)
         both |= np.repeat(np.searchsorted(names, refs[keep]), lens[keep]).astype(np.uint64)
         both.sort()
-        same = (both[1:] ^ both[:-1]) >> np.uint64(32) == 0
+        high = (both >> np.uint64(32)).astype(np.uint32)
+        same = high[1:] == high[:-1]
         common = np.zeros(both.size, dtype=bool)
         common[1:] |= same
         common[:-1] |= same
+        if many.size:
+            slot = np.minimum(np.searchsorted(many, high), many.size - 1)
+            common |= many[slot] == high
         counts = np.bincount((both[common] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=names.size)
         some = np.flatnonzero((counts > 0) & (2 * counts >= lens[first]))
-        told, sizes, counts = names[some], size[first][some], counts[some].astype(np.uint32)
-        bucket = (told.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out.append(pd.DataFrame([
-            (b, told[at].tobytes(), sizes[at].tobytes(), counts[at].tobytes())
-            for b in range(buckets) if (at := order[cuts[b]: cuts[b + 1]]).size],
-            columns=["bucket", "refs", "sizes", "shared"]).astype({"bucket": "Int64"}))
-    columns = [c.split()[0] for c in SHARED.split(", ")]
-    return pd.concat(out, ignore_index=True).reindex(columns=columns).astype(
-        {c: "Int64" for c in ("bucket", "doc_id", "hi", "lo", "n")})
-
-
-def hopeful_sets(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Sums the shared counts of one bucket over the fragments; the sets that may still link."""
-    refs = np.frombuffer(b"".join(rows["refs"]), np.int64)
-    names, first, back = np.unique(refs, return_index=True, return_inverse=True)
-    size = np.frombuffer(b"".join(rows["sizes"]), np.uint32)[first].astype(np.int64)
-    shared = np.bincount(back, weights=np.frombuffer(b"".join(rows["shared"]), np.uint32), minlength=names.size)
-    return pd.DataFrame({"hi": names[100 * shared >= (2 * percent - 100) * size]})
+        told.append(np.column_stack((names[some], size[first][some], counts[some])).astype(np.int64))
+    told = np.concatenate(told)
+    return pd.concat([
+        pd.DataFrame({"doc_id": pd.Series(docs[:, 0], dtype="Int64").where(docs[:, 1] == 1), "hi": docs[:, 2],
+                      "lo": docs[:, 3], "n": docs[:, 4], "shared": pd.Series([pd.NA] * len(docs), dtype="Int64")}),
+        pd.DataFrame({"doc_id": pd.Series([pd.NA] * len(told), dtype="Int64"), "hi": told[:, 0], "lo": 0,
+                      "n": told[:, 1], "shared": told[:, 2]})], ignore_index=True).astype("Int64")
 
 
 def set_segments(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -262,7 +324,8 @@ def summed_links(rows: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
-                    fragment_bytes: int = FRAGMENT_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
+                    fragment_bytes: int = FRAGMENT_BYTES, block_sets: int = BLOCK_SETS,
+                    fan_out: int = FAN_OUT) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
     Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower
@@ -278,15 +341,18 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         raise ValueError(f"percent must be over 50 and at most 100, not {percent}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size, count = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    fragments, buckets = int(max(1, -(-(size or 0) // fragment_bytes))), max(1, -(-count // SUM_DOCS))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = int(max(1, -(-size // fragment_bytes)))
+    step = -(-fragments // fan_out)
     small_batches(spark)
-    first = written(
-        docs.mapInPandas(lambda it: segments(it, width, fragments), SEGMENTS)
-        .groupBy("frag").applyInPandas(lambda g: shared_counts(g, buckets), SHARED), "shared")
-    sets = first.where("bucket is null").select("doc_id", "hi", "lo", "n")
-    hopeful = (first.where("bucket is not null").select("bucket", "refs", "sizes", "shared")
-               .groupBy("bucket").applyInPandas(lambda g: hopeful_sets(g, percent), "hi long"))
+    rows = docs.mapInPandas(lambda it: segments(it, width, fragments, step), SEGMENTS)
+    if step > 1:
+        rows = (rows.repartition("frag").sortWithinPartitions("frag")
+                .mapInPandas(lambda it: split_segments(it, fragments, step), SEGMENTS))
+    first = written(rows.groupBy("frag").applyInPandas(shared_counts, SHARED), "shared")
+    sets = first.where("shared is null").select("doc_id", "hi", "lo", "n")
+    hopeful = (first.where("shared is not null").groupBy("hi").agg(F.max("n").alias("size"), F.sum("shared").alias("shared"))
+               .where(100 * F.col("shared") >= (2 * percent - 100) * F.col("size")).select("hi"))
     # One document of each set stands for it; ``ref`` is the key of the set.
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
     wanted = written(classes.join(hopeful, "hi").where("first is not null").select("first").distinct(), "hopeful")
@@ -297,8 +363,14 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # Exact frequency order among the remaining sets, rare first; the prefix needs only shared n-grams.
     tokens = cut.select("tokens", "ref", "n").mapInPandas(frequencies, "token long, ref long, n long")
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (tokens.join(df, "token").groupBy("ref", "n")
+    df = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    # Frequent n-grams get theirs from a list of at most HOT_PART entries; the others join without a hot key.
+    n_tokens = df.agg(F.sum("df")).first()[0] or 0
+    often = F.col("df") > max(HOT_LEAST, n_tokens // HOT_PART)
+    listed = tokens.join(F.broadcast(df.where(often).withColumnRenamed("df", "often")), "token", "left")
+    joined = (listed.where("often is null").drop("often").join(df.where(~often), "token")
+              .unionByName(listed.where("often is not null").withColumnRenamed("often", "df")))
+    ranked = (joined.groupBy("ref", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order")))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     keys = (ranked.select("ref", F.explode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("k"))

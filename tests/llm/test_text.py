@@ -6,11 +6,12 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from dealbook.llm import html_extract, language_id, toxicity
+from dealbook.llm import html_extract, language_id, ngram_join, toxicity
 from dealbook.llm.common import components
 from dealbook.llm.mixing import TEMPER, mix_sources, mixed_documents
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes, one_per_group
@@ -77,10 +78,11 @@ def brute_classes(rows, percent=85):
     return sorted(((r[0], len(s), c) for r, s, c in zip(rows, sets, component)), key=str)
 
 
-@pytest.mark.parametrize("fragment_bytes,block_sets", [(4000, 8), (24_000_000, 1024)])
-def test_jaccard_classes_equal_brute_force(make_docs, clashing, fragment_bytes, block_sets):
+@pytest.mark.parametrize("fragment_bytes,block_sets,fan_out", [(4000, 8, 1024), (300, 8, 3), (24_000_000, 1024, 1024)])
+def test_jaccard_classes_equal_brute_force(make_docs, clashing, monkeypatch, fragment_bytes, block_sets, fan_out):
     rows = near_copies()
-    out = jaccard_classes(clashing(make_docs(rows)), fragment_bytes=fragment_bytes, block_sets=block_sets)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 3)
+    out = jaccard_classes(clashing(make_docs(rows)), fragment_bytes=fragment_bytes, block_sets=block_sets, fan_out=fan_out)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=str)
     assert got == brute_classes(rows)
 
@@ -384,3 +386,31 @@ def test_signs_of_numbers_are_no_letters(text, letter):
 def test_jaccard_refuses_thresholds_it_cannot_hold(make_docs, percent):
     with pytest.raises(ValueError):
         jaccard_classes(make_docs(["a b c d e"]), percent=percent)
+
+
+def test_rows_of_the_cut_do_not_grow_with_the_fragments(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(3000)) for _ in range(20)]
+    pdf = pd.DataFrame({"doc_id": range(20), "text": texts})
+    cut = {}
+    for fragments in (32, 1024, 62_500):
+        step = -(-fragments // ngram_join.FAN_OUT)
+        rows = pd.concat(ngram_join.segments(iter([pdf] * 3), 4, fragments, step))
+        assert len(rows) <= 3 * ngram_join.FAN_OUT
+        if step > 1:
+            rows = pd.concat(ngram_join.split_segments(iter([rows.sort_values("frag", kind="stable")]), fragments, step))
+        cut[fragments] = rows
+    # The same n-grams, whatever the cut; copies of a set in other slices are all there, none is shared in its slice.
+    assert {f: sum(len(t) // 4 for t in rows["tokens"]) for f, rows in cut.items()} == dict.fromkeys(cut, 3 * 20 * 2997)
+    assert all(sum(len(d) // 40 for d in rows["docs"]) == 60 for rows in cut.values())
+
+
+def test_an_ngram_of_many_sets_leaves_a_slice_once():
+    line = "one line that very many texts have in common here"
+    texts = [f"{line} {i} a{i} b{i} c{i}" for i in range(500)]
+    (rows,) = list(ngram_join.segments(iter([pd.DataFrame({"doc_id": range(500), "text": texts})]), 4, 1, 1))
+    assert len(rows["many"][0]) // 4 == 7
+    told = np.frombuffer(rows["told"][0], np.int64).reshape(-1, 3)
+    assert len(told) == 500 and (told[:, 2] == 7).all() and (told[:, 1] == 11).all()
+    out = ngram_join.shared_counts(rows)
+    assert out["shared"].notna().sum() == 500 and out["shared"].isna().sum() == 500
