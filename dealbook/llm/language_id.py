@@ -22,6 +22,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 24
 #: Bound of the training sample: at most about this many documents of each language, picked by a hash of doc_id.
 TRAIN_PER_LANGUAGE = 600
+#: Languages that are learned: the ones of most labelled documents (a dirty label column has any number of values).
+MAX_LANGUAGES = 200
 #: Pieces of each training document, and their largest length in characters.
 PIECES, PIECE_CHARS = 4, 256
 BATCH, STEPS = 128, 480
@@ -158,12 +160,12 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Network |
     known = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
              .where("doc_id is not null and lang is not null and text is not null")
              .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    share = F.coalesce(F.element_at(F.create_map(*[x for lang, n in sizes.items() for x in (
+        F.lit(lang), F.lit(min(1.0, per_language / n)))]), F.col("lang")), F.lit(0.0))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(2), "doc_id"), 11).cast("double") * F.lit(2.0 ** -53)
     # Pieces start all over the text and have all lengths, so short texts are learned too.
     spot = [F.pmod(F.xxhash64(F.lit(10 + k), "doc_id"), F.greatest(F.length("text") - 40, F.lit(1))) for k in range(PIECES)]
@@ -210,5 +212,15 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 
 def known_language_documents(docs: DataFrame, all_docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a language that was learned, by a score of MIN_SCORE or more."""
-    return docs.where(language_column(train(all_docs))["score"] >= MIN_SCORE)
+    """The rows of ``docs`` in a language that was learned, by a score of MIN_SCORE or more.
+
+    Learned from ``all_docs``, as in ``identify_language``. Null, empty and
+    letterless texts go; equal rows stay or go together; columns stay as they
+    are. Where no language can be learned nothing is told apart, and all rows
+    with a letter stay. An empty table gives an empty one.
+    """
+    net = train(all_docs)
+    if net is None:
+        lettered = F.pandas_udf(lambda texts: texts.map(has_letter).astype(bool), "boolean")
+        return docs.where(lettered("text"))
+    return docs.where(language_column(net)["score"] >= MIN_SCORE)

@@ -236,5 +236,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Da
 
 
 def clean_documents(docs: DataFrame, all_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with its own columns; trained on ``all_docs``."""
-    return docs.where(score_column(train(all_docs, labels)) < 0.5)
+    """The rows of ``docs`` that score below 0.5, with its own columns; trained on ``all_docs``.
+
+    Null and empty texts score as texts without n-grams, equal rows score
+    alike. Where the labels known are not of both kinds nothing is told apart,
+    and all rows stay. An empty table gives an empty one.
+    """
+    model = train(all_docs, labels)
+    return docs.where(score_column(model) < 0.5) if model.kept.size else docs

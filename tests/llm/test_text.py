@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -414,3 +415,51 @@ def test_an_ngram_of_many_sets_leaves_a_slice_once():
     assert len(told) == 500 and (told[:, 2] == 7).all() and (told[:, 1] == 11).all()
     out = ngram_join.shared_counts(rows)
     assert out["shared"].notna().sum() == 500 and out["shared"].isna().sum() == 500
+
+
+def planted_topics(rng, n=240, topics=4):
+    words = [[f"topic{k}word{i:03d}" for i in range(60)] for k in range(topics)]
+    shared = [f"everywhere{i:03d}" for i in range(200)]
+    own = [rng.randrange(topics) for _ in range(n)]
+    return own, [" ".join(rng.choice(words[k]) if rng.random() < 0.4 else rng.choice(shared) for _ in range(80)) for k in own]
+
+
+def purity(own, found):
+    pairs = Counter(zip(own, found))
+    return sum(max(c for (_, f), c in pairs.items() if f == g) for g in set(found)) / len(own)
+
+
+def test_learned_topics_beat_a_hash_of_the_words(make_docs):
+    own, texts = planted_topics(random.Random(1))
+    got = {r.doc_id: r.topic for r in mix_sources(make_docs(texts)).collect()}
+    by_hash = [Counter(hash(w) % 8 for w in t.split()).most_common(1)[0][0] for t in texts]
+    assert purity(own, [got[i] for i in range(len(texts))]) > 0.95 > purity(own, by_hash) + 0.3
+
+
+def test_mixing_with_very_many_languages_says_how_it_fits(make_docs):
+    docs = make_docs([(i, "alphabet betabetabeta " * 5, f"lang{i % 3}" if i % 2 else f"odd{i}", f"s{i % 3}") for i in range(20_000)])
+    got = mix_sources(docs, share=0.5).toPandas()
+    assert len(got) == 20_000 and got.lang.nunique() > 10_000
+    assert got.fit.nunique() == 1 and got.fit[0] in ("raked", "capped") and 0 <= got.fit_error[0] < 0.05
+    odd = got[got.lang.str.startswith("odd") & (got.lang != "odd0")]
+    assert odd.probability.round(9).nunique() <= 30
+    assert 0.45 < (got.probability * got.n_tokens).sum() / got.n_tokens.sum()
+
+
+def test_mixing_of_repeated_rows(make_docs):
+    rows = [(1, "alphabet words", "en", "a")] * 40 + [(2, "deltas of words", "de", "b")] * 5 + [(3, "x", "en", "b")]
+    got = mix_sources(make_docs(rows)).toPandas()
+    assert len(got) == 46 and got.groupby("doc_id").kept.nunique().max() == 1
+
+
+def test_stages_without_anything_learned_keep_all(spark, make_docs, clashing):
+    rows = [(i, t, None, "s") for i, t in enumerate(["some text", "more text 2", "1 2 ½", "", None, "some text"])]
+    docs = clashing(make_docs(rows))
+    kept = language_id.known_language_documents(docs, docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 5] and kept.columns == docs.columns
+    for labels in ([], [(0, 1, 1)], [(0, 1, 0), (1, 0, 0)]):
+        labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert toxicity.clean_documents(docs, docs, labels).count() == 6
+    empty = make_docs([])
+    assert language_id.known_language_documents(empty, empty).collect() == []
+    assert toxicity.clean_documents(empty, empty, labels).collect() == []
