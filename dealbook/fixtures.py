@@ -158,6 +158,8 @@ class Tables:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         inst = _SHARED.get(key)
         if inst is None or inst.spark is not spark:
+            for old in [k for k, t in _SHARED.items() if t.spark is not spark]:
+                del _SHARED[old]  # of sessions that have ended
             inst = _SHARED[key] = cls(spark, sf_dir)
         return inst
 

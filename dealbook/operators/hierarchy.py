@@ -64,7 +64,8 @@ def path_counts(lines: list[tuple[int | None, str | None, str | None]]) -> dict[
 
 def template_lines(template: DataFrame) -> list[tuple[int | None, str | None, str | None]]:
     """(n, category, parent) of a template, whose size is checked."""
-    rows = template.select("n", "category", "parent").limit(TEMPLATE_MAX_ROWS + 1).collect()
+    # In one partition, so that the limit takes one job.
+    rows = template.select("n", "category", "parent").coalesce(1).limit(TEMPLATE_MAX_ROWS + 1).collect()
     if len(rows) > TEMPLATE_MAX_ROWS:
         raise ValueError(f"statement template has more than {TEMPLATE_MAX_ROWS} rows")
     return [(r["n"], r["category"], r["parent"]) for r in rows]

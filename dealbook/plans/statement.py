@@ -311,6 +311,13 @@ def filter_options(ledger: DataFrame, dim_company: DataFrame, dim_time: DataFram
     return companies, years
 
 
+def month_list(ledger: DataFrame, company=None, year=None) -> DataFrame:
+    """Months with postings under the filters, ascending (O7); NULL months dropped."""
+    conds = equals_unless_unset("company", company) + ([] if unset(year) else [F.col("year") == F.lit(int(year))])
+    return (ledger.where(all_of(conds)).select("month").where(F.col("month").isNotNull()).distinct()
+            .orderBy("month"))
+
+
 # --- dashboard derivations (R15-R17) -------------------------------------------
 
 def _month(period: str = "period") -> Column:

@@ -96,3 +96,42 @@ def test_budget_etl_keeps_null_category_and_month(spark):
                                 "category string, company_code int, year string, month string, base_total double")
     out = sorted((r.base_total, r.month_text) for r in etl.transform_budget(raw).collect())
     assert out == [(1.0, "Marzo"), (2.0, None)]
+
+
+def test_by_period_maps_equal_the_wide_columns_without_a_job(spark, tables):
+    from dealbook.plans import statement
+
+    tracker = spark.sparkContext.statusTracker()
+    assert tables.ledger.columns and tables.statement_template.columns   # the schemas are read
+    spark.sparkContext.setJobGroup("by-period-plan", "planning")
+    long = statement.pnl_long(spark, tables.ledger, tables.statement_template, "EUROPE", 1997)
+    planned = len(tracker.getJobIdsForGroup("by-period-plan"))
+    maps = statement.by_period(long, ["value", "pct"])
+    assert len(tracker.getJobIdsForGroup("by-period-plan")) == planned <= 1   # the template's lines at most
+    wide = {r.n: r for r in statement.pnl_wide(spark, tables.ledger, tables.statement_template, "EUROPE", 1997).collect()}
+    for r in maps.collect():
+        assert {p: v for p, v in r.value.items()} == {
+            p: wide[r.n][f"res_{p}"] for p in [*map(str, range(1, 13)), "Total"] if wide[r.n][f"res_{p}"] is not None}
+
+
+def test_wide_reports_read_the_ledger_once(spark, tables):
+    from pyspark.sql import functions as F
+
+    from dealbook.plans import drilldown, statement
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("EUROPE", 1997, m, "A1", "6001", "n", "c", 1, 1, 10.0) for m in (1, 2, 13)]
+    ledger = spark.createDataFrame(rows, "company string, year int, month int, category string, account string, "
+                                         "account_name string, centre_name string, centre int, section int, monthly_balance double")
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    ledger = ledger.withColumn("monthly_balance", counted("monthly_balance"))
+    wide = statement.pnl_wide(spark, ledger, tables.statement_template, "EUROPE", 1997)
+    assert "res_13" in wide.columns and wide.where("category = 'A1'").first().res_Total == 30.0
+    assert seen.value == 3
+    out = drilldown.account_drilldown(ledger, "EUROPE", 1997, "A1").collect()
+    assert out[0].total == 30.0 and out[0].balance_13 == 10.0 and seen.value == 6
