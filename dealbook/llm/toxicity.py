@@ -22,10 +22,9 @@ BUCKET_BITS = 22
 #: Bound of the training sample: at most about this many documents of each label, picked by a hash of doc_id.
 TRAIN_PER_LABEL = 6000
 FOLDS = 5
-#: An n-gram needs this many training documents; the classifier keeps the strongest.
+#: An n-gram needs this many training documents, and this much strength; all such n-grams are features.
 MIN_DOCUMENTS = 3
 MIN_STRENGTH = 6.0
-FEATURES = 20_000
 SMOOTHING = 0.5
 PENALTY = 1e-3
 STEPS = 300
@@ -89,7 +88,7 @@ class Model:
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(document, feature) pairs of the kept n-grams that are present, each once."""
         if self._place is None:
-            self._place = np.full(1 << BUCKET_BITS, -1, dtype=np.int16)
+            self._place = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
             self._place[self.kept] = np.arange(self.kept.size)
         place = self._place
         docs, feats = [], []
@@ -187,9 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
            .groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
            .where(F.col("other") + F.col("toxic") >= MIN_DOCUMENTS)
            .select("bucket", F.log(p / q).alias("ratio"), strength.alias("strength"))
-           .where(F.col("strength") >= MIN_STRENGTH)
-           .orderBy(F.desc("strength"), "bucket").limit(FEATURES).select("bucket", "ratio").toPandas()
-           .sort_values("bucket"))
+           .where(F.col("strength") >= MIN_STRENGTH).select("bucket", "ratio").toPandas().sort_values("bucket"))
     kept, r = top["bucket"].to_numpy(dtype=np.int64), top["ratio"].to_numpy(dtype=float)
     bare = Model(kept, r, 0.0)
 

@@ -463,3 +463,58 @@ def test_stages_without_anything_learned_keep_all(spark, make_docs, clashing):
     empty = make_docs([])
     assert language_id.known_language_documents(empty, empty).collect() == []
     assert toxicity.clean_documents(empty, empty, labels).collect() == []
+
+
+def test_toxicity_weights_equal_a_plain_fit(spark, make_docs):
+    import zlib
+
+    rng = random.Random(11)
+    words = ["apple", "river", "stone", "cloud", "trash", "scum", "idiot", "green"]
+    texts = [" ".join(rng.choice(words[:5] if i % 2 else words[3:]) for _ in range(rng.randint(3, 9))) for i in range(80)]
+    docs = make_docs(texts)
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    # The same by loops: features by documents, ratios, strengths, scaled rows.
+    rows = [(i, t, 1 - i % 2) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    grams = [{int(b) for _, part in toxicity.buckets([t]) for b in part} for _, t, _ in rows]
+    n = [sum(y == k for *_, y in rows) for k in (0, 1)]
+    ratio = {}
+    for g in sorted(set().union(*grams)):
+        c = [sum(y == k and g in own for (*_, y), own in zip(rows, grams)) for k in (0, 1)]
+        cells = [(c[k], sum(c) * n[k] / sum(n)) for k in (0, 1)]
+        cells += [(n[k] - c[k], (sum(n) - sum(c)) * n[k] / sum(n)) for k in (0, 1)]
+        if sum(c) >= 3 and sum(f * np.log(f / e) for f, e in cells if f) >= toxicity.MIN_STRENGTH:
+            ratio[g] = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
+    assert model.kept.tolist() == list(ratio)
+    place = {g: i for i, g in enumerate(ratio)}
+    feats = [sorted(place[g] for g in own if g in place) for own in grams]
+    r, y = np.array(list(ratio.values())), np.array([y for *_, y in rows])
+    w, b = toxicity.fit_logistic(np.array([len(f) for f in feats]), np.array(sum(feats, []), dtype=np.int32), r, y)
+    assert np.allclose(model.weights, w * r, atol=1e-9) and abs(model.intercept - b) < 1e-9
+    dense = np.zeros((len(rows), r.size))
+    for k, f in enumerate(feats):
+        dense[k, f] = 1
+    plain = 1 / (1 + np.exp(-(dense @ (w * r) + b)))
+    assert np.allclose(model.score([t for _, t, _ in rows]), plain)
+
+
+def test_language_scores_equal_the_plain_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = language_id.train(docs)
+    texts = [r.text for r in docs.limit(12).collect()] + ["", "1 2", "é" * 700]
+    names, scores = net.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        raw = text.lower().encode()
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(raw), language_id.WINDOW):
+            part = raw[at: at + language_id.WINDOW]
+            x = np.frombuffer(part.ljust(language_id.WINDOW), np.uint8)
+            peaks = [np.array([sum(table[k][x[j + k]] for k in range(w)) for j in range(language_id.WINDOW - w + 1)]).max(axis=0)
+                     for w, table in net.filters.items()]
+            logits = np.maximum(np.concatenate(peaks) + net.bias, 0) @ net.dense + net.out
+            total += len(part) * (logits - np.log(np.exp(logits).sum()))
+        p = np.exp(total / len(raw) - (total / len(raw)).max())
+        assert name == net.languages[int(p.argmax())] and abs(score - (p / p.sum()).max()) < 1e-4
