@@ -34,6 +34,8 @@ PERCENT = 85
 FRAGMENT_BYTES = 16_000_000
 #: Characters of text whose n-grams a task holds at a time.
 SLICE_CHARS = 2_000_000
+#: Documents per group that sums the fragments' shared counts.
+SUM_DOCS = 200_000
 #: Groups of fragments that a slice is cut into at most; more fragments are cut again from many slices together.
 FAN_OUT = 1024
 #: Bytes that the second cut takes together.
@@ -150,7 +152,7 @@ def segments(batches: Iterator[pd.DataFrame], width: int, fragments: int, step:
 
 
 SEGMENTS = "frag int, refs binary, sizes binary, lens binary, tokens binary, many binary, told binary, docs binary"
-SHARED = "doc_id long, hi long, lo long, n long, shared long"
+SHARED = "bucket int, doc_id long, hi long, lo long, n long, told binary"
 
 
 def split_segments(batches: Iterator[pd.DataFrame], fragments: int, step: int) -> Iterator[pd.DataFrame]:
@@ -188,7 +190,7 @@ def split_segments(batches: Iterator[pd.DataFrame], fragments: int, step: int) -
         yield cut()
 
 
-def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
+def shared_counts(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """One fragment: for each set how many of its n-grams lie in another set too.
 
     Only segments of which at least half is shared are told. A set that can
@@ -196,7 +198,8 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
     other segments have more unshared than shared n-grams, so they hold fewer
     shared ones than that, and the told segments add up to 2p - 100 percent or
     more (what a slice has told is a segment of its own, shared as a whole).
-    Rows out are counts (hi, n, shared), and the documents without counts.
+    The counts leave as one row (``told``: set, its size, shared n-grams) per
+    bucket of sets that has some; documents ride along as rows without a bucket.
     """
     docs = np.frombuffer(b"".join(rows["docs"]), np.int64).reshape(-1, 5)
     told = [np.frombuffer(b"".join(rows["told"]), np.int64).reshape(-1, 3)]
@@ -226,11 +229,24 @@ def shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
         some = np.flatnonzero((counts > 0) & (2 * counts >= lens[first]))
         told.append(np.column_stack((names[some], size[first][some], counts[some])).astype(np.int64))
     told = np.concatenate(told)
+    bucket = (told[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
     return pd.concat([
         pd.DataFrame({"doc_id": pd.Series(docs[:, 0], dtype="Int64").where(docs[:, 1] == 1), "hi": docs[:, 2],
-                      "lo": docs[:, 3], "n": docs[:, 4], "shared": pd.Series([pd.NA] * len(docs), dtype="Int64")}),
-        pd.DataFrame({"doc_id": pd.Series([pd.NA] * len(told), dtype="Int64"), "hi": told[:, 0], "lo": 0,
-                      "n": told[:, 1], "shared": told[:, 2]})], ignore_index=True).astype("Int64")
+                      "lo": docs[:, 3], "n": docs[:, 4]}).astype("Int64"),  # before nulls make floats of 64-bit keys
+        pd.DataFrame([(int(bucket[order[a]]), told[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])],
+                     columns=["bucket", "told"]).astype({"bucket": "Int64"})], ignore_index=True).reindex(
+        columns=[c.split()[0] for c in SHARED.split(", ")]).astype(
+        {c: "Int64" for c in ("bucket", "doc_id", "hi", "lo", "n")})
+
+
+def hopeful_sets(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Sums the counts of one bucket over the fragments; the sets that may still link."""
+    told = np.frombuffer(b"".join(rows["told"]), np.int64).reshape(-1, 3)
+    names, first, back = np.unique(told[:, 0], return_index=True, return_inverse=True)
+    shared = np.bincount(back, weights=told[:, 2], minlength=names.size)
+    return pd.DataFrame({"hi": names[100 * shared >= (2 * percent - 100) * told[first, 1]]})
 
 
 def set_segments(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -341,7 +357,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         raise ValueError(f"percent must be over 50 and at most 100, not {percent}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, count = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size, buckets = size or 0, max(1, -(-count // SUM_DOCS))
     fragments = int(max(1, -(-size // fragment_bytes)))
     step = -(-fragments // fan_out)
     small_batches(spark)
@@ -349,10 +366,10 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     if step > 1:
         rows = (rows.repartition("frag").sortWithinPartitions("frag")
                 .mapInPandas(lambda it: split_segments(it, fragments, step), SEGMENTS))
-    first = written(rows.groupBy("frag").applyInPandas(shared_counts, SHARED), "shared")
-    sets = first.where("shared is null").select("doc_id", "hi", "lo", "n")
-    hopeful = (first.where("shared is not null").groupBy("hi").agg(F.max("n").alias("size"), F.sum("shared").alias("shared"))
-               .where(100 * F.col("shared") >= (2 * percent - 100) * F.col("size")).select("hi"))
+    first = written(rows.groupBy("frag").applyInPandas(lambda g: shared_counts(g, buckets), SHARED), "shared")
+    sets = first.where("bucket is null").select("doc_id", "hi", "lo", "n")
+    hopeful = (first.where("bucket is not null").select("bucket", "told")
+               .groupBy("bucket").applyInPandas(lambda g: hopeful_sets(g, percent), "hi long"))
     # One document of each set stands for it; ``ref`` is the key of the set.
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("first"))
     wanted = written(classes.join(hopeful, "hi").where("first is not null").select("first").distinct(), "hopeful")

@@ -413,8 +413,9 @@ def test_an_ngram_of_many_sets_leaves_a_slice_once():
     assert len(rows["many"][0]) // 4 == 7
     told = np.frombuffer(rows["told"][0], np.int64).reshape(-1, 3)
     assert len(told) == 500 and (told[:, 2] == 7).all() and (told[:, 1] == 11).all()
-    out = ngram_join.shared_counts(rows)
-    assert out["shared"].notna().sum() == 500 and out["shared"].isna().sum() == 500
+    out = ngram_join.shared_counts(rows, 3)
+    assert out["bucket"].isna().sum() == 500 and out["bucket"].dropna().tolist() == [0, 1, 2]
+    assert sum(len(t) // 24 for t in out["told"].dropna()) == 500
 
 
 def planted_topics(rng, n=240, topics=4):
