@@ -91,14 +91,3 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         x = np.minimum(x, ahead(x, span))
         span *= 2
     return np.minimum(x, ahead(x, width - span))
-
-
-def previous(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Distance of each place to the one before it with the same key in the same text (a huge one if none)."""
-    out = np.full(keys.size, np.iinfo(np.int64).max)
-    if keys.size < 2:
-        return out
-    order = np.lexsort((keys, text))
-    same = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
-    out[order[1:][same]] = (order[1:] - order[:-1])[same]
-    return out
