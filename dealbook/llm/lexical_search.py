@@ -26,8 +26,8 @@ from dealbook.llm.words import slices
 TOP = 20
 #: Scaled BM25: weight 12 (k1 of 1.2 by 10) and length share 25 percent.
 SATURATION, LENGTH_PERCENT = 12, 25
-#: Item text that one automaton holds; more items are searched in several rounds.
-ITEM_BYTES = 32_000_000
+#: Item text that one automaton holds, with ROW_BYTES for each item; more items are searched in several rounds.
+ITEM_BYTES, ROW_BYTES = 32_000_000, 64
 #: Scores that a task holds at a time (documents x items).
 CELLS = 2_000_000
 #: Rows of the first scan that are no term: documents with a term, and terms of all documents.
@@ -188,7 +188,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP, item_bytes:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     rounds = -(-size // item_bytes) or 1
     out = None
     for k in range(rounds):

@@ -62,7 +62,7 @@ def case():
     return docs, items
 
 
-@pytest.mark.parametrize("how", [{}, {"top": 3}, {"item_bytes": 400}])
+@pytest.mark.parametrize("how", [{}, {"top": 3}, {"item_bytes": 1200}])
 def test_equals_brute_force(spark, make_docs, clashing, case, how):
     docs, items = case
     df = clashing(make_docs([(i, t, "en", "s") for i, t in docs], parts=5))
