@@ -16,11 +16,11 @@ from pyspark.sql.types import StructType
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
 from dealbook.session import scratch_dir
 from dealbook.sources.landing import (
-    REJECT, adopt_files, land_ledger_files, read_json_pages, read_landed_csv, read_ledger_files, read_template_sheet,
-    skipped_ledger_files,
+    LAYOUTS, REJECT, adopt_files, adopted_folder, land_ledger_files, read_json_pages, read_landed_csv,
+    read_ledger_files, read_template_sheet, skipped_ledger_files,
 )
-from dealbook.sources.versioned import write_bytes
 from dealbook.sources.sinks import export_manifest, overwrite_table, read_delimited, read_table, stored, write_delimited
+from dealbook.sources.versioned import exists, write_bytes
 
 # Records per landed JSON page (the source API's page size).
 PAGE_SIZE = 5000
@@ -55,6 +55,9 @@ def accounted_load(spark: SparkSession, landing: str, table: str, schema: Struct
     files) and ``skipped_files`` (files of ``incoming``, by default of the
     landing folder, without a readable row).
     """
+    incoming = incoming or landing
+    own = exists(spark, f"{landing}/{LAYOUTS}")
+    landing = landing if own else adopted_folder(spark, landing)
     landed = read_landed_csv(spark, landing, schema)
     good = F.col(REJECT).isNull()
     ledger = transform_ledger(landed, company_names).withColumn("quarantined", ~good)
@@ -65,7 +68,7 @@ def accounted_load(spark: SparkSession, landing: str, table: str, schema: Struct
         F.coalesce(F.sum(F.when(good, F.col("monthly_balance"))), F.lit(0)).cast("decimal(28,2)").alias("money"))
     stored_rows = overwrite_table(observed, table, partition_by=["quarantined", "year"])
     told = seen.get
-    skipped = skipped_ledger_files(spark, incoming or landing, "csv").count()
+    skipped = skipped_ledger_files(spark, incoming, "csv", None if own else landing).count()
     return spark.createDataFrame(
         [(told["rows"], told["rejects"], told["unparsed"], float(told["money"]), stored_rows, skipped)],
         "rows long, rejects long, unparsed long, money double, stored long, skipped_files long")

@@ -174,9 +174,9 @@ def _adopted_csv(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return _empty(spark, schema) if out is None else out
 
 
-def _foreign_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV files without a manifest: adopted first."""
-    return _adopted_csv(spark, adopt_files(spark, path, scratch_dir(spark, "adopted")), schema)
+def adopted_folder(spark: SparkSession, path: str) -> str:
+    """``path`` if it holds adopted lines, else a new folder that takes over the CSV files below it."""
+    return path if exists(spark, f"{path}/{HEADERS}") else adopt_files(spark, path, scratch_dir(spark, "adopted"))
 
 
 def read_landed_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -190,9 +190,7 @@ def read_landed_csv(spark: SparkSession, path: str, schema: StructType | str) ->
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if exists(spark, f"{path}/{LAYOUTS}"):
         return _landed_csv(spark, path, schema)
-    if exists(spark, f"{path}/{HEADERS}"):
-        return _adopted_csv(spark, path, schema)
-    return _foreign_csv(spark, path, schema)
+    return _adopted_csv(spark, adopted_folder(spark, path), schema)
 
 
 def read_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -226,14 +224,21 @@ def rejected_ledger_rows(spark: SparkSession, path: str, schema: StructType | st
             .select("source_name", F.col(REJECT).alias("row")))
 
 
-def skipped_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Files under ``path`` that hold bytes but gave no row (unreadable): (file_path, bytes)."""
+def skipped_ledger_files(spark: SparkSession, path: str, fmt: str = "parquet",
+                         adopted: str | None = None) -> DataFrame:
+    """Files under ``path`` that hold bytes but gave no row (unreadable): (file_path, bytes).
+
+    Only the listing of ``path`` is read where ``adopted`` names the folder into which ``adopt_files`` took its lines.
+    """
     every = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select(_decoded(F.col("path")).alias("file_path"), F.col("length").alias("bytes")))
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-    read = (reader.format("text" if fmt == "csv" else fmt).load(path)
-            .select(_decoded(F.col("_metadata.file_path")).alias("file_path")).distinct())
-    return every.join(read, "file_path", "left_anti")
+    if adopted:
+        read = spark.read.parquet(f"{adopted}/{LINES}").select(F.col("file").alias("file_path"))
+    else:
+        read = (spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+                .format("text" if fmt == "csv" else fmt).load(path)
+                .select(_decoded(F.col("_metadata.file_path")).alias("file_path")))
+    return every.join(read.distinct(), "file_path", "left_anti")
 
 
 def read_template_sheet(spark: SparkSession, path: str) -> DataFrame:
