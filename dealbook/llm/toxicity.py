@@ -28,8 +28,8 @@ MIN_STRENGTH = 6.0
 SMOOTHING = 0.5
 PENALTY = 1e-3
 STEPS = 300
-#: Characters handled together.
-CHUNK = 1 << 18
+#: Characters handled together, and texts whose n-grams are held together.
+CHUNK, GROUP = 1 << 18, 64
 _MULT = np.uint32(0x9E3779B1)
 
 
@@ -104,9 +104,9 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = np.zeros(len(texts))
-        for first in range(0, len(texts), 256):
-            doc, feature = self.hits(texts[first: first + 256])
-            part = z[first: first + 256]
+        for first in range(0, len(texts), GROUP):
+            doc, feature = self.hits(texts[first: first + GROUP])
+            part = z[first: first + GROUP]
             part += np.bincount(doc, weights=self.weights[feature], minlength=part.size)
         return 1.0 / (1.0 + np.exp(-np.clip(z + self.intercept, -30, 30)))
 
@@ -190,18 +190,21 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     kept, r = top["bucket"].to_numpy(dtype=np.int64), top["ratio"].to_numpy(dtype=float)
     bare = Model(kept, r, 0.0)
 
+    kind = np.uint16 if kept.size < 1 << 16 else np.int32
+
     def features(batches):
         for pdf in batches:
-            doc, feature = bare.hits(pdf["text"].tolist())
-            cuts = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"],
-                                "features": [feature[a:b].astype(np.int32).tobytes()
-                                             for a, b in zip(cuts[:-1], cuts[1:])]})
+            texts, found = pdf["text"].tolist(), []
+            for first in range(0, len(texts), GROUP):
+                doc, feature = bare.hits(texts[first: first + GROUP])
+                cuts = np.searchsorted(doc, np.arange(min(GROUP, len(texts) - first) + 1))
+                found += [feature[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": found})
 
     rows = (sample.mapInPandas(features, "doc_id long, label int, features binary").toPandas()
             .sort_values("doc_id", kind="stable"))
-    lens = (rows["features"].str.len() // 4).to_numpy()
-    w, b = fit_logistic(lens, np.frombuffer(b"".join(rows["features"]), np.int32), r, rows["label"].to_numpy())
+    lens = (rows["features"].str.len() // kind().itemsize).to_numpy()
+    w, b = fit_logistic(lens, np.frombuffer(b"".join(rows["features"]), kind), r, rows["label"].to_numpy())
     return Model(kept, w * r, b)
 
 
