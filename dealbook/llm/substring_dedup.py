@@ -10,10 +10,10 @@ Work is cut by content, so each index sees all it has to compare:
    a whole, and only that one goes on.
 2. Consecutive windows with the same least GRAM-word hash form a segment; equal
    windows have the same least hash, so they meet in the same shard. The hashes
-   are counted first. One that a single segment has cannot repeat, so that
-   segment stays where it is. One that very many have is hot, and its windows
-   go out one by one under the hash of all their words, so no shard grows with
-   it.
+   are counted first. One that a single segment has can repeat in that segment
+   alone, where the words go round; a segment without such a window stays where
+   it is. One that very many have is hot, and its windows go out one by one
+   under the hash of all their words, so no shard grows with it.
 3. Each shard indexes its distinct segments (Burrows-Wheeler transform in a
    wavelet tree) and streams them through: backward search gives for every
    window the interval of its occurrences, and with it the earliest.
@@ -61,7 +61,8 @@ class Segments:
     """The segments of a slice of documents; those whose least hash is in ``shared`` if that is given.
 
     ``shared`` holds sorted hashes for each text. ``first`` is a segment's first word in ``words``; ``windows`` counts its
-    windows; ``gram`` is the least hash and ``key`` identifies its words.
+    windows; ``gram`` is the least hash, ``key`` identifies its words, and ``round`` tells whether one of its windows
+    comes again within the next WINDOW words, as windows of one segment can.
     """
 
     def __init__(self, texts, window: int, gram: int, hot: np.ndarray, shared: list[np.ndarray] | None = None):
@@ -90,6 +91,10 @@ class Segments:
         self.text = w.text[self.first]
         self.start = self.first - w.cut[self.text]
         self.key = mix(full[run] + mix(full[run + self.windows - 1] ^ self.windows.astype(np.uint64)))
+        again = np.zeros(at.size, dtype=bool)
+        for by in range(1, min(window, at.size)):
+            again[:-by] |= (full[by:] == full[:-by]) & (at[by:] - at[:-by] == by)
+        self.round = np.logical_or.reduceat(again, run) if run.size else again
 
 
 def _among(values: np.ndarray, text: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -108,9 +113,10 @@ def document_grams(batches: Iterator[pd.DataFrame], window: int, gram: int, buck
     """The least hashes of a slice's segments, one entry each, dealt to buckets by hash.
 
     An entry has the hash, the mark of a text that has it, how many segments
-    do, and whether more than one does. Where more than one does, the texts
-    need not ask: a settled row has their (mark, hash) pairs. So a hash sends
-    one entry a slice, in however many texts it is; rows are at most entries.
+    do, and whether it is shared here: by more than one, or by windows of one
+    segment that are alike. Where it is, the texts need not ask: a settled row
+    has their (mark, hash) pairs. So a hash sends one entry a slice, in however
+    many texts it is; rows are at most entries.
     """
     for pdf in slices(batches):
         pdf = pdf.drop_duplicates("mark")
@@ -122,10 +128,11 @@ def document_grams(batches: Iterator[pd.DataFrame], window: int, gram: int, buck
         grams, marks = s.gram[order], marks[order]
         begin = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
         n = np.diff(np.append(begin, grams.size))
-        pairs = np.column_stack((marks, grams.view(np.int64)))[np.repeat(n > 1, n)]
+        shared = (n > 1) | np.logical_or.reduceat(s.round[order], begin)
+        pairs = np.column_stack((marks, grams.view(np.int64)))[np.repeat(shared, n)]
         if pairs.size:
             pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))]
-        entries = np.column_stack((grams[begin].view(np.int64), marks[begin], n, n > 1)).astype(np.int64)
+        entries = np.column_stack((grams[begin].view(np.int64), marks[begin], n, shared)).astype(np.int64)
         bucket = _dealt(grams[begin], buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))

@@ -101,6 +101,17 @@ def test_null_empty_repeated_clashing_and_very_long(make_docs, clashing):
     assert remove_repeats(make_docs([])).collect() == []
 
 
+def test_words_that_go_round_repeat_within_one_segment(make_docs):
+    # 21 equal words are two equal windows, and no other segment has their least hash.
+    texts = ["a " * 21, "b c " * 11, " ".join(f"d{i % 19}" for i in range(45)), "e " * 20,
+             "x " * 39 + "end", " ".join(f"f{i}" for i in range(30)) + " g" * 23]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert [r[2] for r in want] == [20, 20, 26, 0, 38, 22]
+    df = make_docs([(i, t, "en", "s") for i, t in rows], parts=3)
+    assert got(df) == want and got(df, hot_segments=1) == want
+
+
 def test_kept_text_is_returned_and_digested(make_docs):
     line = " ".join(f"q{j}" for j in range(25))
     docs = make_docs([line, "a " + line + " b"])
