@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic) that hold tokens. Topics are
-learned: spherical k-means on the hashed long words of a bounded sample of
-documents; every document goes to the nearest centre. Raking
+learned: spherical k-means on the hashed long words of all documents, each of
+which goes to the nearest centre. Raking
 scales the cells' token weights until the shares of every source, language and
 topic meet their targets. The calibrated weight of a cell, divided by the
 largest one, is the probability with which each of its documents is sampled,
@@ -30,8 +30,12 @@ from dealbook.llm.shingles import CHUNK, words_of
 TOPICS = 8
 #: Only words of at least this many bytes speak for a topic, by their hash to so many places.
 TOPIC_WORD_BYTES, TOPIC_PLACES = 6, 1024
-#: Documents that topics are learned from (a draw of about so many, twice as many at most), and rounds of it.
-TOPIC_SAMPLE, TOPIC_ROUNDS = 3000, 20
+#: Rounds of k-means at most.
+TOPIC_ROUNDS = 20
+#: A place of a text and how many of its words have it; terms that a task takes at a time.
+TERM, BLOCK_TERMS = np.dtype([("place", "<u2"), ("count", "<u4")]), 100_000
+#: Cosines and unit rows in whole numbers are so many times larger; tasks that add up the sums of the others.
+SCALE, SUM_TASKS = 1 << 30, 4
 #: Languages with a target of their own, the ones of most tokens; all others share one (OTHER) in the fit.
 LANGUAGES, OTHER = 24, "*"
 #: Target share of a value: its token share to this power, normalised. Below 1 lifts the rare ones.
@@ -61,10 +65,10 @@ def _parts(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def _term_counts(n: int, words: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Damped counts of the hashed long words of n texts."""
+    """Counts of the hashed long words of n texts."""
     long = length >= TOPIC_WORD_BYTES
     place = (words[long] % np.uint64(TOPIC_PLACES)).astype(np.int64)
-    return np.log1p(np.bincount(doc[long] * TOPIC_PLACES + place, minlength=n * TOPIC_PLACES)).reshape(n, -1)
+    return np.bincount(doc[long] * TOPIC_PLACES + place, minlength=n * TOPIC_PLACES).reshape(n, -1)
 
 
 class Topics:
@@ -73,51 +77,132 @@ class Topics:
     def __init__(self, weights: np.ndarray, centres: np.ndarray):
         self.weights, self.centres = weights, centres
 
-    @classmethod
-    def fit(cls, counts: np.ndarray, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> "Topics":
-        """Spherical k-means; centres begin far apart and the result depends on the rows' order alone."""
-        counts = counts[counts.any(axis=1)]
-        if not len(counts):
-            return cls(np.ones(TOPIC_PLACES), np.empty((0, TOPIC_PLACES)))
-        weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-        x = counts * weights
-        x = x[x.any(axis=1)]
-        if not len(x):
-            return cls(weights, np.empty((0, TOPIC_PLACES)))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres = x[:1]
-        while len(centres) < min(topics, len(x)):
-            centres = np.vstack((centres, x[(x @ centres.T).max(axis=1).argmin()]))
-        for _ in range(rounds):
-            own = (x @ centres.T).argmax(axis=1)
-            sums = np.vstack([x[own == k].sum(axis=0) if (own == k).any() else c for k, c in enumerate(centres)])
-            moved = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        return cls(weights, centres)
-
     def of(self, counts: np.ndarray) -> np.ndarray:
-        return (counts * self.weights @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(counts))
+        damped = np.log1p(counts)
+        return (damped * self.weights @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(counts))
+
+
+def _terms(text: str) -> Column:
+    """The places of a text's long words with their counts (TERM records, ascending)."""
+    @F.pandas_udf(T.BinaryType())
+    def column(texts: pd.Series) -> pd.Series:
+        out: list[bytes] = []
+        for part in _parts(texts.tolist()):
+            doc, place = np.nonzero(counts := _term_counts(*part))
+            found = np.empty(doc.size, TERM)
+            found["place"], found["count"] = place, counts[doc, place]
+            cuts = np.searchsorted(doc, np.arange(part[0] + 1)).tolist()
+            out += [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.Series(out, dtype=object)
+
+    return column(F.col(text))
 
 
-def learn_topics(docs: DataFrame, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Topics of a draw of about ``sample`` documents, by a hash of their texts; term counts alone leave the tasks."""
-    texts = docs.where("text is not null").select("text")
-    n = texts.count()
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 11).cast("double") * F.lit(2.0 ** -53)
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents (draw, terms) in blocks of about BLOCK_TERMS terms: draws, first term of each, terms."""
+    for pdf in batches:
+        size = pdf["terms"].str.len().to_numpy(np.int64) // TERM.itemsize
+        for _, rows in pdf.groupby((np.cumsum(size) - size) // BLOCK_TERMS):
+            own = size[rows.index]
+            yield pd.DataFrame({"draws": [rows["draw"].to_numpy(np.int64).tobytes()],
+                                "first": [(np.cumsum(own) - own).tobytes()], "terms": [b"".join(rows["terms"])]})
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = np.concatenate([_term_counts(*part) for part in _parts(pdf["text"].tolist())]).astype(np.float32)
-            yield pd.DataFrame({"order": pdf["order"], "counts": [r.tobytes() for r in rows]})
 
-    # Copies draw alike: one of each stays.
-    found = (texts.withColumn("order", draw).where(F.col("order") < min(1.0, sample / max(1, n)))
-             .dropDuplicates(["order"]).limit(2 * sample)
-             .mapInPandas(counts, "order double, counts binary").toPandas().sort_values(["order", "counts"]))
-    rows = np.frombuffer(b"".join(found["counts"]), np.float32).reshape(-1, TOPIC_PLACES)
-    return Topics.fit(rows.astype(np.float64))
+def _units(row, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's documents as sparse unit rows: first entry of each, places, values, and which are not zero."""
+    first, terms = np.frombuffer(row.first, np.int64), np.frombuffer(row.terms, TERM)
+    place = terms["place"].astype(np.int64)
+    x = np.log1p(terms["count"]) * weights[place]
+    norm = np.sqrt(np.add.reduceat(x * x, first))
+    size = np.diff(np.append(first, x.size))
+    return first, place, x / np.repeat(np.where(norm > 0, norm, 1.0), size), norm > 0
+
+
+def _nearness(first: np.ndarray, place: np.ndarray, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cosine of each document of a block with each centre."""
+    return np.add.reduceat(x[:, None] * np.ascontiguousarray(centres.T)[place], first, axis=0)
+
+
+def _summed(blocks: DataFrame, vector) -> np.ndarray:
+    """Sum of ``vector(block)`` over all blocks: tasks add theirs, SUM_TASKS tasks add those, in whole numbers."""
+    def added(vectors) -> Iterator[pd.DataFrame]:
+        total = None
+        for v in vectors:
+            total = v if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"total": [total.tobytes()]})
+
+    rows = (blocks.mapInPandas(lambda it: added(vector(r) for pdf in it for r in pdf.itertuples(index=False)),
+                               "total binary").repartition(SUM_TASKS)
+            .mapInPandas(lambda it: added(np.frombuffer(b, np.int64) for pdf in it for b in pdf["total"]),
+                         "total binary").collect())
+    return sum((np.frombuffer(r["total"], np.int64) for r in rows), np.zeros(1, np.int64))
+
+
+def _farthest(blocks: DataFrame, weights: np.ndarray, centres: np.ndarray) -> np.ndarray | None:
+    """Unit row of the document least near to any centre (of equal ones the smallest draw); none if all lie on one."""
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                first, place, x, fine = _units(row, weights)
+                near = np.rint(_nearness(first, place, x, centres).max(axis=1) * SCALE).astype(np.int64) \
+                    if len(centres) else np.zeros(first.size, np.int64)
+                draws = np.frombuffer(row.draws, np.int64)
+                at = np.lexsort((draws, near, ~fine))[0]
+                if fine[at] and (best is None or (near[at], draws[at]) < best[:2]):
+                    end = first[at + 1] if at + 1 < first.size else x.size
+                    unit = np.zeros(TOPIC_PLACES)
+                    unit[place[first[at]: end]] = x[first[at]: end]
+                    best = near[at], draws[at], unit.tobytes()
+        if best is not None:
+            yield pd.DataFrame([best], columns=["near", "draw", "unit"])
+
+    found = blocks.mapInPandas(least, "near long, draw long, unit binary").orderBy("near", "draw").limit(1).collect()
+    return np.frombuffer(found[0]["unit"]) if found and found[0]["near"] < SCALE * (1 - 1e-9) else None
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """Topics of all texts, equal ones counted once: spherical k-means, each round one pass over their term counts.
+
+    Centres begin far apart: the text of least hash, then each time the text
+    least near to those before. Term counts are stored once; passes return sums
+    in whole numbers (unit rows times SCALE), so the result does not depend on
+    how the texts are dealt.
+    """
+    blocks = written(docs.where("text is not null").select(F.xxhash64(F.lit(5), "text").alias("draw"),
+                                                           _terms("text").alias("terms"))
+                     .where(F.octet_length("terms") > 0).dropDuplicates(["draw"])
+                     .mapInPandas(_packed, "draws binary, first binary, terms binary"), "terms")
+
+    def seen(row) -> np.ndarray:
+        found = np.bincount(np.frombuffer(row.terms, TERM)["place"], minlength=TOPIC_PLACES + 1)
+        found[-1] = len(row.first) // 8
+        return found.astype(np.int64)
+
+    found = _summed(blocks, seen)
+    if not found.any():
+        return Topics(np.ones(TOPIC_PLACES), np.empty((0, TOPIC_PLACES)))
+    weights = np.log((1 + found[-1]) / (1 + found[:-1]))
+    centres = np.empty((0, TOPIC_PLACES))
+    while len(centres) < topics and (unit := _farthest(blocks, weights, centres)) is not None:
+        centres = np.vstack((centres, unit))
+
+    def moves(row, centres: np.ndarray) -> np.ndarray:
+        first, place, x, fine = _units(row, weights)
+        own = np.repeat(_nearness(first, place, x, centres).argmax(axis=1), np.diff(np.append(first, x.size)))
+        # Sums of a block stay below 2 to the power 53, so they are exact.
+        return np.bincount(own * TOPIC_PLACES + place, weights=np.rint(x * SCALE),
+                           minlength=centres.size).astype(np.int64)
+
+    for _ in range(rounds if len(centres) else 0):
+        sums = _summed(blocks, lambda row, now=centres: moves(row, now)).reshape(centres.shape)
+        sums = np.where(sums.any(axis=1)[:, None], sums / SCALE, centres)
+        moved = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return Topics(weights, centres)
 
 
 def profile(topics: Topics, text: str = "text") -> Column:
@@ -338,7 +423,7 @@ def mix_sources(docs: DataFrame, temper: dict[str, float] = TEMPER, seed: int =
     with cells kept whole) and fit_error (largest relative error of a language
     or topic against its target in that fit). Null sources and languages are
     the value ''; languages beyond the LANGUAGES of most tokens share one cell
-    value in the fit. Topics are learned from a bounded sample, see
+    value in the fit. Topics are learned from all texts, see
     ``learn_topics``; a text without long words has topic 0. Empty and null
     texts have no tokens: they weigh nothing in the fit and share their cell's
     probability; in a cell without tokens it is 1. A draw is a hash of doc_id

@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from dealbook.llm import html_extract, language_id, ngram_join, toxicity
+from dealbook.llm import html_extract, language_id, mixing, ngram_join, toxicity
 from dealbook.llm.common import components
 from dealbook.llm.mixing import TEMPER, mix_sources, mixed_documents
 from dealbook.llm.ngram_join import JACCARD_SQL, jaccard_classes, one_per_group
@@ -437,6 +438,33 @@ def test_learned_topics_beat_a_hash_of_the_words(make_docs):
     assert purity(own, [got[i] for i in range(len(texts))]) > 0.95 > purity(own, by_hash) + 0.3
 
 
+def test_topics_are_learned_from_all_texts(make_docs):
+    rng = random.Random(3)
+    words = [f"topicword{i:03d}" for i in range(300)]
+    texts = [" ".join(rng.choice(words[k * 60: k * 60 + 90]) for _ in range(rng.randint(3, 20)))
+             for k in (rng.randrange(4) for _ in range(4_000))]
+    texts += ["", None, "no long word", *texts[:500]]
+    docs = make_docs(texts)
+    told = mixing.learn_topics(docs)
+    draws = {r.text: r.d for r in docs.where("text is not null").select("text", F.xxhash64(F.lit(5), "text").alias("d")).collect()}
+    order = sorted(draws, key=draws.get)
+    x = np.log1p(np.concatenate([mixing._term_counts(*p) for p in mixing._parts(order)]))
+    x = x[x.any(axis=1)]
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
+    assert len(x) > 3_900 and np.allclose(told.weights, weights, rtol=1e-12)
+    x = x * weights / np.linalg.norm(x * weights, axis=1, keepdims=True)
+    centres = x[:1]
+    while len(centres) < mixing.TOPICS:
+        centres = np.vstack((centres, x[np.round((x @ centres.T).max(axis=1), 9).argmin()]))
+    for _ in range(mixing.TOPIC_ROUNDS):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.vstack([x[own == k].sum(axis=0) if (own == k).any() else c for k, c in enumerate(centres)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(told.centres, centres, atol=1e-3)
+    again = mixing.learn_topics(docs.repartition(5))
+    assert (again.centres == told.centres).all() and (again.weights == told.weights).all()
+
+
 def test_mixing_with_very_many_languages_says_how_it_fits(make_docs):
     docs = make_docs([(i, "alphabet betabetabeta " * 5, f"lang{i % 3}" if i % 2 else f"odd{i}", f"s{i % 3}") for i in range(20_000)])
     got = mix_sources(docs, share=0.5).toPandas()
