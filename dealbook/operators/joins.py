@@ -32,18 +32,60 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread: list[s
     return at.join(right.drop(key), SPREAD_KEY, "left").drop(SPREAD_KEY)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, spread: list[str], buckets: int, path: str) -> DataFrame:
-    """``df`` stored in ``buckets`` sorted buckets of its spread key (column ``{key}_bucket``), read back as a table.
+#: Rows that a bucket holds about, and rows of one key from which on it is cut into pieces of about so many.
+BUCKET_ROWS, PIECE_ROWS = 500_000, 62_500
+#: Pieces of a frequent key.
+PIECES = "_pieces"
+
+
+def frequent_keys(df: DataFrame, key: str, piece_rows: int = PIECE_ROWS) -> tuple[int, DataFrame | None]:
+    """Rows of ``df``, and its keys of more than ``piece_rows`` rows with their number of pieces (none: None).
+
+    There are fewer such keys than rows / ``piece_rows``; they alone reach the driver.
+    """
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows, found = per_key.agg(F.sum("n"), F.collect_list(F.when(
+        F.col(key).isNotNull() & (F.col("n") > piece_rows), F.struct(key, "n")))).first()
+    if not found:
+        return rows or 0, None
+    kind = df.schema[key].dataType.simpleString()
+    return rows, df.sparkSession.createDataFrame([(r[key], -(-r["n"] // piece_rows)) for r in found],
+                                                 f"`{key}` {kind}, {PIECES} int")
+
+
+def _piece(key: Column, at: Column) -> Column:
+    return F.concat(F.lit("h"), at.cast("string"), F.lit(":"), key.cast("string"))
+
+
+def dealt_by_key(df: DataFrame, key: str, spread: list[str], frequent: DataFrame | None) -> DataFrame:
+    """``df`` with its spread key as ``{key}_bucket``; rows of a frequent key are dealt over its pieces by ``spread``."""
+    plain, hashed = spread_key(F.col(key), [F.col(c) for c in spread]), F.xxhash64(*[F.col(c) for c in spread])
+    if frequent is None:
+        return df.withColumn(f"{key}_bucket", plain)
+    return (df.join(F.broadcast(frequent), key, "left")
+            .withColumn(f"{key}_bucket", F.when(F.col(PIECES).isNotNull(), _piece(F.col(key), F.pmod(hashed, PIECES)))
+                        .otherwise(plain)).select(*df.columns, f"{key}_bucket"))
+
+
+def repeated_by_key(df: DataFrame, key: str, frequent: DataFrame | None) -> DataFrame:
+    """``df`` with its key as ``{key}_bucket``; a row of a frequent key is there once for each of its pieces."""
+    plain = spread_key(F.col(key), [F.col(key)])
+    if frequent is None:
+        return df.withColumn(f"{key}_bucket", plain)
+    pieces = F.transform(F.sequence(F.lit(0), F.col(PIECES) - 1), lambda i: _piece(F.col(key), i))
+    return (df.join(F.broadcast(frequent), key, "left")
+            .withColumn(f"{key}_bucket", F.explode(F.when(F.col(PIECES).isNotNull(), pieces).otherwise(F.array(plain))))
+            .select(*df.columns, f"{key}_bucket"))
+
+
+def write_bucketed(df: DataFrame, table: str, column: str, buckets: int, path: str) -> DataFrame:
+    """``df`` stored in ``buckets`` sorted buckets of ``column``, read back as a table.
 
     Tables with one number of buckets join on that column, and group by it,
-    without a shuffle. Rows without a key lie in all buckets alike; ``buckets``
-    should make one bucket a few hundred MB. ``path`` is a folder that driver
-    and executors share.
+    without a shuffle. ``path`` is a folder that driver and executors share.
     """
     spark: SparkSession = df.sparkSession
-    column = f"{key}_bucket"
-    (df.withColumn(column, spread_key(F.col(key), [F.col(c) for c in spread]))
-     .repartition(buckets, F.col(column))  # one file a bucket
+    (df.repartition(buckets, F.col(column))  # one file a bucket
      .write.mode("overwrite").option("path", path).format("parquet")
      .bucketBy(buckets, column).sortBy(column).saveAsTable(table))
     return spark.table(table)

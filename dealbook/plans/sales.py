@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dealbook.functions import round_half_away, share_pct, try_date
 from dealbook.operators.distinct import two_level_aggregate
 from dealbook.operators.filters import active_orders, period, unset
-from dealbook.operators.joins import SPREAD_KEY, keyed, left_join_spread, write_bucketed
+from dealbook.operators.joins import (
+    BUCKET_ROWS, PIECE_ROWS, SPREAD_KEY, dealt_by_key, frequent_keys, keyed, left_join_spread, repeated_by_key,
+    write_bucketed,
+)
 from dealbook.operators.pivot import distinct_values, pivot_sum
 from dealbook.operators.topk import top_k
 from dealbook.operators.totals import append_total_row
@@ -44,16 +47,25 @@ def registered_vins(stock: DataFrame) -> DataFrame:
 VIN_BUCKET = "vin_bucket"
 
 
-def bucketed_sales_tables(orders: DataFrame, stock: DataFrame, path: str, buckets: int,
-                          name: str = "sales") -> tuple[DataFrame, DataFrame]:
+def bucketed_sales_tables(orders: DataFrame, stock: DataFrame, path: str, buckets: int, name: str = "sales",
+                          bucket_rows: int = BUCKET_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Orders and stock stored by VIN in as many sorted buckets each, so that reports join them without a shuffle.
 
-    Orders without a VIN are dealt over all buckets by their order id.
+    There are ``buckets`` of them, or one for each ``bucket_rows`` orders if
+    that is more. Orders without a VIN are dealt over all buckets by their
+    order id; those of a VIN with more than ``piece_rows`` orders over its
+    pieces, each of which has the VIN's stock row. Stock is stored with the
+    latest row of each VIN (W1).
     """
-    stored = write_bucketed(orders, f"{name}_orders_by_vin", "vin", ["order_id"], buckets, f"{path}/orders")
+    rows, frequent = frequent_keys(orders, "vin", piece_rows)
+    buckets = max(buckets, -(-rows // bucket_rows))
     # Stock rows without a VIN match no order.
-    return stored, write_bucketed(stock.where(F.col("vin").isNotNull()), f"{name}_stock_by_vin", "vin", ["vin"],
-                                  buckets, f"{path}/stock")
+    latest = (stock.where(F.col("vin").isNotNull()).groupBy("vin")
+              .agg(F.max("registration_date").alias("registration_date")))
+    return (write_bucketed(dealt_by_key(orders, "vin", ["order_id"], frequent), f"{name}_orders_by_vin", VIN_BUCKET,
+                           buckets, f"{path}/orders"),
+            write_bucketed(repeated_by_key(latest, "vin", frequent), f"{name}_stock_by_vin", VIN_BUCKET,
+                           buckets, f"{path}/stock"))
 
 
 def order_date(orders: DataFrame) -> Column:

@@ -193,6 +193,24 @@ def test_bucketed_tables_join_without_a_shuffle_and_give_the_same_summary(spark,
             spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+def test_buckets_grow_with_the_orders_and_cut_a_frequent_vin(spark, tables):
+    import tempfile
+
+    orders, stock = tables.sales_orders_dirty, tables.vehicle_stock.unionByName(tables.vehicle_stock)
+    assert orders.where("vin = 7").count() > 500
+    want = sorted(map(tuple, sales.salesperson_summary(orders, stock, 1997).collect()))
+    path = tempfile.mkdtemp(prefix="dealbook-test-")
+    try:
+        stored = sales.bucketed_sales_tables(orders, stock, path, 4, "test_grown", bucket_rows=100, piece_rows=20)
+        assert sorted(map(tuple, sales.salesperson_summary(*stored, 1997).collect())) == want
+        sizes = [r["n"] for r in stored[0].groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == orders.count() and len(sizes) >= orders.count() / 100 and max(sizes) <= 250
+        assert stored[0].select(*orders.columns).exceptAll(orders).count() == 0
+    finally:
+        for t in ("test_grown_orders_by_vin", "test_grown_stock_by_vin"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
 def test_month_report_reads_one_month_of_folders(spark, tables):
     import tempfile
 
