@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from dealbook.plans.etl import transform_categories, transform_ledger, transform_template
 from dealbook.session import scratch_dir
 from dealbook.sources.landing import (
-    LAYOUTS, REJECT, adopt_files, adopted_folder, land_ledger_files, read_json_pages, read_landed_csv,
+    LAYOUTS, REJECT, adopt_files, adopted_folder, file_sized, land_ledger_files, read_json_pages, read_landed_csv,
     read_ledger_files, read_template_sheet, skipped_ledger_files,
 )
 from dealbook.sources.sinks import export_manifest, overwrite_table, read_delimited, read_table, stored, write_delimited
@@ -66,7 +66,8 @@ def accounted_load(spark: SparkSession, landing: str, table: str, schema: Struct
         seen, F.count(F.when(good, 1)).alias("rows"), F.count(REJECT).alias("rejects"),
         F.count(F.when(good & F.col("monthly_balance").isNull(), 1)).alias("unparsed"),
         F.coalesce(F.sum(F.when(good, F.col("monthly_balance"))), F.lit(0)).cast("decimal(28,2)").alias("money"))
-    stored_rows = overwrite_table(observed, table, partition_by=["quarantined", "year"])
+    with file_sized(spark):
+        stored_rows = overwrite_table(observed, table, partition_by=["quarantined", "year"])
     told = seen.get
     skipped = skipped_ledger_files(spark, incoming, "csv", None if own else landing).count()
     return spark.createDataFrame(

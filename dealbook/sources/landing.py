@@ -27,8 +27,11 @@ REJECT = "_reject"
 LAYOUTS = "_layouts"
 #: Lines of adopted files, and the header of each file.
 LINES, HEADERS = "_lines", "_headers"
-#: A landed file or stored part is about so large; larger names are split, smaller ones share a task.
-FILE_BYTES = 128 * 1024 * 1024
+#: Shuffled bytes of a landed file or stored part; larger names are split, smaller ones share a task. Rows that repeat
+#: names shrink about 15 times in a shuffle, so a task that sorts them holds a few hundred MB.
+FILE_BYTES = 16 * 1024 * 1024
+#: Bytes of the files that a task reads meanwhile: stored lines are packed as densely.
+READ_BYTES = 32 * 1024 * 1024
 
 
 def _decoded(path):
@@ -46,14 +49,19 @@ def _source_name():
 
 @contextmanager
 def file_sized(spark: SparkSession) -> Iterator[None]:
-    """While it is open, rebalanced writes make parts of FILE_BYTES; the session's own setting comes back after."""
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(FILE_BYTES))
+    """While it is open, rebalanced writes make parts of FILE_BYTES and tasks read READ_BYTES of files at most.
+
+    The session's own settings come back after.
+    """
+    own = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": FILE_BYTES, "spark.sql.files.maxPartitionBytes": READ_BYTES}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, size in own.items():
+        spark.conf.set(key, str(size))
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def land_ledger_files(ledger_raw: DataFrame, path: str, fmt: str = "csv") -> str:
