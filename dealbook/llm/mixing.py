@@ -148,7 +148,7 @@ def _farthest(blocks: DataFrame, weights: np.ndarray, centres: np.ndarray) -> np
                 first, place, x, fine = _units(row, weights)
                 near = np.rint(_nearness(first, place, x, centres).max(axis=1) * SCALE).astype(np.int64) \
                     if len(centres) else np.zeros(first.size, np.int64)
-                draws = np.frombuffer(row.draws, np.int64)
+                draws = (np.frombuffer(row.draws, np.uint64) >> np.uint64(11)).astype(np.int64)
                 at = np.lexsort((draws, near, ~fine))[0]
                 if fine[at] and (best is None or (near[at], draws[at]) < best[:2]):
                     end = first[at + 1] if at + 1 < first.size else x.size

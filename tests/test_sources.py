@@ -471,3 +471,23 @@ def test_mapping_tables_are_joined_and_checked(spark):
     raw = spark.createDataFrame([("A_MM011997_v1.xlsx", "6001", None, "1.5")],
                                 "source_name string, account string, category string, monthly_balance_txt string")
     assert etl.transform_ledger(raw, names).first().company == "Alpha"
+
+
+def test_tasks_of_a_load_are_bounded_whatever_the_input(spark, tables, monkeypatch):
+    from dealbook.plans import roundtrips
+    from dealbook.sources import landing
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before, sizes, write = spark.conf.get(key), [], roundtrips.overwrite_table
+    want = roundtrips.load_drifted(tables.ledger_raw).collect()
+
+    def told(df, *args, **how):
+        sizes.append((int(spark.conf.get(key)), df.rdd.getNumPartitions()))
+        return write(df, *args, **how)
+
+    monkeypatch.setattr(roundtrips, "overwrite_table", told)
+    monkeypatch.setattr(landing, "READ_BYTES", 20_000)
+    monkeypatch.setattr(landing, "FILE_BYTES", 20_000)
+    assert roundtrips.load_drifted(tables.ledger_raw).collect() == want
+    assert sizes[0][0] == 20_000 and sizes[0][1] > 8
+    assert spark.conf.get(key) == before
