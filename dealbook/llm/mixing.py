@@ -34,6 +34,8 @@ TOPIC_WORD_BYTES, TOPIC_PLACES = 6, 1024
 TOPIC_ROUNDS = 20
 #: A place of a text and how many of its words have it; terms that a task takes at a time.
 TERM, BLOCK_TERMS = np.dtype([("place", "<u2"), ("count", "<u4")]), 100_000
+#: Texts whose terms are laid out in full rows at a time; cosines as near to each other as this are taken anew.
+FULL_ROWS, CLOSE = 256, 1e-9
 #: Cosines and unit rows in whole numbers are so many times larger; tasks that add up the sums of the others.
 SCALE, SUM_TASKS = 1 << 30, 4
 #: Languages with a target of their own, the ones of most tokens; all others share one (OTHER) in the fit.
@@ -71,56 +73,113 @@ def _term_counts(n: int, words: np.ndarray, length: np.ndarray, doc: np.ndarray)
     return np.bincount(doc[long] * TOPIC_PLACES + place, minlength=n * TOPIC_PLACES).reshape(n, -1)
 
 
+def _found_terms(part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a part as sparse counts: number of terms of each text, places (ascending) and counts."""
+    counts = _term_counts(*part).ravel()
+    at = np.flatnonzero(counts)
+    return np.bincount(at // TOPIC_PLACES, minlength=part[0]), at % TOPIC_PLACES, counts[at]
+
+
+#: Logarithms of the common counts.
+_DAMPED = np.log1p(np.arange(1 << 12))
+
+
+def _damped(count: np.ndarray) -> np.ndarray:
+    return _DAMPED[count] if count.size and count.max() < _DAMPED.size else np.log1p(count)
+
+
 class Topics:
     """Weights of the places and centres (unit rows); without centres every text has topic 0."""
 
     def __init__(self, weights: np.ndarray, centres: np.ndarray):
         self.weights, self.centres = weights, centres
 
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        damped = np.log1p(counts)
-        return (damped * self.weights @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(counts))
+    def of(self, size: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Topics of texts by their terms: how many each has, places and counts; without terms topic 0."""
+        own = np.zeros(size.size, np.int32)
+        if len(self.centres) and (some := size > 0).any():
+            first = (np.cumsum(size) - size)[some]
+            own[some] = _nearest(first, place, _damped(count) * self.weights[place], self.centres)
+        return own
 
 
-def _terms(text: str) -> Column:
-    """The places of a text's long words with their counts (TERM records, ascending)."""
-    @F.pandas_udf(T.BinaryType())
-    def column(texts: pd.Series) -> pd.Series:
-        out: list[bytes] = []
+def _counted(text: str) -> Column:
+    """struct(n_tokens, terms) of a text column: words, and places of the long ones with their counts (TERM records)."""
+    @F.pandas_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("terms", T.BinaryType())]))
+    def column(texts: pd.Series) -> pd.DataFrame:
+        counts, terms = [np.empty(0)], []
         for part in _parts(texts.tolist()):
-            doc, place = np.nonzero(counts := _term_counts(*part))
-            found = np.empty(doc.size, TERM)
-            found["place"], found["count"] = place, counts[doc, place]
-            cuts = np.searchsorted(doc, np.arange(part[0] + 1)).tolist()
-            out += [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pd.Series(out, dtype=object)
+            counts.append(np.bincount(part[3], minlength=part[0]))
+            size, place, count = _found_terms(part)
+            found = np.empty(place.size, TERM)
+            found["place"], found["count"] = place, count
+            ends = np.cumsum(size).tolist()
+            terms += [found[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+        return pd.DataFrame({"n_tokens": np.concatenate(counts).astype(np.int64),
+                             "terms": pd.Series(terms, dtype=object)})
 
     return column(F.col(text))
 
 
+def _blocks(terms: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """Texts in blocks of about BLOCK_TERMS terms: their rows, how many terms each has, and the terms."""
+    size = terms.str.len().to_numpy(np.int64) // TERM.itemsize
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // BLOCK_TERMS, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], size.size]):
+        yield np.arange(a, b), size[a:b], b"".join(terms.iloc[a:b])
+
+
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents (draw, terms) in blocks of about BLOCK_TERMS terms: draws, first term of each, terms."""
+    """Documents (draw, terms) in blocks: draws, first term of each, terms."""
     for pdf in batches:
-        size = pdf["terms"].str.len().to_numpy(np.int64) // TERM.itemsize
-        for _, rows in pdf.groupby((np.cumsum(size) - size) // BLOCK_TERMS):
-            own = size[rows.index]
-            yield pd.DataFrame({"draws": [rows["draw"].to_numpy(np.int64).tobytes()],
-                                "first": [(np.cumsum(own) - own).tobytes()], "terms": [b"".join(rows["terms"])]})
+        draws = pdf["draw"].to_numpy(np.int64)
+        for rows, size, terms in _blocks(pdf["terms"]):
+            yield pd.DataFrame({"draws": [draws[rows].tobytes()], "first": [(np.cumsum(size) - size).tobytes()],
+                                "terms": [terms]})
 
 
 def _units(row, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A block's documents as sparse unit rows: first entry of each, places, values, and which are not zero."""
     first, terms = np.frombuffer(row.first, np.int64), np.frombuffer(row.terms, TERM)
     place = terms["place"].astype(np.int64)
-    x = np.log1p(terms["count"]) * weights[place]
+    x = _damped(terms["count"]) * weights[place]
     norm = np.sqrt(np.add.reduceat(x * x, first))
     size = np.diff(np.append(first, x.size))
     return first, place, x / np.repeat(np.where(norm > 0, norm, 1.0), size), norm > 0
 
 
 def _nearness(first: np.ndarray, place: np.ndarray, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Cosine of each document of a block with each centre."""
-    return np.add.reduceat(x[:, None] * np.ascontiguousarray(centres.T)[place], first, axis=0)
+    """Cosine of each document of a block with each centre; the last digits depend on the block."""
+    ends = np.append(first, x.size)
+    out = np.empty((first.size, len(centres)))
+    for a in range(0, first.size, FULL_ROWS):
+        b = min(first.size, a + FULL_ROWS)
+        own = slice(ends[a], ends[b])
+        full = np.zeros((b - a) * TOPIC_PLACES)
+        full[np.repeat(np.arange(b - a) * TOPIC_PLACES, np.diff(ends[a: b + 1])) + place[own]] = x[own]
+        out[a:b] = full.reshape(b - a, -1) @ centres.T
+    return out
+
+
+def _own_nearness(first: np.ndarray, place: np.ndarray, x: np.ndarray, centres: np.ndarray,
+                  rows: np.ndarray) -> np.ndarray:
+    """Cosines of some documents of a block, each summed by itself, so they are the same in any block."""
+    size = np.diff(np.append(first, x.size))[rows]
+    begins = np.cumsum(size) - size
+    at = np.repeat(first[rows] - begins, size) + np.arange(size.sum())
+    return np.add.reduceat(x[at, None] * np.ascontiguousarray(centres.T)[place[at]], begins, axis=0)
+
+
+def _nearest(first: np.ndarray, place: np.ndarray, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each document of a block (of equal ones the first)."""
+    near = _nearness(first, place, x, centres)
+    own = near.argmax(axis=1)
+    if len(centres) > 1:
+        best = np.sort(near, axis=1)
+        rows = np.flatnonzero(best[:, -2] >= best[:, -1] * (1 - CLOSE))
+        if rows.size:
+            own[rows] = _own_nearness(first, place, x, centres, rows).argmax(axis=1)
+    return own
 
 
 def _summed(blocks: DataFrame, vector) -> np.ndarray:
@@ -146,15 +205,22 @@ def _farthest(blocks: DataFrame, weights: np.ndarray, centres: np.ndarray) -> np
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 first, place, x, fine = _units(row, weights)
-                near = np.rint(_nearness(first, place, x, centres).max(axis=1) * SCALE).astype(np.int64) \
-                    if len(centres) else np.zeros(first.size, np.int64)
-                draws = (np.frombuffer(row.draws, np.uint64) >> np.uint64(11)).astype(np.int64)
-                at = np.lexsort((draws, near, ~fine))[0]
-                if fine[at] and (best is None or (near[at], draws[at]) < best[:2]):
+                rows = np.flatnonzero(fine)
+                if not rows.size:
+                    continue
+                near = np.zeros(rows.size, np.int64)
+                if len(centres):
+                    about = _nearness(first, place, x, centres).max(axis=1)[rows]
+                    rows = rows[about <= about.min() + 2 / SCALE]
+                    near = np.rint(_own_nearness(first, place, x, centres, rows).max(axis=1) * SCALE).astype(np.int64)
+                draws = (np.frombuffer(row.draws, np.uint64)[rows] >> np.uint64(11)).astype(np.int64)
+                i = np.lexsort((draws, near))[0]
+                if best is None or (near[i], draws[i]) < best[:2]:
+                    at = rows[i]
                     end = first[at + 1] if at + 1 < first.size else x.size
                     unit = np.zeros(TOPIC_PLACES)
                     unit[place[first[at]: end]] = x[first[at]: end]
-                    best = near[at], draws[at], unit.tobytes()
+                    best = near[i], draws[i], unit.tobytes()
         if best is not None:
             yield pd.DataFrame([best], columns=["near", "draw", "unit"])
 
@@ -170,9 +236,17 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUN
     in whole numbers (unit rows times SCALE), so the result does not depend on
     how the texts are dealt.
     """
-    blocks = written(docs.where("text is not null").select(F.xxhash64(F.lit(5), "text").alias("draw"),
-                                                           _terms("text").alias("terms"))
-                     .where(F.octet_length("terms") > 0).dropDuplicates(["draw"])
+    return _fitted_topics(docs.select(_draw(F.col("text")), _counted("text").alias("p")).select("draw", "p.terms"),
+                          topics, rounds)
+
+
+def _draw(text: Column) -> Column:
+    return F.xxhash64(F.lit(5), text).alias("draw")
+
+
+def _fitted_topics(texts: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """As ``learn_topics``, of the texts' draws and terms."""
+    blocks = written(texts.where(F.octet_length("terms") > 0).dropDuplicates(["draw"])
                      .mapInPandas(_packed, "draws binary, first binary, terms binary"), "terms")
 
     def seen(row) -> np.ndarray:
@@ -190,7 +264,7 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUN
 
     def moves(row, centres: np.ndarray) -> np.ndarray:
         first, place, x, fine = _units(row, weights)
-        own = np.repeat(_nearness(first, place, x, centres).argmax(axis=1), np.diff(np.append(first, x.size)))
+        own = np.repeat(_nearest(first, place, x, centres), np.diff(np.append(first, x.size)))
         # Sums of a block stay below 2 to the power 53, so they are exact.
         return np.bincount(own * TOPIC_PLACES + place, weights=np.rint(x * SCALE),
                            minlength=centres.size).astype(np.int64)
@@ -210,15 +284,40 @@ def profile(topics: Topics, text: str = "text") -> Column:
     @F.pandas_udf(T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())]))
     def column(texts: pd.Series) -> pd.DataFrame:
         found, counts = [np.empty(0)], [np.empty(0)]
-        for n, words, length, doc in _parts(texts.tolist()):
-            counts.append(np.bincount(doc, minlength=n))
-            found.append(topics.of(_term_counts(n, words, length, doc)))
+        for part in _parts(texts.tolist()):
+            counts.append(np.bincount(part[3], minlength=part[0]))
+            found.append(topics.of(*_found_terms(part)))
         return pd.DataFrame({"topic": np.concatenate(found).astype(np.int32),
                              "n_tokens": np.concatenate(counts).astype(np.int64)})
 
     return column(F.col(text))
 
 
+def _topic(topics: Topics, terms: str) -> Column:
+    """The nearest centre of a column of terms, as ``profile`` tells it of their text."""
+    @F.pandas_udf(T.IntegerType())
+    def column(values: pd.Series) -> pd.Series:
+        found = [np.empty(0, np.int32)]
+        for _, size, block in _blocks(values):
+            own = np.frombuffer(block, TERM)
+            found.append(topics.of(size, own["place"].astype(np.int64), own["count"]))
+        return pd.Series(np.concatenate(found))
+
+    return column(F.col(terms))
+
+
+def _profiles(docs: DataFrame, *columns: Column) -> tuple[Topics, DataFrame]:
+    """The topics of the texts; and per document ``columns``, source, lang, n_tokens and topic, written.
+
+    Each text is taken to words once, and its term counts are stored.
+    """
+    counted = written(docs.select(
+        *columns, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
+        _draw(F.col("text")), _counted("text").alias("p")).select("*", "p.*").drop("p"), "counts")
+    topics = _fitted_topics(counted.select("draw", "terms"))
+    return topics, written(counted.withColumn("topic", _topic(topics, "terms")).drop("draw", "terms"), "profiles")
+
+
 def _by_source(cells: DataFrame) -> tuple[list[tuple[str, int]], DataFrame | None]:
     """The (language, topic) pairs, and one row per source: its tokens in all and in each pair."""
     pairs = sorted((r["lang"], r["topic"]) for r in cells.select("lang", "topic").distinct().collect())
@@ -433,11 +532,8 @@ def mix_sources(docs: DataFrame, temper: dict[str, float] = TEMPER, seed: int =
     targets alone would keep less.
     """
     small_batches(docs.sparkSession)
-    topics = learn_topics(docs)
-    rows = written(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce("lang", F.lit("")).alias("lang"), _place(seed, "doc_id", F.col("text")).alias("u"),
-        profile(topics).alias("p")).select("doc_id", "source", "lang", "u", "p.*"), "profiles")
+    _, rows = _profiles(docs, F.col("doc_id").cast("long").alias("doc_id"),
+                        _place(seed, "doc_id", F.col("text")).alias("u"))
     known = _fit_languages(rows)
     rows = rows.withColumnRenamed("lang", "own").withColumn("lang", _cell_language(known, "own"))
     return (rows.join(_cells(rows, temper, share), ["source", "lang", "topic"])
@@ -452,10 +548,9 @@ def mixed_documents(docs: DataFrame, temper: dict[str, float] = TEMPER, seed: in
     name = "cell"
     while name in docs.columns:
         name += "_"
+    topics, flat = _profiles(docs)
     rows = docs.withColumn(name, F.struct(F.coalesce("source", F.lit("")).alias("source"),
-                                          F.coalesce("lang", F.lit("")).alias("lang"),
-                                          profile(learn_topics(docs)).alias("p")))
-    flat = rows.select(f"{name}.source", f"{name}.lang", f"{name}.p.*")
+                                          F.coalesce("lang", F.lit("")).alias("lang"), profile(topics).alias("p")))
     known = _fit_languages(flat)
     cells = written(_cells(flat.withColumn("lang", _cell_language(known)), temper, share).select(
         F.struct("source", "lang", "topic").alias(f"{name}k"), F.col("probability").alias(f"{name}p")), "chances")
