@@ -16,24 +16,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     The files cut the lineage: later passes and retried tasks read them and do
-    not repeat the work.
+    not repeat the work. A page ends at about 1 MB also where rows are wide:
+    the codec keeps direct memory of the largest page, and Parquet by itself
+    first looks at a page's size after 100 rows.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**PAGES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that go to a Python task at a time: whole texts are long.
-BATCH_ROWS = 2000
+#: Rows after which the writer looks at the size of a page, at least and at most.
+PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 100}
+#: Rows and bytes that go to a Python task at a time, and rows that a Parquet scan decodes at a time: whole texts are long.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2000, 4 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches to BATCH_ROWS rows, so a task holds few whole texts at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bounds the session's Arrow batches (BATCH_ROWS, BATCH_BYTES) and Parquet vectors (SCAN_ROWS).
+
+    So a task holds few whole texts, or rows of packed values, at once. Lower
+    bounds that the session has as plain numbers stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+                      ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def _edge_digest(edges: DataFrame) -> tuple[int, int]:

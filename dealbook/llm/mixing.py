@@ -33,7 +33,7 @@ TOPIC_WORD_BYTES, TOPIC_PLACES = 6, 1024
 #: Rounds of k-means at most.
 TOPIC_ROUNDS = 20
 #: A place of a text and how many of its words have it; terms that a task takes at a time.
-TERM, BLOCK_TERMS = np.dtype([("place", "<u2"), ("count", "<u4")]), 100_000
+TERM, BLOCK_TERMS = np.dtype([("place", "<u2"), ("count", "<u4")]), 50_000
 #: Texts whose terms are laid out in full rows at a time; cosines as near to each other as this are taken anew.
 FULL_ROWS, CLOSE = 256, 1e-9
 #: Cosines and unit rows in whole numbers are so many times larger; tasks that add up the sums of the others.

@@ -18,7 +18,7 @@ VOCABULARY = "byte_bpe_50k"
 #: Id that ends every document.
 END = 0
 #: Code points handled together, and words kept between chunks.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 CACHE_WORDS = 1_000_000
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
